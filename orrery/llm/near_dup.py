@@ -103,40 +103,67 @@ def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
 PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
-def _candidates(similarity: float, strict: bool):
-    """Pairs of each posting list. strict: each row with the first row that is very like it, a star a cluster.
-    Else: all pairs of rows of unequal component (and, in dealt lists, of block i with block j) that may be linked."""
+def _sized(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    return np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
+
+
+def _stars(similarity: float):
+    """Each row of a posting list with the first row that is very like it: pairs, a star a cluster."""
     likely = round(COORDINATES * (similarity + 1) / 2 - 1)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for t in _runs(batches, "token", "part"):
+            ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+            sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            rest = np.argsort(ids, kind="stable")
+            while len(rest) > 1:
+                lead, others = rest[0], rest[1:]
+                alike = ((sketch[others] == sketch[lead]).sum(1) >= likely) & _sized(n[others], n[lead], similarity)
+                if alike.any():
+                    out.append(np.stack([np.full(alike.sum(), ids[lead]), ids[others[alike]]], 1))
+                rest = others[~alike]
+            if sum(map(len, out)) > 50_000:
+                yield _pairs(out)
+                out = []
+        if out:
+            yield _pairs(out)
+
+    return run
+
+
+def _labels(near: np.ndarray) -> np.ndarray:
+    """Component of each row of a symmetric adjacency matrix, as its first row."""
+    label, big = np.arange(len(near)), len(near)
+    while True:
+        low = np.minimum(label, np.where(near, label[None], big).min(1, initial=big))
+        low = np.minimum(low, low[low])
+        if (low == label).all():
+            return label
+        label = low
+
+
+def _gathered(similarity: float):
+    """Pairs (row, first row) of the groups of a posting list: rows of unequal component that
+    collide often enough to be linked are neighbours. A dealt list compares the sides of two blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
         for t in _runs(batches, "token", "part"):
             if t.num_rows < 2:
                 continue
-            ids, n = t["id"].to_numpy(), t["n"].to_numpy()
+            ids, n, comp, side = (t[c].to_numpy() for c in ("id", "n", "comp", "side"))
             sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, COORDINATES)
-            sized = lambda x, y: np.minimum(x, y) >= similarity * np.maximum(x, y) - 1e-9
-            if strict:
-                rest = np.argsort(ids, kind="stable")
-                while len(rest) > 1:
-                    lead, others = rest[0], rest[1:]
-                    alike = ((sketch[others] == sketch[lead]).sum(1) >= likely) & sized(n[others], n[lead])
-                    if alike.any():
-                        out.append(np.stack([np.full(alike.sum(), ids[lead]), ids[others[alike]]], 1))
-                    rest = others[~alike]
-            else:
-                comp, side = t["comp"].to_numpy(), t["side"].to_numpy()
-                left = np.flatnonzero(side != 1)
-                right = np.flatnonzero(side != 0)
-                for lo in range(0, len(left), 128):
-                    x = left[lo : lo + 128]
-                    may = (comp[x][:, None] != comp[right][None]) & (ids[x][:, None] < ids[right][None] if side[0] == 2 else True) & sized(n[x][:, None], n[right][None])
-                    i, j = np.nonzero(may)
-                    for at in range(0, len(i), 1 << 16):
-                        p, q = x[i[at : at + (1 << 16)]], right[j[at : at + (1 << 16)]]
-                        ok = (sketch[p] == sketch[q]).sum(1) >= LEAST
-                        if ok.any():
-                            out.append(np.sort(np.stack([ids[p[ok]], ids[q[ok]]], 1), 1))
+            near = np.zeros((len(ids), len(ids)), bool)
+            for lo in range(0, len(ids), 64):
+                x = slice(lo, lo + 64)
+                may = (comp[x, None] != comp) & _sized(n[x, None], n, similarity) & ((side[x, None] == 2) | (side[x, None] != side))
+                i, j = np.nonzero(may)
+                near[lo + i, j] = (sketch[lo + i] == sketch[j]).sum(1) >= LEAST
+            held = np.flatnonzero(near.any(1))
+            if len(held):
+                first = _labels(near[np.ix_(held, held)])
+                out.append(np.stack([ids[held], ids[held[first]]], 1))
             if sum(map(len, out)) > 50_000:
                 yield _pairs(out)
                 out = []
@@ -146,6 +173,58 @@ def _candidates(similarity: float, strict: bool):
     return run
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections. Frequent shingles by a matrix product, the others by pairs of their holders."""
+    m = len(sets)
+    out = np.zeros((m, m), np.int64)
+    row = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = times > 48
+    place = np.cumsum(often) - 1
+    for lo in range(0, int(often.sum()), 2048):
+        at = often[code] & (place[code] >= lo) & (place[code] < lo + 2048)
+        part = np.zeros((m, min(2048, int(often.sum()) - lo)), np.float32)
+        part[row[at], place[code[at]] - lo] = 1
+        out += (part @ part.T).astype(np.int64)
+    order = np.argsort(code, kind="stable")
+    order = order[(times[code[order]] > 1) & ~often[code[order]]]
+    for f in np.unique(times[(times > 1) & ~often]):
+        holders = row[order[times[code[order]] == f]].reshape(-1, f)
+        for lo in range(0, len(holders), max(1, 400_000 // (f * f))):
+            h = holders[lo : lo + max(1, 400_000 // (f * f))]
+            out += np.bincount((h[:, :, None] * m + h[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+    return out
+
+
+def _linked(similarity: float):
+    """Links between components within a group, or between two blocks of it, on full sets: as few as join what is linked."""
+    hundredths = round(similarity * 100)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[np.ndarray] = []
+        for t in _runs(batches, "grp", "part"):
+            comp, side = t["comp"].to_numpy(), t["side"].to_numpy()
+            if len(comp) < 2 or (comp == comp[0]).all():
+                continue
+            sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t["shingles"].chunks for x in c]
+            both = _common(sets)
+            n = np.array([len(s) for s in sets])
+            link = (100 * both >= hundredths * (n[:, None] + n[None] - both)) & (both > 0) & (comp[:, None] != comp[None]) & ((side[:, None] == 2) | (side[:, None] != side[None]))
+            i, j = np.nonzero(np.triu(link))
+            if len(i):
+                names, at = np.unique(comp, return_inverse=True)
+                e = np.unique(np.sort(np.stack([at[i], at[j]], 1), 1), axis=0)
+                joined = np.zeros((len(names), len(names)), bool)
+                joined[e[:, 0], e[:, 1]] = joined[e[:, 1], e[:, 0]] = True
+                first = _labels(joined)
+                moved = np.flatnonzero(first != np.arange(len(names)))
+                out.append(np.stack([names[first[moved]], names[moved]], 1))
+        if out:
+            yield _pairs(out)
+
+    return run
+
+
 def _pairs(out: list[np.ndarray]) -> pa.RecordBatch:
     p = np.unique(np.concatenate(out), axis=0)
     return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], schema=PAIR)
@@ -207,9 +286,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     3. Lists are merged in blocks; collisions are counted on one-byte coordinates,
        which never counts too few. First each row only meets the first row of its
        list that is nearly certain to be linked; these stars are confirmed on full
-       sets and joined to components. Then what remains, pairs between different
-       components only, is counted and confirmed. So a group of n copies costs about
-       n pairs, and no link between two components is left out.
+       sets and joined to components. Rows of different components that still collide
+       LEAST times or more are then gathered into groups, and a group's full sets
+       compared with each other, in blocks: every retained pair is confirmed, but
+       only links that join two components are given out, never pairs.
 
     A class needs LEAST shared values to have a partner at all, so most documents
     leave after step 2. Equal ids are one node, whatever the rows hold: links of
@@ -233,26 +313,26 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = F.ceil(F.col("c") / BLOCK)
-    stars = lists.withColumn("part", F.pmod(F.xxhash64("id", "token"), blocks)).repartition(parts, "token", "part").sortWithinPartitions("token", "part")
-    stars = scratch.save(stars.mapInArrow(_candidates(similarity, True), "a long, b long").distinct())
+    within = lists.withColumn("part", F.pmod(F.xxhash64("id", "token"), blocks)).repartition(parts, "token", "part").sortWithinPartitions("token", "part")
+    stars = scratch.save(within.mapInArrow(_stars(similarity), "a long, b long").distinct())
     texts = texts.where("id is not null")
-    first = connected_components(_confirmed(stars, texts, k, similarity, scratch), scratch)
-    first = scratch.save(first)
+    first = scratch.save(connected_components(_confirmed(stars, texts, k, similarity, scratch), scratch))
 
-    placed = lists.join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("token", "c")
-    placed = scratch.save(placed.drop("c").join(mixed, "token"))
+    placed = scratch.save(_mixed(lists, first))
     short = placed.where(F.col("c") <= BLOCK).withColumns({"part": F.lit(0).cast("long"), "side": F.lit(2)})
     # a dealt list: block i meets block j for i <= j; a row of block i goes to each pair with i in it
     long = placed.where(F.col("c") > BLOCK).withColumn("nb", blocks).withColumn("own", F.pmod(F.xxhash64("id", "token"), "nb"))
     long = long.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     long = long.withColumn("part", 1 + F.least("own", "other") * F.col("nb") + F.greatest("own", "other")).withColumn("side", F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1))
     rest = short.unionByName(long.drop("nb", "own", "other")).repartition(parts, "token", "part").sortWithinPartitions("token", "part")
-    pairs = rest.mapInArrow(_candidates(similarity, False), "a long, b long").distinct()
-    second = _confirmed(scratch.save(pairs.join(stars, ["a", "b"], "left_anti")), texts, k, similarity, scratch)
-    name = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"{c}_c"))
-    joined = second.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_c", "a").alias("x"), F.coalesce("b_c", "b").alias("y"))
-    last = scratch.save(connected_components(joined, scratch))
+    near = scratch.save(rest.mapInArrow(_gathered(similarity), "a long, b long").distinct())
+    group = connected_components(near, scratch).select(F.col("node").alias("id"), F.col("component").alias("grp"))
+    group = scratch.save(group.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
+    dealt = _dealt(group, scratch)
+    sets = texts.join(group.select("id"), "id", "left_semi").distinct().mapInArrow(_setter(k), "id long, shingles binary")
+    rows = dealt.join(sets, "id").repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
+    second = scratch.save(rows.mapInArrow(_linked(similarity), "a long, b long").distinct())
+    last = scratch.save(connected_components(second, scratch))
 
     rep = classes.select("n", "h1", "h2", F.col("id").alias("rep"))
     mapped = first.select(F.col("node").alias("rep"), F.col("component").alias("c1"))
@@ -261,6 +341,35 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     return _one_node(rows, scratch).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(True)).alias("kept"))
 
 
+def _mixed(lists: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows, with their component, of lists that hold more than one; c becomes the rows of the list."""
+    placed = lists.drop("c").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("token", "c")
+    return placed.join(several, "token")
+
+
+def _dealt(group: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, comp, grp, part, side): every two rows of a group that differ in component meet in a part.
+
+    A group is cut into blocks: a component of more than BLOCK rows has blocks of its
+    own, which need not meet each other, the other rows share blocks. So next to a
+    component of any size, the cost is that of the rows outside it.
+    """
+    sizes = group.groupBy("grp", "comp").agg(F.count("*").alias("cs"))
+    owner = F.when(F.col("cs") > BLOCK, F.col("comp"))
+    rows = group.join(sizes, ["grp", "comp"]).withColumn("owner", owner)
+    counts = rows.groupBy("grp", "owner").agg(F.count("*").alias("c")).withColumn("nb", F.ceil(F.col("c") / BLOCK)).drop("c")
+    counts = scratch.save(counts.withColumn("owner", F.coalesce("owner", F.lit(-(1 << 62)))))
+    rows = rows.withColumn("owner", F.coalesce("owner", F.lit(-(1 << 62)))).join(counts, ["grp", "owner"]).withColumn("at", F.pmod(F.xxhash64("id"), "nb"))
+    blocks = scratch.save(counts.withColumn("at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1))).select("grp", "owner", "at"))
+    pair = lambda o, a: F.struct(F.col(o).alias("o"), F.col(a).alias("a"))
+    mine, theirs = pair("owner", "at"), pair("o2", "a2")
+    meet = blocks.join(blocks.select("grp", F.col("owner").alias("o2"), F.col("at").alias("a2")), "grp")
+    meet = meet.where((F.col("owner") != F.col("o2")) | (F.col("owner") == -(1 << 62)))
+    meet = meet.withColumn("part", F.xxhash64(F.least(mine, theirs), F.greatest(mine, theirs))).withColumn("side", F.when(mine == theirs, 2).when(mine < theirs, 0).otherwise(1))
+    return rows.join(meet, ["grp", "owner", "at"]).select("id", "comp", "grp", "part", "side")
+
+
 def _one_node(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows that share an id share a component: the components that such ids touch are joined once more."""
     rows = scratch.save(rows)
