@@ -11,26 +11,29 @@ from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
 from orrery.llm.components import connected_components
-from orrery.llm.scratch import Scratch
+from orrery.llm.scratch import Scratch, extended
 
-#: Signature coordinates, and the least number that a pair must share. At the
-#: similarity of 0.8 a pair shares fewer than 15 of 32 with probability 7e-6.
-COORDINATES, LEAST = 32, 15
+#: Signature coordinates, and the least number that a pair must share. The value of a
+#: coordinate is two minima, so sets of similarity s share it with probability s * s:
+#: by chance alone values seldom meet. At a similarity of 0.8 a pair shares fewer than
+#: 8 of 32 with probability 3e-6.
+COORDINATES, LEAST = 32, 8
 #: Rows of a posting list that are compared at once; longer lists are dealt in blocks.
 BLOCK = 1024
 
 _rng = np.random.Generator(np.random.PCG64(99))
-_A = _rng.integers(1, 1 << 64, COORDINATES, dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(1, 1 << 64, COORDINATES, dtype=np.uint64)
+_A = _rng.integers(1, 1 << 64, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
+_B = _rng.integers(1, 1 << 64, (COORDINATES, 2), dtype=np.uint64)
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Minimum of each coordinate's 32-bit hash over each non-empty set."""
+    """32 bits for the two minima of each coordinate over each non-empty set."""
     starts = np.cumsum([0, *map(len, sets[:-1])])
     every = np.concatenate(sets)
     out = np.empty((len(sets), COORDINATES), np.uint32)
     for c in range(COORDINATES):
-        out[:, c] = np.minimum.reduceat(((every * _A[c] + _B[c]) >> np.uint64(32)).astype(np.uint32), starts)
+        low = [np.minimum.reduceat(every * _A[c, i] + _B[c, i], starts) for i in range(2)]
+        out[:, c] = tv.mix(low[0] + tv.mix(low[1])) >> np.uint64(32)
     return out
 
 
@@ -63,7 +66,8 @@ def _setter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, sets in _sets(b, k):
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+                names = [c for c in b.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "shingles"])
 
     return run
 
@@ -109,7 +113,7 @@ def _sized(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
 
 def _stars(similarity: float):
     """Each row of a posting list with the first row that is very like it: pairs, a star a cluster."""
-    likely = round(COORDINATES * (similarity + 1) / 2 - 1)
+    likely = round(COORDINATES * similarity**2 + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[np.ndarray] = []
@@ -258,14 +262,18 @@ def _confirmer(similarity: float):
     return run
 
 
+def _with_sets(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the shingle set of their id's texts. Texts meet the rows by id, and only sets move on."""
+    own = texts.join(rows.select("id"), "id", "left_semi").distinct().join(rows, "id")
+    return own.mapInArrow(_setter(k), extended(rows, ["id", *(c for c in rows.columns if c != "id")], "shingles binary"))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. A document's set is made once and moves once a pair."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(64)))
     asked = scratch.save(pairs.select("a", "share").distinct().select(F.col("a").alias("head"), "share", F.col("a").alias("id"), F.lit(True).alias("lead")).union(pairs.select(F.col("a"), "share", "b", F.lit(False))))
-    wanted = asked.select("id").distinct()
-    sets = texts.join(wanted, "id", "left_semi").distinct().mapInArrow(_setter(k), "id long, shingles binary")
-    rows = asked.join(sets, "id").repartition(parts, "head", "share").sortWithinPartitions("head", "share", F.col("lead").desc())
+    rows = _with_sets(asked, texts, k).repartition(parts, "head", "share").sortWithinPartitions("head", "share", F.col("lead").desc())
     return scratch.save(rows.mapInArrow(_confirmer(similarity), "a long, b long"))
 
 
@@ -329,8 +337,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     group = connected_components(near, scratch).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     group = scratch.save(group.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
     dealt = _dealt(group, scratch)
-    sets = texts.join(group.select("id"), "id", "left_semi").distinct().mapInArrow(_setter(k), "id long, shingles binary")
-    rows = dealt.join(sets, "id").repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
+    rows = _with_sets(dealt, texts, k).repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
     second = scratch.save(rows.mapInArrow(_linked(similarity), "a long, b long").distinct())
     last = scratch.save(connected_components(second, scratch))
 
