@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,20 @@ def template_bigrams(text: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(words, words[1:], strict=False))) or words[:1]
 
 
+def needed(grams: list[str], least: float) -> list[str]:
+    """Words of which a unit must hold one to reach ``least``: they touch more of the template's bigrams than it may lack.
+
+    2 c / (a + b) >= least with c <= a gives c >= b * least / (2 - least).
+    """
+    left, out = set(grams), []
+    for w in sorted({w for g in grams for w in g.split(" ")}, key=lambda w: (-len(w), w)):
+        if len(grams) - len(left) > len(grams) * (1 - least / (2 - least)) + 1e-9:
+            break
+        out.append(w)
+        left = {g for g in left if w not in g.split(" ")}
+    return out
+
+
 def normalised(text: Column) -> Column:
     """Lower case; every run without [a-z0-9] or line feed becomes one blank."""
     return F.regexp_replace(F.lower(text), "[^a-z0-9\n]+", " ")
@@ -48,10 +64,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     A unit is a line, or a paragraph of several lines, of the whole normalised text.
     Dice = 2 * common / (a + b) over distinct word bigrams. It can only reach ``least``
     if a lies between b * least / (2 - least) and b * (2 - least) / least, so a unit
-    whose word count no template's bounds allow is left before its bigrams are made,
-    and one that has no template bigram before templates are compared; then only
-    templates within the bounds are. The distinct-word count is at most the word
-    count, so the lower bound holds on words and the upper one only on bigrams.
+    with too few words for any template is left before its bigrams are made, and only
+    templates within the bounds are compared. Before that, texts and units without any
+    of the words that a match cannot lack (``needed``) are left.
 
     Null and empty texts give no rows; nor does an empty table. Rows of a repeated or
     null id are taken together under that id. Other columns are ignored.
@@ -59,8 +74,11 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     grams = {k: template_bigrams(v) for k, v in (TEMPLATES if templates is None else templates).items()}
     known = sorted({g for gs in grams.values() for g in gs})
     low = min(len(g) for g in grams.values()) * least / (2 - least)
-    split = docs.select(F.col(id_col), F.explode(units(normalised(F.col(text_col)))).alias("unit"))
-    words = F.filter(F.split("unit", " +"), lambda w: w != "")
+    marks = sorted({w for g in grams.values() for w in needed(g, least)})
+    marked = lambda t: reduce(or_, [t.contains(w) for w in marks])
+    docs = docs.where(marked(F.lower(F.col(text_col))))
+    split = docs.select(F.col(id_col), F.explode(units(normalised(F.col(text_col)))).alias("unit")).where(marked(F.col("unit")))
+    words = F.filter(F.split("unit", " "), lambda w: w != "")
     rows = split.withColumn("words", words).where(F.size("words") >= max(1, low)).drop("unit")
     pairs = F.when(F.size("words") == 1, F.col("words")).otherwise(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
     rows = rows.withColumn("pairs", pairs).where(F.exists("pairs", lambda p: p.isin(known)))
