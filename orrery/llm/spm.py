@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,30 @@ SPACE = "▁"
 _NORMAL, _UNKNOWN, _BYTE, _UNIGRAM, _BPE = 1, 2, 6, 1, 2
 
 
+#: Pairs of pieces are kept as first * _PAIR + second.
+_PAIR = 1 << 20
+
+
+class _Segments(dict):
+    """Ids of segments as int32 bytes, kept for the next time; when full, those not used since the last time go."""
+
+    MOST = 120_000
+
+    def __init__(self, fst: Transducer):
+        self.fst, self.old = fst, {}
+
+    def __missing__(self, text: str) -> bytes:
+        got = self.old.get(text)
+        if got is None:
+            got = array("i", self.fst.path(text)).tobytes()
+        if len(text) <= 64:
+            if len(self) >= self.MOST:
+                self.old = dict(self)
+                self.clear()
+            self[text] = got
+        return got
+
+
 class Transducer:
     """normaliser o pieces o byte fallback of one model, composed with a text segment by segment.
 
@@ -33,7 +58,7 @@ class Transducer:
     around characters without a piece.
     """
 
-    MOST_SEGMENTS, MOST_PAIRS = 150_000, 600_000
+    MOST_PAIRS = 300_000
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
@@ -51,13 +76,21 @@ class Transducer:
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
         self.spelt = [b"" if p.type == 3 else bytes([int(p.piece[3:5], 16)]) if p.type == _BYTE else " ⁇ ".encode() if p.type == _UNKNOWN else p.piece.replace(SPACE, " ").encode() for p in proto.pieces]
-        self.longest = max(map(len, self.ids), default=1)
+        self.trie: dict[str, tuple[dict, int]] = {}  # by character: the next node and the piece that ends here, or -1
+        for piece, t in self.ids.items():
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, -1))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({}, -1))[0], t)
+        # sentencepiece lets a unigram model's unknown characters cost 10 more than its least likely piece
+        self.penalty = 10 - min(p.score for p in proto.pieces if p.type == _NORMAL)
         within = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         breaks = "" if "\n" in "".join(self.ids) else "\n"
         self._cut = re.compile(f"[^{breaks}]+|\n" if within else f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+|\n")
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        if self.kind == _BPE and any(c not in self.ids for p in self.ids for c in p):
+            raise ValueError("a BPE model must have a piece for each character of its pieces")
+        self._segments = _Segments(self)
+        self._pairs: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[int]:
         """What a BPE model merges known characters to: the best-scored neighbours first, the leftmost of equal ones."""
@@ -73,66 +106,77 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ids[p] for p in parts]
 
-    def follows(self, a: int, b: int) -> bool:
-        """Whether piece b may stand behind piece a (a < 0: the start, or bytes)."""
-        got = self._pairs.get((a, b))
-        if got is None:
-            if len(self._pairs) >= self.MOST_PAIRS:
-                self._pairs.clear()
-            got = self.merged(self.pieces[b]) == [b] if a < 0 else self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
-            self._pairs[a, b] = got
-        return got
+    def follows(self, before: int, b: int) -> bool:
+        """Whether piece b may stand behind piece before / _PAIR (negative: the start, or bytes)."""
+        if len(self._pairs) >= self.MOST_PAIRS:
+            self._pairs.clear()
+        a = before // _PAIR
+        ok = self.merged(self.pieces[b]) == [b] if a < 0 else self.merged(self.pieces[a] + self.pieces[b]) == [a, b]
+        self._pairs[before + b] = ok
+        return ok
 
     def path(self, text: str) -> list[int]:
-        """The shortest path of one segment."""
-        n, ids, longest, bpe = len(text), self.ids, self.longest, self.kind == _BPE
-        cost = [0.0] + [float("inf")] * n
-        last, back = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            if text[i - 1] not in ids and cost[i - 1] < float("inf"):
-                # unigram: sentencepiece's penalty below the least score keeps unknowns off other paths
-                cost[i], last[i], back[i] = cost[i - 1] + (0 if bpe else 10 - min(self.scores)), -1, i - 1
-            for j in range(max(0, i - longest), i):
-                t = ids.get(text[j:i])
-                if t is None or cost[j] == float("inf"):
-                    continue
-                if bpe:
-                    if self.follows(last[j], t):
-                        cost[i], last[i], back[i] = cost[j], t, j
-                        break
-                elif cost[j] - self.scores[t] < cost[i]:
-                    cost[i], last[i], back[i] = cost[j] - self.scores[t], t, j
-        if cost[n] == float("inf"):
-            raise ValueError(f"no path through {text!r}")
+        """The shortest path of one segment: states left to right, arcs along the trie of pieces from each."""
+        back = self._merging(text) if self.kind == _BPE else self._cheapest(text)
         out: list[int] = []
-        i = n
+        i = len(text)
         while i:
             j = back[i]
-            if last[i] >= 0:
-                out.append(last[i])
+            t = self.ids.get(text[j:i])
+            if t is not None:
+                out.append(t)
             else:
                 out += [self.bytes.get(b, self.unknown) for b in reversed(text[j:i].encode())] if self.bytes else [self.unknown]
             i = j
         return out[::-1]
 
-    def segment(self, text: str) -> bytes:
-        """Its ids as int32 bytes; kept for the next time, the least recently used half dropped when full."""
-        got = self._new.get(text)
-        if got is None:
-            got = self._old.get(text)
-            if got is None:
-                got = np.array(self.path(text), np.int32).tobytes()
-            if len(text) <= 64:
-                if len(self._new) >= self.MOST_SEGMENTS:
-                    self._old, self._new = self._new, {}
-                self._new[text] = got
-        return got
+    def _merging(self, text: str) -> list[int]:
+        """Where each state's last arc starts. Every arc weighs 0 or is missing, and a state has one path, so the first found is kept."""
+        n, root, known = len(text), self.trie, self._pairs.get
+        last: list[int | None] = [None] * (n + 1)
+        last[0] = -_PAIR
+        back = [0] * (n + 1)
+        for j in range(n):
+            before = last[j]
+            if before is None:
+                continue
+            node, i = root, j
+            for c in text[j:] if j else text:
+                arc = node.get(c)
+                if arc is None:
+                    break
+                i += 1
+                node, t = arc
+                if t >= 0 and last[i] is None:
+                    ok = known(before + t)
+                    if self.follows(before, t) if ok is None else ok:
+                        last[i] = t * _PAIR
+                        back[i] = j
+            if i == j:  # no piece holds this character: its bytes
+                last[i + 1], back[i + 1] = -_PAIR, j
+        if last[n] is None:
+            raise ValueError(f"no path through {text!r}")
+        return back
+
+    def _cheapest(self, text: str) -> list[int]:
+        n, none = len(text), float("inf")
+        cost, back = [0.0] + [none] * n, [0] * (n + 1)
+        for j in range(n):
+            node = self.trie
+            for i in range(j + 1, n + 1):
+                node, t = node.get(text[i - 1], (None, -1))
+                weight = -self.scores[t] if t >= 0 else self.penalty if i == j + 1 else none
+                if cost[j] + weight < cost[i]:
+                    cost[i], back[i] = cost[j] + weight, j
+                if node is None:
+                    break
+        return back
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text as int32 bytes."""
         if not text:
             return b""
-        return b"".join(map(self.segment, self._cut.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))))
+        return b"".join(map(self._segments.__getitem__, self._cut.findall((SPACE if self.prefix else "") + text.replace(" ", SPACE))))
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces spelt out, bytes put together (invalid ones become U+FFFD), the added blank taken off."""
