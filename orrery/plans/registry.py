@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("vectors",)
+MODULES: tuple[str, ...] = ("vectors", "ranking", "lexical", "maintenance", "media", "privacy", "evaluation")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
@@ -34,6 +34,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def relational(name: str, text: str, oracle: str | None = None) -> None:
+    """A query in SQL that Catalyst plans; tables as {name}. The oracle is the same text unless its dialect differs."""
+    used = [t for t in TABLES if "{" + t + "}" in text]
+    text_of = text.replace("{", "{{").replace("}", "}}")  # braces of patterns are not placeholders
+    for t in used:
+        text_of = text_of.replace("{{" + t + "}}", "{" + t + "}")
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text_of, **{t: table(spark, sf_dir, t) for t in used})
+
+    run.__name__ = name
+    sql = text if oracle is None else oracle
+    for t in TABLES:
+        sql = sql.replace("{" + t + "}", t)
+    query(name, sql)(run)
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f"orrery.plans.{m}")
