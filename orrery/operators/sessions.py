@@ -20,8 +20,8 @@ def session_risk(events: DataFrame, session: str) -> DataFrame:
     """
     order = Window.partitionBy(session).orderBy("ts", "event_id")
     again = F.when(F.row_number().over(Window.partitionBy(session, "kind").orderBy("ts", "event_id")) > 1, REPEAT).otherwise(0)
-    run = events.withColumn("p", F.col("points") + again).withColumn("s", F.sum("p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.coalesce(F.min(F.when(F.col("s") >= BLOCK, F.col("s"))), F.max("s"))
+    run = events.withColumn("__p", F.col("points") + again).withColumn("__sum", F.sum("__p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    total = F.coalesce(F.min(F.when(F.col("__sum") >= BLOCK, F.col("__sum"))), F.max("__sum"))
     return run.groupBy(session).agg(total.cast("long").alias("score")).select(session, "score", (F.col("score") >= WARN).alias("warned"), (F.col("score") >= BLOCK).alias("blocked"))
 
 

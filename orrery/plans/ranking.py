@@ -22,11 +22,12 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("qid", "row_id", "label", V.dot(F.col("q_re"), F.col("re")).alias("dense"), V.dot(F.col("q_im"), F.col("im")).alias("lexical"), V.dot(F.col("q_z"), F.col("z")).alias("asf"))
 
 
-BY_QUERY = Window.partitionBy("qid")
+def by_query():
+    return Window.partitionBy("qid")
 
 
 def top(col: str) -> F.Column:
-    return F.row_number().over(BY_QUERY.orderBy(F.desc(col), "row_id"))
+    return F.row_number().over(by_query().orderBy(F.desc(col), "row_id"))
 
 
 @query(
@@ -64,8 +65,8 @@ def rrf_uncut(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = channels(spark, sf_dir)
-    parts = {c: S.min_max(F.col(c), BY_QUERY) for c in ("dense", "lexical", "asf")}
-    has = lambda c: F.max(c).over(BY_QUERY) > 0
+    parts = {c: S.min_max(F.col(c), by_query()) for c in ("dense", "lexical", "asf")}
+    has = lambda c: F.max(c).over(by_query()) > 0
     f = ch.select("qid", "row_id", S.fused(parts["dense"], parts["lexical"], parts["asf"], has("lexical"), has("asf")).alias("fused"))
     return f.withColumn("rn", top("fused")).where("rn <= 20").select("qid", "row_id", F.round("fused", 6).alias("fused"), "rn")
 
@@ -75,7 +76,7 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round((dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w + 1e-12), 6) AS scaled FROM ch WINDOW w AS (PARTITION BY qid)""",
 )
 def min_max_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels(spark, sf_dir).select("qid", "row_id", F.round(S.min_max_zero(F.col("dense"), BY_QUERY), 6).alias("scaled"))
+    return channels(spark, sf_dir).select("qid", "row_id", F.round(S.min_max_zero(F.col("dense"), by_query()), 6).alias("scaled"))
 
 
 @query(
@@ -86,7 +87,7 @@ def min_max_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-query z-score (population deviation, at least .05) through the normal distribution."""
     s = scored(spark, sf_dir)
-    z = (F.col("score") - F.avg("score").over(BY_QUERY)) / F.greatest(F.stddev_pop("score").over(BY_QUERY), F.lit(0.05))
+    z = (F.col("score") - F.avg("score").over(by_query())) / F.greatest(F.stddev_pop("score").over(by_query()), F.lit(0.05))
     return s.select("qid", "row_id", z.alias("z")).select("qid", "row_id", F.round("z", 6).alias("z"), F.round(S.gaussian_cdf(F.col("z")), 6).alias("confidence"))
 
 
@@ -101,7 +102,7 @@ def threshold_then_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold within the best 3k, then the best k; a query left empty gets its raw best k, flagged. Odd queries have an unreachable threshold."""
     r = scored(spark, sf_dir).withColumn("rn", top("score")).where("rn <= 30")
     passed = r.where("score >= 0.45 and qid % 2 = 0")
-    strict = passed.withColumn("k", F.row_number().over(BY_QUERY.orderBy("rn"))).where("k <= 10").select("qid", "row_id", F.round("score", 6).alias("score"), F.lit(False).alias("fallback"))
+    strict = passed.withColumn("k", F.row_number().over(by_query().orderBy("rn"))).where("k <= 10").select("qid", "row_id", F.round("score", 6).alias("score"), F.lit(False).alias("fallback"))
     rest = r.where("rn <= 10").join(passed.select("qid").distinct(), "qid", "left_anti")
     return strict.union(rest.select("qid", "row_id", F.round("score", 6), F.lit(True)))
 
@@ -154,7 +155,7 @@ def quota_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = r.withColumn("sure", F.col("rn") <= quota).withColumn("w", F.col("score") * F.when(F.col("dom") < 2, 1.0).otherwise(0.75))
     sure = F.col("sure")
     order = [F.when(sure, 0).otherwise(1), F.when(sure, F.col("dom")).asc_nulls_last(), F.when(sure, F.col("rn")).asc_nulls_last(), F.desc("w"), "dom", "rn"]
-    return q.withColumn("place", F.row_number().over(BY_QUERY.orderBy(*order))).where("place <= 40").select("qid", "place", F.col("dom").cast("int").alias("dom"), "row_id", "sure")
+    return q.withColumn("place", F.row_number().over(by_query().orderBy(*order))).where("place <= 40").select("qid", "place", F.col("dom").cast("int").alias("dom"), "row_id", "sure")
 
 
 @query(
