@@ -19,7 +19,7 @@ from orrery.llm.scratch import Scratch, extended
 #: 8 of 32 with probability 3e-6.
 COORDINATES, LEAST = 32, 8
 #: Rows of a posting list that are compared at once; longer lists are dealt in blocks.
-BLOCK = 1024
+BLOCK = 512
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _A = _rng.integers(1, 1 << 64, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
@@ -180,7 +180,7 @@ def _gathered(similarity: float):
 def _common(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections. Frequent shingles by a matrix product, the others by pairs of their holders."""
     m = len(sets)
-    out = np.zeros((m, m), np.int64)
+    out = np.zeros((m, m), np.int32)
     row = np.repeat(np.arange(m), [len(s) for s in sets])
     _, code, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     often = times > 48
@@ -189,14 +189,14 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
         at = often[code] & (place[code] >= lo) & (place[code] < lo + 2048)
         part = np.zeros((m, min(2048, int(often.sum()) - lo)), np.float32)
         part[row[at], place[code[at]] - lo] = 1
-        out += (part @ part.T).astype(np.int64)
+        out += (part @ part.T).astype(np.int32)
     order = np.argsort(code, kind="stable")
     order = order[(times[code[order]] > 1) & ~often[code[order]]]
     for f in np.unique(times[(times > 1) & ~often]):
         holders = row[order[times[code[order]] == f]].reshape(-1, f)
         for lo in range(0, len(holders), max(1, 400_000 // (f * f))):
             h = holders[lo : lo + max(1, 400_000 // (f * f))]
-            out += np.bincount((h[:, :, None] * m + h[:, None, :]).ravel(), minlength=m * m).reshape(m, m)
+            out += np.bincount((h[:, :, None] * m + h[:, None, :]).ravel(), minlength=m * m).reshape(m, m).astype(np.int32)
     return out
 
 
@@ -212,7 +212,7 @@ def _linked(similarity: float):
                 continue
             sets = [np.frombuffer(x.as_buffer(), np.uint64) for c in t["shingles"].chunks for x in c]
             both = _common(sets)
-            n = np.array([len(s) for s in sets])
+            n = np.array([len(s) for s in sets], np.int32)
             link = (100 * both >= hundredths * (n[:, None] + n[None] - both)) & (both > 0) & (comp[:, None] != comp[None]) & ((side[:, None] == 2) | (side[:, None] != side[None]))
             i, j = np.nonzero(np.triu(link))
             if len(i):

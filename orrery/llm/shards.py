@@ -39,7 +39,7 @@ def plan(bytes_of: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS)
     return out
 
 
-def rebalance(shard_of: list[int], bytes_of: dict[int, tuple[int, int]], shards: int, tolerance: float = 0.05) -> list[int]:
+def rebalance(shard_of: list[int], bytes_of: dict[int, tuple[int, int]], shards: int, tolerance: float = 0.01) -> list[int]:
     """An edited map for ``shards`` shards: slots move only out of shards that are gone or too heavy,
     to the lightest shard, until none is above the mean by more than ``tolerance`` or no move helps."""
     load, held = [0] * shards, [[] for _ in range(shards)]

@@ -25,7 +25,7 @@ _PAIR = 1 << 20
 class _Segments(dict):
     """Ids of segments as int32 bytes, kept for the next time; when full, those not used since the last time go."""
 
-    MOST = 120_000
+    MOST = 130_000
 
     def __init__(self, fst: Transducer):
         self.fst, self.old = fst, {}
@@ -58,7 +58,7 @@ class Transducer:
     around characters without a piece.
     """
 
-    MOST_PAIRS = 300_000
+    MOST_PAIRS = 500_000
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 PIECE = 1 << 20
 #: Text bytes that operators take at a time; a longer document is taken alone.
-GROUP = 4 << 20
+GROUP = 2 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _TABLE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
