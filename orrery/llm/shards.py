@@ -40,8 +40,8 @@ def plan(bytes_of: dict[int, tuple[int, int]], shards: int, slots: int = SLOTS)
 
 
 def rebalance(shard_of: list[int], bytes_of: dict[int, tuple[int, int]], shards: int, tolerance: float = 0.01) -> list[int]:
-    """An edited map for ``shards`` shards: slots move only out of shards that are gone or too heavy,
-    to the lightest shard, until none is above the mean by more than ``tolerance`` or no move helps."""
+    """An edited map for ``shards`` shards: slots leave shards that are gone, and shards above the mean
+    by more than ``tolerance`` (never below it by more), for the lightest shard. The others stay."""
     load, held = [0] * shards, [[] for _ in range(shards)]
     size = lambda s: bytes_of.get(s, (0, 0))[0]
     out, loose = list(shard_of), []
@@ -53,14 +53,10 @@ def rebalance(shard_of: list[int], bytes_of: dict[int, tuple[int, int]], shards:
             loose.append(slot)
     mean = sum(map(size, range(len(shard_of)))) / shards
     for shard in range(shards):
-        held[shard].sort(key=lambda s: (size(s), s))
-        while load[shard] > mean * (1 + tolerance) and held[shard]:
-            slot = held[shard][-1] if load[shard] - size(held[shard][-1]) >= mean * (1 - tolerance) else held[shard][0]
-            if load[shard] - size(slot) < mean * (1 - tolerance):
-                break
-            held[shard].remove(slot)
-            load[shard] -= size(slot)
-            loose.append(slot)
+        for slot in sorted(held[shard], key=lambda s: (-size(s), s)):
+            if load[shard] > mean * (1 + tolerance) and load[shard] - size(slot) >= mean * (1 - tolerance):
+                load[shard] -= size(slot)
+                loose.append(slot)
     heap = [(load[s], s) for s in range(shards)]
     heapq.heapify(heap)
     for slot in sorted(loose, key=lambda s: (-size(s), s)):

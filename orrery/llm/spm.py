@@ -20,12 +20,13 @@ _NORMAL, _UNKNOWN, _BYTE, _UNIGRAM, _BPE = 1, 2, 6, 1, 2
 
 #: Pairs of pieces are kept as first * _PAIR + second.
 _PAIR = 1 << 20
+_NONE = float("-inf")
 
 
 class _Segments(dict):
     """Ids of segments as int32 bytes, kept for the next time; when full, those not used since the last time go."""
 
-    MOST = 130_000
+    MOST = 170_000
 
     def __init__(self, fst: Transducer):
         self.fst, self.old = fst, {}
@@ -58,7 +59,7 @@ class Transducer:
     around characters without a piece.
     """
 
-    MOST_PAIRS = 500_000
+    MOST_PAIRS = 600_000
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
@@ -72,6 +73,7 @@ class Transducer:
         self.prefix = spec.add_dummy_prefix
         self.ids = {p.piece: i for i, p in enumerate(proto.pieces) if p.type == _NORMAL}
         self.scores = [p.score for p in proto.pieces]
+        self.rank = {p: self.scores[i] for p, i in self.ids.items()}
         self.pieces = [p.piece for p in proto.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == _BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == _UNKNOWN)
@@ -94,16 +96,19 @@ class Transducer:
 
     def merged(self, text: str) -> list[int]:
         """What a BPE model merges known characters to: the best-scored neighbours first, the leftmost of equal ones."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                t = self.ids.get(parts[i] + parts[i + 1])
-                if t is not None and (best is None or self.scores[t] > best):
-                    best, at = self.scores[t], i
-            if at < 0:
+        parts, rank = list(text), self.rank.get
+        score = [rank(x + y, _NONE) for x, y in zip(parts, parts[1:], strict=False)]
+        while score:
+            best = max(score)
+            if best == _NONE:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            i = score.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del score[i]
+            if i:
+                score[i - 1] = rank(parts[i - 1] + parts[i], _NONE)
+            if i < len(score):
+                score[i] = rank(parts[i] + parts[i + 1], _NONE)
         return [self.ids[p] for p in parts]
 
     def follows(self, before: int, b: int) -> bool:

@@ -172,7 +172,7 @@ def test_shard_map_is_edited_and_versioned(spark, tmp_path):
     new = shards.rebalance(old, load, 9)
     assert {n for o, n in zip(old, new, strict=True) if o != n} == {8}
     sizes = [sum(load[s][0] for s in range(256) if new[s] == h) for h in range(9)]
-    assert max(sizes) <= 1.1 * min(sizes)
+    assert max(sizes) <= 1.2 * min(sizes)
     assert set(shards.rebalance(old, load, 7)) == set(range(7))
     shards.save_map(spark, old, 1, str(tmp_path / "map"))
     shards.save_map(spark, new, 2, str(tmp_path / "map"))
