@@ -40,4 +40,5 @@ def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.Data
 
 def session_risk_stream(events: DataFrame, session: str) -> DataFrame:
     """The same over a stream, a state of score and kinds seen a session; each trigger gives the sessions that it changed."""
-    return events.groupBy(F.col(session).cast("string").alias("session")).applyInPandasWithState(_fold, "session string, score long, warned boolean, blocked boolean", "score long, kinds string", "update", "NoTimeout")
+    named = events.withColumn("session", F.col(session).cast("string"))
+    return named.groupBy("session").applyInPandasWithState(_fold, "session string, score long, warned boolean, blocked boolean", "score long, kinds string", "update", "NoTimeout")
