@@ -20,8 +20,6 @@ from orrery.llm.scratch import Scratch, extended
 COORDINATES, LEAST = 32, 8
 #: Rows of a posting list that are compared at once; longer lists are dealt in blocks.
 BLOCK = 1024
-#: Full sets that are compared at once, for each of two sides.
-SETS = 512
 
 _rng = np.random.Generator(np.random.PCG64(99))
 _A = _rng.integers(1, 1 << 64, (COORDINATES, 2), dtype=np.uint64) | np.uint64(1)
@@ -357,13 +355,6 @@ def _mixed(lists: DataFrame, components: DataFrame) -> DataFrame:
     return placed.join(several, "token")
 
 
-def _mixed(lists: DataFrame, components: DataFrame) -> DataFrame:
-    """The rows, with their component, of lists that hold more than one; c becomes the rows of the list."""
-    placed = lists.drop("c").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    several = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("c")).where("lo != hi").select("token", "c")
-    return placed.join(several, "token")
-
-
 def _dealt(group: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, comp, grp, part, side): every two rows of a group that differ in component meet in a part.
 

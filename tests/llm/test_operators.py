@@ -76,7 +76,6 @@ def test_near_duplicates_large_group_and_blocks(spark, monkeypatch):
         words[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(words))
     monkeypatch.setattr(near_dup, "BLOCK", 16)
-    monkeypatch.setattr(near_dup, "SETS", 8)
     got = near_dup.near_duplicates(docs_of(spark, texts), k=2)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute_groups(texts, 2, list(range(90)))
 
