@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 
 def gaussian_cdf(z: Column) -> Column:
@@ -57,15 +56,13 @@ def display_curve(x: Column) -> Column:
     return out.otherwise(F.lit(0.99))
 
 
-def min_max(x: Column, over: WindowSpec, flat: float = 0.5) -> Column:
-    """To 0..1 within a query; a constant channel becomes ``flat``."""
-    lo, hi = F.min(x).over(over), F.max(x).over(over)
+def min_max(x: Column, lo: Column, hi: Column, flat: float = 0.5) -> Column:
+    """To 0..1 between a query's bounds; a constant channel becomes ``flat``."""
     return F.when(hi - lo < 1e-6, F.lit(flat)).otherwise((x - lo) / (hi - lo + 1e-9))
 
 
-def min_max_zero(x: Column, over: WindowSpec) -> Column:
+def min_max_zero(x: Column, lo: Column, hi: Column) -> Column:
     """The other variant: a constant channel becomes 0."""
-    lo, hi = F.min(x).over(over), F.max(x).over(over)
     return F.when(hi - lo < 1e-12, F.lit(0.0)).otherwise((x - lo) / (hi - lo + 1e-12))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scoring as S
 from orrery.plans.registry import query, relational
-from orrery.plans.vectors import AXES_SQL, SCORED_SQL, scored
+from orrery.plans.vectors import AXES_SQL, SCORED_SQL, per_query, scored
 
 RANKED_SQL = f"{AXES_SQL}, {SCORED_SQL}, g AS (SELECT s.qid, s.row_id, s.score, CASE WHEN s.label = q.label THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.row_id) AS rn FROM scored s JOIN embeddings q ON q.vec_id = s.qid WHERE s.row_id <> s.qid)"
 
@@ -16,7 +16,7 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each query's rows but itself by rank; a row of its label is relevant."""
     s = scored(spark, sf_dir)
     own = s.where("qid = row_id").select("qid", F.col("label").alias("gold"))
-    s = s.where("qid != row_id").join(F.broadcast(own), "qid").withColumn("rel", (F.col("label") == F.col("gold")).cast("int"))
+    s = s.where("qid != row_id").join(per_query(spark, sf_dir, own), "qid").withColumn("rel", (F.col("label") == F.col("gold")).cast("int"))
     return s.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id")))
 
 

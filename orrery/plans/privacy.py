@@ -35,20 +35,16 @@ def business_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n", pii.business_valid(F.col("n")).alias("valid"))
 
 
-@query("oj7_masking", "SELECT doc_id, regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}', '[EMAIL]', 'g') AS text FROM documents WHERE contains(text, '@') AND NOT regexp_matches(text, '[0-9]{3}')")
+@query("oj7_masking")
 def masking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("text").contains("@") & ~F.col("text").rlike("[0-9]{3}"))
-    return d.select("doc_id", pii.masked(F.col("text")).alias("text"))
+    """Every document with its matches masked. DuckDB's patterns have no lookaround: tests hold this against Python's."""
+    return table(spark, sf_dir, "documents").select("doc_id", pii.masked(F.col("text")).alias("text"))
 
 
-@query(
-    "oj10_sensitivity",
-    "WITH t AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}') THEN 1 ELSE 0 END AS e FROM documents WHERE NOT regexp_matches(text, '[0-9]{2}')) SELECT doc_id, e * 0.4::DOUBLE AS sensitivity, CASE WHEN 0.30 * e + 0.25 * e + 0.30 * 0.4 * e >= 0.65 THEN 'dangerous' WHEN 0.30 * e + 0.25 * e + 0.30 * 0.4 * e >= 0.30 THEN 'sensitive' ELSE 'normal' END AS label, CASE WHEN e = 1 THEN 'block' ELSE 'allow' END AS decision FROM t",
-)
+@query("oj10_sensitivity")
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types found, their sensitivity, the privacy risk score, its label and the decision."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike("[0-9]{2}")).select("doc_id", pii.types(F.col("text")).alias("kinds"))
-    s = d.withColumn("sensitivity", pii.sensitivity(F.col("kinds")))
+    s = table(spark, sf_dir, "documents").select("doc_id", pii.types(F.col("text")).alias("kinds")).withColumn("sensitivity", pii.sensitivity(F.col("kinds")))
     has = F.size("kinds") > 0
     score = pii.privacy_risk(has, has.cast("double"), F.col("sensitivity"), F.lit(False))
     return s.select("doc_id", "sensitivity", pii.risk_label(score).alias("label"), pii.decision(pii.risk_label(score)).alias("decision"))

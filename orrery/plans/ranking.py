@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 from orrery.functions import scoring as S
 from orrery.functions import vector as V
 from orrery.plans.registry import query, relational
-from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, axes, query_axes, scored
+from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, axes, per_query, query_axes, scored
 
 CHANNELS_SQL = f"""ch AS (SELECT q.row_id AS qid, d.row_id, d.label, {DOT.format(a='q.re', b='d.re')} AS dense, {DOT.format(a='q.im', b='d.im')} AS lexical, {DOT.format(a='q.z', b='d.z')} AS asf
-  FROM axes q, axes d WHERE q.row_id < 20)"""
+  FROM axes q, axes d WHERE q.row_id % 100 = 0)"""
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = axes(spark, sf_dir).crossJoin(F.broadcast(query_axes(spark, sf_dir)))
+    pairs = axes(spark, sf_dir).crossJoin(per_query(spark, sf_dir, query_axes(spark, sf_dir)))
     return pairs.select("qid", "row_id", "label", V.dot(F.col("q_re"), F.col("re")).alias("dense"), V.dot(F.col("q_im"), F.col("im")).alias("lexical"), V.dot(F.col("q_z"), F.col("z")).alias("asf"))
 
 
@@ -26,6 +26,15 @@ def by_query():
     return Window.partitionBy("qid")
 
 
+def with_stats(spark: SparkSession, sf_dir: str, df: DataFrame, *stats: F.Column) -> DataFrame:
+    """Per-query aggregates beside each row: partial sums on the map side, where a window would gather a query's rows in one task."""
+    return df.join(per_query(spark, sf_dir, df.groupBy("qid").agg(*stats)), "qid")
+
+
+def span(*cols: str) -> list[F.Column]:
+    return [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
+
+
 def top(col: str) -> F.Column:
     return F.row_number().over(by_query().orderBy(F.desc(col), "row_id"))
 
@@ -64,10 +73,10 @@ def rrf_uncut(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, row_id, round(fused, 6) AS fused, rn::INT AS rn FROM r WHERE rn <= 20""",
 )
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ch = channels(spark, sf_dir)
-    parts = {c: S.min_max(F.col(c), by_query()) for c in ("dense", "lexical", "asf")}
-    has = lambda c: F.max(c).over(by_query()) > 0
-    f = ch.select("qid", "row_id", S.fused(parts["dense"], parts["lexical"], parts["asf"], has("lexical"), has("asf")).alias("fused"))
+    names = ("dense", "lexical", "asf")
+    ch = with_stats(spark, sf_dir, channels(spark, sf_dir), *span(*names))
+    parts = [S.min_max(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in names]
+    f = ch.select("qid", "row_id", S.fused(*parts, F.col("hi_lexical") > 0, F.col("hi_asf") > 0).alias("fused"))
     return f.withColumn("rn", top("fused")).where("rn <= 20").select("qid", "row_id", F.round("fused", 6).alias("fused"), "rn")
 
 
@@ -76,7 +85,8 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round((dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w + 1e-12), 6) AS scaled FROM ch WINDOW w AS (PARTITION BY qid)""",
 )
 def min_max_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels(spark, sf_dir).select("qid", "row_id", F.round(S.min_max_zero(F.col("dense"), by_query()), 6).alias("scaled"))
+    ch = with_stats(spark, sf_dir, channels(spark, sf_dir), *span("dense"))
+    return ch.select("qid", "row_id", F.round(S.min_max_zero(F.col("dense"), F.col("lo_dense"), F.col("hi_dense")), 6).alias("scaled"))
 
 
 @query(
@@ -86,22 +96,22 @@ def min_max_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-query z-score (population deviation, at least .05) through the normal distribution."""
-    s = scored(spark, sf_dir)
-    z = (F.col("score") - F.avg("score").over(by_query())) / F.greatest(F.stddev_pop("score").over(by_query()), F.lit(0.05))
+    s = with_stats(spark, sf_dir, scored(spark, sf_dir), F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"))
+    z = (F.col("score") - F.col("mu")) / F.greatest(F.col("sd"), F.lit(0.05))
     return s.select("qid", "row_id", z.alias("z")).select("qid", "row_id", F.round("z", 6).alias("z"), F.round(S.gaussian_cdf(F.col("z")), 6).alias("confidence"))
 
 
 @query(
     "ob8_threshold_then_fallback",
-    f"""WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored),
-    p AS (SELECT * FROM r WHERE rn <= 30 AND score >= 0.45 AND qid % 2 = 0), s AS (SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY rn) AS k FROM p)
+    f"""WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored WHERE row_id <> qid),
+    p AS (SELECT * FROM r WHERE rn <= 30 AND score >= 0.6), s AS (SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY rn) AS k FROM p)
     SELECT qid, row_id, round(score, 6) AS score, false AS fallback FROM s WHERE k <= 10
     UNION ALL SELECT qid, row_id, round(score, 6), true FROM r WHERE rn <= 10 AND qid NOT IN (SELECT qid FROM p)""",
 )
 def threshold_then_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Threshold within the best 3k, then the best k; a query left empty gets its raw best k, flagged. Odd queries have an unreachable threshold."""
-    r = scored(spark, sf_dir).withColumn("rn", top("score")).where("rn <= 30")
-    passed = r.where("score >= 0.45 and qid % 2 = 0")
+    """Threshold within the best 3k, then the best k; a query left empty gets its raw best k, flagged. A query's own row takes no part."""
+    r = scored(spark, sf_dir).where("row_id != qid").withColumn("rn", top("score")).where("rn <= 30")
+    passed = r.where("score >= 0.6")
     strict = passed.withColumn("k", F.row_number().over(by_query().orderBy("rn"))).where("k <= 10").select("qid", "row_id", F.round("score", 6).alias("score"), F.lit(False).alias("fallback"))
     rest = r.where("rn <= 10").join(passed.select("qid").distinct(), "qid", "left_anti")
     return strict.union(rest.select("qid", "row_id", F.round("score", 6), F.lit(True)))
@@ -198,15 +208,16 @@ def mean_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "oi13_fingerprint",
-    """WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: ((x::DOUBLE + 1) * 1000000)::BIGINT) AS fp FROM embeddings WHERE vec_id < 50)
-    SELECT a.vec_id AS x, b.vec_id AS y, round(1 - list_sum(list_transform(list_zip(a.fp, b.fp), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE / (32.0 * 64), 6) AS sim FROM f a, f b WHERE a.vec_id < b.vec_id""",
+    """WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: ((x::DOUBLE + 1) * 1000000)::BIGINT) AS fp FROM embeddings)
+    SELECT a.vec_id AS x, b.vec_id AS y, round(1 - list_sum(list_transform(list_zip(a.fp, b.fp), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE / (32.0 * 64), 6) AS sim FROM f a, f b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id""",
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bit agreement of 32-bit fingerprints; fifty rows stand for a query set of fixed size."""
+    """Bit agreement of 32-bit fingerprints, the query set against all rows."""
     from orrery.plans.registry import table
 
-    f = table(spark, sf_dir, "embeddings").where("vec_id < 50").select("vec_id", F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 1000000).cast("long")).alias("fp"))
-    pairs = f.select(F.col("vec_id").alias("x"), F.col("fp").alias("a")).crossJoin(F.broadcast(f.select(F.col("vec_id").alias("y"), F.col("fp").alias("b")))).where("x < y")
+    f = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 1000000).cast("long")).alias("fp"))
+    asked = f.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), F.col("fp").alias("a"))
+    pairs = f.select(F.col("vec_id").alias("y"), F.col("fp").alias("b")).crossJoin(per_query(spark, sf_dir, asked)).where("x != y")
     return pairs.select("x", "y", F.round(S.fingerprint_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
 

@@ -15,8 +15,18 @@ def axes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty rows stand for queries; a fixed number, so they may go to every task."""
-    return axes(spark, sf_dir).where("row_id < 20").select(F.col("row_id").alias("qid"), F.col("re").alias("q_re"), F.col("im").alias("q_im"), F.col("z").alias("q_z"))
+    """The query set: rows whose id is divisible by 100."""
+    return axes(spark, sf_dir).where("row_id % 100 = 0").select(F.col("row_id").alias("qid"), F.col("re").alias("q_re"), F.col("im").alias("q_im"), F.col("z").alias("q_z"))
+
+
+#: Queries whose vectors, or per-query figures, may go to every task: at most 51 MB.
+MOST_QUERIES = 100_000
+
+
+def per_query(spark: SparkSession, sf_dir: str, df: DataFrame) -> DataFrame:
+    """``df``, of one row a query, to be broadcast if the queries are few; else a cross join runs in blocks and an equi-join by shuffle."""
+    n = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").count()
+    return F.broadcast(df) if n <= MOST_QUERIES else df
 
 
 NORM = "list_transform({v}, lambda x: x::DOUBLE / greatest(sqrt(list_sum(list_transform({v}, lambda y: y::DOUBLE * y::DOUBLE))), 1e-12))"
@@ -24,12 +34,12 @@ AXES_SQL = "axes AS (SELECT vec_id AS row_id, label, " + ", ".join(NORM.format(v
 DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1] * p[2]))"
 SCORED_SQL = f"""scored AS (SELECT q.row_id AS qid, d.row_id, d.label,
   sqrt(pow({DOT.format(a='q.re', b='d.re')}, 2) + pow(0.4 * {DOT.format(a='q.im', b='d.im')}, 2) + pow(0.2 * {DOT.format(a='q.z', b='d.z')}, 2)) AS score
-  FROM axes q, axes d WHERE q.row_id < 20)"""
+  FROM axes q, axes d WHERE q.row_id % 100 = 0)"""
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query row against every row, exactly."""
-    pairs = axes(spark, sf_dir).crossJoin(F.broadcast(query_axes(spark, sf_dir)))
+    pairs = axes(spark, sf_dir).crossJoin(per_query(spark, sf_dir, query_axes(spark, sf_dir)))
     s = V.three_axis(V.dot(F.col("q_re"), F.col("re")), V.dot(F.col("q_im"), F.col("im")), V.dot(F.col("q_z"), F.col("z")))
     return pairs.select("qid", "row_id", "label", s.alias("score"))
 
@@ -44,4 +54,4 @@ def three_axis_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = scored(spark, sf_dir)
     stats = s.groupBy("qid").agg(F.avg("score").alias("mu"), F.greatest(F.stddev_pop("score"), F.lit(0.05)).alias("sd"))
     top = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id"))).where("rank <= 10")
-    return top.join(F.broadcast(stats), "qid").select("qid", "rank", "row_id", F.round("score", 6).alias("score"), F.round((F.col("score") - F.col("mu")) / F.col("sd"), 5).alias("z"))
+    return top.join(per_query(spark, sf_dir, stats), "qid").select("qid", "rank", "row_id", F.round("score", 6).alias("score"), F.round((F.col("score") - F.col("mu")) / F.col("sd"), 5).alias("z"))

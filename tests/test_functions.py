@@ -1,4 +1,5 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from orrery.functions import pii, scoring, text
 from orrery.functions import vector as V
 from orrery.operators.sessions import session_risk, session_risk_stream
 from orrery.operators.windows import sliding
+from orrery.plans import registry
 
 
 def one(spark, column, **values):
@@ -75,3 +77,21 @@ def test_session_fold_and_stream(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("risk").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r["session"], r["score"], r["blocked"]) for r in spark.table("risk").collect()} == want
+
+
+def test_masking_and_sensitivity_of_whole_documents(spark, data):
+    texts = {r["doc_id"]: r["text"] for r in registry.table(spark, data, "documents").collect()}
+    want, kinds = {}, {}
+    for i, t in texts.items():
+        kinds[i] = [k for k, p in pii.PATTERNS.items() if re.search(p, t)]
+        for k, p in pii.PATTERNS.items():
+            t = re.sub(p, f"[{k}]", t)
+        want[i] = t
+    assert {r["doc_id"]: r["text"] for r in registry.queries()["oj7_masking"](spark, data).collect()} == want
+    weight = lambda ks: min(1.0, max(pii.WEIGHTS[k] for k in ks) + 0.05 * (len(ks) - 1)) if ks else 0.0
+    got = {r["doc_id"]: r for r in registry.queries()["oj10_sensitivity"](spark, data).collect()}
+    assert any(kinds.values()) and set(got) == set(texts)
+    for i, ks in kinds.items():
+        risk = 0.30 * bool(ks) + 0.25 * bool(ks) + 0.30 * weight(ks)
+        assert abs(got[i]["sensitivity"] - weight(ks)) < 1e-9
+        assert got[i]["label"] == ("dangerous" if risk >= 0.65 else "sensitive" if risk >= 0.30 else "normal")
