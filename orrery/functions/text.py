@@ -71,3 +71,39 @@ def clean_name(name: Column) -> Column:
     """File name without folder and extension, separators as blanks."""
     stem = F.regexp_replace(F.regexp_extract(name, "([^/]*)$", 1), "\\.[A-Za-z0-9]{1,5}$", "")
     return F.trim(F.regexp_replace(stem, "[_\\-\\s]+", " "))
+
+
+#: Korean particles, longest first.
+PARTICLES = "에서의 으로서 이라는 이라고 이지만 이라도 에서 에게 으로 이라 이나 이고 이면 의 을 를 이 가 은 는 로 와 과 도 만 에 서 라 나 야".split()
+
+
+def strip_particle(word: Column) -> Column:
+    """The word without the first particle that it ends in, if two characters or more remain."""
+    out = None
+    for p in PARTICLES:
+        fits = word.endswith(p) & (F.length(word) > len(p) + 1)
+        cut = F.substring(word, F.lit(1), F.length(word) - len(p))
+        out = F.when(fits, cut) if out is None else out.when(fits, cut)
+    return out.otherwise(word)
+
+
+def page_starts(length: Column, size: int = 800, overlap: int = 100) -> Column:
+    """Starts of a page's chunks, the last one reaching its end. The page has a character at least."""
+    step = size - overlap
+    return F.sequence(F.lit(0), F.greatest(F.ceil((length - size) / step), F.lit(0)).cast("int") * step, F.lit(step))
+
+
+def page_starts_compat(length: Column, size: int = 800, overlap: int = 100) -> Column:
+    """The same, then one chunk from every later character of the last overlap: the counts of indexes that were built so."""
+    starts = page_starts(length, size, overlap)
+    tail = F.greatest(length - overlap, F.element_at(starts, -1) + 1)
+    return F.concat(starts, F.when(tail < length, F.sequence(tail, F.greatest(length - 1, tail))).otherwise(F.array().cast("array<int>")))
+
+
+def best_line(text: Column, words: list[str], width: int = 200) -> Column:
+    """(line, score, snippet) of the line that holds most words, the first of equals; null if none holds any."""
+    lines = F.split(text, "\n")
+    score = lambda s: sum((F.lower(s).contains(w).cast("int") for w in words), F.lit(0))
+    best = F.array_max(F.transform(lines, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("at"))))
+    near = F.filter(F.transform(F.slice(lines, 1 - best["at"], 2), F.trim), lambda s: s != "")
+    return F.when(best["score"] > 0, F.struct((1 - best["at"]).alias("line"), best["score"].alias("score"), F.substring(F.array_join(near, " "), 1, width).alias("snippet")))

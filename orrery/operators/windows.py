@@ -26,3 +26,11 @@ def overlap_join(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str],
     meet = (F.col(b_span[1]) >= F.col(a_span[0])) & (F.col(b_span[0]) <= F.col(a_span[1]))
     first = F.col("__bucket") == F.greatest(at(a_span[0]), at(b_span[0]))
     return left.join(right, [key, "__bucket"]).where(meet & first).drop("__bucket")
+
+
+def audio_ranges(media: DataFrame, key: str, duration: str, window: float = 30, hop: float = 10, shortest: float = 5) -> DataFrame:
+    """(key, start, stop): ranges every ``hop`` until one reaches the end; media up to ``window`` long are one range."""
+    last = F.greatest(F.ceil((F.col(duration) - window) / hop), F.lit(0)).cast("int")
+    w = media.select(key, duration, F.explode(F.sequence(F.lit(0), last)).alias("i"))
+    w = w.select(key, (F.col("i") * F.lit(float(hop))).alias("start"), F.least(F.col("i") * F.lit(float(hop)) + window, duration).alias("stop"))
+    return w.where((F.col("start") == 0) | (F.col("stop") - F.col("start") >= shortest))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("vectors", "ranking", "lexical", "maintenance", "media", "privacy", "evaluation", "more")
+MODULES: tuple[str, ...] = ("vectors", "ranking", "lexical", "maintenance", "media", "privacy", "evaluation", "more", "details")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
