@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import base64
 import binascii
 import bz2
 import hashlib
@@ -25,9 +24,26 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});", re.A)
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}", re.A)
+#: A run of base64, over line breaks too.
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)*={0,2}", re.A)
+_BODY = re.compile(r"[A-Za-z0-9+/_-]+", re.A)
+#: Written bytes: percent escapes or backslash and character escapes, with the printable bytes that stand for themselves.
+_PERCENT_BYTES = (re.compile(r"[!-~]+"), re.compile(r"%([0-9A-Fa-f]{2})|[!-~]"), re.compile(r"%[0189A-Fa-f][0-9A-Fa-f]"))
+_ESCAPE_BYTES = (
+    re.compile(r"(?:\\x[0-9A-Fa-f]{2}|\\u00[0-9A-Fa-f]{2}|\\[0abtnvfr\\'\"]|[\x20-\x5b\x5d-\x7e])+"),
+    re.compile(r"(?:\\x|\\u00)([0-9A-Fa-f]{2})|&#x0*([0-9A-Fa-f]{1,2});|&#([0-9]{1,3});|\\([0abtnvfr\\'\"])|[ -~]"),
+    re.compile(r"\\x[0189A-Fa-f]|\\u00[0189A-Fa-f]|&#"),
+)
+_SIMPLE = dict(zip("0abtnvfr\\'\"", b"\0\a\b\t\n\v\f\r\\'\"", strict=True))
+#: Printable parts long enough for a match, in ASCII and in UTF-16 of either order.
+_ASCII = re.compile(rb"[\t\n\r -~]{14,}")
+_WIDE = re.compile(rb"(?:[\t\n\r -~]\0){14,}|(?:\0[\t\n\r -~]){14,}")
+#: Where a gzip, bzip2, xz or zlib stream may start.
+_HEAD = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|[\x08\x18\x28\x38\x48\x58\x68\x78](?s:.)")
 #: Bytes that one compressed layer may unfold to. A stream beyond it is left alone and counted in `oversized`.
 MOST_BYTES = 32 << 20
+#: Bytes given to a decompressor at once, and taken from it.
+STEP, PIECE = 1 << 16, 1 << 20
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -78,23 +94,61 @@ def _byte_marks(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return np.minimum.reduceat(starts, at), np.maximum.reduceat(ends, at)
 
 
-def inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """What a zlib, gzip, bzip2 or xz stream holds; whether it was larger than MOST_BYTES."""
-    if raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 0x0F == 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
-        maker = zlib.decompressobj(47)
-    elif raw[:3] == b"BZh":
-        maker = bz2.BZ2Decompressor()
-    elif raw[:6] == b"\xfd7zXZ\0":
-        maker = lzma.LZMADecompressor()
-    else:
-        return None, False
-    try:
-        out = maker.decompress(raw, MOST_BYTES + 1)
-        if isinstance(maker, type(zlib.decompressobj())) and len(out) <= MOST_BYTES:
-            out += maker.flush()
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return None, False
-    return (None, True) if len(out) > MOST_BYTES else (out or None, False)
+def _maker(raw: bytes, at: int):
+    """A decompressor for the stream that starts at a place; None if none does."""
+    if raw[at : at + 3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[at : at + 6] == b"\xfd7zXZ\0":
+        return lzma.LZMADecompressor()
+    if raw[at : at + 2] == b"\x1f\x8b" or len(raw) > at + 2 and raw[at] & 0x0F == 8 and (raw[at] << 8 | raw[at + 1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    return None
+
+
+def _unfold(raw: bytes, at: int, end: list[int]) -> Iterator[bytes]:
+    """What the stream at a place and the members right behind it hold, in pieces; end[0] becomes the place behind them.
+
+    A broken stream gives what it holds up to the break.
+    """
+    while (maker := _maker(raw, at)) is not None:
+        deflate = not hasattr(maker, "needs_input")
+        try:
+            while not maker.eof:
+                data = maker.unconsumed_tail if deflate else b""
+                if not data and (deflate or maker.needs_input):
+                    data = raw[at : at + STEP]
+                    at += len(data)
+                    if not data:
+                        if deflate and (piece := maker.flush()):
+                            yield piece
+                        break
+                if piece := maker.decompress(data, PIECE):
+                    yield piece
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            return
+        at -= len(maker.unused_data)
+        end[0] = at
+
+
+def inflate(raw: bytes) -> Iterator[tuple[int, int, bytes | None]]:
+    """(start, end, content) of the zlib, gzip, bzip2 and xz streams in bytes; no content if it is larger than MOST_BYTES.
+
+    A broken or cut stream ends with the bytes, and the search goes on within it.
+    """
+    at = 0
+    while m := _HEAD.search(raw, at):
+        if _maker(raw, m.start()) is None:
+            at = m.start() + 1
+            continue
+        end, parts, size = [m.start() + 1], [], 0
+        for piece in _unfold(raw, m.start(), end):
+            size += len(piece)
+            if size > MOST_BYTES:
+                break
+            parts.append(piece)
+        if size:
+            yield m.start(), end[0] if end[0] > m.start() + 1 else len(raw), None if size > MOST_BYTES else b"".join(parts)
+        at = end[0]
 
 
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
@@ -137,37 +191,81 @@ def _escape(m: re.Match, layer: _Layer):
     return chr(code), (np.array([s]), np.array([e]))
 
 
+def _holds(raw: bytes, text: bool = True) -> bool:
+    """Whether bytes may hold a match or a stream."""
+    return bool(text and _ASCII.search(raw) or _WIDE.search(raw)) or any(_maker(raw, m.start()) for m in _HEAD.finditer(raw))
+
+
+def _of_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray, whole: tuple[int, int], counts: dict, text: bool = True, seen: frozenset = frozenset()) -> Iterator[_Layer]:
+    """The texts in bytes, given the marks of each: all of it or its printable parts, and what its streams hold."""
+    if (key := hashlib.sha256(raw).digest()) in seen:
+        return
+    if text and (got := _text_of(raw)) is not None:
+        yield _Layer(got, *_byte_marks(raw, starts, ends))
+        return
+    for m in _ASCII.finditer(raw) if text else ():
+        yield _Layer(m[0].decode(), starts[m.start() : m.end()], ends[m.start() : m.end()])
+    for m in _WIDE.finditer(raw):
+        i, j = m.span()
+        yield _Layer(m[0].replace(b"\0", b"").decode(), np.minimum(starts[i:j:2], starts[i + 1 : j : 2]), np.maximum(ends[i:j:2], ends[i + 1 : j : 2]))
+    for i, j, below in inflate(raw):
+        if below is None:
+            counts["oversized"] += 1
+            continue
+        s, e = int(starts[i:j].min()) if i else whole[0], int(ends[i:j].max()) if j < len(raw) else whole[1]
+        yield from _of_bytes(below, np.full(len(below), s), np.full(len(below), e), (s, e), counts, True, seen | {key})
+
+
+def _written(layer: _Layer, kind: tuple, counts: dict) -> Iterator[_Layer]:
+    """The streams and UTF-16 texts in bytes that are written as escapes between printable ones."""
+    run, one, sign = kind
+    if not sign.search(layer.text):
+        return
+    for m in run.finditer(layer.text):
+        if not sign.search(m[0]):
+            continue
+        each, at = [], []
+        for x in one.finditer(layer.text, m.start(), m.end()):
+            code = next((g for g in x.groups()[:2] if g), None)
+            if code:
+                each.append(int(code, 16))
+            elif x.lastindex == 3:
+                each.append(int(x[3]) & 255)
+            else:
+                each.append(_SIMPLE[x[4]] if x.lastindex == 4 else ord(x[0]))
+            at.append(x.start())
+        raw = bytes(each)
+        for raw in dict.fromkeys((raw, raw.replace(b"+", b" "))) if kind is _PERCENT_BYTES else (raw,):
+            if _holds(raw, False):
+                s, e = layer.marks(m.start(), m.end())
+                i = np.array(at) - m.start()
+                yield from _of_bytes(raw, np.minimum.reduceat(s, i), np.maximum.reduceat(e, i), layer.span(m.start(), m.end()), counts, False)
+
+
 def _unwrapped(layer: _Layer, counts: dict) -> Iterator[_Layer]:
     """The layers directly below one."""
     text = layer.text
     if "%" in text and (got := _replaced(layer, _PERCENT, _percent)):
         yield got
+        yield from _written(layer, _PERCENT_BYTES, counts)
     if ("\\" in text or "&#" in text) and (got := _replaced(layer, _UNICODE, _escape)):
         yield got
+        yield from _written(layer, _ESCAPE_BYTES, counts)
     for m in _BASE64.finditer(text):
-        body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        try:
-            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        s, e = layer.marks(m.start(), m.end())
-        i = np.arange(len(raw)) // 3 * 4 + np.arange(len(raw)) % 3
-        starts, ends = s[i], e[np.minimum(i + 1, len(e) - 1)]
-        whole, depth = layer.span(m.start(), m.end()), 0
-        seen = set()
-        while (key := hashlib.sha256(raw).digest()) not in seen:
-            seen.add(key)
-            below, large = inflate(raw)
-            counts["oversized"] += large
-            if below is None:
-                break
-            raw, depth = below, depth + 1
-        if (got := _text_of(raw)) is None:
-            continue
-        if depth:
-            yield _Layer(got, np.full(len(got), whole[0]), np.full(len(got), whole[1]))
-        else:
-            yield _Layer(got, *_byte_marks(raw, starts, ends))
+        lines = [(x.start(), x.end()) for x in _BODY.finditer(text, m.start(), m.end())]
+        for run in [lines, *([x] for x in lines if len(lines) > 1 and x[1] - x[0] >= 16)]:
+            body = "".join(text[i:j] for i, j in run).replace("-", "+").replace("_", "/")
+            stop = m.end() if run[-1] == lines[-1] else run[-1][1]
+            for shift in range(4):
+                part = body[shift : len(body) - ((len(body) - shift) % 4 == 1)]
+                raw = binascii.a2b_base64(part + "=" * (-len(part) % 4))
+                if not _holds(raw):
+                    continue
+                s, e = layer.marks(run[0][0], stop)
+                at = np.concatenate([np.arange(i, j) for i, j in run]) - run[0][0]
+                i = shift + np.arange(len(raw)) // 3 * 4 + np.arange(len(raw)) % 3
+                starts, ends = s[at[i]], e[at[np.minimum(i + 1, len(at) - 1)]]
+                yield from _of_bytes(raw, starts, ends, layer.span(run[0][0] + int(at[shift]), stop), counts)
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:

@@ -1,12 +1,15 @@
 """The ten operators against brute force, on fixtures with nulls, empty texts, ties and repeats."""
 
 import base64
+import bz2
 import gzip
 import itertools
 import json
+import lzma
 import random
 import re
 import urllib.parse
+import zlib
 
 import numpy as np
 import pytest
@@ -216,6 +219,51 @@ def test_secrets_base_and_cycles():
     assert secrets.scan_text(bomb)[2] == 1
 
 
+def _wrapped(raw, width=76):
+    b = base64.b64encode(raw).decode()
+    return "\n".join(b[i : i + width] for i in range(0, len(b), width))
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_secret_layers_over_lines_and_escapes(pack):
+    filler = "".join(random.Random(5).choices("ghijklmnop qrstuvwxyz\n", k=400))
+    packed = pack(f"{filler} {KEY} ".encode())
+    members = pack(filler.encode() + KEY[:9].encode()) + pack(KEY[9:].encode())
+    hidden = [
+        _wrapped(packed),
+        _wrapped(packed, 64).replace("\n", "\r\n  "),
+        _wrapped(members),
+        "/path/" + base64.b64encode(packed).decode(),
+        "id_" + base64.b64encode(packed).decode(),
+        "\\n" + base64.b64encode(packed).decode(),
+        "".join(f"%{c:02x}" for c in packed),
+        urllib.parse.quote(packed),
+        urllib.parse.quote_plus(packed),
+        "".join(f"\\x{c:02x}" for c in packed),
+        repr(packed),
+        "".join(f"&#{c};" for c in packed),
+    ]
+    for h in hidden:
+        base, added, _ = secrets.scan_text(f"é before\n {h} \nafter")
+        assert not base
+        assert "access" in [k for _, _, k in added], h[:40]
+        assert all(10 <= s <= e <= 10 + len(h) for s, e, _ in added)
+
+
+def test_secret_at_any_place_of_wrapped_or_glued_base64():
+    for width in (64, 76):
+        for n in range(width):
+            text = _wrapped(b"~" * n + b" " + SECRET.encode() + b" " + b"~" * 60, width)
+            _, added, _ = secrets.scan_text(text)
+            assert max(e - s for s, e, _ in added) >= (len(SECRET) - 3) * 4 // 3, (width, n)
+    for glue in ("a", "/x", "id_", "\\n", "path/to/"):
+        assert secrets.scan_text(glue + base64.b64encode(SECRET.encode()).decode())[1], glue
+    wide = [SECRET.encode("utf-16"), SECRET.encode("utf-16-be"), b"\xff\xfe\x80" + SECRET.encode() + b"\x80\x81"]
+    for raw in wide:
+        assert secrets.scan_text(base64.b64encode(raw).decode())[1]
+        assert secrets.scan_text("".join(f"%{c:02X}" for c in raw))[1]
+
+
 def test_secret_rows(spark):
     out = secrets.scan(docs_of(spark, [None, "", SECRET, SECRET]), redact=True).collect()
     assert [r.text for r in out] == [None, "", '[SECRET]"', '[SECRET]"']
