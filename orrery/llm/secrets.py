@@ -9,6 +9,7 @@ import lzma
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,19 @@ _ASCII = re.compile(rb"[\t\n\r -~]{14,}")
 _WIDE = re.compile(rb"(?:[\t\n\r -~]\0){14,}|(?:\0[\t\n\r -~]){14,}")
 #: Where a gzip, bzip2, xz or zlib stream may start.
 _HEAD = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\0|[\x08\x18\x28\x38\x48\x58\x68\x78](?s:.)")
-#: Bytes that one compressed layer may unfold to. A stream beyond it is left alone and counted in `oversized`.
+#: Bytes of one compressed layer that are held at once. A stream beyond it is searched in pieces and counted in `oversized`.
 MOST_BYTES = 32 << 20
 #: Bytes given to a decompressor at once, and taken from it.
 STEP, PIECE = 1 << 16, 1 << 20
+#: Least bytes of a large stream that are searched at once; bytes that the next ones start with: more than the shortest match of each kind.
+WINDOW, OVERLAP = 4 << 20, 64
+#: What ends a base64 run, a run of written bytes (and what starts their escapes), and UTF-16 text.
+_OPEN = (
+    (re.compile(rb"[^A-Za-z0-9+/_\r\n\t -]|[^\r\n\t ][\t ]|\n[\t ]*\r?\n"), None),
+    (re.compile(rb"[^!-~]"), re.compile(rb"%[0-9A-Fa-f]?(?:[0-9A-Fa-f]|$)")),
+    (re.compile(rb"[^ -~]"), re.compile(rb"\\|&#")),
+    (re.compile(rb"(?=[^\0][^\0]|\0\0).|[^\0\t\n\r -~]", re.S), None),
+)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -77,23 +87,40 @@ class _Layer:
         return (np.arange(i, j), np.arange(i + 1, j + 1)) if self.starts is None else (self.starts[i:j], self.ends[i:j])
 
 
+_PLAIN = b"\t\n\r" + bytes(range(32, 127))
+
+
 def _text_of(raw: bytes) -> str | None:
     """Text, if the bytes are UTF-8 and nearly all of it can be printed."""
     try:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    odd = sum(not (c.isprintable() or c in "\t\n\r") for c in text)
+    if text.isprintable():
+        return text or None
+    odd = len(raw.translate(None, _PLAIN)) if text.isascii() else sum(not (c.isprintable() or c in "\t\n\r") for c in text)
     return text if text and odd * 20 <= len(text) else None
 
 
 def _byte_marks(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """From marks of UTF-8 bytes to marks of characters."""
+    if _is_same(starts) and _is_same(ends):
+        n = len(raw.decode())
+        return _same(starts[0], n), _same(ends[0], n)
     b = np.frombuffer(raw, np.uint8)
     at = np.flatnonzero((b & 0xC0) != 0x80)
     return np.minimum.reduceat(starts, at), np.maximum.reduceat(ends, at)
 
 
+def _same(mark: int, n: int) -> np.ndarray:
+    """n equal marks in the memory of one."""
+    return np.broadcast_to(np.int64(mark), n)
+
+
+def _is_same(marks: np.ndarray) -> bool:
+    return len(marks) > 1 and not marks.strides[0]
+
+
 def _maker(raw: bytes, at: int):
     """A decompressor for the stream that starts at a place; None if none does."""
     if raw[at : at + 3] == b"BZh":
@@ -105,13 +132,13 @@ def _maker(raw: bytes, at: int):
     return None
 
 
-def _unfold(raw: bytes, at: int, end: list[int]) -> Iterator[bytes]:
+def _unfold(raw: bytes, at: int, end: list[int], broken: list | None = None) -> Iterator[bytes]:
     """What the stream at a place and the members right behind it hold, in pieces; end[0] becomes the place behind them.
 
-    A broken stream gives what it holds up to the break.
+    A broken stream gives what it holds up to the break, and its start goes to ``broken``.
     """
     while (maker := _maker(raw, at)) is not None:
-        deflate = not hasattr(maker, "needs_input")
+        start, deflate = at, not hasattr(maker, "needs_input")
         try:
             while not maker.eof:
                 data = maker.unconsumed_tail if deflate else b""
@@ -125,13 +152,17 @@ def _unfold(raw: bytes, at: int, end: list[int]) -> Iterator[bytes]:
                 if piece := maker.decompress(data, PIECE):
                     yield piece
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            if broken is not None:
+                broken.append(start)
+            return
+        if not maker.eof:
             return
         at -= len(maker.unused_data)
         end[0] = at
 
 
-def inflate(raw: bytes) -> Iterator[tuple[int, int, bytes | None]]:
-    """(start, end, content) of the zlib, gzip, bzip2 and xz streams in bytes; no content if it is larger than MOST_BYTES.
+def inflate(raw: bytes) -> Iterator[tuple[int, int, bytes | Iterator[bytes]]]:
+    """(start, end, content) of the zlib, gzip, bzip2 and xz streams in bytes; content over MOST_BYTES comes in pieces.
 
     A broken or cut stream ends with the bytes, and the search goes on within it.
     """
@@ -141,16 +172,77 @@ def inflate(raw: bytes) -> Iterator[tuple[int, int, bytes | None]]:
             at = m.start() + 1
             continue
         end, parts, size = [m.start() + 1], [], 0
-        for piece in _unfold(raw, m.start(), end):
+        pieces = _unfold(raw, m.start(), end)
+        for piece in pieces:
             size += len(piece)
+            parts.append(piece)
             if size > MOST_BYTES:
+                yield m.start(), len(raw), chain(_drained(parts), pieces)
                 break
-            parts.append(piece)
-        if size:
-            yield m.start(), end[0] if end[0] > m.start() + 1 else len(raw), None if size > MOST_BYTES else b"".join(parts)
+        else:
+            if size:
+                yield m.start(), end[0] if end[0] > m.start() + 1 else len(raw), b"".join(parts)
         at = end[0]
 
 
+def _drained(parts: list[bytes]) -> Iterator[bytes]:
+    parts.reverse()
+    while parts:
+        yield parts.pop()
+
+
+def _open_from(raw: bytes) -> int:
+    """Where the first run starts that may go on behind the bytes: an encoded one, UTF-16 text or a stream."""
+    first = len(raw)
+    for ends, sign in _OPEN:
+        size, at = 1 << 12, None
+        while at is None:
+            low = max(0, len(raw) - size)
+            for m in ends.finditer(raw, low):
+                at = m.end()
+            if at is None and not low:
+                at = 0
+            size *= 4
+        if sign:
+            at = max(at, (m.start() if (m := sign.search(raw, at)) else len(raw)) - 16)
+        first = min(first, at)
+    at = 0
+    while (m := _HEAD.search(raw, at)) and m.start() < first:
+        end = [-1]
+        at = m.start() + 1
+        if _maker(raw, m.start()) is not None and _is_cut(raw, m.start(), end):
+            first = m.start()
+        at = max(at, end[0])
+    return max(0, first - 1) if raw[-1:] in b"\x08\x18\x28\x38\x48\x58\x68\x78\x1f\xfdB" else first
+
+
+def _is_cut(raw: bytes, at: int, end: list[int]) -> bool:
+    """Whether the stream at a place goes on behind the bytes."""
+    for _ in _unfold(raw, at, end, broken := []):
+        pass
+    return not broken and end[0] < 0 or end[0] == len(raw)
+
+
+def _windows(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """A stream in windows, so that every match and every encoded run of it is whole in one, but for blanks within a match.
+
+    A window ends where no run is open; a longer run is held whole. Only whether there is a
+    match counts, as all of a stream's matches map to one span, so the last bytes of a window,
+    each run of blanks as one, start the next.
+    """
+    held, least = bytearray(), WINDOW
+    for piece in chain(pieces, [None]):
+        held += piece or b""
+        if piece is not None and len(held) < least:
+            continue
+        raw = bytes(held)
+        stop = len(raw) if piece is None else _open_from(raw)
+        if stop > OVERLAP or piece is None:
+            yield raw[:stop]
+            held = bytearray(re.sub(rb" {2,}", b" ", raw[:stop])[-OVERLAP:] + raw[stop:])
+        least = max(WINDOW, 2 * len(held))
+
+
 def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
     """The layer with every match decoded; None if there is none. decode: text, byte marks and code of a match, or None."""
     parts, starts, ends, at = [], [], [], 0
@@ -165,6 +257,9 @@ def _replaced(layer: _Layer, pattern: re.Pattern, decode) -> _Layer | None:
         at = m.end()
     if not at:
         return None
+    if layer.starts is not None and _is_same(layer.starts) and _is_same(layer.ends):
+        text = "".join([*parts, layer.text[at:]])
+        return _Layer(text, _same(layer.starts[0], len(text)), _same(layer.ends[0], len(text)))
     s, e = layer.marks(at, len(layer.text))
     return _Layer("".join([*parts, layer.text[at:]]), np.concatenate([*starts, s]), np.concatenate([*ends, e]))
 
@@ -193,7 +288,7 @@ def _escape(m: re.Match, layer: _Layer):
 
 def _holds(raw: bytes, text: bool = True) -> bool:
     """Whether bytes may hold a match or a stream."""
-    return bool(text and _ASCII.search(raw) or _WIDE.search(raw)) or any(_maker(raw, m.start()) for m in _HEAD.finditer(raw))
+    return bool(text and _ASCII.search(raw) or b"\0" in raw and _WIDE.search(raw)) or any(_maker(raw, m.start()) for m in _HEAD.finditer(raw))
 
 
 def _of_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray, whole: tuple[int, int], counts: dict, text: bool = True, seen: frozenset = frozenset()) -> Iterator[_Layer]:
@@ -205,15 +300,15 @@ def _of_bytes(raw: bytes, starts: np.ndarray, ends: np.ndarray, whole: tuple[int
         return
     for m in _ASCII.finditer(raw) if text else ():
         yield _Layer(m[0].decode(), starts[m.start() : m.end()], ends[m.start() : m.end()])
-    for m in _WIDE.finditer(raw):
+    for m in _WIDE.finditer(raw) if b"\0" in raw else ():
         i, j = m.span()
         yield _Layer(m[0].replace(b"\0", b"").decode(), np.minimum(starts[i:j:2], starts[i + 1 : j : 2]), np.maximum(ends[i:j:2], ends[i + 1 : j : 2]))
     for i, j, below in inflate(raw):
-        if below is None:
-            counts["oversized"] += 1
-            continue
         s, e = int(starts[i:j].min()) if i else whole[0], int(ends[i:j].max()) if j < len(raw) else whole[1]
-        yield from _of_bytes(below, np.full(len(below), s), np.full(len(below), e), (s, e), counts, True, seen | {key})
+        if not isinstance(below, bytes):
+            counts["oversized"] += 1
+        for part in [below] if isinstance(below, bytes) else _windows(below):
+            yield from _of_bytes(part, _same(s, len(part)), _same(e, len(part)), (s, e), counts, True, seen | {key})
 
 
 def _written(layer: _Layer, kind: tuple, counts: dict) -> Iterator[_Layer]:
@@ -262,6 +357,9 @@ def _unwrapped(layer: _Layer, counts: dict) -> Iterator[_Layer]:
                 if not _holds(raw):
                     continue
                 s, e = layer.marks(run[0][0], stop)
+                if _is_same(s) and _is_same(e):
+                    yield from _of_bytes(raw, _same(s[0], len(raw)), _same(e[0], len(raw)), (int(s[0]), int(e[0])), counts)
+                    continue
                 at = np.concatenate([np.arange(i, j) for i, j in run]) - run[0][0]
                 i = shift + np.arange(len(raw)) // 3 * 4 + np.arange(len(raw)) % 3
                 starts, ends = s[at[i]], e[at[np.minimum(i + 1, len(at) - 1)]]
@@ -269,18 +367,20 @@ def _unwrapped(layer: _Layer, counts: dict) -> Iterator[_Layer]:
 
 
 def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], int]:
-    """(base spans, spans that decoding adds, streams too large to unfold).
+    """(base spans, spans that decoding adds, streams too large to hold).
 
-    A worklist of layers: each is searched, its matches mapped to the document, and
-    every encoding in it unwrapped onto the list, until nothing new comes. A layer
+    A stack of layers: each is searched, its matches mapped to the document, and
+    every encoding in it unwrapped onto the stack, until nothing new comes. A layer
     equal in text and place to an earlier one is not taken again, so cycles end.
     """
     base = base_spans(text)
     have, added, seen = set(base), set(), set()
     counts = {"oversized": 0}
-    work = list(_unwrapped(_Layer(text), counts))
+    work = [_unwrapped(_Layer(text), counts)]
     while work:
-        layer = work.pop()
+        if (layer := next(work[-1], None)) is None:
+            work.pop()
+            continue
         key = (hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest(), layer.span(0, len(layer.text)))
         if key in seen:
             continue
@@ -289,7 +389,7 @@ def scan_text(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, in
             span = (*layer.span(i, j), kind)
             if span not in have:
                 added.add(span)
-        work += _unwrapped(layer, counts)
+        work.append(_unwrapped(layer, counts))
     return base, _sorted(added), counts["oversized"]
 
 

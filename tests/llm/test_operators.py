@@ -264,6 +264,41 @@ def test_secret_at_any_place_of_wrapped_or_glued_base64():
         assert secrets.scan_text("".join(f"%{c:02X}" for c in raw))[1]
 
 
+def test_secrets_in_large_streams(monkeypatch):
+    monkeypatch.setattr(secrets, "MOST_BYTES", 9000)
+    monkeypatch.setattr(secrets, "WINDOW", 3000)
+    monkeypatch.setattr(secrets, "PIECE", 1000)
+    rng = random.Random(7)
+    line = lambda: "".join(rng.choices("ghijklmnop qrstuvwxyz,", k=70)) + "\n"
+    prose = "".join(line() for _ in range(400))
+    noise = bytes(rng.choices(range(256), k=6000))
+    inner = [
+        f" {KEY} ".encode(),
+        f"token{' ' * 3000}={' ' * 3000}abcdefgh1234".encode(),
+        b" " + base64.b64encode((prose[:6000] + KEY).encode()) + b" ",
+        b"\n" + _wrapped((prose[:6000] + KEY).encode()).encode() + b"\n,",
+        gzip.compress(noise + KEY.encode()),
+        "".join(f"%{c:02x}" for c in gzip.compress(noise[:2000] + KEY.encode())).encode(),
+        (prose[:4000] + KEY).encode("utf-16-le"),
+    ]
+    for x in inner:
+        for at in (2, 2950, 2990, 8980, 12000):
+            text = base64.b64encode(gzip.compress(prose[:at].encode() + x + prose[at:].encode())).decode()
+            base, added, large = secrets.scan_text(f"é {text} end")
+            assert not base and large
+            assert [s[:2] for s in added] == [(2, 2 + len(text))], (x[:20], at)
+    clean = base64.b64encode(gzip.compress(prose.encode())).decode()
+    assert secrets.scan_text(clean) == ([], [], 1)
+
+
+def test_secret_behind_32_mb():
+    text = base64.b64encode(gzip.compress(b"a log line, none; of it hidden\n" * 1_200_000 + b" " * 4096 + SECRET.encode())).decode()
+    _, added, large = secrets.scan_text(text)
+    assert large == 1
+    assert [k for _, _, k in added] == ["assign"]
+    assert secrets.masked(text, added) == "[SECRET]"
+
+
 def test_secret_rows(spark):
     out = secrets.scan(docs_of(spark, [None, "", SECRET, SECRET]), redact=True).collect()
     assert [r.text for r in out] == [None, "", '[SECRET]"', '[SECRET]"']
