@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from math import ceil, floor
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
@@ -58,10 +59,32 @@ def units(norm: Column) -> Column:
     return F.concat(lines, F.transform(paragraphs, lambda p: F.replace(p, F.lit("\n"), F.lit(" "))))
 
 
+def best_window(grams: list[str], pairs: Column, least: float) -> Column:
+    """The best coefficient of the runs of a unit's bigrams that are at most b * (2 - least) / least long; null if none can reach ``least``.
+
+    Only runs that start and end with a bigram of the template count: without others at its ends a run scores more.
+    """
+    b, most = len(grams), floor(len(grams) * (2 - least) / least + 1e-9)
+    few = ceil(len(grams) * least / (2 - least) - 1e-9)
+
+    def dice(part: Column) -> Column:
+        return 2.0 * F.size(F.array_intersect(F.array(*map(F.lit, grams)), part)) / (F.size(F.array_distinct(part)) + b)
+
+    def best(at: Column) -> Column:
+        first = F.when(F.size(at) >= few, F.sequence(F.lit(0), F.size(at) - few)).otherwise(F.array().cast("array<int>"))
+        last = lambda i: F.filter(F.sequence(i + few - 1, F.least(F.size(at), i + most) - 1), lambda j: F.get(at, j) - F.get(at, i) < most)
+        return F.array_max(F.flatten(F.transform(first, lambda i: F.transform(last(i), lambda j: dice(F.slice(pairs, F.get(at, i), F.get(at, j) - F.get(at, i) + 1))))))
+
+    at = F.filter(F.sequence(F.lit(1), F.size(pairs)), lambda i: F.get(pairs, i - 1).isin(grams))
+    return F.get(F.transform(F.array(at), best), F.lit(0))  # bound once
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, licence, dice, n_units): for each document and template, the best coefficient of the units that reach ``least``.
 
-    A unit is a line, or a paragraph of several lines, of the whole normalised text.
+    A unit is a line, or a paragraph of several lines, of the whole normalised text. If no
+    unit of a document reaches ``least``, as the notice is part of longer ones, the runs of
+    words within its units stand for them (``best_window``).
     Dice = 2 * common / (a + b) over distinct word bigrams. It can only reach ``least``
     if a lies between b * least / (2 - least) and b * (2 - least) / least, so a unit
     with too few words for any template is left before its bigrams are made, and only
@@ -81,15 +104,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     words = F.filter(F.split("unit", " "), lambda w: w != "")
     rows = split.withColumn("words", words).where(F.size("words") >= max(1, low)).drop("unit")
     pairs = F.when(F.size("words") == 1, F.col("words")).otherwise(F.zip_with(F.slice("words", 1, F.size("words") - 1), F.slice("words", 2, F.size("words") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    rows = rows.withColumn("pairs", pairs).where(F.exists("pairs", lambda p: p.isin(known)))
-    rows = rows.select(id_col, F.array_distinct("pairs").alias("pairs"))
-    size = F.size("pairs")
-
-    def dice(g: list[str]) -> Column:
-        common = F.size(F.array_intersect(F.array(*map(F.lit, g)), F.col("pairs")))
-        within = (size >= len(g) * least / (2 - least)) & (size <= len(g) * (2 - least) / least)
-        return F.when(within, 2.0 * common / (size + len(g)))
-
-    found = F.filter(F.array(*[F.struct(F.lit(k).alias("licence"), dice(g).alias("dice")) for k, g in grams.items()]), lambda s: s["dice"] >= least)
-    hits = rows.select(id_col, F.explode(found).alias("hit"))
-    return hits.groupBy(id_col, F.col("hit.licence").alias("licence")).agg(F.max("hit.dice").alias("dice"), F.count("*").alias("n_units"))
+    rows = rows.withColumn("pairs", pairs).withColumn("held", F.array_distinct(F.filter("pairs", lambda p: p.isin(known)))).where(F.size("held") >= low)
+    rows = rows.withColumn("size", F.size(F.array_distinct("pairs")))
+    size = F.col("size")
+
+    def found(k: str, g: list[str]) -> Column:
+        common = F.size(F.array_intersect(F.array(*map(F.lit, g)), F.col("held")))
+        dice = 2.0 * common / (size + len(g))
+        window = F.when((dice < least) & (common >= len(g) * least / (2 - least) - 1e-9), best_window(g, F.col("pairs"), least))
+        return F.struct(F.lit(k).alias("licence"), F.when(dice >= least, dice).alias("dice"), F.when(window >= least, window).alias("window"))
+
+    each = F.filter(F.array(*[found(k, g) for k, g in grams.items()]), lambda s: s["dice"].isNotNull() | s["window"].isNotNull())
+    hits = rows.select(id_col, F.explode(each).alias("hit"))
+    n = F.count("hit.dice")
+    out = hits.groupBy(id_col, F.col("hit.licence").alias("licence"))
+    return out.agg(F.coalesce(F.max("hit.dice"), F.max("hit.window")).alias("dice"), F.when(n > 0, n).otherwise(F.count("hit.window")).alias("n_units"))

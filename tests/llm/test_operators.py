@@ -340,6 +340,42 @@ def test_licences(spark):
     assert {(r.doc_id, r.licence, r.dice) for r in rows} == {(0, "MIT", 1.0), (4, "GPL-3.0", 1.0)}
 
 
+def test_licence_within_longer_units(spark):
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(["stone", "river", "the", "of", "license", "software", "to", "mill"]) for _ in range(n))
+    texts, want = [], set()
+    for name, notice in licences.TEMPLATES.items():
+        for n in (3, 40, 900):
+            want.add((len(texts), name))
+            texts.append(f"{prose(n)} {notice} {prose(n)}")
+    want.add((len(texts), "MIT"))
+    texts.append("This software is released under the MIT License.")
+    want.add((len(texts), "MIT-grant"))
+    words = licences.TEMPLATES["MIT-grant"].split()
+    texts.append(prose(200) + " " + " ".join(w + " gladly" * (i % 12 == 5) for i, w in enumerate(words)) + "\n" + prose(200))
+    none = len(texts)
+    texts += [prose(3000), "the MIT License was released by us under rain"]
+    texts.insert(none, "Released under the MIT name")  # 3 of 4 bigrams in a run of 3: 6 / 7
+    want.add((none, "MIT"))
+    none += 1
+    rows = licences.scan(docs_of(spark, texts)).collect()
+    found = {(r.doc_id, r.licence): r.dice for r in rows}
+    assert want <= set(found)
+    assert not [k for k in found if k[0] >= none]
+
+    def brute(text, name):
+        w, g = re.findall("[a-z0-9]+", text.lower()), set(licences.template_bigrams(licences.TEMPLATES[name]))
+        p = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        runs = (set(p[i:j]) for i in range(len(p)) for j in range(i + 1, min(len(p), i + len(g) * 3 // 2) + 1))
+        dice = lambda r: 2 * len(g & r) / (len(g) + len(r))
+        whole = dice(set(p))
+        return whole if whole >= 0.8 else max(map(dice, runs))
+
+    for i, name in sorted(want):
+        if len(texts[i]) < 1500 and "\n" not in texts[i]:
+            assert found[i, name] == pytest.approx(brute(texts[i], name))
+
+
 def test_decontamination(spark):
     rng = random.Random(8)
     words = lambda n: [f"b{rng.randrange(3000)}" for _ in range(n)]
