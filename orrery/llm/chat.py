@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 from orrery.llm.scratch import Scratch
 
 _BLOCK = re.compile(r"<(tool_call|tool_result)>(.*?)</\1>", re.S)
+#: Levels of lists and objects that a block may nest.
+MOST_NESTED = 100
+#: References of one conversation that one task may order; those of a longer one are ordered level by level over the cluster.
+MOST_EDGES = 50_000
 
 
 def canonical(value) -> str:
@@ -20,6 +26,36 @@ def canonical(value) -> str:
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def _finite(number: str) -> float:
+    if not math.isfinite(value := float(number)):
+        raise ValueError("number out of range")
+    return value
+
+
+def _no_constant(name: str):
+    raise ValueError(f"{name} is not JSON")
+
+
+def parsed(raw: str):
+    """A JSON value; ValueError for what is not JSON, cannot be written as UTF-8 again, has numbers beyond double or nests too deeply."""
+    try:
+        value = json.loads(raw, parse_constant=_no_constant, parse_float=_finite)
+    except RecursionError:
+        raise ValueError("nested too deeply") from None
+    work = [(value, 1)]
+    while work:
+        x, depth = work.pop()
+        if isinstance(x, dict | list):
+            if depth > MOST_NESTED:
+                raise ValueError("nested too deeply")
+            work += [(y, depth + 1) for y in (x.values() if isinstance(x, dict) else x)]
+            for k in x if isinstance(x, dict) else ():
+                k.encode()
+        elif isinstance(x, str):
+            x.encode()  # UnicodeEncodeError, a ValueError, for half a surrogate pair
+    return value
+
+
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
@@ -28,11 +64,11 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
     kind = schema.get("type")
     if kind is not None:
         number = isinstance(value, int | float) and not isinstance(value, bool)
-        ok = number and (kind == "number" or float(value).is_integer()) if kind in ("number", "integer") else isinstance(value, _TYPES.get(kind, object))
+        ok = number and (kind == "number" or isinstance(value, int) or value.is_integer()) if kind in ("number", "integer") else isinstance(value, _TYPES.get(kind, object))
         if not ok:
             return [f"{at}: not {kind}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         out.append(f"{at}: not in enum")
     if isinstance(value, int | float) and not isinstance(value, bool):
         out += [f"{at}: below minimum"] * (value < schema.get("minimum", value)) + [f"{at}: above maximum"] * (value > schema.get("maximum", value))
@@ -64,9 +100,9 @@ BLOCKS = "conv_id long, turn long, part int, kind string, id string, name string
 def _parser(schemas: dict[str, dict]):
     def one(kind: str, raw: str):
         try:
-            d = json.loads(raw, parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
-        except (ValueError, RecursionError):
-            return None, None, None, False, "not JSON", []
+            d = parsed(raw)
+        except ValueError as e:
+            return None, None, None, False, "not JSON" if isinstance(e, json.JSONDecodeError) else str(e)[:80] if not isinstance(e, UnicodeError) else "not Unicode", []
         if not isinstance(d, dict):
             return None, None, None, False, "not an object", []
         name = d.get("name") if isinstance(d.get("name"), str) else None
@@ -78,7 +114,7 @@ def _parser(schemas: dict[str, dict]):
         args = d.get("arguments", {})
         if isinstance(args, str):  # arguments as a string of JSON
             try:
-                args = json.loads(args)
+                args = parsed(args)
             except ValueError:
                 return ref, name, canonical(args), False, "arguments: not JSON", []
         if ref is None or name is None:
@@ -112,6 +148,65 @@ def _serialise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("conv_id", "turn", "n_calls", "n_linked", "n_faults", "depth")), pa.array(lines, pa.string())], ["conv_id", "turn", "n_calls", "n_linked", "n_faults", "depth", "message"])
 
 
+def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Depth of each call of whole conversations, sorted by conversation: calls come off as all they need has come off."""
+    held: list[tuple[str, str]] = []
+    last = None
+
+    def levels(conv: int) -> pa.RecordBatch:
+        needs: dict[str, set] = {}
+        users: dict[str, list] = {}
+        for x, y in held:
+            needs.setdefault(x, set()).add(y)
+            users.setdefault(y, []).append(x)
+        depth = dict.fromkeys((y for y in users if y not in needs), 0)
+        work = list(depth)
+        for y in work:  # grows while it is read
+            for x in users.get(y, ()):
+                needs[x].discard(y)
+                if not needs[x]:
+                    depth[x] = depth[y] + 1  # the call that comes off last is among the deepest
+                    work.append(x)
+        names = [x for x in depth if x in needs]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(names), conv)), pa.array(names, pa.string()), pa.array([depth[x] for x in names], pa.int32())], ["conv_id", "id", "depth"])
+
+    for b in batches:
+        for conv, x, y in zip(*(b.column(c).to_pylist() for c in ("conv_id", "id", "need")), strict=True):
+            if conv != last and held:
+                yield levels(last)
+                held = []
+            last = conv
+            held.append((x, y))
+    if held:
+        yield levels(last)
+
+
+def _levels(calls: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(conv_id, id, depth) of every call that is on no cycle and behind none.
+
+    Conversations of up to MOST_EDGES references are ordered in one task each, so a chain of any
+    length takes one step. For longer ones a step over the cluster settles one level.
+    """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    free = calls.join(edges, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("depth"))
+    long = scratch.save(edges.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES).select("conv_id"))
+    short = edges.join(long, "conv_id", "left_anti").repartition(parts, "conv_id").sortWithinPartitions("conv_id")
+    done = free.union(short.mapInArrow(_order, "conv_id long, id string, depth int"))
+    if long.isEmpty():
+        return done
+    edges = scratch.save(edges.join(long, "conv_id", "left_semi"))
+    own = scratch.save(free.join(long, "conv_id", "left_semi"))
+    have = own.count()
+    while True:
+        ready = edges.join(own.select("conv_id", F.col("id").alias("need"), "depth"), ["conv_id", "need"], "left").groupBy("conv_id", "id").agg(F.max("depth").alias("d"), F.count("*").alias("n"), F.count("depth").alias("m")).where("n = m")
+        following = scratch.save(own.where("depth = 0").union(ready.select("conv_id", "id", (F.col("d") + 1).alias("depth"))))
+        scratch.drop(own)
+        now, own = following.count(), following
+        if now == have:
+            return done.union(own.where("depth > 0"))
+        have = now
+
+
 def link(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     """One row a turn: conv_id, turn, n_calls, n_linked, n_faults, depth, message (canonical JSON).
 
@@ -149,15 +244,7 @@ def link(turns: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
     known = needs.join(calls.select("conv_id", F.col("id").alias("need"), F.lit(True).alias("there")), ["conv_id", "need"], "left")
     dangling = known.where("there is null").select("conv_id", "id").distinct().withColumn("dangling", F.lit(True))
     edges = scratch.save(known.where("there").select("conv_id", "id", "need"))
-    depth = scratch.save(calls.join(edges, ["conv_id", "id"], "left_anti").select("conv_id", "id", F.lit(0).alias("depth")))
-    have = depth.count()
-    while True:  # as many rounds as the longest chain has calls
-        ready = edges.join(depth.select("conv_id", F.col("id").alias("need"), "depth"), ["conv_id", "need"], "left").groupBy("conv_id", "id").agg(F.max("depth").alias("d"), F.count("*").alias("n"), F.count("depth").alias("m")).where("n = m")
-        following = scratch.save(depth.where("depth = 0").union(ready.select("conv_id", "id", (F.col("d") + 1).alias("depth"))))
-        now, depth = following.count(), following
-        if now == have:
-            break
-        have = now
+    depth = scratch.save(_levels(calls.select("conv_id", "id"), edges, scratch))
 
     at = F.struct("turn", "part")
     detail = blocks.join(linked, ["conv_id", "id"], "left").join(depth, ["conv_id", "id"], "left").join(dangling, ["conv_id", "id"], "left")

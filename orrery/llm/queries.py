@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from orrery.llm import ann, chat, decontam, licences, near_dup, quality, secrets, shards, spm, urls
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+#: Tools that calls may name, with their arguments' schemas.
+TOOLS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string", "minLength": 1}, "limit": {"type": "integer", "minimum": 1, "maximum": 100}}, "required": ["query"]},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string", "minLength": 1}}, "required": ["url"]},
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string", "minLength": 1}}, "required": ["expression"]},
+    "lookup": {"type": "object", "properties": {"id": {"type": "string", "minLength": 1}, "fields": {"type": "array", "items": {"type": "string"}}}, "required": ["id"]},
+}
 TOKENIZER = os.environ.get("ORRERY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
 
 
@@ -32,7 +39,7 @@ def op1_cross_polytope_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.link(table(spark, sf_dir, "conversations"))
+    return chat.link(table(spark, sf_dir, "conversations"), TOOLS)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
