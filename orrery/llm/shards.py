@@ -7,21 +7,38 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.llm.scratch import Scratch
+
 #: Virtual slots of a table; fixed for its life.
 SLOTS = 4096
+_KEY = ["__id", "text_crc32", "size"]
 
 
-def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with virtual_slot, size (UTF-8 bytes of the text plus 8; null has none) and text_crc32.
+def slotted(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its ``keep`` columns) with virtual_slot, size (UTF-8 bytes of the text plus 8; null has none) and text_crc32.
 
-    The slot hashes the id with the text's checksum, so that rows without an id, or
-    many rows of one id, are dealt out too. Null text has the checksum of no bytes.
-    Columns of these names are replaced.
+    The slot hashes the id with the text's checksum, so rows of one id, or without one, are dealt
+    out by their texts. Rows equal in id, checksum and size that together outweigh half a mean slot,
+    at most two such groups a slot, are dealt over all slots by their place in the table; then the
+    rows are written out, so that later steps see the same slots. Null text has the checksum of no
+    bytes. Columns of the three names are replaced.
     """
     raw = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    crc = F.crc32(raw)
-    docs = docs.drop("virtual_slot", "size", "text_crc32")
-    return docs.withColumns({"size": F.length(raw).cast("long") + 8, "text_crc32": crc.cast("long"), "virtual_slot": F.pmod(F.xxhash64(F.col(id_col), crc), F.lit(slots)).cast("int")})
+    new = {"size": F.length(raw).cast("long") + 8, "text_crc32": F.crc32(raw).cast("long"), "__id": F.col(id_col)}
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("virtual_slot", "size", "text_crc32")]
+    rows = docs.withColumns(new).select(*keep, *new)
+    plain = F.pmod(F.xxhash64("__id", "text_crc32"), F.lit(slots)).cast("int")
+    total = docs.select(F.sum(new["size"])).first()[0] or 0
+    heavy = rows.groupBy(*_KEY).agg(F.count("*").alias("__n")).where((F.col("__n") > 1) & (F.col("__n") * F.col("size") > F.lit(total / slots / 2))).drop("__n")
+    scratch = Scratch(docs.sparkSession, "shards")
+    heavy = scratch.save(heavy)
+    if heavy.isEmpty():
+        return rows.withColumn("virtual_slot", plain).drop("__id")
+    same = [rows[c].eqNullSafe(F.col(f"__{c}")) for c in _KEY]
+    heavy = heavy.select(*[F.col(c).alias(f"__{c}") for c in _KEY], F.lit(True).alias("__heavy"))
+    rows = rows.withColumn("__place", F.monotonically_increasing_id()).join(F.broadcast(heavy), same[0] & same[1] & same[2], "left")
+    dealt = F.pmod(F.xxhash64("__id", "text_crc32", "__place"), F.lit(slots)).cast("int")
+    return scratch.save(rows.select(*keep, "size", "text_crc32", F.when(F.col("__heavy"), dealt).otherwise(plain).alias("virtual_slot")))
 
 
 def weights(rows: DataFrame) -> dict[int, tuple[int, int]]:
@@ -78,12 +95,28 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> tupl
     return version, [r[0] for r in rows.where(F.col("version") == version).orderBy("slot").select("shard").collect()]
 
 
+def current_map(spark: SparkSession, bytes_of: dict[int, tuple[int, int]], shards: int, slots: int, path: str) -> list[int]:
+    """The stored map at ``path``, read back: planned and stored as version 1 where there is none, else its
+    latest version, edited and stored as the next one if the slots' bytes or the shards no longer fit it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(where):
+        save_map(spark, plan(bytes_of, shards, slots), 1, path)
+    version, shard_of = load_map(spark, path)
+    if len(shard_of) != slots:
+        raise ValueError(f"the stored map has {len(shard_of)} slots, not {slots}: a table's slots are fixed")
+    edited = rebalance(shard_of, bytes_of, shards)
+    if edited != shard_of:
+        save_map(spark, edited, version + 1, path)
+        version, shard_of = load_map(spark, path)
+    return shard_of
+
+
 def assign(rows: DataFrame, shard_of: list[int], counts: dict[int, tuple[int, int]], id_col: str = "doc_id") -> DataFrame:
     """``slotted`` rows with shard int and slot long, the row's place in its shard, gapless from 0.
 
     A place is the rows of the shard's earlier virtual slots plus the rank within the
     own one, so ranks are taken in thousands of groups, never over a whole shard. The
-    map is a literal of one entry a virtual slot. Ties in id are ordered by checksum
+    map is a broadcast table of one entry a virtual slot. Ties in id are ordered by checksum
     and size; rows equal in all three are alike.
     """
     base, filled = [0] * len(shard_of), {}
@@ -96,14 +129,16 @@ def assign(rows: DataFrame, shard_of: list[int], counts: dict[int, tuple[int, in
     return rows.drop("shard", "slot", "__base").withColumn("__rank", rank - 1).join(table, "virtual_slot").withColumn("slot", F.col("__base") + F.col("__rank")).drop("__base", "__rank")
 
 
-def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, shard_of: list[int] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Rows of ``docs`` with size, text_crc32, virtual_slot, shard, slot.
+def shard(docs: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` (its ``keep`` columns, the id among them) with size, text_crc32, virtual_slot, shard, slot.
 
-    Every row, also one with null id or text, gets exactly one place. Without a map
-    one is planned from the bytes of each slot, so that shards are near equal in
-    bytes (law `bytes`). An empty table gives no rows.
+    Every row, also one with null id or text, gets exactly one place. Shards are near equal in
+    bytes (law `bytes`), down to the largest single text. The slot-to-shard map is stored in
+    versions at ``map_path`` (below spark.checkpoint.dir by default, for this run alone): a later
+    call with more rows or another count of shards edits it and moves only the slots it must. An
+    empty table gives no rows. Columns of the five names are replaced.
     """
-    rows = slotted(docs, slots, id_col, text_col)
-    rows = rows if keep is None else rows.select(*keep, "size", "text_crc32", "virtual_slot")
+    rows = slotted(docs, slots, id_col, text_col, keep)
     counts = weights(rows)
-    return assign(rows, plan(counts, shards, slots) if shard_of is None else shard_of, counts, id_col)
+    path = map_path or f"{Scratch(docs.sparkSession, 'shard-map').root}/map"
+    return assign(rows, current_map(docs.sparkSession, counts, shards, slots, path), counts, id_col)
