@@ -34,17 +34,17 @@ def rotations(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return x
 
 
-def buckets(x: np.ndarray, table: int, probes: int, seed: int) -> np.ndarray:
-    """The nearest ``probes`` signed axes of each row, nearest first; axis i is i, its negative i + width."""
+def buckets(x: np.ndarray, table: int, probes: int | None, seed: int) -> np.ndarray:
+    """The nearest ``probes`` signed axes (None: all) of each row, nearest first; axis i is i, its negative i + width."""
     y = rotations(x, table, seed)
     both = np.concatenate([y, -y], 1)
-    if probes >= both.shape[1]:
+    if probes is None or probes >= both.shape[1]:
         return np.argsort(-both, 1, kind="stable")
     top = np.argpartition(-both, probes - 1, 1)[:, :probes]
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(both, top, 1), 1, kind="stable"), 1)
 
 
-def _hasher(tables: int, probes: int, seed: int):
+def _hasher(tables: int, probes: int | None, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vec = b.column("vec")
@@ -131,7 +131,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 10,
     Hashing: ``tables`` fast pseudo-rotations send the normalised vector to its
     nearest signed axis; rows are posted under one axis a table, queries look
     under their ``probes`` nearest axes. Every stored row under a probed axis is
-    compared exactly, in double precision, on the original components.
+    compared exactly, in double precision, on the original components. A query that finds
+    fewer than ``k`` rows so looks under all axes of one table, and so at every row.
 
     Equal vectors count once in the tables: of each such class the k+1 smallest ids
     stand for it, which is all that a top-k with ties to the smaller id can name.
@@ -155,10 +156,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 10,
     members = scratch.save(few)
     asking = scratch.save(copies.where("asks").select("class", "id").union(classes.where("asks and n = 1").select("id", F.col("id").alias("b"))))
 
+    near = scratch.save(_found(classes, classes.where("asks"), k, tables, probes, block, seed, scratch))
+    best = scratch.save(_with_members(near, members, k))
+    # an own row is always found; a query with fewer than k others looks under every axis of one table
+    few = best.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") <= k).select(F.col("class").alias("id"))
+    few = scratch.save(classes.where("asks").join(few, "id", "left_semi"))
+    if not few.isEmpty():
+        again = _with_members(_found(classes, few, k, 1, None, block, seed, scratch), members, k)
+        best = best.join(few.select(F.col("id").alias("class")), "class", "left_anti").union(again)
+    pairs = best.join(asking.select("class", F.col("id").alias("query_id")), "class").where("vec_id != query_id")
+    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score")
+
+
+def _found(classes: DataFrame, asking: DataFrame, k: int, tables: int, probes: int | None, block: int, seed: int, scratch: Scratch) -> DataFrame:
+    """(query, found, score) of the best k+1 classes that each asking class meets under its nearest ``probes`` axes (None: all) of each table."""
     schema = T.StructType([*classes.select("id", "vec").schema, T.StructField("codes", T.ArrayType(T.LongType()))])
     coded = lambda df, p: df.select("id", "vec").mapInArrow(_hasher(tables, p, seed), schema).select("id", "vec", F.explode("codes").alias("code"))
     stored = coded(classes, 1)
-    queries = coded(classes.where("asks"), probes)
+    queries = coded(asking, probes)
     many = lambda df, name: df.groupBy("code").agg(F.count("*").alias("rows")).where(F.col("rows") > block).select("code", F.ceil(F.col("rows") / block).alias(name))
     split = scratch.save(many(stored, "parts").join(many(queries, "shares"), "code", "full"))
 
@@ -170,12 +186,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, tables: int = 10,
         return df.select(F.xxhash64("code", part, share).alias("key"), F.lit(is_stored).alias("stored"), "id", "vec")
 
     both = dealt(queries, "shares", "parts", False).union(dealt(stored, "parts", "shares", True))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     hits = both.repartition(n, "key").sortWithinPartitions("key", "stored").mapInArrow(_searcher(k + 1), "query long, found long, score double")
     # k+1 classes hold at least k rows other than the query's own
-    near = hits.groupBy("query", "found").agg(F.min("score").alias("score")).withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("score", "found"))).where(F.col("at") <= k + 1)
+    near = hits.groupBy("query", "found").agg(F.min("score").alias("score"))
+    return near.withColumn("at", F.row_number().over(Window.partitionBy("query").orderBy("score", "found"))).where(F.col("at") <= k + 1).drop("at")
+
+
+def _with_members(near: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """(class, vec_id, score): the best k+1 rows of the found classes."""
     full = near.join(members.select(F.col("class").alias("found"), F.col("id").alias("member")), "found", "left").select(F.col("query").alias("class"), F.coalesce("member", "found").alias("vec_id"), "score")
-    best = full.withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy("score", "vec_id"))).where(F.col("at") <= k + 1).drop("at")
-    pairs = best.join(asking.select("class", F.col("id").alias("query_id")), "class").where("vec_id != query_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return full.withColumn("at", F.row_number().over(Window.partitionBy("class").orderBy("score", "vec_id"))).where(F.col("at") <= k + 1).drop("at")
