@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from orrery.llm.scratch import Scratch
 
+#: Nodes with more edges than this, and than a MOST_HUBS-th of all, are hubs.
+HUB, MOST_HUBS = 1_000, 10_000
+
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of an edge, component being its smallest node.
@@ -14,23 +17,22 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     ``edges`` has two columns of one orderable type; direction, loops and repeats do
     not matter, and edges with a null end are left out. Alternates large-star and
     small-star steps (Kiveris et al., 2014): each is a minimum per node with
-    map-side partial aggregates and one equi-join, so a hub is split like any
-    skewed join key. Every round is written out; the rounds grow with the
-    logarithm of the longest path.
+    map-side partial aggregates and an equi-join. The minima of hubs, of which there
+    are MOST_HUBS at most, are broadcast, so a hub's edges stay where they are.
+    Every round is written out; the rounds grow with the logarithm of the longest path.
     """
     a, b = edges.columns
     e = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     e = scratch.save(e)
     was = _mark(e)
     while was[0]:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        both = _with_least(e.union(e.select("v", "u")), 2 * was[0], scratch).withColumn("m", F.least("u", "m"))
+        large = scratch.save(both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        small = _with_least(large, was[0], scratch).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         following = scratch.save(small.where("u != v").distinct())
         now = _mark(following)
         scratch.drop(e)
+        scratch.drop(large)
         e = following
         if now == was:
             break
@@ -38,6 +40,19 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
+def _with_least(e: DataFrame, count: int, scratch: Scratch) -> DataFrame:
+    """Edges (u, v), of which there are ``count`` at most, with m, the smallest v of their u."""
+    low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    most = max(HUB, count // MOST_HUBS)
+    if count <= most:
+        return e.join(low.drop("n"), "u")
+    hubs = scratch.save(low.where(F.col("n") > most).drop("n"))  # fewer than count / most rows
+    if hubs.isEmpty():
+        return e.join(low.drop("n"), "u")
+    rest = e.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(low.where(F.col("n") <= most).drop("n"), "u")
+    return rest.union(e.join(F.broadcast(hubs), "u"))
+
+
 def _mark(e: DataFrame) -> tuple:
     """Equal for equal edge sets."""
     return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())

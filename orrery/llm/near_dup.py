@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
 from orrery.llm.components import connected_components
-from orrery.llm.scratch import Scratch, extended
+from orrery.llm.scratch import Scratch
 
 #: Signature coordinates, and the least number that a pair must share. The value of a
 #: coordinate is two minima, so sets of similarity s share it with probability s * s:
 #: by chance alone values seldom meet. At a similarity of 0.8 a pair shares fewer than
-#: 8 of 32 with probability 3e-6.
+#: 8 of 32 with probability 1.4e-6.
 COORDINATES, LEAST = 32, 8
 #: Rows of a posting list that are compared at once; longer lists are dealt in blocks.
 BLOCK = 1024
@@ -66,8 +66,7 @@ def _setter(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, sets in _sets(b, k):
-                names = [c for c in b.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, j - i) for c in names), pa.array([s.tobytes() for s in sets], pa.binary())], [*names, "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
 
     return run
 
@@ -262,19 +261,22 @@ def _confirmer(similarity: float):
     return run
 
 
-def _with_sets(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
-    """``rows`` with the shingle set of their id's texts. Texts meet the rows by id, and only sets move on."""
-    own = texts.join(rows.select("id"), "id", "left_semi").distinct().join(rows, "id")
-    return own.mapInArrow(_setter(k), extended(rows, ["id", *(c for c in rows.columns if c != "id")], "shingles binary"))
+def _sets_of(ids: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(id, shingles): the set of each of the ids' texts, made once and written out."""
+    own = texts.join(ids.distinct(), "id", "left_semi").distinct()
+    return scratch.save(own.mapInArrow(_setter(k), "id long, shingles binary"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough. A document's set is made once and moves once a pair."""
+    """The pairs whose full shingle sets are similar enough. A document's set is made once; a lead's goes to each share of its pairs."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(64)))
     asked = scratch.save(pairs.select("a", "share").distinct().select(F.col("a").alias("head"), "share", F.col("a").alias("id"), F.lit(True).alias("lead")).union(pairs.select(F.col("a"), "share", "b", F.lit(False))))
-    rows = _with_sets(asked, texts, k).repartition(parts, "head", "share").sortWithinPartitions("head", "share", F.col("lead").desc())
-    return scratch.save(rows.mapInArrow(_confirmer(similarity), "a long, b long"))
+    sets = _sets_of(asked.select("id"), texts, k, scratch)
+    rows = asked.join(sets, "id").repartition(parts, "head", "share").sortWithinPartitions("head", "share", F.col("lead").desc())
+    found = scratch.save(rows.mapInArrow(_confirmer(similarity), "a long, b long"))
+    scratch.drop(sets)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,8 +339,10 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     group = connected_components(near, scratch).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     group = scratch.save(group.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
     dealt = _dealt(group, scratch)
-    rows = _with_sets(dealt, texts, k).repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
+    sets = _sets_of(group.select("id"), texts, k, scratch)
+    rows = dealt.join(sets, "id").repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
     second = scratch.save(rows.mapInArrow(_linked(similarity), "a long, b long").distinct())
+    scratch.drop(sets)
     last = scratch.save(connected_components(second, scratch))
 
     rep = classes.select("n", "h1", "h2", F.col("id").alias("rep"))
