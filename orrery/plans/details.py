@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from orrery.functions import pii
 from orrery.functions import scoring as S
 from orrery.functions import text as X
 from orrery.functions import vector as V
@@ -135,23 +134,6 @@ def audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_ranges(table(spark, sf_dir, "conversations").select("conv_id", (F.col("conv_id") % 97 + 3).cast("double").alias("d")).distinct(), "conv_id", "d")
 
 
-_ITEMS = ["여권 M12345678 끝", "면허 11-22-333333-44", "xM12345678", "A11-22-333333-445"]
-
-
-@query("oj2_passport_licence", "SELECT t, nullif(regexp_extract(t, '(?:^|[^A-Za-z0-9])([MSRODmsrod][0-9]{8})(?:$|[^0-9])', 1), '') AS passport, nullif(regexp_extract(t, '(?:^|[^0-9-])([0-9]{2}-[0-9]{2}-[0-9]{6}-[0-9]{2})(?:$|[^0-9-])', 1), '') AS licence FROM (VALUES " + ", ".join(f"('{t}')" for t in _ITEMS) + ") v(t)")
-def passport_licence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(t,) for t in _ITEMS], "t string")
-    return rows.select("t", F.get(pii.findings(F.col("t"), "PASSPORT"), 0).alias("passport"), F.get(pii.findings(F.col("t"), "DRIVER"), 0).alias("licence"))
-
-
-@query("oj6_chunk_scan", f"WITH c AS (SELECT doc_id, trim(substr(text, i + 1, 500)) AS t, i FROM (SELECT doc_id, text, unnest(range(0, greatest(length(text), 1), 400)) AS i FROM documents)) SELECT doc_id, len(regexp_extract_all(t, '{pii.PATTERNS['EMAIL']}'))::INT AS n, i::INT AS start FROM c WHERE contains(t, '@') AND len(regexp_extract_all(t, '{pii.PATTERNS['EMAIL']}')) > 0")
-def chunk_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of each overlapping chunk, before any merge over chunks."""
-    c = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(400))).alias("start"))
-    c = c.select("doc_id", "start", F.trim(F.substring("text", F.col("start") + 1, F.lit(500))).alias("t")).where(F.col("t").contains("@"))
-    return c.select("doc_id", F.size(pii.findings(F.col("t"), "EMAIL")).alias("n"), "start").where("n > 0")
-
-
 @query(
     "om1_self_pair_null",
     f"WITH {AXES_SQL}, n AS (SELECT count(*) AS n FROM axes), p AS (SELECT list_sum(list_transform(list_zip(a.re, b.re), lambda p: p[1] * p[2])) AS s FROM axes a, n, axes b WHERE b.row_id = (a.row_id * 7919 + 13) % n.n AND b.row_id <> a.row_id) SELECT round(avg(s), 6) AS mu, round(stddev_pop(s), 6) AS sd, round(avg(s) + 1.6448536269514722 * stddev_pop(s), 5) AS threshold, count(*) AS n FROM p",
@@ -186,7 +168,6 @@ def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 relational("ob12_content_stub", "SELECT page_id FROM {pages} WHERE regexp_extract(url, '([^/]*)$', 1) RLIKE '[가-힣]{2,}|[a-zA-Z]{4,}'", "SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)$', 1), '[가-힣]{2,}|[a-zA-Z]{4,}')")
 relational("ob14_rerank_floor", "SELECT vec_id FROM {embeddings} WHERE label % 5 >= 3 OR CAST(embedding[0] AS DOUBLE) * 40 >= -5", "SELECT vec_id FROM embeddings WHERE label % 5 >= 3 OR embedding[1]::DOUBLE * 40 >= -5")
 relational("ob11_av_cap", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3D AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40D) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM {conversations} GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01D) AS sd FROM (SELECT avg(length(text)) AS s FROM {conversations} GROUP BY conv_id))", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3 AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM conversations GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01) AS sd FROM (SELECT avg(length(text)) AS s FROM conversations GROUP BY conv_id))")
-relational("oc10_span_blocks", "SELECT b.conv_id, b.turn FROM (SELECT conv_id, turn, length(text) AS n, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS a FROM {conversations}) b JOIN (SELECT conv_id, min(a + instr(text, 'the') - 1) AS s, min(a + instr(text, 'the') + 2) AS e FROM (SELECT conv_id, text, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) - length(text) - 1 AS a FROM {conversations}) WHERE instr(text, 'the') > 0 GROUP BY conv_id) f ON f.conv_id = b.conv_id AND f.s < b.a + b.n AND f.e > b.a")
 relational("og13_registry_gc", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON l.doc_id = d.doc_id", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 relational("oh11_av_boost", "SELECT conv_id, turn, 0.10D * m + CASE WHEN m >= 2 THEN 0.20D ELSE 0.0D END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM {conversations})", "SELECT conv_id, turn, 0.10::DOUBLE * m + CASE WHEN m >= 2 THEN 0.20 ELSE 0.0 END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM conversations)")
 relational("oh12_title_boost", "SELECT page_id, 1.5D * h AS boost, CASE WHEN h > 0 THEN 0.60D ELSE 0.0D END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM {pages})", "SELECT page_id, 1.5::DOUBLE * h AS boost, CASE WHEN h > 0 THEN 0.60::DOUBLE ELSE 0.0 END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM pages)")
@@ -200,10 +181,6 @@ relational("oi7_rerank_discount", "SELECT vec_id, round(CASE WHEN label % 5 < 3
 relational("oi12_feature_tags", "SELECT vec_id, concat_ws(',', CASE WHEN bpm < 75 THEN 'slow' WHEN bpm < 110 THEN 'medium-tempo' ELSE 'fast' END, CASE WHEN hp > 5 THEN 'melodic' WHEN hp < 0.5D THEN 'rhythmic' END, CASE WHEN rms < 0.02D THEN 'quiet' WHEN rms > 0.15D THEN 'loud' END) AS tags FROM (SELECT vec_id, 60 + abs(CAST(embedding[0] AS DOUBLE)) * 400 AS bpm, abs(CAST(embedding[1] AS DOUBLE)) * 30 AS hp, abs(CAST(embedding[2] AS DOUBLE)) AS rms FROM {embeddings})", "SELECT vec_id, concat_ws(',', CASE WHEN bpm < 75 THEN 'slow' WHEN bpm < 110 THEN 'medium-tempo' ELSE 'fast' END, CASE WHEN hp > 5 THEN 'melodic' WHEN hp < 0.5 THEN 'rhythmic' END, CASE WHEN rms < 0.02 THEN 'quiet' WHEN rms > 0.15 THEN 'loud' END) AS tags FROM (SELECT vec_id, 60 + abs(embedding[1]::DOUBLE) * 400 AS bpm, abs(embedding[2]::DOUBLE) * 30 AS hp, abs(embedding[3]::DOUBLE) AS rms FROM embeddings)")
 relational("oi17_json_arrays", "SELECT doc_id, to_json(array(lang, source)) AS j, from_json(to_json(array(lang, source)), 'array<string>')[1] AS back FROM {documents}", "SELECT doc_id, to_json([lang, source])::VARCHAR AS j, to_json([lang, source])->>1 AS back FROM documents")
 relational("oi18_iso_times", "SELECT user_id, max(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")) AS latest FROM {events} GROUP BY user_id", "SELECT user_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS latest FROM events GROUP BY user_id")
-relational("oj5_card_check", "SELECT doc_id, luhn_check(lpad(CAST(doc_id * 7919 AS STRING), 16, '4')) AS valid FROM {documents}", "SELECT doc_id, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN substr(d, i, 1)::INT WHEN substr(d, i, 1)::INT > 4 THEN substr(d, i, 1)::INT * 2 - 9 ELSE substr(d, i, 1)::INT * 2 END)) % 10 = 0 AS valid FROM (SELECT doc_id, lpad((doc_id * 7919)::VARCHAR, 16, '4') AS d FROM documents)")
-relational("oj8_output_scan", "SELECT doc_id, text RLIKE '@[a-z]+[.]' AS found, md5(regexp_replace(text, '[a-z.]+@[a-z]+[.][a-z]+', '')) AS cleaned FROM {documents}", "SELECT doc_id, regexp_matches(text, '@[a-z]+[.]') AS found, md5(regexp_replace(text, '[a-z.]+@[a-z]+[.][a-z]+', '', 'g')) AS cleaned FROM documents")
-relational("oj13_critic_cascade", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN text RLIKE '@[a-z]+[.]' THEN 'pii' WHEN text RLIKE '(?i)ignore (all )?previous' THEN 'bypass' WHEN length(text) > 2000 THEN 'bulk' WHEN text RLIKE '[0-9]{6,}' THEN 'number' WHEN contains(lower(text), 'password') THEN 'secret' ELSE 'pass' END AS verdict FROM {conversations}", "SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN regexp_matches(text, '@[a-z]+[.]') THEN 'pii' WHEN regexp_matches(text, '(?i)ignore (all )?previous') THEN 'bypass' WHEN length(text) > 2000 THEN 'bulk' WHEN regexp_matches(text, '[0-9]{6,}') THEN 'number' WHEN contains(lower(text), 'password') THEN 'secret' ELSE 'pass' END AS verdict FROM conversations")
-relational("oj16_adjacent_pairs", "SELECT conv_id, turn, concat(text, ' ', coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '')) RLIKE '[0-9]+ [0-9]+|@' AS found FROM {conversations}", "SELECT conv_id, turn, regexp_matches(concat(text, ' ', coalesce(lead(text) OVER (PARTITION BY conv_id ORDER BY turn), '')), '[0-9]+ [0-9]+|@') AS found FROM conversations")
 relational("ok5_memory", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) WHERE rn <= 40")
 relational("ok8_recalibration_trigger", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1D AS due FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1 AS due FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
 relational("oo6_purge_changed", "SELECT p.page_id FROM {pages} p LEFT ANTI JOIN (SELECT doc_id FROM {labels} WHERE quality = 0) l ON l.doc_id = p.page_id", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")

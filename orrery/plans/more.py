@@ -8,7 +8,6 @@ relational("oc9_window_speech", "SELECT conv_id, start, count(turn) AS turns FRO
 relational("oc5_path_lookup", "SELECT p.page_id, coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN 'id' WHEN b.doc_id IS NOT NULL THEN 'half' ELSE 'none' END AS via FROM {pages} p LEFT JOIN {labels} a ON a.doc_id = p.page_id LEFT JOIN {labels} b ON b.doc_id = p.page_id * 2 + 1")
 relational("oc14_fuzzy_cascade", "SELECT page_id, min_by(item_id, struct(prio, item_id)) AS item_id FROM (SELECT p.page_id, b.item_id, CASE WHEN p.page_id = b.item_id THEN 0 WHEN p.page_id % 40 = b.item_id THEN 1 ELSE 2 END AS prio FROM {pages} p JOIN {benchmark} b ON p.page_id % 40 = b.item_id % 40) GROUP BY page_id", "SELECT page_id, min_by(item_id, prio * 1000000 + item_id) AS item_id FROM (SELECT p.page_id, b.item_id, CASE WHEN p.page_id = b.item_id THEN 0 WHEN p.page_id % 40 = b.item_id THEN 1 ELSE 2 END AS prio FROM pages p JOIN benchmark b ON p.page_id % 40 = b.item_id % 40) GROUP BY page_id")
 relational("od9_forced_keywords", "SELECT source AS token, count(*) AS df FROM {documents} GROUP BY source UNION ALL SELECT k, 0 FROM (SELECT explode(array('src0', 'forced')) AS k) f LEFT ANTI JOIN {documents} d ON d.source = f.k", "SELECT source AS token, count(*) AS df FROM documents GROUP BY source UNION ALL SELECT k, 0 FROM (VALUES ('src0'), ('forced')) f(k) WHERE k NOT IN (SELECT source FROM documents)")
-relational("od13_feature_map", "SELECT source, max(toxic) = 1 AS contains_pii, round(avg(CAST(toxic AS DOUBLE)), 6) AS ratio, sum(toxic) > 5 AS bulk, round(least(1.0D, max(CAST(toxic AS DOUBLE)) * 0.6D + CASE WHEN sum(toxic) > 5 THEN 0.4D ELSE 0.0D END), 6) AS sensitivity FROM {documents} d JOIN {labels} l ON d.doc_id = l.doc_id GROUP BY source", "SELECT source, max(toxic) = 1 AS contains_pii, round(avg(toxic::DOUBLE), 6) AS ratio, sum(toxic) > 5 AS bulk, round(least(1.0::DOUBLE, max(toxic::DOUBLE) * 0.6 + CASE WHEN sum(toxic) > 5 THEN 0.4 ELSE 0.0 END), 6) AS sensitivity FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY source")
 relational("of4_flat_quota", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE rn <= 5")
 relational("of6_rerank_head", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rn <= 5 THEN 0 ELSE 1 END, CASE WHEN rn <= 5 THEN value END DESC NULLS LAST, rn) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events})")
 relational("of7_systematic_sample", "SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE (rn - 1) % 7 = 0")

@@ -10,6 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrery.sources import catalog
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES: tuple[str, ...] = ("vectors", "ranking", "lexical", "maintenance", "media", "privacy", "evaluation", "more", "details")
@@ -38,7 +40,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 
 def relational(name: str, text: str, oracle: str | None = None) -> None:
-    """A query in SQL that Catalyst plans; tables as {name}. The oracle is the same text unless its dialect differs."""
+    """A query in SQL that Catalyst plans; raw tables and those of the catalog as {name}. The oracle is the same text unless its dialect differs."""
+    text, oracle = catalog.expand(text), catalog.expand(text if oracle is None else oracle)
     used = [t for t in TABLES if "{" + t + "}" in text]
     text_of = text.replace("{", "{{").replace("}", "}}")  # braces of patterns are not placeholders
     for t in used:
@@ -48,10 +51,22 @@ def relational(name: str, text: str, oracle: str | None = None) -> None:
         return spark.sql(text_of, **{t: table(spark, sf_dir, t) for t in used})
 
     run.__name__ = name
-    sql = text if oracle is None else oracle
+    query(name, raw(oracle))(run)
+
+
+def raw(sql: str) -> str:
+    """Oracle text with the catalog's and the raw tables in place of their names in braces."""
+    sql = catalog.expand(sql)
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
-    query(name, sql)(run)
+    return sql
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the catalog."""
+    text = catalog.expand(catalog.VIEWS[name])
+    used = [t for t in TABLES if "{" + t + "}" in text]
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def _load() -> None:
