@@ -168,7 +168,6 @@ def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 relational("ob12_content_stub", "SELECT page_id FROM {pages} WHERE regexp_extract(url, '([^/]*)$', 1) RLIKE '[가-힣]{2,}|[a-zA-Z]{4,}'", "SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)$', 1), '[가-힣]{2,}|[a-zA-Z]{4,}')")
 relational("ob14_rerank_floor", "SELECT vec_id FROM {embeddings} WHERE label % 5 >= 3 OR CAST(embedding[0] AS DOUBLE) * 40 >= -5", "SELECT vec_id FROM embeddings WHERE label % 5 >= 3 OR embedding[1]::DOUBLE * 40 >= -5")
 relational("ob11_av_cap", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3D AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40D) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM {conversations} GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01D) AS sd FROM (SELECT avg(length(text)) AS s FROM {conversations} GROUP BY conv_id))", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3 AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM conversations GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01) AS sd FROM (SELECT avg(length(text)) AS s FROM conversations GROUP BY conv_id))")
-relational("og13_registry_gc", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON l.doc_id = d.doc_id", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 relational("oh11_av_boost", "SELECT conv_id, turn, 0.10D * m + CASE WHEN m >= 2 THEN 0.20D ELSE 0.0D END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM {conversations})", "SELECT conv_id, turn, 0.10::DOUBLE * m + CASE WHEN m >= 2 THEN 0.20 ELSE 0.0 END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM conversations)")
 relational("oh12_title_boost", "SELECT page_id, 1.5D * h AS boost, CASE WHEN h > 0 THEN 0.60D ELSE 0.0D END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM {pages})", "SELECT page_id, 1.5::DOUBLE * h AS boost, CASE WHEN h > 0 THEN 0.60::DOUBLE ELSE 0.0 END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM pages)")
 relational("oh19_intent", "SELECT conv_id, turn, CASE WHEN lower(text) RLIKE 'song|music|sound' THEN 'music' WHEN lower(text) RLIKE 'video|movie|scene' THEN 'movie' WHEN lower(text) RLIKE 'photo|image|picture' THEN 'image' ELSE 'doc' END AS domain FROM {conversations}", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'song|music|sound') THEN 'music' WHEN regexp_matches(lower(text), 'video|movie|scene') THEN 'movie' WHEN regexp_matches(lower(text), 'photo|image|picture') THEN 'image' ELSE 'doc' END AS domain FROM conversations")
@@ -183,7 +182,6 @@ relational("oi17_json_arrays", "SELECT doc_id, to_json(array(lang, source)) AS j
 relational("oi18_iso_times", "SELECT user_id, max(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")) AS latest FROM {events} GROUP BY user_id", "SELECT user_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS latest FROM events GROUP BY user_id")
 relational("ok5_memory", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) WHERE rn <= 40")
 relational("ok8_recalibration_trigger", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1D AS due FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1 AS due FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
-relational("oo6_purge_changed", "SELECT p.page_id FROM {pages} p LEFT ANTI JOIN (SELECT doc_id FROM {labels} WHERE quality = 0) l ON l.doc_id = p.page_id", "SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
 relational("oo8_query_variants", "SELECT doc_id, array_join(slice(array_distinct(array(lang, source, lang, lower(source))), 1, 3), '|') AS variants FROM {documents}", "SELECT doc_id, CASE WHEN source = lower(source) THEN lang || '|' || source ELSE lang || '|' || source || '|' || lower(source) END AS variants FROM documents")
 relational("oo13_caption_gate", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '')) > 0.05D * length(text) OR length(regexp_replace(text, '[^\\\\x00-\\\\x08]', '')) > 0.05D * length(text) THEN '' ELSE substr(text, 1, 40) END AS caption FROM {documents}", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g')) > 0.05 * length(text) OR length(regexp_replace(text, '[^\\x00-\\x08]', '', 'g')) > 0.05 * length(text) THEN '' ELSE substr(text, 1, 40) END AS caption FROM documents")
 relational("oo14_rerank_passage", "SELECT p.page_id, substr(coalesce(nullif(trim(b.text), ''), nullif(trim(d.text), ''), p.url), 1, 800) AS passage FROM {pages} p LEFT JOIN {benchmark} b ON b.item_id = p.page_id LEFT JOIN {documents} d ON d.doc_id = p.page_id")

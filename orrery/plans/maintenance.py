@@ -6,17 +6,10 @@ from orrery.plans.registry import relational
 
 relational("oc2_history_latest", "SELECT h.event_id, h.event_type, h.user_id FROM {events} h JOIN (SELECT user_id, event_type, max(ts) AS at FROM {events} GROUP BY user_id, event_type) m ON h.user_id = m.user_id AND h.event_type = m.event_type AND h.ts = m.at")
 relational("oc3_registry_lookup", "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
-relational("oc4_prioritised_lookup", "SELECT d.doc_id, coalesce(a.quality, b.quality, -1) AS quality FROM {documents} d LEFT JOIN {labels} a ON a.doc_id = d.doc_id LEFT JOIN {labels} b ON b.doc_id = d.doc_id + 1")
-relational("oc6_orphans", "SELECT doc_id FROM {labels} WHERE doc_id % 3 = 0 AND doc_id NOT IN (SELECT doc_id FROM {documents} WHERE n_chars > 1000)", "SELECT doc_id FROM {labels} l WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {documents} d WHERE d.doc_id = l.doc_id AND n_chars > 1000)")
-relational("oc7_unregistered", "SELECT d.doc_id FROM {documents} d LEFT ANTI JOIN {labels} l ON d.doc_id = l.doc_id", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 relational("oc13_semi", "SELECT d.doc_id FROM {documents} d LEFT SEMI JOIN {labels} l ON d.doc_id = l.doc_id AND l.toxic = 1", "SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1)")
 relational("od10_type_counts", "SELECT source, lang, count(*) AS n, count(DISTINCT n_chars) AS sizes, sum(n_chars) AS chars FROM {documents} GROUP BY source, lang", "SELECT source, lang, count(*) AS n, count(DISTINCT n_chars) AS sizes, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source, lang")
 relational("od11_document_list", "SELECT coalesce(source, '') AS k, count(*) AS n, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END) AS en, max(doc_id) AS last FROM {documents} WHERE length(text) > 0 GROUP BY coalesce(source, '')", "SELECT coalesce(source, '') AS k, count(*) AS n, sum(CASE WHEN lang = 'en' THEN 1 ELSE 0 END)::BIGINT AS en, max(doc_id) AS last FROM documents WHERE length(text) > 0 GROUP BY coalesce(source, '')")
-relational("od14_sha_duplicates", "SELECT sha, doc_id, rn = 1 AS keep FROM (SELECT sha, doc_id, CAST(row_number() OVER (PARTITION BY sha ORDER BY doc_id) AS INT) AS rn, count(*) OVER (PARTITION BY sha) AS n FROM (SELECT doc_id, md5(text) AS sha FROM {documents})) WHERE n > 1")
-relational("od15_time_estimate", "SELECT lang, CAST(round(sum(CASE lang WHEN 'en' THEN 1.0 WHEN 'de' THEN 1.5 ELSE 2.0 END + n_chars / 1000.0), 4) AS DOUBLE) AS seconds FROM {documents} GROUP BY lang")
 relational("og1_prune_stale", "SELECT vec_id, label FROM {embeddings} e LEFT ANTI JOIN {labels} l ON e.vec_id = l.doc_id AND l.quality = 0", "SELECT vec_id, label FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = e.vec_id AND l.quality = 0)")
-relational("og2_replace_by_file", "SELECT vec_id, label FROM {embeddings} WHERE label != 3 UNION ALL SELECT vec_id + 1000000, label FROM {embeddings} WHERE label = 3")
-relational("og3_incremental_diff", "SELECT coalesce(o.doc_id, n.doc_id) AS doc_id, CASE WHEN o.doc_id IS NULL THEN 'new' WHEN n.doc_id IS NULL THEN 'deleted' WHEN o.sha != n.sha THEN 'modified' ELSE 'same' END AS state FROM (SELECT doc_id, md5(text) AS sha FROM {documents} WHERE doc_id % 10 != 1) o FULL OUTER JOIN (SELECT doc_id, md5(CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END) AS sha FROM {documents} WHERE doc_id % 10 != 2) n ON o.doc_id = n.doc_id")
 relational("og5_consistency", "SELECT count(*) AS docs, count(l.doc_id) AS labelled, count(*) - count(l.doc_id) AS missing FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
 relational("og6_keep_first", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE rn = 1")
 relational("og7_ordered_distinct", "SELECT user_id, array_join(array_distinct(transform(array_sort(collect_list(struct(ts, event_id, event_type))), x -> x.event_type)), ',') AS kinds FROM {events} GROUP BY user_id", "SELECT user_id, string_agg(event_type, ',' ORDER BY f, g) AS kinds FROM (SELECT user_id, event_type, min(ts) AS f, min_by(event_id, ts) AS g FROM events GROUP BY user_id, event_type) GROUP BY user_id")
@@ -24,9 +17,7 @@ relational("og8_set_difference", "SELECT lang, size(array_intersect(a, b)) AS bo
 relational("og9_history_dedup", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1")
 relational("og11_duplicate_upload", "SELECT d.doc_id FROM {documents} d LEFT SEMI JOIN (SELECT md5(text) AS h, min(doc_id) AS first FROM {documents} GROUP BY md5(text)) k ON md5(d.text) = k.h AND d.doc_id > k.first", "SELECT doc_id FROM documents d WHERE doc_id > (SELECT min(doc_id) FROM documents x WHERE md5(x.text) = md5(d.text))")
 relational("og12_alias_union", "SELECT md5(text) AS sha, array_join(array_sort(collect_list(CAST(doc_id AS STRING))), ',') AS aliases FROM {documents} GROUP BY md5(text) HAVING count(*) > 1", "SELECT md5(text) AS sha, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS aliases FROM documents GROUP BY md5(text) HAVING count(*) > 1")
-relational("oa13_upsert", "SELECT doc_id, quality FROM {labels} l LEFT ANTI JOIN (SELECT doc_id FROM {documents} WHERE source = 'src0') d ON d.doc_id = l.doc_id UNION ALL SELECT doc_id, 9 FROM {documents} WHERE source = 'src0'", "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE source = 'src0') UNION ALL SELECT doc_id, 9 FROM documents WHERE source = 'src0'")
 relational("oo1_merge_types", "SELECT label, max(s) AS best FROM (SELECT label, round(CAST(embedding[0] AS DOUBLE), 6) AS s FROM {embeddings} UNION ALL SELECT label, round(CAST(embedding[1] AS DOUBLE), 6) FROM {embeddings}) GROUP BY label", "SELECT label, max(s) AS best FROM (SELECT label, round(embedding[1]::DOUBLE, 6) AS s FROM embeddings UNION ALL SELECT label, round(embedding[2]::DOUBLE, 6) FROM embeddings) GROUP BY label")
 relational("od1_best_per_file", "SELECT label, max_by(vec_id, struct(s, -vec_id)) AS vec_id, round(max(s), 4) AS best FROM (SELECT label, vec_id, CAST(embedding[0] AS DOUBLE) AS s FROM {embeddings}) GROUP BY label", "SELECT label, arg_max(vec_id, s) AS vec_id, round(max(s), 4) AS best FROM (SELECT label, vec_id, embedding[1]::DOUBLE AS s FROM embeddings) GROUP BY label")
 relational("od2_two_source_score", "SELECT label, round(0.6 * coalesce(max(CASE WHEN vec_id % 2 = 0 THEN s END), 0) + 0.4 * coalesce(max(CASE WHEN vec_id % 2 = 1 THEN s END), 0), 6) AS score FROM (SELECT label, vec_id, CAST(embedding[0] AS DOUBLE) AS s FROM {embeddings}) GROUP BY label", "SELECT label, round(0.6 * coalesce(max(CASE WHEN vec_id % 2 = 0 THEN s END), 0) + 0.4 * coalesce(max(CASE WHEN vec_id % 2 = 1 THEN s END), 0), 6) AS score FROM (SELECT label, vec_id, embedding[1]::DOUBLE AS s FROM embeddings) GROUP BY label")
 relational("od6_percentiles", "SELECT event_type, round(percentile(value, 0.95), 6) AS p95, round(percentile(value, 0.99), 6) AS p99, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM {events} GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")
-relational("od16_summary_candidate", "SELECT d.doc_id, d.source FROM {documents} d JOIN (SELECT source FROM {documents} GROUP BY source ORDER BY count(*) DESC, sum(n_chars) DESC, source LIMIT 1) s ON d.source = s.source")

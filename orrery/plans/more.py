@@ -5,8 +5,6 @@ from __future__ import annotations
 from orrery.plans.registry import relational
 
 relational("oc9_window_speech", "SELECT conv_id, start, count(turn) AS turns FROM (SELECT w.conv_id, w.start, s.turn FROM (SELECT DISTINCT conv_id, CAST(start AS INT) AS start FROM {conversations} LATERAL VIEW explode(sequence(0, 60, 15)) t AS start) w LEFT JOIN (SELECT conv_id, turn, turn * 12 AS a, turn * 12 + length(text) % 20 AS b FROM {conversations}) s ON s.conv_id = w.conv_id AND s.b >= w.start AND s.a <= w.start + 30) GROUP BY conv_id, start", "SELECT w.conv_id, w.start::INT AS start, count(s.turn) AS turns FROM (SELECT DISTINCT conv_id, t.start FROM conversations, range(0, 61, 15) t(start)) w LEFT JOIN (SELECT conv_id, turn, turn * 12 AS a, turn * 12 + length(text) % 20 AS b FROM conversations) s ON s.conv_id = w.conv_id AND s.b >= w.start AND s.a <= w.start + 30 GROUP BY w.conv_id, w.start")
-relational("oc5_path_lookup", "SELECT p.page_id, coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NOT NULL THEN 'id' WHEN b.doc_id IS NOT NULL THEN 'half' ELSE 'none' END AS via FROM {pages} p LEFT JOIN {labels} a ON a.doc_id = p.page_id LEFT JOIN {labels} b ON b.doc_id = p.page_id * 2 + 1")
-relational("oc14_fuzzy_cascade", "SELECT page_id, min_by(item_id, struct(prio, item_id)) AS item_id FROM (SELECT p.page_id, b.item_id, CASE WHEN p.page_id = b.item_id THEN 0 WHEN p.page_id % 40 = b.item_id THEN 1 ELSE 2 END AS prio FROM {pages} p JOIN {benchmark} b ON p.page_id % 40 = b.item_id % 40) GROUP BY page_id", "SELECT page_id, min_by(item_id, prio * 1000000 + item_id) AS item_id FROM (SELECT p.page_id, b.item_id, CASE WHEN p.page_id = b.item_id THEN 0 WHEN p.page_id % 40 = b.item_id THEN 1 ELSE 2 END AS prio FROM pages p JOIN benchmark b ON p.page_id % 40 = b.item_id % 40) GROUP BY page_id")
 relational("od9_forced_keywords", "SELECT source AS token, count(*) AS df FROM {documents} GROUP BY source UNION ALL SELECT k, 0 FROM (SELECT explode(array('src0', 'forced')) AS k) f LEFT ANTI JOIN {documents} d ON d.source = f.k", "SELECT source AS token, count(*) AS df FROM documents GROUP BY source UNION ALL SELECT k, 0 FROM (VALUES ('src0'), ('forced')) f(k) WHERE k NOT IN (SELECT source FROM documents)")
 relational("of4_flat_quota", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE rn <= 5")
 relational("of6_rerank_head", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rn <= 5 THEN 0 ELSE 1 END, CASE WHEN rn <= 5 THEN value END DESC NULLS LAST, rn) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events})")
@@ -18,4 +16,3 @@ relational("oh2_bounded_tokens", "SELECT doc_id, size(regexp_extract_all(text, '
 relational("oh3_suffix_backoff", "SELECT DISTINCT w, substr(w, 1, length(w) - k) AS stem FROM (SELECT explode(array('대학교에서', '학교가', '서울')) AS w) LATERAL VIEW explode(sequence(1, 3)) t AS k WHERE length(w) - k >= 2", "SELECT DISTINCT w, substr(w, 1, length(w) - k) AS stem FROM (VALUES ('대학교에서'), ('학교가'), ('서울')) v(w), (VALUES (1), (2), (3)) t(k) WHERE length(w) - k >= 2")
 relational("om4_file_null", "SELECT label, round(percentile(s, 0.95), 6) AS p95, round(percentile(s, 0.99), 6) AS p99 FROM (SELECT label, CAST(embedding[3] AS DOUBLE) AS s FROM {embeddings}) GROUP BY label", "SELECT label, round(quantile_cont(s, 0.95), 6) AS p95, round(quantile_cont(s, 0.99), 6) AS p99 FROM (SELECT label, embedding[4]::DOUBLE AS s FROM embeddings) GROUP BY label")
 relational("oo4_page_text", "SELECT p.page_id, length(concat_ws('|', l.quality, p.url)) AS chars FROM {pages} p LEFT JOIN {labels} l ON l.doc_id = p.page_id", "SELECT p.page_id, length(concat_ws('|', l.quality, p.url))::INT AS chars FROM pages p LEFT JOIN labels l ON l.doc_id = p.page_id")
-relational("oo25_upload_validation", "SELECT page_id, url RLIKE '[.]html([?#]|$)' AND length(html) <= 104857600 AS ok FROM {pages}", "SELECT page_id, regexp_matches(url, '[.]html([?#]|$)') AND length(html) <= 104857600 AS ok FROM pages")

@@ -14,7 +14,7 @@ from orrery.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("vectors", "ranking", "lexical", "maintenance", "media", "privacy", "evaluation", "more", "details")
+MODULES: tuple[str, ...] = ("vectors", "registers", "ranking", "lexical", "maintenance", "media", "privacy", "evaluation", "more", "details")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
@@ -64,7 +64,12 @@ def raw(sql: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the catalog."""
-    text = catalog.expand(catalog.VIEWS[name])
+    return sql(spark, sf_dir, catalog.VIEWS[name])
+
+
+def sql(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query over the catalog's and the raw tables, their names in braces."""
+    text = catalog.expand(text)
     used = [t for t in TABLES if "{" + t + "}" in text]
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
