@@ -37,7 +37,7 @@ def pages(text: Column, size: int = 1500) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, "(?<=[.!?。])\\s+|\\n+"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(text, "(?<=[.!?。])\\s+|\\n+"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def best_snippet(text: Column, words: Column, width: int = 220) -> Column:
@@ -48,9 +48,25 @@ def best_snippet(text: Column, words: Column, width: int = 220) -> Column:
     return F.substring(F.when(best["n"] > 0, best["s"]).otherwise(text), 1, width)
 
 
-def hms(seconds: Column) -> Column:
-    s = F.floor(seconds).cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(s / 3600).cast("long"), F.floor(F.pmod(s, F.lit(3600)) / 60).cast("long"), F.pmod(s, F.lit(60)))
+def clock(seconds: Column) -> Column:
+    """M:SS of rounded seconds, H:MM:SS from an hour on; negative and missing ones are 0."""
+    s = F.round(F.greatest(F.coalesce(seconds, F.lit(0.0)), F.lit(0.0))).cast("long")
+    part = lambda n: F.lpad(n.cast("string"), 2, "0")
+    h, m, r = F.floor(s / 3600).cast("long"), F.floor(s % 3600 / 60).cast("long"), s % 60
+    return F.when(h > 0, F.concat_ws(":", h.cast("string"), part(m), part(r))).otherwise(F.concat_ws(":", m.cast("string"), part(r)))
+
+
+def minutes(seconds: Column) -> Column:
+    """M:SS of whole seconds; negative ones are 0."""
+    s = F.floor(F.greatest(seconds, F.lit(0.0))).cast("long")
+    return F.concat_ws(":", F.floor(s / 60).cast("long").cast("string"), F.lpad((s % 60).cast("string"), 2, "0"))
+
+
+def line_limited(text: Column, request: Column) -> Column:
+    """The first non-empty lines of a text, as many as the request asks for (2 to 5)."""
+    wanted = F.regexp_extract(request, "([2-5])\\s*줄", 1)
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x) != "")
+    return F.when((F.trim(text) == "") | (wanted == ""), text).otherwise(F.array_join(F.slice(lines, 1, F.coalesce(F.try_to_number(wanted, F.lit("9")).cast("int"), F.lit(1))), "\n"))
 
 
 def class_count(text: Column, characters: str) -> Column:
@@ -73,20 +89,6 @@ def clean_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(stem, "[_\\-\\s]+", " "))
 
 
-#: Korean particles, longest first.
-PARTICLES = "에서의 으로서 이라는 이라고 이지만 이라도 에서 에게 으로 이라 이나 이고 이면 의 을 를 이 가 은 는 로 와 과 도 만 에 서 라 나 야".split()
-
-
-def strip_particle(word: Column) -> Column:
-    """The word without the first particle that it ends in, if two characters or more remain."""
-    out = None
-    for p in PARTICLES:
-        fits = word.endswith(p) & (F.length(word) > len(p) + 1)
-        cut = F.substring(word, F.lit(1), F.length(word) - len(p))
-        out = F.when(fits, cut) if out is None else out.when(fits, cut)
-    return out.otherwise(word)
-
-
 def page_starts(length: Column, size: int = 800, overlap: int = 100) -> Column:
     """Starts of a page's chunks, the last one reaching its end. The page has a character at least."""
     step = size - overlap
@@ -105,5 +107,5 @@ def best_line(text: Column, words: list[str], width: int = 200) -> Column:
     lines = F.split(text, "\n")
     score = lambda s: sum((F.lower(s).contains(w).cast("int") for w in words), F.lit(0))
     best = F.array_max(F.transform(lines, lambda s, i: F.struct(score(s).alias("score"), (-i).alias("at"))))
-    near = F.filter(F.transform(F.slice(lines, 1 - best["at"], 2), F.trim), lambda s: s != "")
+    near = F.filter(F.transform(F.slice(lines, 1 - best["at"], 2), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(best["score"] > 0, F.struct((1 - best["at"]).alias("line"), best["score"].alias("score"), F.substring(F.array_join(near, " "), 1, width).alias("snippet")))

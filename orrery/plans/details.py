@@ -109,12 +109,6 @@ def rerank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return head.select("qid", "row_id", F.round(0.5 * part("lexical") + 0.5 * part("dense"), 6).alias("final_score"))
 
 
-WORDS = ["대학교에서", "학교가", "서울", "나라", "영화이지만", "집에"]
-
-
-@query("oh4_strip_particle", "SELECT w, CASE " + " ".join(f"WHEN ends_with(w, '{p}') AND length(w) > {len(p) + 1} THEN substr(w, 1, length(w) - {len(p)})" for p in X.PARTICLES) + " ELSE w END AS stem FROM (VALUES " + ", ".join(f"('{w}')" for w in WORDS) + ") v(w)")
-def strip_particle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(w,) for w in WORDS], "w string").select("w", X.strip_particle(F.col("w")).alias("stem"))
 
 
 _HIT = " + ".join(f"contains(lower(s), '{w}')::INT" for w in ("the", "with", "was"))
@@ -170,10 +164,7 @@ relational("ob14_rerank_floor", "SELECT vec_id FROM {embeddings} WHERE label % 5
 relational("ob11_av_cap", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3D AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40D) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM {conversations} GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01D) AS sd FROM (SELECT avg(length(text)) AS s FROM {conversations} GROUP BY conv_id))", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3 AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM conversations GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01) AS sd FROM (SELECT avg(length(text)) AS s FROM conversations GROUP BY conv_id))")
 relational("oh11_av_boost", "SELECT conv_id, turn, 0.10D * m + CASE WHEN m >= 2 THEN 0.20D ELSE 0.0D END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM {conversations})", "SELECT conv_id, turn, 0.10::DOUBLE * m + CASE WHEN m >= 2 THEN 0.20 ELSE 0.0 END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM conversations)")
 relational("oh12_title_boost", "SELECT page_id, 1.5D * h AS boost, CASE WHEN h > 0 THEN 0.60D ELSE 0.0D END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM {pages})", "SELECT page_id, 1.5::DOUBLE * h AS boost, CASE WHEN h > 0 THEN 0.60::DOUBLE ELSE 0.0 END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM pages)")
-relational("oh19_intent", "SELECT conv_id, turn, CASE WHEN lower(text) RLIKE 'song|music|sound' THEN 'music' WHEN lower(text) RLIKE 'video|movie|scene' THEN 'movie' WHEN lower(text) RLIKE 'photo|image|picture' THEN 'image' ELSE 'doc' END AS domain FROM {conversations}", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'song|music|sound') THEN 'music' WHEN regexp_matches(lower(text), 'video|movie|scene') THEN 'movie' WHEN regexp_matches(lower(text), 'photo|image|picture') THEN 'image' ELSE 'doc' END AS domain FROM conversations")
-relational("oh23_name_match", "SELECT page_id, size(array_intersect(regexp_extract_all(lower(url), '.', 0), regexp_extract_all('report', '.', 0))) + 3 * CASE WHEN contains(lower(url), 'report') THEN 1 ELSE 0 END AS score FROM {pages}", "SELECT page_id, (len(list_intersect(list_distinct(regexp_extract_all(lower(url), '.')), list_distinct(regexp_extract_all('report', '.')))) + 3 * CASE WHEN contains(lower(url), 'report') THEN 1 ELSE 0 END)::INT AS score FROM pages")
 relational("oh24_snippet_backfill", "SELECT d.doc_id, coalesce(nullif(trim(b.text), ''), substr(d.text, 1, 800)) AS snippet FROM {documents} d LEFT JOIN {benchmark} b ON b.item_id = d.doc_id")
-relational("oh25_line_hint", "SELECT doc_id, array_join(slice(filter(split(text, '\\n'), x -> trim(x) != ''), 1, CAST(regexp_extract('3줄 요약', '([2-5])[ ]*줄', 1) AS INT)), '|') AS kept FROM {documents}", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')[1:regexp_extract('3줄 요약', '([2-5])[ ]*줄', 1)::INT], '|') AS kept FROM documents")
 relational("oi3_sigmoid", "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[0] AS DOUBLE) * 10)), 6) AS p FROM {embeddings}", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE * 10)), 6) AS p FROM embeddings")
 relational("oi6_domain_caps", "SELECT vec_id, round(CASE WHEN label % 5 = 4 THEN least(s, 0.75D) ELSE least(s, 0.85D) END, 6) AS capped FROM (SELECT vec_id, label, abs(CAST(embedding[0] AS DOUBLE)) * 5 AS s FROM {embeddings})", "SELECT vec_id, round(CASE WHEN label % 5 = 4 THEN least(s, 0.75) ELSE least(s, 0.85) END, 6) AS capped FROM (SELECT vec_id, label, abs(embedding[1]::DOUBLE) * 5 AS s FROM embeddings)")
 relational("oi7_rerank_discount", "SELECT vec_id, round(CASE WHEN label % 5 < 3 AND CAST(embedding[0] AS DOUBLE) * 40 < -3 THEN s * 0.5D ELSE s END, 6) AS score FROM (SELECT *, CAST(embedding[1] AS DOUBLE) AS s FROM {embeddings})", "SELECT vec_id, round(CASE WHEN label % 5 < 3 AND embedding[1]::DOUBLE * 40 < -3 THEN s * 0.5 ELSE s END, 6) AS score FROM (SELECT *, embedding[2]::DOUBLE AS s FROM embeddings)")
@@ -182,7 +173,6 @@ relational("oi17_json_arrays", "SELECT doc_id, to_json(array(lang, source)) AS j
 relational("oi18_iso_times", "SELECT user_id, max(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")) AS latest FROM {events} GROUP BY user_id", "SELECT user_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS latest FROM events GROUP BY user_id")
 relational("ok5_memory", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) WHERE rn <= 40")
 relational("ok8_recalibration_trigger", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1D AS due FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1 AS due FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
-relational("oo8_query_variants", "SELECT doc_id, array_join(slice(array_distinct(array(lang, source, lang, lower(source))), 1, 3), '|') AS variants FROM {documents}", "SELECT doc_id, CASE WHEN source = lower(source) THEN lang || '|' || source ELSE lang || '|' || source || '|' || lower(source) END AS variants FROM documents")
 relational("oo13_caption_gate", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '')) > 0.05D * length(text) OR length(regexp_replace(text, '[^\\\\x00-\\\\x08]', '')) > 0.05D * length(text) THEN '' ELSE substr(text, 1, 40) END AS caption FROM {documents}", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g')) > 0.05 * length(text) OR length(regexp_replace(text, '[^\\x00-\\x08]', '', 'g')) > 0.05 * length(text) THEN '' ELSE substr(text, 1, 40) END AS caption FROM documents")
 relational("oo14_rerank_passage", "SELECT p.page_id, substr(coalesce(nullif(trim(b.text), ''), nullif(trim(d.text), ''), p.url), 1, 800) AS passage FROM {pages} p LEFT JOIN {benchmark} b ON b.item_id = p.page_id LEFT JOIN {documents} d ON d.doc_id = p.page_id")
 relational("oo22_summary_context", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, substr(text, 1, 60) ORDER BY turn) AS rn FROM {conversations}) WHERE rn = 1) WHERE used <= 800")

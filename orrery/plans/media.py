@@ -43,8 +43,6 @@ relational("oe13_repeat_type", "SELECT event_id, row_number() OVER (PARTITION BY
 relational("oe14_running_distinct", "SELECT event_id, size(collect_set(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS kinds FROM {events}", "SELECT event_id, len(list_distinct(list(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))::INT AS kinds FROM events")
 relational("oe15_running_offset", "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_chars FROM {conversations}")
 relational("oe16_neighbour_budget", "SELECT conv_id, turn, other FROM (SELECT a.conv_id, a.turn, b.turn AS other, sum(length(b.text)) OVER (PARTITION BY a.conv_id, a.turn ORDER BY abs(a.turn - b.turn), b.turn ROWS UNBOUNDED PRECEDING) AS used FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 2) WHERE used <= 3600")
-relational("oh16_interval_merge", "SELECT conv_id, min(a) AS a, max(b) AS b, count(*) AS n FROM (SELECT *, sum(CASE WHEN m IS NULL OR a > m + 5 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY a, turn) AS island FROM (SELECT *, max(b) OVER (PARTITION BY conv_id ORDER BY a, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM (SELECT conv_id, turn, turn * 30 AS a, turn * 30 + length(text) % 40 AS b FROM {conversations}))) GROUP BY conv_id, island")
-relational("oh17_budget", "SELECT doc_id FROM (SELECT doc_id, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM {documents}) WHERE used <= 60000")
 
 
 @query(

@@ -14,7 +14,7 @@ from orrery.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("vectors", "registers", "ranking", "lexical", "maintenance", "media", "privacy", "evaluation", "more", "details")
+MODULES: tuple[str, ...] = ("vectors", "registers", "ranking", "lexical", "language", "maintenance", "media", "privacy", "evaluation", "more", "details")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

@@ -44,6 +44,13 @@ VIEWS = {
         CASE WHEN segment = 'MACHINERY' THEN concat(substr(card, 1, 4), '-', substr(card, 5, 4), '-', substr(card, 9, 4), '-', substr(card, 13, 4)) ELSE card END) AS text
         FROM (SELECT n0 AS n, c_name AS name, c_mktsegment AS segment, concat('110-', lpad(CAST(n0 % 1000 AS STRING), 3, '0'), '-', lpad(CAST((n0 * 31) % 1000000 AS STRING), 6, '0')) AS phone, concat(lpad(CAST(n0 % 100 AS STRING), 2, '0'), lpad(CAST(1 + n0 % 12 AS STRING), 2, '0'), lpad(CAST(1 + n0 % 28 AS STRING), 2, '0'), CAST(1 + n0 % 4 AS STRING), lpad(CAST(n0 % 100000 AS STRING), 5, '0')) AS r,
         lpad(CAST((n0 * 7) % 1000000000 AS STRING), 9, '1') AS b, {_CARD.replace('n *', 'n0 *')} AS card FROM (SELECT *, c_custkey AS n0 FROM {{customer}}) c0) c1""",
+    # requests in two languages, put together from a customer's number
+    "requests": """SELECT n AS id, domain, trim(concat(root, particle, ' ', noun, tail)) AS query, concat(root, particle) AS word FROM (SELECT c_custkey AS n,
+        CASE CAST(c_custkey % 11 AS INT) WHEN 0 THEN '취업' WHEN 1 THEN '교육' WHEN 2 THEN '경제' WHEN 3 THEN '농구' WHEN 4 THEN '음악' WHEN 5 THEN '인공지능' WHEN 6 THEN '데이터센터' WHEN 7 THEN 'Research' WHEN 8 THEN 'budget' WHEN 9 THEN 'Michael Jordan' ELSE '마이클 조던' END AS root,
+        CASE CAST(c_custkey % 7 AS INT) WHEN 0 THEN '의' WHEN 1 THEN '에서의' WHEN 2 THEN '으로' WHEN 3 THEN '부터' WHEN 4 THEN '에서는' WHEN 5 THEN '을' ELSE '' END AS particle,
+        CASE CAST(c_custkey % 13 AS INT) WHEN 0 THEN '통계' WHEN 1 THEN '보고서' WHEN 2 THEN '영상' WHEN 3 THEN '사진' WHEN 4 THEN '노래' WHEN 5 THEN 'report' WHEN 6 THEN 'meeting' WHEN 7 THEN '뉴스 좋은' WHEN 8 THEN '투자' WHEN 9 THEN '산업' WHEN 10 THEN 'data' WHEN 11 THEN '문서' ELSE '' END AS noun,
+        CASE CAST(c_custkey % 5 AS INT) WHEN 0 THEN ' 3줄 요약해줘' WHEN 1 THEN ' 알려주세요' WHEN 2 THEN ' 12' ELSE '' END AS tail,
+        CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'doc' WHEN 1 THEN 'image' WHEN 2 THEN 'video' ELSE 'audio' END AS domain FROM {customer})""",
     "history": "SELECT event_id AS id, concat(event_type, ' ', regexp_extract(props, '([0-9]+)', 1)) AS query, CASE WHEN user_id % 2 = 0 THEN 'hybrid' ELSE 'dense' END AS method, ts AS searched_at FROM {events}",
 }
 
