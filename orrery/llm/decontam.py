@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
-from orrery.llm.scratch import Scratch, extended
+from orrery.llm.scratch import Scratch, extended, small_batches
 
 #: Bits of a fingerprint, in 64-bit words. Sets of weighted similarity 0.8 have a cosine of 8 / 9, so
 #: each bit differs with a chance of 0.151: 19.3 of 128 bits, with a deviation of 4.1.
@@ -124,7 +124,14 @@ class Benchmark:
                 continue
             per = size - k + 1
             prints = np.concatenate([simhash(runs[r], whole_weights(self._all_weights(runs[r])), np.array([0]), per) for r in own])
-            self.by_size[size] = (own, Blocks(prints), self.totals[own].min() * similarity - 1e-9)
+            self.by_size[size] = (own, Blocks(prints))
+        # for every known shingle the lengths, as places in the list of lengths, of the items that hold it
+        self.sizes = sorted(self.by_size)
+        self.least = np.array([self.totals[self.by_size[s][0]].min() * similarity - 1e-9 for s in self.sizes])
+        pairs = [(np.searchsorted(self.known, self.sets[r]), np.full(len(self.sets[r]), n)) for n, s in enumerate(self.sizes) for r in self.by_size[s][0]]
+        at, size = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
+        at, self.held_by = np.divmod(np.unique(at * max(1, len(self.sizes)) + size), max(1, len(self.sizes)))
+        self.held_from = np.searchsorted(at, np.arange(len(self.known) + 1))
         # items of fewer words than a shingle: their one hash, by length
         self.short = {s: (values[o := np.argsort(values)], np.array(rows)[o]) for s in sorted({int(sizes[r]) for r in short}) if len(rows := [r for r in short if sizes[r] == s]) and len(values := np.array([runs[r][0] for r in rows]))}
 
@@ -137,34 +144,42 @@ class Benchmark:
     def weigh(self, s: np.ndarray) -> float:
         return float(self._all_weights(s).sum())
 
-    def known_weights(self, sh: np.ndarray) -> np.ndarray:
-        """Each shingle's weight, 0 for one that no item holds."""
-        out = np.zeros(len(sh))
+    def places(self, sh: np.ndarray) -> np.ndarray:
+        """Each shingle's place among the known ones, -1 for one that no item holds."""
+        out = np.full(len(sh), -1)
         maybe = np.flatnonzero(self.filter[sh >> np.uint64(44)])
         if len(maybe):
             at = np.minimum(np.searchsorted(self.known, sh[maybe]), len(self.known) - 1)
-            out[maybe] = np.where(self.known[at] == sh[maybe], self.weight[at], 0)
+            out[maybe] = np.where(self.known[at] == sh[maybe], at, -1)
         return out
 
-    def hits(self, sh: np.ndarray, own: np.ndarray) -> list[tuple[int, float, int, int]]:
+    def hits(self, sh: np.ndarray, place: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item id, similarity, first word, words) of each item's best window in a text of k words or more.
 
-        sh: the text's shingles; own: their known weights. Windows are as long as the item, or the
-        whole text if that is shorter, one from each word. A window's common weight is at most
-        what its known shingles weigh, so a window in which they weigh less than ``similarity`` of
-        the lightest item of its length cannot pass and gets no fingerprint.
+        sh: the text's shingles; place: those of the known ones. Windows are as long as the item, or
+        the whole text if that is shorter, one from each word. What a window has in common with an
+        item is at most what its shingles weigh that items of that length hold, so a window in which
+        they weigh less than ``similarity`` of the lightest such item cannot pass and gets no fingerprint.
         """
         best: dict[int, tuple[float, int, int]] = {}
-        total = np.concatenate([[0], np.cumsum(own)])
+        known = np.flatnonzero(place >= 0)
+        n = self.held_from[place[known] + 1] - self.held_from[place[known]]
+        at_known = np.repeat(known, n)
+        size_of = self.held_by[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.held_from[place[known]], n)]
+        total = np.bincount(size_of, self.weight[place[at_known]], len(self.sizes))
         weight = None
-        for size, (items, blocks, least) in self.by_size.items():
-            if total[-1] < least:
-                continue
+        for g in np.flatnonzero(total >= self.least).tolist():
+            size = self.sizes[g]
+            items, blocks = self.by_size[size]
             per = min(size - self.k + 1, len(sh))
-            at = np.flatnonzero(total[per:] - total[:-per] >= least)
+            own = np.zeros(len(sh) + 1)
+            mine = at_known[size_of == g]
+            own[mine + 1] = self.weight[place[mine]]
+            held = np.cumsum(own)
+            at = np.flatnonzero(held[per:] - held[:-per] >= self.least[g])
             if not len(at):
                 continue
-            weight = whole_weights(np.where(own > 0, own, self.other)) if weight is None else weight
+            weight = whole_weights(np.where(place >= 0, self.weight[place], self.other)) if weight is None else weight
             w, found = blocks.within(simhash(sh, weight, at, per))
             for i, j in zip(at[w].tolist(), items[found].tolist(), strict=True):
                 window = np.unique(sh[i : i + per])
@@ -199,19 +214,21 @@ class Benchmark:
         out: list[list] = [[] for _ in range(len(off) - 1)]
         if not self.ids:
             return out
-        lightest = min((least for _, _, least in self.by_size.values()), default=np.inf)
+        lightest = self.least.min(initial=np.inf)
         for i, j in tv.groups(off):
             _, h, first = tv.words(data[off[i] : off[j]], off[i : j + 1] - off[i], tv.NON_WORD)
             sh = tv.shingles(h, self.k)
-            w = self.known_weights(sh)
-            row = np.searchsorted(first, np.arange(len(sh)), "right") - 1
-            w[np.arange(len(sh)) + self.k > first[row + 1]] = 0  # over a text's end
-            held = np.concatenate([[0.0], np.cumsum(w)])
-            ends = np.minimum(first, len(sh))
-            for r in np.flatnonzero(held[ends[1:]] - held[ends[:-1]] >= lightest).tolist():
+            place = self.places(sh)
+            known = np.flatnonzero(place >= 0)
+            row = np.searchsorted(first, known, "right") - 1
+            over = known + self.k > first[row + 1]  # over a text's end
+            place[known[over]] = -1
+            known, row = known[~over], row[~over]
+            held = np.bincount(row, self.weight[place[known]], j - i)
+            for r in np.flatnonzero(held >= lightest).tolist():
                 a, b = int(first[r]), int(first[r + 1]) - self.k + 1
                 if b > a:
-                    out[i + r] = self.hits(sh[a:b], w[a:b])
+                    out[i + r] = self.hits(sh[a:b], place[a:b])
             if self.short:
                 for r in range(j - i):
                     out[i + r] += self.short_hits(h[first[r] : first[r + 1]])
@@ -279,7 +296,7 @@ def scan(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float = 0.8,
     held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = -(-held // MOST_BYTES) or 1
     weighed, count = _weighted(items, k, scratch)
-    texts = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    texts = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
     if passes == 1:
         return _passed(texts, keep, weighed, count, k, similarity)[0]
     numbered = scratch.save(texts.withColumn("__row", F.monotonically_increasing_id()))
