@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
 from orrery.llm.components import connected_components
-from orrery.llm.scratch import Scratch
+from orrery.llm.scratch import Scratch, small_batches
 
 #: Signature coordinates, and the least number that a pair must share. The value of a
 #: coordinate is two minima, so sets of similarity s share it with probability s * s:
@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
     signed = scratch.save(texts.mapInArrow(_signer(k), "id long, n long, h1 long, h2 long, sig binary"))
     usable = signed.where("id is not null and n > 0")
     classes = scratch.save(usable.groupBy("n", "h1", "h2").agg(F.min("id").alias("id"), F.min("sig").alias("sig")))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
-from orrery.llm.scratch import extended
+from orrery.llm.scratch import extended, small_batches
 
 _CLASSES = {
     "upper": range(65, 91),
@@ -119,14 +119,15 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 12_000,
     """Fits on at most ``most`` labelled rows, those of smallest hash of the id among ``usable`` ones.
 
     ``usable`` is a condition on the labels' columns. Rows with a null id, a label
-    other than 0 and 1, or an id of several labels are not used.
+    other than 0 and 1, or an id of several labels are not used. Of a repeated id one text
+    is used, the smallest; null text counts as empty.
     """
     marked = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("hi")).where("label = hi")
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(most).select("id", F.col("label").cast("int"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    # `most` rows bound the broadcast; a document that is repeated counts once
-    rows = texts.join(F.broadcast(chosen), "id").distinct().select("label", "text")
-    got = rows.mapInArrow(_feature_rows, "label int, x array<double>").limit(2 * most).toPandas()
+    # `most` rows bound the broadcast; of an id's texts the smallest counts, so as many rows as labels come back at most
+    rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
+    got = small_batches(rows).mapInArrow(_feature_rows, "label int, x array<double>").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
     label = got["label"].to_numpy()
     order = np.lexsort((*x.T, label)) if len(x) else np.zeros(0, int)  # rows come in any order; the fit must not depend on it
@@ -140,7 +141,7 @@ def score(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, text_c
     any other. Columns of these two names in ``docs`` are replaced. No shuffle.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -6,22 +6,19 @@ back: one pass over the input, and a lost executor loses nothing.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-_own = ""
+from orrery.sources.workdir import fresh
+
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder only where it is unset."""
-    global _own
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = _own = _own or "file://" + tempfile.mkdtemp(prefix="orrery-checkpoint-")
-    return found.rstrip("/")
+def small_batches(df: DataFrame, rows: int = 2000) -> DataFrame:
+    """``df``, the session's Arrow batches bounded: Spark's own 10,000 texts make some 20 MB in the executor and as much in each worker. A setting that someone made stays."""
+    if df.sparkSession.conf.get(_ROWS) == "10000":
+        df.sparkSession.conf.set(_ROWS, rows)
+    return df
 
 
 class Scratch:
@@ -29,7 +26,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = fresh(spark, name)
         self._n = 0
 
     def save(self, df: DataFrame) -> DataFrame:

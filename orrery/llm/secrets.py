@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import extended
+from orrery.llm.scratch import extended, small_batches
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -417,7 +417,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text",
     """
     new = ("base_spans", "added_spans", "oversized")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
     schema = extended(docs, keep, f"base_spans {SPAN}, added_spans {SPAN}, oversized int")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import extended
+from orrery.llm.scratch import extended, small_batches
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE, _UNIGRAM, _BPE = 1, 2, 3, 6, 1, 2
@@ -346,7 +346,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, text_co
     """
     new = ("token_ids", "n_tokens", "exact")
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
     schema = extended(docs, keep, "token_ids array<int>, n_tokens int, exact boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
