@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Words that lower the bound of grounding, by how much, and those of a summary.
+GROUNDING_WORDS = [(["여권", "passport", "여권번호", "여권사진", "여권 사진", "여권 번호"], 0.10), (["주민번호", "주민등록", "rrn", "신분증", "민증"], 0.08), (["계좌번호", "사업자번호", "사업자등록"], 0.06)]
+SUMMARY_WORDS = ["요약", "줄거리", "핵심", "정리", "간단히", "스토리", "내용", "plot", "summary", "synopsis"]
+
 
 def gaussian_cdf(z: Column) -> Column:
     """Phi(z) by Abramowitz and Stegun 26.2.17; absolute error below 7.5e-8. Spark has no erf."""
@@ -85,3 +92,74 @@ def rerank_discount(score: Column, logit: Column, exempt: Column) -> Column:
 
 def margin_label(margin: Column) -> Column:
     return F.when(margin >= 0.15, "high").when(margin >= 0.05, "medium").otherwise("low")
+
+
+def title_boost(final: Column, hits: Column) -> Column:
+    """1.5 for each of the request's own words in a file's name."""
+    return final + 1.5 * hits
+
+
+def title_floor(confidence: Column, hits: Column) -> Column:
+    """.60 at least where the name holds any."""
+    return F.when(hits > 0, F.greatest(confidence, F.lit(0.60))).otherwise(confidence)
+
+
+def token_boost(hits: Column, asked: Column, each: float, whole: float) -> Column:
+    """``each`` for a token that an item holds, and ``whole`` more once as many match as the request itself has (words that expansion added count)."""
+    return F.when(hits > 0, each * hits + F.when(hits >= asked, whole).otherwise(0.0)).otherwise(0.0)
+
+
+def music_fusion(audio: Column, text: Column, has_text: Column) -> Column:
+    """.55 audio and .45 text, audio alone without a text index; what a channel lacks counts 0."""
+    a, t = F.coalesce(audio, F.lit(0.0)), F.coalesce(text, F.lit(0.0))
+    return F.when(has_text, 0.55 * a + 0.45 * t).otherwise(a)
+
+
+def null_confidence(score: Column, mu: Column, sigma: Column) -> Column:
+    """Phi of a score over the null's mean and deviation, 0 to 1."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), gaussian_cdf((score - mu) / F.greatest(sigma, F.lit(1e-6)))))
+
+
+def meaningful(query: Column) -> Column:
+    """struct(alpha, digit, hangul, cjk, other, meaningful) of a request's characters, blanks around it left out.
+
+    Single jamo count as other: they say nothing.
+    """
+    q = F.trim(query)
+    count = lambda p: F.length(F.regexp_replace(q, f"[^{p}]", ""))
+    hangul, cjk, digit = count(r"\x{AC00}-\x{D7AF}"), count(r"\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}"), count(r"\p{Nd}")
+    letters = F.regexp_replace(F.regexp_replace(q, r"[\x{AC00}-\x{D7AF}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{3130}-\x{318F}]", ""), r"[^\p{L}]", "")
+    alpha = F.length(letters)
+    return F.struct(alpha.alias("alpha"), digit.alias("digit"), hangul.alias("hangul"), cjk.alias("cjk"), (F.length(q) - alpha - digit - hangul - cjk).alias("other"), (alpha + hangul + cjk).alias("meaningful"))
+
+
+def query_cap(query: Column) -> Column:
+    """What a confidence may be at most: .30 for a request without letters or digits, .40 for digits only, .55 for one letter."""
+    q = meaningful(query)
+    return F.when(q["meaningful"] == 0, F.when(q["digit"] > 0, 0.40).otherwise(0.30)).when(q["meaningful"] == 1, 0.55).otherwise(1.0)
+
+
+def adjusted(raw: Column, query: Column) -> Column:
+    """A cosine on the display curve, and at most the request's cap; 0 if there is none."""
+    return F.coalesce(F.least(display_curve(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))), query_cap(query)), F.lit(0.0))
+
+
+def loud_share(samples: Column, window: int, least: float) -> Column:
+    """The share of windows whose root mean square is above ``least``; a last, shorter one is left out."""
+    n = F.floor(F.size(samples) / window).cast("int")
+    rms = lambda i: F.sqrt(F.aggregate(F.slice(samples, i * window + 1, F.lit(window)), F.lit(0.0), lambda s, x: s + x * x) / window)
+    loud = F.filter(F.sequence(F.lit(0), n - 1), lambda i: rms(i) > least)
+    return F.when(n > 0, F.size(loud) / n).otherwise(0.0)
+
+
+def wants_summary(query: Column) -> Column:
+    return reduce(or_, [F.contains(F.lower(query), F.lit(w)) for w in SUMMARY_WORDS])
+
+
+def grounding_threshold(query: Column) -> Column:
+    """.15, for a summary .07, less what words of identity take off; .05 at least."""
+    q = F.replace(F.lower(query), F.lit(" "), F.lit(""))
+    off = F.lit(0.0)
+    for words, by in reversed(GROUNDING_WORDS):
+        off = F.when(reduce(or_, [F.contains(q, F.lit(w.replace(" ", ""))) for w in words]), by).otherwise(off)
+    return F.greatest(F.when(wants_summary(query), 0.07).otherwise(0.15) - off, F.lit(0.05))

@@ -89,6 +89,13 @@ def clean_name(name: Column) -> Column:
     return F.trim(F.regexp_replace(stem, "[_\\-\\s]+", " "))
 
 
+def title_of(name: Column) -> Column:
+    """A file's name as a title: without ending, folder, leftover ``.zip`` and parts in brackets."""
+    t = F.replace(F.regexp_replace(name, r"\.[a-zA-Z0-9]{2,4}$", ""), F.lit(".zip"), F.lit(" "))
+    t = F.regexp_extract(F.regexp_replace(t, r"\[.*?\]", ""), r"([^/\\]*)$", 1)
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
 def page_starts(length: Column, size: int = 800, overlap: int = 100) -> Column:
     """Starts of a page's chunks, the last one reaching its end. The page has a character at least."""
     step = size - overlap

@@ -1,44 +1,86 @@
-"""Session risk: an ordered fold whose score stops once the session is blocked."""
+"""Session risk: points of each event, and the sum that stops once the session is blocked; in a batch and over a stream."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-WARN, BLOCK, REPEAT = 8, 15, 2
+#: Points of events, of repeats, and the bounds.
+EVENTS = {"sensitive_request": 2, "full_view_click": 3, "policy_bypass_attempt": 5, "dangerous_request": 6, "pii_in_output_detected": 4, "regenerate_triggered": 2, "bulk_request": 5}
+SAME_TYPE, INSTITUTIONS, RAPID = 2, 4, 3
+WARN, BLOCK = 8, 15
+SECONDS, REQUESTS = 30, 3
+#: Names of institutions in requests.
+NAMES = ["신한", "kb", "국민", "하나", "우리", "농협", "기업", "산업", "카카오뱅크", "토스뱅크", "케이뱅크", "씨티", "sc제일"]
 
 
-def session_risk(events: DataFrame, session: str) -> DataFrame:
-    """(session, score, warned, blocked) of events with event_id, ts, points and kind.
+def points(events: DataFrame, session: str) -> DataFrame:
+    """``events`` (event_id, ts, event_type, pii_types, user_query) with n (place in the session), before (earlier events within
+    SECONDS), repeats (types that the session has had), institutions (seen so far) and points.
 
-    A kind seen before in the session adds REPEAT. The score is the running sum at the
-    first event that reaches BLOCK, else the whole sum, because later points do not
-    count: so a window sum replaces the fold.
+    Events are ordered by time, then id. All by windows and counts over the session's key; no group is collected.
     """
     order = Window.partitionBy(session).orderBy("ts", "event_id")
-    again = F.when(F.row_number().over(Window.partitionBy(session, "kind").orderBy("ts", "event_id")) > 1, REPEAT).otherwise(0)
-    run = events.withColumn("__p", F.col("points") + again).withColumn("__sum", F.sum("__p").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.coalesce(F.min(F.when(F.col("__sum") >= BLOCK, F.col("__sum"))), F.max("__sum"))
-    return run.groupBy(session).agg(total.cast("long").alias("score")).select(session, "score", (F.col("score") >= WARN).alias("warned"), (F.col("score") >= BLOCK).alias("blocked"))
+    e = events.withColumn("n", F.row_number().over(order))
+    near = Window.partitionBy(session).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-SECONDS * 1_000_000, 0)
+    e = e.withColumn("before", (F.col("n") - F.min("n").over(near)).cast("int"))
+    kinds = e.select(session, "n", F.posexplode("pii_types").alias("at", "kind"))
+    again = F.row_number().over(Window.partitionBy(session, "kind").orderBy("n", "at")) > 1
+    repeats = kinds.withColumn("again", again.cast("int")).groupBy(session, "n").agg(F.sum("again").cast("int").alias("repeats"))
+    named = e.select(session, "n", F.explode(F.filter(F.array(*map(F.lit, NAMES)), lambda k: F.contains("user_query", k))).alias("name"))
+    first = named.groupBy(session, "name").agg(F.min("n").alias("n")).groupBy(session, "n").agg(F.count("*").alias("new"))
+    e = e.join(repeats, [session, "n"], "left").join(first, [session, "n"], "left")
+    e = e.withColumn("repeats", F.coalesce("repeats", F.lit(0)))
+    e = e.withColumn("institutions", F.coalesce(F.sum("new").over(Window.partitionBy(session).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("int")).drop("new")
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])[F.col("event_type")], F.lit(0))
+    many = (F.col("institutions") >= 2) & (F.coalesce("user_query", F.lit("")) != "")
+    total = base + F.when(F.col("before") >= REQUESTS, RAPID).otherwise(0) + SAME_TYPE * F.col("repeats") + F.when(many, INSTITUTIONS).otherwise(0)
+    return e.withColumn("points", total)
+
+
+def session_risk(events: DataFrame, session: str) -> DataFrame:
+    """(session, score, warned, blocked). The score is the running sum at the first event that reaches BLOCK, else the whole sum:
+    later points do not count. Warned is a session that was between the bounds after some event."""
+    run = points(events, session).withColumn("sum", F.sum("points").over(Window.partitionBy(session).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)))
+    s = F.col("sum")
+    total = F.coalesce(F.min(F.when(s >= BLOCK, s)), F.max("sum"))
+    warned = F.coalesce(F.max((s >= WARN) & (s < BLOCK)), F.lit(False))
+    return run.groupBy(session).agg(total.cast("long").alias("score"), warned.alias("warned")).select(session, "score", "warned", (F.col("score") >= BLOCK).alias("blocked"))
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    score, kinds = state.get if state.exists else (0, "")
-    seen = set(kinds.split("\n")) if kinds else set()
-    for f in frames:
-        for row in f.sort_values(["ts", "event_id"]).itertuples():
-            if score >= BLOCK:
-                break
-            score += int(row.points) + (REPEAT if row.kind in seen else 0)
-            seen.add(row.kind)
-    state.update((score, "\n".join(sorted(seen))))
-    yield pd.DataFrame({"session": [key[0]], "score": [score], "warned": [score >= WARN], "blocked": [score >= BLOCK]})
+    """Adds a trigger's events to a session's state: sums over arrays, no loop over events."""
+    score, warned, seen = state.get if state.exists else (0, False, json.dumps({"ts": [], "kinds": [], "names": []}))
+    f = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+    if score < BLOCK:
+        held = json.loads(seen)
+        us = f["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+        every = np.concatenate([np.array(held["ts"], np.int64), us])
+        at = np.arange(len(held["ts"]), len(every))
+        before = at - np.searchsorted(every, us - SECONDS * 1_000_000, "left")
+        kinds = f.reset_index(drop=True)["pii_types"].explode().dropna()
+        again = (kinds.groupby(kinds).cumcount().to_numpy() > 0) | kinds.isin(held["kinds"]).to_numpy()
+        repeats = np.bincount(kinds.index.to_numpy(int)[again], minlength=len(f)) if len(kinds) else np.zeros(len(f), int)
+        query = f["user_query"].fillna("")
+        has = np.stack([query.str.contains(n, regex=False).to_numpy(bool) | (n in held["names"]) for n in NAMES], 1)
+        institutions = np.maximum.accumulate(has, 0).sum(1)
+        p = f["event_type"].map(EVENTS).fillna(0).to_numpy(int) + np.where(before >= REQUESTS, RAPID, 0) + SAME_TYPE * repeats + np.where((institutions >= 2) & (query != "").to_numpy(), INSTITUTIONS, 0)
+        sums = score + np.cumsum(p)
+        end = int(np.argmax(sums >= BLOCK)) if (sums >= BLOCK).any() else len(sums) - 1
+        score, warned = int(sums[end]), bool(warned or ((sums[: end + 1] >= WARN) & (sums[: end + 1] < BLOCK)).any())
+        kept = every[every >= every[-1] - SECONDS * 1_000_000]
+        seen = json.dumps({"ts": kept.tolist(), "kinds": sorted({*held["kinds"], *kinds}), "names": [n for n, x in zip(NAMES, has.any(0), strict=True) if x]}, ensure_ascii=False)
+    state.update((score, warned, seen))
+    yield pd.DataFrame({"session": [key[0]], "score": [score], "warned": [warned], "blocked": [score >= BLOCK]})
 
 
 def session_risk_stream(events: DataFrame, session: str) -> DataFrame:
-    """The same over a stream, a state of score and kinds seen a session; each trigger gives the sessions that it changed."""
-    named = events.withColumn("session", F.col(session).cast("string"))
-    return named.groupBy("session").applyInPandasWithState(_fold, "session string, score long, warned boolean, blocked boolean", "score long, kinds string", "update", "NoTimeout")
+    """The same over a stream whose sessions come in order of time from trigger to trigger. A session's state is its score, the times
+    of the last SECONDS, and the types and institutions seen; each trigger gives the sessions that it changed."""
+    named = events.withColumn("session", F.col(session).cast("string")).select("session", "event_id", "ts", "event_type", "pii_types", "user_query")
+    return named.groupBy("session").applyInPandasWithState(_fold, "session string, score long, warned boolean, blocked boolean", "score long, warned boolean, seen string", "update", "NoTimeout")

@@ -160,15 +160,10 @@ def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 relational("ob12_content_stub", "SELECT page_id FROM {pages} WHERE regexp_extract(url, '([^/]*)$', 1) RLIKE '[가-힣]{2,}|[a-zA-Z]{4,}'", "SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)$', 1), '[가-힣]{2,}|[a-zA-Z]{4,}')")
-relational("ob14_rerank_floor", "SELECT vec_id FROM {embeddings} WHERE label % 5 >= 3 OR CAST(embedding[0] AS DOUBLE) * 40 >= -5", "SELECT vec_id FROM embeddings WHERE label % 5 >= 3 OR embedding[1]::DOUBLE * 40 >= -5")
-relational("ob11_av_cap", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3D AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40D) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM {conversations} GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01D) AS sd FROM (SELECT avg(length(text)) AS s FROM {conversations} GROUP BY conv_id))", "SELECT c.conv_id, round(CASE WHEN (s - mu) / sd < 0.3 AND no_text THEN least(1 / (1 + exp(-(s - mu) / sd)), 0.40) ELSE 1 / (1 + exp(-(s - mu) / sd)) END, 6) AS conf FROM (SELECT conv_id, avg(length(text)) AS s, max(CASE WHEN role = 'user' AND length(trim(text)) > 200 THEN 1 ELSE 0 END) = 0 AS no_text FROM conversations GROUP BY conv_id) c CROSS JOIN (SELECT avg(s) AS mu, greatest(stddev_pop(s), 0.01) AS sd FROM (SELECT avg(length(text)) AS s FROM conversations GROUP BY conv_id))")
 relational("oh11_av_boost", "SELECT conv_id, turn, 0.10D * m + CASE WHEN m >= 2 THEN 0.20D ELSE 0.0D END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM {conversations})", "SELECT conv_id, turn, 0.10::DOUBLE * m + CASE WHEN m >= 2 THEN 0.20 ELSE 0.0 END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM conversations)")
 relational("oh12_title_boost", "SELECT page_id, 1.5D * h AS boost, CASE WHEN h > 0 THEN 0.60D ELSE 0.0D END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM {pages})", "SELECT page_id, 1.5::DOUBLE * h AS boost, CASE WHEN h > 0 THEN 0.60::DOUBLE ELSE 0.0 END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM pages)")
 relational("oh24_snippet_backfill", "SELECT d.doc_id, coalesce(nullif(trim(b.text), ''), substr(d.text, 1, 800)) AS snippet FROM {documents} d LEFT JOIN {benchmark} b ON b.item_id = d.doc_id")
 relational("oi3_sigmoid", "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[0] AS DOUBLE) * 10)), 6) AS p FROM {embeddings}", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE * 10)), 6) AS p FROM embeddings")
-relational("oi6_domain_caps", "SELECT vec_id, round(CASE WHEN label % 5 = 4 THEN least(s, 0.75D) ELSE least(s, 0.85D) END, 6) AS capped FROM (SELECT vec_id, label, abs(CAST(embedding[0] AS DOUBLE)) * 5 AS s FROM {embeddings})", "SELECT vec_id, round(CASE WHEN label % 5 = 4 THEN least(s, 0.75) ELSE least(s, 0.85) END, 6) AS capped FROM (SELECT vec_id, label, abs(embedding[1]::DOUBLE) * 5 AS s FROM embeddings)")
-relational("oi7_rerank_discount", "SELECT vec_id, round(CASE WHEN label % 5 < 3 AND CAST(embedding[0] AS DOUBLE) * 40 < -3 THEN s * 0.5D ELSE s END, 6) AS score FROM (SELECT *, CAST(embedding[1] AS DOUBLE) AS s FROM {embeddings})", "SELECT vec_id, round(CASE WHEN label % 5 < 3 AND embedding[1]::DOUBLE * 40 < -3 THEN s * 0.5 ELSE s END, 6) AS score FROM (SELECT *, embedding[2]::DOUBLE AS s FROM embeddings)")
-relational("oi12_feature_tags", "SELECT vec_id, concat_ws(',', CASE WHEN bpm < 75 THEN 'slow' WHEN bpm < 110 THEN 'medium-tempo' ELSE 'fast' END, CASE WHEN hp > 5 THEN 'melodic' WHEN hp < 0.5D THEN 'rhythmic' END, CASE WHEN rms < 0.02D THEN 'quiet' WHEN rms > 0.15D THEN 'loud' END) AS tags FROM (SELECT vec_id, 60 + abs(CAST(embedding[0] AS DOUBLE)) * 400 AS bpm, abs(CAST(embedding[1] AS DOUBLE)) * 30 AS hp, abs(CAST(embedding[2] AS DOUBLE)) AS rms FROM {embeddings})", "SELECT vec_id, concat_ws(',', CASE WHEN bpm < 75 THEN 'slow' WHEN bpm < 110 THEN 'medium-tempo' ELSE 'fast' END, CASE WHEN hp > 5 THEN 'melodic' WHEN hp < 0.5 THEN 'rhythmic' END, CASE WHEN rms < 0.02 THEN 'quiet' WHEN rms > 0.15 THEN 'loud' END) AS tags FROM (SELECT vec_id, 60 + abs(embedding[1]::DOUBLE) * 400 AS bpm, abs(embedding[2]::DOUBLE) * 30 AS hp, abs(embedding[3]::DOUBLE) AS rms FROM embeddings)")
 relational("oi17_json_arrays", "SELECT doc_id, to_json(array(lang, source)) AS j, from_json(to_json(array(lang, source)), 'array<string>')[1] AS back FROM {documents}", "SELECT doc_id, to_json([lang, source])::VARCHAR AS j, to_json([lang, source])->>1 AS back FROM documents")
 relational("oi18_iso_times", "SELECT user_id, max(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")) AS latest FROM {events} GROUP BY user_id", "SELECT user_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS latest FROM events GROUP BY user_id")
 relational("ok5_memory", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) WHERE rn <= 40")

@@ -131,7 +131,6 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 relational("oh13_character_classes", "SELECT doc_id, length(regexp_replace({documents}.text, '[^A-Za-z]', '')) AS alpha, length(regexp_replace({documents}.text, '[^0-9]', '')) AS digit FROM {documents}".replace("{documents}.text", "text"), "SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::INT AS alpha, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS digit FROM documents")
 relational("oh10_token_boost", "SELECT doc_id, CAST(round(least(0.05 * (CASE WHEN contains(lower(text), 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'clown') THEN 1 ELSE 0 END), 0.10), 4) AS DOUBLE) AS boost FROM {documents}")
-relational("oh14_clean_name", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[.][A-Za-z0-9]{1,5}$', ''), '[_ -]+', ' ')) AS name FROM {pages}", "SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(url, '([^/]*)$', 1), '[.][A-Za-z0-9]{1,5}$', ''), '[_ -]+', ' ', 'g')) AS name FROM pages")
 relational("ob13_corrupt_captions", "SELECT doc_id FROM {documents} WHERE length(regexp_replace(text, '[^éèêçàñóíüöäß]', '')) / length(text) > 0.05", "SELECT doc_id FROM documents WHERE length(regexp_replace(text, '[^éèêçàñóíüöäß]', '', 'g')) / length(text) > 0.05")
 relational("ob17_line_filter", "SELECT doc_id, array_join(filter(split(text, '\\n'), x -> length(x) >= 20), '|') AS kept FROM {documents}", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 20), '|') AS kept FROM documents")
 relational("oa9_content_hash", "SELECT doc_id, sha2(text, 256) AS sha FROM {documents}", "SELECT doc_id, sha256(text) AS sha FROM documents")

@@ -17,7 +17,4 @@ relational("og8_set_difference", "SELECT lang, size(array_intersect(a, b)) AS bo
 relational("og9_history_dedup", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1")
 relational("og11_duplicate_upload", "SELECT d.doc_id FROM {documents} d LEFT SEMI JOIN (SELECT md5(text) AS h, min(doc_id) AS first FROM {documents} GROUP BY md5(text)) k ON md5(d.text) = k.h AND d.doc_id > k.first", "SELECT doc_id FROM documents d WHERE doc_id > (SELECT min(doc_id) FROM documents x WHERE md5(x.text) = md5(d.text))")
 relational("og12_alias_union", "SELECT md5(text) AS sha, array_join(array_sort(collect_list(CAST(doc_id AS STRING))), ',') AS aliases FROM {documents} GROUP BY md5(text) HAVING count(*) > 1", "SELECT md5(text) AS sha, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS aliases FROM documents GROUP BY md5(text) HAVING count(*) > 1")
-relational("oo1_merge_types", "SELECT label, max(s) AS best FROM (SELECT label, round(CAST(embedding[0] AS DOUBLE), 6) AS s FROM {embeddings} UNION ALL SELECT label, round(CAST(embedding[1] AS DOUBLE), 6) FROM {embeddings}) GROUP BY label", "SELECT label, max(s) AS best FROM (SELECT label, round(embedding[1]::DOUBLE, 6) AS s FROM embeddings UNION ALL SELECT label, round(embedding[2]::DOUBLE, 6) FROM embeddings) GROUP BY label")
-relational("od1_best_per_file", "SELECT label, max_by(vec_id, struct(s, -vec_id)) AS vec_id, round(max(s), 4) AS best FROM (SELECT label, vec_id, CAST(embedding[0] AS DOUBLE) AS s FROM {embeddings}) GROUP BY label", "SELECT label, arg_max(vec_id, s) AS vec_id, round(max(s), 4) AS best FROM (SELECT label, vec_id, embedding[1]::DOUBLE AS s FROM embeddings) GROUP BY label")
-relational("od2_two_source_score", "SELECT label, round(0.6 * coalesce(max(CASE WHEN vec_id % 2 = 0 THEN s END), 0) + 0.4 * coalesce(max(CASE WHEN vec_id % 2 = 1 THEN s END), 0), 6) AS score FROM (SELECT label, vec_id, CAST(embedding[0] AS DOUBLE) AS s FROM {embeddings}) GROUP BY label", "SELECT label, round(0.6 * coalesce(max(CASE WHEN vec_id % 2 = 0 THEN s END), 0) + 0.4 * coalesce(max(CASE WHEN vec_id % 2 = 1 THEN s END), 0), 6) AS score FROM (SELECT label, vec_id, embedding[1]::DOUBLE AS s FROM embeddings) GROUP BY label")
 relational("od6_percentiles", "SELECT event_type, round(percentile(value, 0.95), 6) AS p95, round(percentile(value, 0.99), 6) AS p99, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM {events} GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")

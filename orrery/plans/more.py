@@ -4,12 +4,8 @@ from __future__ import annotations
 
 from orrery.plans.registry import relational
 
-relational("oc9_window_speech", "SELECT conv_id, start, count(turn) AS turns FROM (SELECT w.conv_id, w.start, s.turn FROM (SELECT DISTINCT conv_id, CAST(start AS INT) AS start FROM {conversations} LATERAL VIEW explode(sequence(0, 60, 15)) t AS start) w LEFT JOIN (SELECT conv_id, turn, turn * 12 AS a, turn * 12 + length(text) % 20 AS b FROM {conversations}) s ON s.conv_id = w.conv_id AND s.b >= w.start AND s.a <= w.start + 30) GROUP BY conv_id, start", "SELECT w.conv_id, w.start::INT AS start, count(s.turn) AS turns FROM (SELECT DISTINCT conv_id, t.start FROM conversations, range(0, 61, 15) t(start)) w LEFT JOIN (SELECT conv_id, turn, turn * 12 AS a, turn * 12 + length(text) % 20 AS b FROM conversations) s ON s.conv_id = w.conv_id AND s.b >= w.start AND s.a <= w.start + 30 GROUP BY w.conv_id, w.start")
 relational("od9_forced_keywords", "SELECT source AS token, count(*) AS df FROM {documents} GROUP BY source UNION ALL SELECT k, 0 FROM (SELECT explode(array('src0', 'forced')) AS k) f LEFT ANTI JOIN {documents} d ON d.source = f.k", "SELECT source AS token, count(*) AS df FROM documents GROUP BY source UNION ALL SELECT k, 0 FROM (VALUES ('src0'), ('forced')) f(k) WHERE k NOT IN (SELECT source FROM documents)")
-relational("of4_flat_quota", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE rn <= 5")
-relational("of6_rerank_head", "SELECT event_id, user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN rn <= 5 THEN 0 ELSE 1 END, CASE WHEN rn <= 5 THEN value END DESC NULLS LAST, rn) AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM {events})")
 relational("of7_systematic_sample", "SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE (rn - 1) % 7 = 0")
-relational("oe9_top_gap", "SELECT source, round(max(CASE WHEN rn = 1 THEN n_chars END) - avg(CAST(n_chars AS DOUBLE)), 6) AS gap FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE rn <= 3 GROUP BY source", "SELECT source, round(max(CASE WHEN rn = 1 THEN n_chars END) - avg(n_chars::DOUBLE), 6) AS gap FROM (SELECT source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 3 GROUP BY source")
 relational("og4_reconcile", "SELECT e.vec_id FROM {embeddings} e LEFT ANTI JOIN {documents} d ON d.doc_id = e.vec_id AND d.lang = 'en'", "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND d.lang = 'en')")
 relational("og10_delete_documents", "SELECT d.doc_id, d.source FROM {documents} d LEFT ANTI JOIN (SELECT doc_id FROM {labels} WHERE toxic = 1) l ON l.doc_id = d.doc_id", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 relational("oh2_bounded_tokens", "SELECT doc_id, size(regexp_extract_all(text, '[가-힣]{2,8}|[A-Za-z]{3,12}|[0-9]+', 0)) AS n FROM {documents}", "SELECT doc_id, len(regexp_extract_all(text, '[가-힣]{2,8}|[A-Za-z]{3,12}|[0-9]+'))::INT AS n FROM documents")

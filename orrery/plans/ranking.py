@@ -226,7 +226,3 @@ relational(
     """SELECT event_id, CAST(round(least(abs(value) / (abs(value) + 50.0), CASE event_type WHEN 'click' THEN 0.30 WHEN 'view' THEN 0.40 WHEN 'purchase' THEN 0.75 ELSE 0.55 END)
        * CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE 1.0 END, 8) AS DOUBLE) AS capped FROM {events}""",
 )
-relational(
-    "oi11_modality_weights",
-    "SELECT doc_id, CAST(least(floor(9.0 * (n_chars % 1000) / 1000.0), 8) AS INT) AS bucket FROM {documents}",
-)

@@ -14,7 +14,7 @@ from orrery.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("vectors", "registers", "ranking", "lexical", "language", "maintenance", "media", "privacy", "evaluation", "more", "details")
+MODULES: tuple[str, ...] = ("vectors", "registers", "ranking", "lexical", "language", "maintenance", "recordings", "media", "privacy", "evaluation", "more", "details")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
@@ -56,7 +56,7 @@ def relational(name: str, text: str, oracle: str | None = None) -> None:
 
 def raw(sql: str) -> str:
     """Oracle text with the catalog's and the raw tables in place of their names in braces."""
-    sql = catalog.expand(sql)
+    sql = catalog.expand(sql).replace("element_at(", "list_extract(")
     for t in TABLES:
         sql = sql.replace("{" + t + "}", t)
     return sql

@@ -18,6 +18,8 @@ def _sum(digits: str, weights: list[int]) -> str:
 
 _CARD = "concat('4', lpad(CAST((n * 104729) % 1000000000 AS STRING), 9, '0'), lpad(CAST((n * 7919) % 1000000 AS STRING), 6, '3'))"
 
+_e = lambda i: f"CAST(element_at(embedding, {i}) AS DOUBLE)"
+
 VIEWS = {
     # every document as a file: what it is called, where it lies, what it holds
     "files": f"""SELECT d.doc_id, d.text, md5(coalesce(d.text, '')) AS sha, coalesce(d.n_chars, 0) AS size, {_DOMAIN} AS domain, {_NAME} AS stem,
@@ -44,6 +46,10 @@ VIEWS = {
         CASE WHEN segment = 'MACHINERY' THEN concat(substr(card, 1, 4), '-', substr(card, 5, 4), '-', substr(card, 9, 4), '-', substr(card, 13, 4)) ELSE card END) AS text
         FROM (SELECT n0 AS n, c_name AS name, c_mktsegment AS segment, concat('110-', lpad(CAST(n0 % 1000 AS STRING), 3, '0'), '-', lpad(CAST((n0 * 31) % 1000000 AS STRING), 6, '0')) AS phone, concat(lpad(CAST(n0 % 100 AS STRING), 2, '0'), lpad(CAST(1 + n0 % 12 AS STRING), 2, '0'), lpad(CAST(1 + n0 % 28 AS STRING), 2, '0'), CAST(1 + n0 % 4 AS STRING), lpad(CAST(n0 % 100000 AS STRING), 5, '0')) AS r,
         lpad(CAST((n0 * 7) % 1000000000 AS STRING), 9, '1') AS b, {_CARD.replace('n *', 'n0 *')} AS card FROM (SELECT *, c_custkey AS n0 FROM {{customer}}) c0) c1""",
+    # a vector as a track: its first components, stretched, are measured features
+    "tracks": f"""SELECT vec_id, label, embedding, concat('artist', CAST(label AS STRING), '_song ', CAST(vec_id AS STRING), CASE WHEN label % 2 = 0 THEN '_audio.mp3' ELSE '.mp3' END) AS filename,
+        60 + abs({_e(1)}) * 400 AS tempo, abs({_e(2)}) * 30000 AS centroid, abs({_e(3)}) * 40 AS ratio, abs({_e(4)}) AS loud, abs({_e(5)}) AS zcr, abs({_e(6)}) * 2000 AS seconds, abs({_e(7)}) * 4000 AS centroid_sd, abs({_e(8)}) * 20000 AS rolloff, abs({_e(9)}) AS loud_sd,
+        greatest({_e(10)}, 0) AS vocal, abs({_e(11)}) * 30000 AS vocal_centroid, abs({_e(12)}) * 3 AS vocal_high FROM {{embeddings}}""",
     # requests in two languages, put together from a customer's number
     "requests": """SELECT n AS id, domain, trim(concat(root, particle, ' ', noun, tail)) AS query, concat(root, particle) AS word FROM (SELECT c_custkey AS n,
         CASE CAST(c_custkey % 11 AS INT) WHEN 0 THEN '취업' WHEN 1 THEN '교육' WHEN 2 THEN '경제' WHEN 3 THEN '농구' WHEN 4 THEN '음악' WHEN 5 THEN '인공지능' WHEN 6 THEN '데이터센터' WHEN 7 THEN 'Research' WHEN 8 THEN 'budget' WHEN 9 THEN 'Michael Jordan' ELSE '마이클 조던' END AS root,
