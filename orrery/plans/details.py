@@ -159,17 +159,8 @@ def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("alpha").agg(rate(F.col("first") == 1).alias("r1"), rate(F.col("first") <= 5).alias("r5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-relational("ob12_content_stub", "SELECT page_id FROM {pages} WHERE regexp_extract(url, '([^/]*)$', 1) RLIKE '[가-힣]{2,}|[a-zA-Z]{4,}'", "SELECT page_id FROM pages WHERE regexp_matches(regexp_extract(url, '([^/]*)$', 1), '[가-힣]{2,}|[a-zA-Z]{4,}')")
-relational("oh11_av_boost", "SELECT conv_id, turn, 0.10D * m + CASE WHEN m >= 2 THEN 0.20D ELSE 0.0D END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM {conversations})", "SELECT conv_id, turn, 0.10::DOUBLE * m + CASE WHEN m >= 2 THEN 0.20 ELSE 0.0 END AS boost FROM (SELECT conv_id, turn, CASE WHEN contains(lower(concat(text, ' ', role)), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(concat(text, ' ', role)), 'user') THEN 1 ELSE 0 END AS m FROM conversations)")
-relational("oh12_title_boost", "SELECT page_id, 1.5D * h AS boost, CASE WHEN h > 0 THEN 0.60D ELSE 0.0D END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM {pages})", "SELECT page_id, 1.5::DOUBLE * h AS boost, CASE WHEN h > 0 THEN 0.60::DOUBLE ELSE 0.0 END AS floor FROM (SELECT page_id, CASE WHEN contains(lower(url), 'html') THEN 1 ELSE 0 END + CASE WHEN contains(lower(url), 'news') THEN 1 ELSE 0 END AS h FROM pages)")
-relational("oh24_snippet_backfill", "SELECT d.doc_id, coalesce(nullif(trim(b.text), ''), substr(d.text, 1, 800)) AS snippet FROM {documents} d LEFT JOIN {benchmark} b ON b.item_id = d.doc_id")
 relational("oi3_sigmoid", "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[0] AS DOUBLE) * 10)), 6) AS p FROM {embeddings}", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE * 10)), 6) AS p FROM embeddings")
 relational("oi17_json_arrays", "SELECT doc_id, to_json(array(lang, source)) AS j, from_json(to_json(array(lang, source)), 'array<string>')[1] AS back FROM {documents}", "SELECT doc_id, to_json([lang, source])::VARCHAR AS j, to_json([lang, source])->>1 AS back FROM documents")
 relational("oi18_iso_times", "SELECT user_id, max(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")) AS latest FROM {events} GROUP BY user_id", "SELECT user_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS latest FROM events GROUP BY user_id")
 relational("ok5_memory", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) WHERE rn <= 40")
 relational("ok8_recalibration_trigger", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1D AS due FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1 AS due FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")
-relational("oo13_caption_gate", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '')) > 0.05D * length(text) OR length(regexp_replace(text, '[^\\\\x00-\\\\x08]', '')) > 0.05D * length(text) THEN '' ELSE substr(text, 1, 40) END AS caption FROM {documents}", "SELECT doc_id, CASE WHEN length(regexp_replace(text, '[^一-鿿]', '', 'g')) > 0.05 * length(text) OR length(regexp_replace(text, '[^\\x00-\\x08]', '', 'g')) > 0.05 * length(text) THEN '' ELSE substr(text, 1, 40) END AS caption FROM documents")
-relational("oo14_rerank_passage", "SELECT p.page_id, substr(coalesce(nullif(trim(b.text), ''), nullif(trim(d.text), ''), p.url), 1, 800) AS passage FROM {pages} p LEFT JOIN {benchmark} b ON b.item_id = p.page_id LEFT JOIN {documents} d ON d.doc_id = p.page_id")
-relational("oo22_summary_context", "SELECT conv_id, turn FROM (SELECT conv_id, turn, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS used FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, substr(text, 1, 60) ORDER BY turn) AS rn FROM {conversations}) WHERE rn = 1) WHERE used <= 800")
-relational("oo23_extractive_fallback", "SELECT doc_id, substr(get(filter(split(text, '\\n'), x -> length(trim(x)) >= 20), 0), 1, 120) AS line FROM {documents}", "SELECT doc_id, substr(list_filter(string_split(text, chr(10)), lambda x: length(trim(x)) >= 20)[1], 1, 120) AS line FROM documents")
-relational("oo24_occurrences", "SELECT doc_id, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INT) AS n FROM {documents}", "SELECT doc_id, ((length(text) - length(replace(text, 'the', ''))) // 3)::INT AS n FROM documents")

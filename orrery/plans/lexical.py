@@ -129,13 +129,7 @@ def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("size(filter(split(text, '\\\\n+'), x -> trim(x) != '')) > 0").select("doc_id", X.best_snippet(F.col("text"), words).alias("snippet"))
 
 
-relational("oh13_character_classes", "SELECT doc_id, length(regexp_replace({documents}.text, '[^A-Za-z]', '')) AS alpha, length(regexp_replace({documents}.text, '[^0-9]', '')) AS digit FROM {documents}".replace("{documents}.text", "text"), "SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::INT AS alpha, length(regexp_replace(text, '[^0-9]', '', 'g'))::INT AS digit FROM documents")
-relational("oh10_token_boost", "SELECT doc_id, CAST(round(least(0.05 * (CASE WHEN contains(lower(text), 'tion') THEN 1 ELSE 0 END + CASE WHEN contains(lower(text), 'clown') THEN 1 ELSE 0 END), 0.10), 4) AS DOUBLE) AS boost FROM {documents}")
-relational("ob13_corrupt_captions", "SELECT doc_id FROM {documents} WHERE length(regexp_replace(text, '[^éèêçàñóíüöäß]', '')) / length(text) > 0.05", "SELECT doc_id FROM documents WHERE length(regexp_replace(text, '[^éèêçàñóíüöäß]', '', 'g')) / length(text) > 0.05")
-relational("ob17_line_filter", "SELECT doc_id, array_join(filter(split(text, '\\n'), x -> length(x) >= 20), '|') AS kept FROM {documents}", "SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 20), '|') AS kept FROM documents")
 relational("oa9_content_hash", "SELECT doc_id, sha2(text, 256) AS sha FROM {documents}", "SELECT doc_id, sha256(text) AS sha FROM documents")
 relational("oa10_file_key", "SELECT page_id, concat(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '[^0-9A-Za-z]+', '_'), '__', substr(md5(url), 1, 8)) AS k FROM {pages}", "SELECT page_id, regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), '[^0-9A-Za-z]+', '_', 'g') || '__' || substr(md5(url), 1, 8) AS k FROM pages")
 relational("oa11_parse_ids", "SELECT page_id, regexp_extract(url, '/([a-z]{2})/([0-9]+)', 1) AS stem, CAST(nullif(regexp_extract(url, '/([a-z]{2})/([0-9]+)', 2), '') AS INT) + 1 AS page FROM {pages}")
 relational("od18_keywords", "SELECT doc_id, w, n FROM (SELECT doc_id, w, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(p)) AS rn FROM (SELECT doc_id, posexplode(regexp_extract_all(lower(text), '[a-z]{4,}', 0)) AS (p, w) FROM {documents}) GROUP BY doc_id, w) WHERE rn <= 10", "SELECT doc_id, w, n FROM (SELECT doc_id, w, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(p)) AS rn FROM (SELECT doc_id, unnest(l) AS w, unnest(range(len(l))) AS p FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS l FROM documents)) GROUP BY doc_id, w) WHERE rn <= 10")
-relational("oh20_ngrams", "SELECT g, count(*) AS files FROM (SELECT DISTINCT doc_id, explode(transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))) AS g FROM (SELECT doc_id, split(lower(text), ' +') AS w FROM {documents}) WHERE size(w) > 1) GROUP BY g HAVING count(*) BETWEEN 2 AND 50", "SELECT g, count(*) AS files FROM (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM (SELECT doc_id, regexp_split_to_array(lower(text), ' +') AS w FROM documents) WHERE len(w) > 1) GROUP BY g HAVING count(*) BETWEEN 2 AND 50")
-relational("oi14_strip_markup", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '')) AS chars FROM {pages}", "SELECT page_id, length(regexp_replace(html, '<[^>]*>', '', 'g'))::INT AS chars FROM pages")

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from orrery.plans.registry import relational
 
-relational("od9_forced_keywords", "SELECT source AS token, count(*) AS df FROM {documents} GROUP BY source UNION ALL SELECT k, 0 FROM (SELECT explode(array('src0', 'forced')) AS k) f LEFT ANTI JOIN {documents} d ON d.source = f.k", "SELECT source AS token, count(*) AS df FROM documents GROUP BY source UNION ALL SELECT k, 0 FROM (VALUES ('src0'), ('forced')) f(k) WHERE k NOT IN (SELECT source FROM documents)")
-relational("of7_systematic_sample", "SELECT doc_id FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rn FROM {documents}) WHERE (rn - 1) % 7 = 0")
 relational("og4_reconcile", "SELECT e.vec_id FROM {embeddings} e LEFT ANTI JOIN {documents} d ON d.doc_id = e.vec_id AND d.lang = 'en'", "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND d.lang = 'en')")
 relational("og10_delete_documents", "SELECT d.doc_id, d.source FROM {documents} d LEFT ANTI JOIN (SELECT doc_id FROM {labels} WHERE toxic = 1) l ON l.doc_id = d.doc_id", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-relational("oh2_bounded_tokens", "SELECT doc_id, size(regexp_extract_all(text, '[가-힣]{2,8}|[A-Za-z]{3,12}|[0-9]+', 0)) AS n FROM {documents}", "SELECT doc_id, len(regexp_extract_all(text, '[가-힣]{2,8}|[A-Za-z]{3,12}|[0-9]+'))::INT AS n FROM documents")
 relational("om4_file_null", "SELECT label, round(percentile(s, 0.95), 6) AS p95, round(percentile(s, 0.99), 6) AS p99 FROM (SELECT label, CAST(embedding[3] AS DOUBLE) AS s FROM {embeddings}) GROUP BY label", "SELECT label, round(quantile_cont(s, 0.95), 6) AS p95, round(quantile_cont(s, 0.99), 6) AS p99 FROM (SELECT label, embedding[4]::DOUBLE AS s FROM embeddings) GROUP BY label")
-relational("oo4_page_text", "SELECT p.page_id, length(concat_ws('|', l.quality, p.url)) AS chars FROM {pages} p LEFT JOIN {labels} l ON l.doc_id = p.page_id", "SELECT p.page_id, length(concat_ws('|', l.quality, p.url))::INT AS chars FROM pages p LEFT JOIN labels l ON l.doc_id = p.page_id")

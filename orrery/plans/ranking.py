@@ -220,9 +220,3 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = f.select(F.col("vec_id").alias("y"), F.col("fp").alias("b")).crossJoin(per_query(spark, sf_dir, asked)).where("x != y")
     return pairs.select("x", "y", F.round(S.fingerprint_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
 
-
-relational(
-    "oi5_caps_and_discounts",
-    """SELECT event_id, CAST(round(least(abs(value) / (abs(value) + 50.0), CASE event_type WHEN 'click' THEN 0.30 WHEN 'view' THEN 0.40 WHEN 'purchase' THEN 0.75 ELSE 0.55 END)
-       * CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE 1.0 END, 8) AS DOUBLE) AS capped FROM {events}""",
-)
