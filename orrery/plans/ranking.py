@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from orrery.functions import scoring as S
 from orrery.functions import vector as V
 from orrery.plans.registry import query, relational
-from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, axes, per_query, query_axes, scored
+from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, pairs, per_query, scored
 
 CHANNELS_SQL = f"""ch AS (SELECT q.row_id AS qid, d.row_id, d.label, {DOT.format(a='q.re', b='d.re')} AS dense, {DOT.format(a='q.im', b='d.im')} AS lexical, {DOT.format(a='q.z', b='d.z')} AS asf
   FROM axes q, axes d WHERE q.row_id % 100 = 0)"""
 
 
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = axes(spark, sf_dir).crossJoin(per_query(spark, sf_dir, query_axes(spark, sf_dir)))
-    return pairs.select("qid", "row_id", "label", V.dot(F.col("q_re"), F.col("re")).alias("dense"), V.dot(F.col("q_im"), F.col("im")).alias("lexical"), V.dot(F.col("q_z"), F.col("z")).alias("asf"))
+    """The three axes' similarities as channels, of every query row and every row."""
+    return pairs(spark, sf_dir).select("qid", "row_id", "label", "dense", "lexical", "asf")
 
 
 def by_query():

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
+from orrery.operators import axis_search as A
 from orrery.plans.registry import query, table
 
 
@@ -37,11 +39,41 @@ SCORED_SQL = f"""scored AS (SELECT q.row_id AS qid, d.row_id, d.label,
   FROM axes q, axes d WHERE q.row_id % 100 = 0)"""
 
 
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(qid, row_id, label, dense, lexical, asf): every query row against every row on the three axes, exactly.
+
+    Up to MOST_QUERIES the queries' vectors go to every task, which multiplies whole Arrow batches; beyond
+    that a cross join runs in blocks.
+    """
+    t = table(spark, sf_dir, "embeddings")
+    asked = t.where("vec_id % 100 = 0")
+    if asked.count() > MOST_QUERIES:
+        both = axes(spark, sf_dir).crossJoin(query_axes(spark, sf_dir))
+        return both.select("qid", "row_id", "label", V.dot(F.col("q_re"), F.col("re")).alias("dense"), V.dot(F.col("q_im"), F.col("im")).alias("lexical"), V.dot(F.col("q_z"), F.col("z")).alias("asf"))
+    got = asked.select("vec_id", "embedding").orderBy("vec_id").collect()  # bounded by the check
+    search = A.AxisSearch(np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float).reshape(-1, sum(A.AXES)))
+    rows = t.select(F.col("vec_id").alias("row_id"), "label", F.col("embedding").alias("vec"))
+    return search.pairs(rows, "label")
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query row against every row, exactly."""
-    pairs = axes(spark, sf_dir).crossJoin(per_query(spark, sf_dir, query_axes(spark, sf_dir)))
-    s = V.three_axis(V.dot(F.col("q_re"), F.col("re")), V.dot(F.col("q_im"), F.col("im")), V.dot(F.col("q_z"), F.col("z")))
-    return pairs.select("qid", "row_id", "label", s.alias("score"))
+    p = pairs(spark, sf_dir)
+    return p.select("qid", "row_id", "label", V.three_axis(F.col("dense"), F.col("lexical"), F.col("asf")).alias("score"))
+
+
+def search_rows(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """(qid, rank, row_id, score, mu, sd): the query set's best k rows, with the mean and deviation of all scores; a pass over the rows for each MOST_QUERIES queries."""
+    e = table(spark, sf_dir, "embeddings")
+    asked, rows = e.where("vec_id % 100 = 0").select("vec_id", "embedding"), e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    n = asked.count()
+    parts = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
+    out = None
+    for p in range(parts):
+        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).orderBy("vec_id").collect()
+        found = A.AxisSearch(np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], float).reshape(-1, sum(A.AXES))).best(rows, k)
+        out = found if out is None else out.union(found)
+    return out
 
 
 @query(
@@ -51,7 +83,30 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, rank::INT AS rank, row_id, round(score, 6) AS score, round((score - mu) / sd, 5) AS z FROM w WHERE rank <= 10""",
 )
 def three_axis_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = scored(spark, sf_dir)
-    stats = s.groupBy("qid").agg(F.avg("score").alias("mu"), F.greatest(F.stddev_pop("score"), F.lit(0.05)).alias("sd"))
-    top = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id"))).where("rank <= 10")
-    return top.join(per_query(spark, sf_dir, stats), "qid").select("qid", "rank", "row_id", F.round("score", 6).alias("score"), F.round((F.col("score") - F.col("mu")) / F.col("sd"), 5).alias("z"))
+    """The best ten rows of each query and how far they lie above its mean."""
+    return search_rows(spark, sf_dir).select("qid", "rank", "row_id", F.round("score", 6).alias("score"), F.round((F.col("score") - F.col("mu")) / F.greatest("sd", F.lit(0.05)), 5).alias("z"))
+
+
+_N = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
+
+
+@query("ob1_normalise", f"SELECT vec_id, round(embedding[1]::DOUBLE / greatest({_N('embedding')}, 1e-12), 6) AS clipped, round(embedding[1]::DOUBLE / ({_N('embedding')} + 1e-8), 6) AS added, round(embedding[1]::DOUBLE / ({_N('embedding')} + 1e-9), 6) AS added9, round({_N('list_transform(embedding, lambda x: x::DOUBLE / ' + _N('embedding') + ')')}, 6) AS length FROM embeddings")
+def normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three ways to divide by a length."""
+    e, v = table(spark, sf_dir, "embeddings"), F.col("embedding")
+    r = lambda c: F.round(c, 6)
+    return e.select("vec_id", r(V.l2_normalise(v)[0]).alias("clipped"), r(V.l2_normalise_added(v)[0]).alias("added"), r(V.l2_normalise_added(v, 1e-9)[0]).alias("added9"), r(V.norm(V.l2_normalise(v))).alias("length"))
+
+
+@query("ob2_cosine", f"SELECT a.vec_id, round({DOT.format(a='a.embedding', b='b.embedding')}, 5) AS dot, round({DOT.format(a='list_transform(a.embedding, lambda x: x::DOUBLE)', b='list_transform(b.embedding, lambda x: x::DOUBLE)')} / greatest({_N('a.embedding')} * {_N('b.embedding')}, 1e-9), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector and the next."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return e.join(b, "vec_id").select("vec_id", F.round(V.dot(F.col("embedding"), F.col("other")), 5).alias("dot"), F.round(V.cosine(F.col("embedding"), F.col("other")), 6).alias("cosine"))
+
+
+@query("of1_exact_top_k", f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored) SELECT qid, list_sort(list(row_id)) AS found FROM r WHERE rn <= 25 GROUP BY qid")
+def top_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 25 of each query as a set, in order of id."""
+    return search_rows(spark, sf_dir, 25).groupBy("qid").agg(F.array_sort(F.collect_list("row_id")).alias("found"))
