@@ -159,8 +159,6 @@ def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("alpha").agg(rate(F.col("first") == 1).alias("r1"), rate(F.col("first") <= 5).alias("r5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
-relational("oi3_sigmoid", "SELECT vec_id, round(1 / (1 + exp(-CAST(embedding[0] AS DOUBLE) * 10)), 6) AS p FROM {embeddings}", "SELECT vec_id, round(1 / (1 + exp(-embedding[1]::DOUBLE * 10)), 6) AS p FROM embeddings")
 relational("oi17_json_arrays", "SELECT doc_id, to_json(array(lang, source)) AS j, from_json(to_json(array(lang, source)), 'array<string>')[1] AS back FROM {documents}", "SELECT doc_id, to_json([lang, source])::VARCHAR AS j, to_json([lang, source])->>1 AS back FROM documents")
 relational("oi18_iso_times", "SELECT user_id, max(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")) AS latest FROM {events} GROUP BY user_id", "SELECT user_id, max(strftime(ts, '%Y-%m-%dT%H:%M:%SZ')) AS latest FROM events GROUP BY user_id")
 relational("ok5_memory", "SELECT conv_id, turn, role FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) WHERE rn <= 40")
-relational("ok8_recalibration_trigger", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1D AS due FROM {documents} d LEFT JOIN {labels} l ON l.doc_id = d.doc_id GROUP BY d.source", "SELECT d.source, count(*) AS n, count(*) - count(l.doc_id) AS added, count(*) < 100 OR count(*) - count(l.doc_id) >= 500 OR (count(*) - count(l.doc_id)) / count(*) >= 0.1 AS due FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.source")

@@ -48,12 +48,6 @@ def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("label", F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"), F.round(F.col("mu") + S.inverse_normal(F.lit(0.95)) * F.col("sd"), 5).alias("threshold"), "n")
 
 
-@query("om9_hits", f"WITH {RANKED_SQL} SELECT qid, max(CASE WHEN rn <= 10 THEN rel ELSE 0 END) = 1 AS hit, max(CASE WHEN rn = 1 THEN rel ELSE 0 END) = 1 AS top1, sum(CASE WHEN rn <= 5 THEN rel ELSE 0 END)::BIGINT AS in5 FROM g GROUP BY qid")
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    within = lambda n: F.when(F.col("rn") <= n, F.col("rel")).otherwise(0)
-    return ranked(spark, sf_dir).groupBy("qid").agg((F.max(within(10)) == 1).alias("hit"), (F.max(within(1)) == 1).alias("top1"), F.sum(within(5)).alias("in5"))
-
-
 relational(
     "od17_confusion",
     """SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, sum(tn) AS tn, round(CAST(sum(tp) AS DOUBLE) / nullif(sum(tp) + sum(fp), 0), 6) AS precision_1, round(CAST(sum(tp) AS DOUBLE) / nullif(sum(tp) + sum(fn), 0), 6) AS recall_1
@@ -63,5 +57,3 @@ relational(
     FROM (SELECT CASE WHEN p = 1 AND quality = 1 THEN 1 ELSE 0 END AS tp, CASE WHEN p = 1 AND quality = 0 THEN 1 ELSE 0 END AS fp, CASE WHEN p = 0 AND quality = 1 THEN 1 ELSE 0 END AS fn, CASE WHEN p = 0 AND quality = 0 THEN 1 ELSE 0 END AS tn
       FROM (SELECT l.quality, CASE WHEN contains(d.text, '|') OR contains(d.text, '!!') THEN 0 ELSE 1 END AS p FROM {labels} l JOIN {documents} d ON d.doc_id = l.doc_id))""",
 )
-relational("om5_drift_guard", "SELECT a.event_type, CASE WHEN a.mu > 2 * b.mu OR a.mu < 0.5 * b.mu THEN 'keep' ELSE 'update' END AS action FROM (SELECT event_type, avg(value) AS mu FROM {events} WHERE event_id % 2 = 0 GROUP BY event_type) a JOIN (SELECT event_type, avg(value) AS mu FROM {events} WHERE event_id % 2 = 1 GROUP BY event_type) b ON a.event_type = b.event_type")
-relational("om13_growth_curve", "SELECT n, round(avg(quality), 6) AS rate, count(*) AS seen FROM (SELECT explode(sequence(1, 10)) AS n) g JOIN (SELECT quality, doc_id % 10 + 1 AS ordinal FROM {labels}) l ON l.ordinal <= g.n GROUP BY n", "SELECT n::INT AS n, round(avg(quality), 6) AS rate, count(*) AS seen FROM range(1, 11) g(n) JOIN (SELECT quality, doc_id % 10 + 1 AS ordinal FROM labels) l ON l.ordinal <= g.n GROUP BY n")

@@ -23,7 +23,6 @@ def media_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 relational("oe11_last_turns", "SELECT conv_id, turn FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM {conversations}) WHERE rn <= 4")
 relational("oe15_running_offset", "SELECT conv_id, turn, CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset_chars FROM {conversations}")
-relational("oe16_neighbour_budget", "SELECT conv_id, turn, other FROM (SELECT a.conv_id, a.turn, b.turn AS other, sum(length(b.text)) OVER (PARTITION BY a.conv_id, a.turn ORDER BY abs(a.turn - b.turn), b.turn ROWS UNBOUNDED PRECEDING) AS used FROM {conversations} a JOIN {conversations} b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 2 AND a.turn + 2) WHERE used <= 3600")
 
 
 relational("ext_window_events", "SELECT window.start AS start, event_type, count(*) AS n FROM {events} GROUP BY window(ts, '1 day'), event_type", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -6,4 +6,3 @@ from orrery.plans.registry import relational
 
 relational("og4_reconcile", "SELECT e.vec_id FROM {embeddings} e LEFT ANTI JOIN {documents} d ON d.doc_id = e.vec_id AND d.lang = 'en'", "SELECT vec_id FROM embeddings e WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id AND d.lang = 'en')")
 relational("og10_delete_documents", "SELECT d.doc_id, d.source FROM {documents} d LEFT ANTI JOIN (SELECT doc_id FROM {labels} WHERE toxic = 1) l ON l.doc_id = d.doc_id", "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
-relational("om4_file_null", "SELECT label, round(percentile(s, 0.95), 6) AS p95, round(percentile(s, 0.99), 6) AS p99 FROM (SELECT label, CAST(embedding[3] AS DOUBLE) AS s FROM {embeddings}) GROUP BY label", "SELECT label, round(quantile_cont(s, 0.95), 6) AS p95, round(quantile_cont(s, 0.99), 6) AS p99 FROM (SELECT label, embedding[4]::DOUBLE AS s FROM embeddings) GROUP BY label")
