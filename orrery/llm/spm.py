@@ -192,10 +192,10 @@ class Pieces:
 class _Segments(dict):
     """Ids of segments as int32 bytes, kept for the next time; when full, those not used since the last time go.
 
-    Segments of up to 64 characters, so two times MOST of them hold some 20 MB at most.
+    Segments of up to 64 characters, so two times MOST of them hold some 60 MB at most.
     """
 
-    MOST = 40_000
+    MOST = 120_000
 
     def __init__(self, fst: Transducer):
         self.fst, self.old = fst, {}
@@ -219,10 +219,11 @@ class Transducer:
     for every piece that spells the characters in between, or one for a character without a piece,
     which gives its bytes, or the unknown piece. Paths add weights and the least weight wins
     (tropical semiring); of equal paths the one found first stays. In a BPE model every state has
-    one finite path, as no two ways of merging the same characters have all boundaries in order.
+    one finite path at most, as no two ways of merging the same characters have all boundaries in
+    order, so states can be visited depth first.
     """
 
-    MOST_PAIRS = 150_000
+    MOST_PAIRS = 400_000
 
     def __init__(self, model: bytes):
         from sentencepiece import sentencepiece_model_pb2
@@ -242,50 +243,77 @@ class Transducer:
     def path(self, text: str) -> list[int]:
         """The ids on the shortest path of one segment."""
         p = self.pieces
-        back = self._merging(text) if p.kind == _BPE else self._cheapest(text)
+        if p.kind == _BPE:
+            return self._merging(text)
+        back = self._cheapest(text)
         out: list[int] = []
         i = len(text)
         while i:
             j, t = back[i]
-            if t >= 0:
-                out.append(t)
-            else:
-                out += [p.bytes.get(b, p.unknown) for b in reversed(text[j:i].encode("utf-8", "replace"))] if p.bytes else [p.unknown]
+            out += [t] if t >= 0 else self._spelt(text[j:i])[::-1]
             i = j
         return out[::-1]
 
-    def _merging(self, text: str) -> list[tuple[int, int]]:
-        """(start, piece) of each state's last arc, for weights that are 0 or infinite."""
-        n, root, pairs, follows = len(text), self.pieces.trie, self._pairs, self.pieces.follows
-        back: list[tuple[int, int] | None] = [None] * (n + 1)
-        back[0] = (0, -1)
-        for j in range(n):
-            if back[j] is None:
-                continue
-            before = back[j][1]
-            node, i = root, j
-            for c in text[j:] if j else text:
-                arc = node.get(c)
-                if arc is None:
-                    break
-                i += 1
-                node, t = arc
-                if t >= 0 and back[i] is None:
-                    if before >= 0:
-                        key = before * _PAIR + t
-                        ok = pairs.get(key)
-                        if ok is None:
-                            if len(pairs) >= self.MOST_PAIRS:
-                                pairs.clear()
-                            ok = pairs[key] = follows(before, t)
-                        if not ok:
-                            continue
-                    back[i] = (j, t)
-            if i == j:  # no piece starts with this character
-                back[i + 1] = (j, -1)
-        if back[n] is None:
-            raise ValueError(f"no path through {text!r}")
-        return back
+    def _spelt(self, c: str) -> list[int]:
+        """The output of a character without a piece."""
+        p = self.pieces
+        return [p.bytes.get(b, p.unknown) for b in c.encode("utf-8", "replace")] if p.bytes else [p.unknown]
+
+    def _merging(self, text: str) -> list[int]:
+        """The shortest path for weights that are 0 or infinite: depth first, longest arcs first, so the first that ends is it.
+
+        A state that no finite arc leaves is not entered again: whatever way leads to it is the same.
+        """
+        n, root, pairs = len(text), self.pieces.trie, self._pairs
+        arcs: list[list[tuple[int, int]] | None] = [None] * n
+        dead = bytearray(n + 1)
+        trail: list[tuple[int, int]] = []
+        j, before = 0, -1
+        while j < n:
+            found = arcs[j]
+            if found is None:
+                node, i, found = root, j, []
+                for c in text[j:] if j else text:
+                    arc = node.get(c)
+                    if arc is None:
+                        break
+                    i += 1
+                    node, t = arc
+                    if t >= 0:
+                        found.append((i, t))
+                if i == j:  # no piece starts with this character
+                    found.append((j + 1, -1))
+                found.reverse()
+                arcs[j] = found
+            for i, t in found:
+                if dead[i]:
+                    continue
+                if before >= 0 <= t:
+                    key = before * _PAIR + t
+                    ok = pairs.get(key)
+                    if ok is None:
+                        if len(pairs) >= self.MOST_PAIRS:
+                            pairs.clear()
+                        ok = pairs[key] = self.pieces.follows(before, t)
+                    if not ok:
+                        continue
+                trail.append((j, before))
+                j, before = i, t
+                break
+            else:
+                dead[j] = 1
+                if not trail:
+                    raise ValueError(f"no path through {text!r}")
+                j, before = trail.pop()
+        last = [t for _, t in trail[1:]]
+        if n:
+            last.append(before)
+        if min(last, default=0) >= 0:
+            return last
+        out: list[int] = []
+        for (at, _), t in zip(trail, last, strict=True):
+            out += [t] if t >= 0 else self._spelt(text[at])
+        return out
 
     def _cheapest(self, text: str) -> list[tuple[int, int]]:
         n, none, scores = len(text), float("inf"), self.pieces.scores
