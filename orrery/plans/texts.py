@@ -207,13 +207,14 @@ def title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("doc_id", F.round(S.title_boost(F.col("conf"), F.col("hits")), 6).alias("final"), S.title_floor(F.col("conf"), F.col("hits")).alias("confidence"))
 
 
-_NGRAM_SQL = """w AS (SELECT file_name, regexp_extract_all(stem, '[가-힣]{2,}') || regexp_extract_all(stem, '[A-Za-z]{2,}') AS w FROM {files}), e AS (SELECT file_name, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+_NGRAM_SQL = """w AS (SELECT file_name, regexp_extract_all(stem, '[가-힣]{2,}') || regexp_extract_all(stem, '[A-Za-z]{2,}') AS w FROM (SELECT file_name, concat(stem, ' ', left(text, 40)) AS stem FROM {files})), e AS (SELECT file_name, w, unnest(range(1, len(w) + 1)) AS i FROM w),
   g AS (SELECT lower(w[i]) AS g, file_name FROM e UNION SELECT lower(w[i] || ' ' || w[i + 1]), file_name FROM e WHERE i < len(w) AND length(w[i] || ' ' || w[i + 1]) BETWEEN 4 AND 25 UNION SELECT lower(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]), file_name FROM e WHERE i + 1 < len(w) AND length(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) BETWEEN 6 AND 35),
   c AS (SELECT g, count(*) AS files FROM g GROUP BY g HAVING count(*) BETWEEN 2 AND 50)"""
 
 
 def ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.name_ngrams(view(spark, sf_dir, "files").select("file_name", "stem"))
+    """Of names that go on with the start of the document."""
+    return X.name_ngrams(view(spark, sf_dir, "files").select("file_name", F.concat_ws(" ", "stem", F.substring("text", 1, 40)).alias("stem")))
 
 
 @query("oh20_ngrams", raw(f"WITH {_NGRAM_SQL} SELECT g, files FROM c"))
