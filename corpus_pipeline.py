@@ -10,7 +10,10 @@ from orrery.llm.scratch import Scratch
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that score below one half go."""
+    """Operator 4: documents that score below one half go.
+
+    Null text counts as empty, and scores as such; equal texts score alike; an empty table stays empty.
+    """
     ranker = quality.fit(docs, queries.table(spark, sf_dir, "labels"), ~queries.held_out())
     return quality.score(docs, ranker).where("predicted = 1").select(*docs.columns)
 
@@ -33,12 +36,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: documents that hold a benchmark item go."""
+    """Operator 10: documents that hold a benchmark item go. Null and empty texts hold none; an empty benchmark leaves all."""
     return decontam.scan(docs, queries.table(spark, sf_dir, "benchmark")).where("size(hits) = 0").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: every secret, encoded ones too, becomes [SECRET]; n_chars follows."""
+    """Operator 8: every secret, encoded ones too, becomes [SECRET]; n_chars follows. Null text stays null; overlapping secrets become one mark."""
     found = secrets.scan(docs, redact=True)
     changed = F.size("base_spans") + F.size("added_spans") > 0
     if "n_chars" in docs.columns:
@@ -47,7 +50,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: the texts' token ids."""
+    """Operator 5: the texts' token ids, for every row; null and empty texts have none."""
     return spm.encode(docs, queries.model_bytes(), keep=["doc_id", "lang", "source"])
 
 

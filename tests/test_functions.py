@@ -1,14 +1,11 @@
 import math
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from orrery.functions import pii, scoring, text
 from orrery.functions import vector as V
-from orrery.operators.sessions import session_risk, session_risk_stream
 from orrery.operators.windows import sliding
-from orrery.plans import registry
 
 
 def one(spark, column, **values):
@@ -41,12 +38,6 @@ def test_business_number(spark, n, ok):
     assert one(spark, pii.business_valid(F.col("n")), n=n) is ok
 
 
-def test_numbers_next_to_hangul(spark):
-    t = "번호920101-1234567입니다 또 850505-2345678 끝"
-    assert one(spark, pii.findings(F.col("t"), "RESIDENT"), t=t) == ["920101-1234567", "850505-2345678"]
-    assert one(spark, pii.masked(F.col("t")), t=t) == "번호[RESIDENT]입니다 또 [RESIDENT] 끝"
-
-
 def test_tokens(spark):
     assert one(spark, text.tokens(F.col("t")), t="취업 통계 the AI-x7 a") == ["취업", "통계", "ai-x7"]
 
@@ -65,33 +56,3 @@ def test_windows(spark):
 
 def test_normalise_zero(spark):
     assert one(spark, V.l2_normalise(F.array(F.lit(0.0), F.lit(0.0)))) == [0.0, 0.0]
-
-
-def test_session_fold_and_stream(spark, tmp_path):
-    rows = [("a", i, f"2024-01-01 00:00:{i:02d}", p, k) for i, (p, k) in enumerate([(6, "x"), (2, "y"), (6, "x"), (5, "z"), (6, "x")])] + [("b", 9, "2024-01-01 00:00:00", 2, "x")]
-    e = spark.createDataFrame(rows, "s string, event_id int, t string, points int, kind string").withColumn("ts", F.to_timestamp("t")).drop("t")
-    want = {(r["s"], r["score"], r["blocked"]) for r in session_risk(e, "s").collect()}
-    assert want == {("a", 16, True), ("b", 2, False)}
-    e.write.parquet(str(tmp_path / "in"))
-    stream = session_risk_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), "s")
-    q = stream.writeStream.format("memory").queryName("risk").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r["session"], r["score"], r["blocked"]) for r in spark.table("risk").collect()} == want
-
-
-def test_masking_and_sensitivity_of_whole_documents(spark, data):
-    texts = {r["doc_id"]: r["text"] for r in registry.table(spark, data, "documents").collect()}
-    want, kinds = {}, {}
-    for i, t in texts.items():
-        kinds[i] = [k for k, p in pii.PATTERNS.items() if re.search(p, t)]
-        for k, p in pii.PATTERNS.items():
-            t = re.sub(p, f"[{k}]", t)
-        want[i] = t
-    assert {r["doc_id"]: r["text"] for r in registry.queries()["oj7_masking"](spark, data).collect()} == want
-    weight = lambda ks: min(1.0, max(pii.WEIGHTS[k] for k in ks) + 0.05 * (len(ks) - 1)) if ks else 0.0
-    got = {r["doc_id"]: r for r in registry.queries()["oj10_sensitivity"](spark, data).collect()}
-    assert any(kinds.values()) and set(got) == set(texts)
-    for i, ks in kinds.items():
-        risk = 0.30 * bool(ks) + 0.25 * bool(ks) + 0.30 * weight(ks)
-        assert abs(got[i]["sensitivity"] - weight(ks)) < 1e-9
-        assert got[i]["label"] == ("dangerous" if risk >= 0.65 else "sensitive" if risk >= 0.30 else "normal")
