@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
 from orrery.llm.components import connected_components
-from orrery.llm.scratch import Scratch, small_batches
+from orrery.llm.scratch import Scratch, extended, small_batches
 
 #: Signature coordinates, and the least number that a pair must share. The value of a
 #: coordinate is two minima, so sets of similarity s share it with probability s * s:
@@ -62,11 +62,27 @@ def _signer(k: int):
     return run
 
 
-def _setter(k: int):
+#: Bytes of sets that leave a task at once.
+OUT = 4 << 20
+
+
+def _setter(k: int, names: list[str]):
+    """One row, with the set of the text, for every entry of the column rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, j, sets in _sets(b, k):
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(i, j - i), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "shingles"])
+                lists = b.column("rows").slice(i, j - i)
+                entries, count = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+                owner = np.repeat(np.arange(j - i), count)
+                at = np.cumsum([0, *(8 * len(sets[r]) for r in owner)])
+                lo = 0
+                while lo < len(owner):
+                    hi = max(lo + 1, int(np.searchsorted(at, at[lo] + OUT, "right")) - 1)
+                    some = owner[lo:hi]
+                    raw = [sets[r].tobytes() for r in some]
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(some + i)), *(entries.field(n).slice(lo, hi - lo) for n in names), pa.array(raw, pa.binary())], ["id", *names, "shingles"])
+                    lo = hi
 
     return run
 
@@ -261,10 +277,12 @@ def _confirmer(similarity: float):
     return run
 
 
-def _sets_of(ids: DataFrame, texts: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(id, shingles): the set of each of the ids' texts, made once and written out."""
-    own = texts.join(ids.distinct(), "id", "left_semi").distinct()
-    return scratch.save(own.mapInArrow(_setter(k), "id long, shingles binary"))
+def _with_sets(rows: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the shingle set of their id's texts. A text meets all rows of its id at once, its set is made once and goes to each."""
+    names = [c for c in rows.columns if c != "id"]
+    per = rows.groupBy("id").agg(F.collect_list(F.struct(*names)).alias("rows")).hint("merge")
+    own = texts.join(per.select("id").hint("merge"), "id", "left_semi").distinct().join(per, "id")
+    return own.mapInArrow(_setter(k, names), extended(rows, ["id", *names], "shingles binary"))
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -272,11 +290,8 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, similarity: float, sc
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(64)))
     asked = scratch.save(pairs.select("a", "share").distinct().select(F.col("a").alias("head"), "share", F.col("a").alias("id"), F.lit(True).alias("lead")).union(pairs.select(F.col("a"), "share", "b", F.lit(False))))
-    sets = _sets_of(asked.select("id"), texts, k, scratch)
-    rows = asked.join(sets, "id").repartition(parts, "head", "share").sortWithinPartitions("head", "share", F.col("lead").desc())
-    found = scratch.save(rows.mapInArrow(_confirmer(similarity), "a long, b long"))
-    scratch.drop(sets)
-    return found
+    rows = _with_sets(asked, texts, k).repartition(parts, "head", "share").sortWithinPartitions("head", "share", F.col("lead").desc())
+    return scratch.save(rows.mapInArrow(_confirmer(similarity), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -339,10 +354,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     group = connected_components(near, scratch).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     group = scratch.save(group.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
     dealt = _dealt(group, scratch)
-    sets = _sets_of(group.select("id"), texts, k, scratch)
-    rows = dealt.join(sets, "id").repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
+    rows = _with_sets(dealt, texts, k).repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
     second = scratch.save(rows.mapInArrow(_linked(similarity), "a long, b long").distinct())
-    scratch.drop(sets)
     last = scratch.save(connected_components(second, scratch))
 
     rep = classes.select("n", "h1", "h2", F.col("id").alias("rep"))

@@ -391,15 +391,6 @@ def test_decontamination(spark):
     assert decontam.scan(docs_of(spark, texts), bench.limit(0)).where("size(hits) > 0").count() == 0
 
 
-def test_hamming_blocks_find_all_within_the_radius():
-    rng = np.random.default_rng(3)
-    prints = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
-    asked = prints[:50] ^ np.array([sum(1 << int(b) for b in rng.choice(64, i % 24, replace=False)) for i in range(50)], np.uint64)
-    got = set(zip(*decontam.Blocks(prints).within(asked), strict=True))
-    want = {(i, j) for i in range(50) for j in range(200) if int(asked[i] ^ prints[j]).bit_count() <= decontam.RADIUS}
-    assert {(int(i), int(j)) for i, j in got} == want
-
-
 def test_pieces_equal_sentencepiece(spark):
     sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=queries.TOKENIZER)
     fst = spm.Transducer(queries.model_bytes())
