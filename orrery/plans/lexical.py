@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import text as X
 from orrery.plans.registry import query, relational, table
+from orrery.sources import workdir
 
 _STOP = ", ".join(f"'{w}'" for w in X.EN_STOP)
 TOKENS_SQL = f"tok AS (SELECT doc_id, t, pos FROM (SELECT doc_id, unnest(l) AS t, unnest(range(len(l))) AS pos FROM (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[가-힣]{{2,}}|[A-Za-z][A-Za-z0-9\\-]{{2,}}'), lambda x: lower(x)), lambda x: x NOT IN ({_STOP})) AS l FROM documents)))"
@@ -26,6 +27,22 @@ def count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCAB_SQL = f"{TOKENS_SQL}, n AS (SELECT count(*) AS n FROM documents), voc AS (SELECT t AS token, count(DISTINCT doc_id) AS df, ln((max(n.n) + 1.0) / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM tok, n GROUP BY t HAVING count(DISTINCT doc_id) BETWEEN 2 AND max(n.n) * 0.4)"
 
 
+def term_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """(doc_id, t, tf, dl) of all documents, tokenised once and written out, and the number of documents."""
+    docs = table(spark, sf_dir, "documents")
+    l = docs.select("doc_id", X.tokens(F.col("text")).alias("l")).where("size(l) > 0")
+    tf = l.select("doc_id", F.size("l").cast("double").alias("dl"), F.explode("l").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
+    path = workdir.fresh(spark, "terms")
+    tf.write.parquet(path)
+    return spark.read.parquet(path), docs.count()
+
+
+def vocabulary_of(terms: DataFrame, n: int, least: int = 2, ratio: float = 0.4) -> DataFrame:
+    """(token, df, idf) from a term table."""
+    df = terms.groupBy(F.col("t").alias("token")).agg(F.count("*").alias("df"))
+    return df.where((F.col("df") >= least) & (F.col("df") <= int(n * ratio))).select("token", "df", (F.log((n + 1.0) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
 def vocabulary(spark: SparkSession, sf_dir: str, least: int = 2, ratio: float = 0.4) -> DataFrame:
     """Document frequency and idf. Distinct within the row, so one shuffle with partial counts."""
     docs = table(spark, sf_dir, "documents")
@@ -60,13 +77,13 @@ def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def asf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary overlap: idf of shared tokens over the query's norm, divided by the query's best."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("t"))
-    w = query_tokens(spark, sf_dir).join(vocabulary(spark, sf_dir).withColumnRenamed("token", "t"), "t").select("item_id", "t", "idf")
+    terms, n = term_table(spark, sf_dir)
+    w = query_tokens(spark, sf_dir).join(vocabulary_of(terms, n).withColumnRenamed("token", "t"), "t").select("item_id", "t", "idf")
     norm = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    s = docs.join(w, "t").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("s")).join(norm, "item_id").withColumn("s", F.col("s") / F.col("norm"))
-    by = Window.partitionBy("item_id")
-    r = s.withColumn("asf", F.col("s") / F.max("s").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.round("s", 9).desc(), "doc_id")))
-    return r.where("rank <= 10").select("item_id", "doc_id", F.round("asf", 6).alias("asf"), "rank")
+    s = terms.join(w, "t").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("s")).join(norm, "item_id").withColumn("s", F.col("s") / F.col("norm"))
+    # the best of a query is among its best ten, so only these are kept of it
+    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("s", 9).desc(), "doc_id"))).where("rank <= 10")
+    return r.select("item_id", "doc_id", F.round(F.col("s") / F.max("s").over(Window.partitionBy("item_id")), 6).alias("asf"), "rank")
 
 
 @query(
@@ -74,14 +91,13 @@ def asf(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {TOKENS_SQL}, {_BENCH}, tf AS (SELECT doc_id, t, count(*) AS tf FROM tok GROUP BY doc_id, t), dl AS (SELECT doc_id, sum(tf)::DOUBLE AS dl FROM tf GROUP BY doc_id), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS av FROM dl), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t), s AS (SELECT q.item_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / av))) AS s FROM q JOIN tf ON tf.t = q.t JOIN df ON df.t = q.t JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY q.item_id, tf.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 8) DESC, doc_id) AS rn FROM s) SELECT item_id, doc_id, round(s, 5) AS score, rn::INT AS rank FROM r WHERE rn <= 10",
 )
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k1 .9, b .4. Query tokens meet the postings before lengths do; only matching postings are joined again."""
-    t = table(spark, sf_dir, "documents").select("doc_id", X.tokens(F.col("text")).alias("l")).where("size(l) > 0").withColumn("dl", F.size("l").cast("double"))
-    st = t.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("av"))
-    tf = t.select("doc_id", "dl", F.explode("l").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
-    hits = tf.join(query_tokens(spark, sf_dir), "t")
-    df = tf.join(query_tokens(spark, sf_dir).select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
+    """k1 .9, b .4, from one term table; query tokens meet the postings before lengths do."""
+    tf, _ = term_table(spark, sf_dir)
+    st = tf.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("av"))
+    q = query_tokens(spark, sf_dir)
+    df = tf.join(q.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 1.9 / (F.col("tf") + 0.9 * (1 - 0.4 + 0.4 * F.col("dl") / F.col("av")))
-    s = hits.join(df, "t").crossJoin(F.broadcast(st)).groupBy("item_id", "doc_id").agg(F.sum(part).alias("s"))
+    s = tf.join(q, "t").join(df, "t").crossJoin(F.broadcast(st)).groupBy("item_id", "doc_id").agg(F.sum(part).alias("s"))
     r = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("s", 8).desc(), "doc_id"))).where("rank <= 10")
     return r.select("item_id", "doc_id", F.round("s", 5).alias("score"), "rank")
 

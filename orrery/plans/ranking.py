@@ -160,7 +160,7 @@ def segments_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quota_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each domain's guaranteed places by its best confidence, then the rest by weighted confidence, cut to twice k = 20."""
     dom = Window.partitionBy("qid", "dom")
-    r = scored(spark, sf_dir).withColumn("dom", F.col("label") % 5).withColumn("rn", F.row_number().over(dom.orderBy(F.desc("score"), "row_id"))).withColumn("mx", F.max("score").over(dom)).where("rn <= 40")
+    r = scored(spark, sf_dir).withColumn("dom", F.col("label") % 5).withColumn("rn", F.row_number().over(dom.orderBy(F.desc("score"), "row_id"))).where("rn <= 40").withColumn("mx", F.max("score").over(dom))
     quota = F.when(F.col("mx") >= 0.8, 4).when(F.col("mx") >= 0.5, 2).otherwise(1)
     q = r.withColumn("sure", F.col("rn") <= quota).withColumn("w", F.col("score") * F.when(F.col("dom") < 2, 1.0).otherwise(0.75))
     sure = F.col("sure")
