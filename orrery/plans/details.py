@@ -46,22 +46,24 @@ def vector_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.blend(parts)).alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
-@query("ob10_weak_evidence_cap", f"WITH {AXES_SQL}, {CHANNELS_SQL}, c AS (SELECT *, 1 / (1 + exp(-4 * dense)) AS conf FROM ch) SELECT qid, row_id, round(CASE WHEN dense < 1.1 * 0.3 AND lexical < 0.05 THEN least(conf, 0.55) ELSE conf END, 6) AS conf FROM c")
+@query("ob10_weak_evidence_cap", f"WITH {AXES_SQL}, {CHANNELS_SQL}, c AS (SELECT *, 1 / (1 + exp(-4 * dense)) AS conf FROM ch) SELECT qid, row_id, round(CASE WHEN dense < 1.1 * 0.3 AND lexical < 0.05 THEN least(c.conf, 0.55) ELSE c.conf END, 6) AS conf FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, row_id) <= 100")
 def weak_evidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = channels(spark, sf_dir).withColumn("conf", S.sigmoid(4 * F.col("dense")))
+    c = channels(spark, sf_dir).withColumn("rn", top("dense")).where("rn <= 100").withColumn("conf", S.sigmoid(4 * F.col("dense")))
     weak = (F.col("dense") < 1.1 * 0.3) & (F.col("lexical") < 0.05)
     return c.select("qid", "row_id", F.round(F.when(weak, F.least("conf", F.lit(0.55))).otherwise(F.col("conf")), 6).alias("conf"))
 
 
-@query("ob15_channel_gating", f"WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round(CASE WHEN label % 5 = 0 THEN 0.75 * dense + 0.25 * lexical ELSE 0.60 * dense + 0.25 * lexical + 0.15 * asf END, 6) AS fused FROM ch")
+@query("ob15_channel_gating", f"WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round(CASE WHEN label % 5 = 0 THEN 0.75 * dense + 0.25 * lexical ELSE 0.60 * dense + 0.25 * lexical + 0.15 * asf END, 6) AS fused FROM ch QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused DESC, row_id) <= 100")
 def channel_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A domain without the vocabulary channel gives its weight to dense."""
-    return channels(spark, sf_dir).select("qid", "row_id", F.round(S.fused(F.col("dense"), F.col("lexical"), F.col("asf"), F.lit(True), F.col("label") % 5 != 0), 6).alias("fused"))
+    f = channels(spark, sf_dir).select("qid", "row_id", F.round(S.fused(F.col("dense"), F.col("lexical"), F.col("asf"), F.lit(True), F.col("label") % 5 != 0), 6).alias("fused"))
+    return f.withColumn("rn", top("fused")).where("rn <= 100").drop("rn")
 
 
-@query("oc1_cross_scoring", f"WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round(dense, 6) AS dense FROM ch")
+@query("oc1_cross_scoring", f"WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round(dense, 6) AS dense FROM ch QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ch.dense DESC, row_id) <= 100")
 def cross_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels(spark, sf_dir).select("qid", "row_id", F.round("dense", 6).alias("dense"))
+    """Every query against every row; the best 100 of each are given."""
+    return channels(spark, sf_dir).withColumn("rn", top("dense")).where("rn <= 100").select("qid", "row_id", F.round("dense", 6).alias("dense"))
 
 
 @query(

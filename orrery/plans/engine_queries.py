@@ -264,6 +264,16 @@ def scorer_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.rerank(r, lambda q, p: [float(len(x)) for x in p]).select("qid", "row_id", "place")
 
 
+@query("ol3_retriever", f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored) SELECT qid, rn::INT AS rank, row_id, round(score, 6) AS score FROM r WHERE rn <= 7")
+def retriever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A retriever whose encoder looks vectors up by the query's text (its id)."""
+    e = table(spark, sf_dir, "embeddings")
+    encode = lambda q: q.join(e.select(F.col("vec_id").cast("string").alias("query"), F.col("embedding").alias("vec")), "query").select("qid", "vec")
+    r = engine.VectorRetriever(e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec")), encode)
+    asked = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("vec_id").cast("string").alias("query"))
+    return r.search(asked, 7).select("qid", "rank", "row_id", F.round("score", 6).alias("score"))
+
+
 @query("ol4_progress", "SELECT label AS step, count(*) AS done, 10 AS total FROM embeddings GROUP BY label")
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Steps by file with what was reported after each."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orrery.functions import scoring as S
 from orrery.functions import vector as V
 from orrery.plans.registry import query, relational
-from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, pairs, per_query, scored
+from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, pairs, per_query, scored, search_rows
 
 CHANNELS_SQL = f"""ch AS (SELECT q.row_id AS qid, d.row_id, d.label, {DOT.format(a='q.re', b='d.re')} AS dense, {DOT.format(a='q.im', b='d.im')} AS lexical, {DOT.format(a='q.z', b='d.z')} AS asf
   FROM axes q, axes d WHERE q.row_id % 100 = 0)"""
@@ -82,21 +82,23 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "oe4_min_max_zero",
-    f"""WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round((dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w + 1e-12), 6) AS scaled FROM ch WINDOW w AS (PARTITION BY qid)""",
+    f"""WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round((dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w + 1e-12), 6) AS scaled FROM ch WINDOW w AS (PARTITION BY qid) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, row_id) <= 100""",
 )
 def min_max_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ch = with_stats(spark, sf_dir, channels(spark, sf_dir), *span("dense"))
+    """The best 100 of a channel, scaled between the bounds of all."""
+    every = channels(spark, sf_dir)
+    ch = every.withColumn("rn", top("dense")).where("rn <= 100").join(per_query(spark, sf_dir, every.groupBy("qid").agg(*span("dense"))), "qid")
     return ch.select("qid", "row_id", F.round(S.min_max_zero(F.col("dense"), F.col("lo_dense"), F.col("hi_dense")), 6).alias("scaled"))
 
 
 @query(
     "oi1_confidence",
     f"""WITH {AXES_SQL}, {SCORED_SQL}, z AS (SELECT qid, row_id, (score - avg(score) OVER w) / greatest(stddev_pop(score) OVER w, 0.05) AS z FROM scored WINDOW w AS (PARTITION BY qid))
-    SELECT qid, row_id, round(z, 6) AS z, round({S.GAUSSIAN_SQL.replace('{z}', 'z')}, 6) AS confidence FROM z""",
+    SELECT qid, row_id, round(z, 6) AS z, round({S.GAUSSIAN_SQL.replace('{z}', 'z')}, 6) AS confidence FROM z QUALIFY row_number() OVER (PARTITION BY qid ORDER BY z DESC, row_id) <= 100""",
 )
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per-query z-score (population deviation, at least .05) through the normal distribution."""
-    s = with_stats(spark, sf_dir, scored(spark, sf_dir), F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"))
+    """Per-query z-score (population deviation, at least .05) through the normal distribution: the best 100."""
+    s = search_rows(spark, sf_dir, 100)
     z = (F.col("score") - F.col("mu")) / F.greatest(F.col("sd"), F.lit(0.05))
     return s.select("qid", "row_id", z.alias("z")).select("qid", "row_id", F.round("z", 6).alias("z"), F.round(S.gaussian_cdf(F.col("z")), 6).alias("confidence"))
 
@@ -186,10 +188,11 @@ def outer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "oi4_display_curve",
     f"""WITH {AXES_SQL}, {SCORED_SQL}, c AS (SELECT qid, row_id, greatest(0, least(1, score)) AS x FROM scored)
-    SELECT qid, row_id, round(CASE WHEN x < 0.10 THEN x * 3 WHEN x < 0.25 THEN 0.30 + (x - 0.10) * 8 / 3 WHEN x < 0.40 THEN 0.70 + (x - 0.25) * 4 / 3 WHEN x < 0.60 THEN 0.90 + (x - 0.40) * 0.4 ELSE 0.98 + (x - 0.60) * 0.025 END, 6) AS shown FROM c""",
+    SELECT qid, row_id, round(CASE WHEN x < 0.10 THEN x * 3 WHEN x < 0.25 THEN 0.30 + (x - 0.10) * 8 / 3 WHEN x < 0.40 THEN 0.70 + (x - 0.25) * 4 / 3 WHEN x < 0.60 THEN 0.90 + (x - 0.40) * 0.4 ELSE 0.98 + (x - 0.60) * 0.025 END, 6) AS shown FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY x DESC, row_id) <= 100""",
 )
 def display_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("qid", "row_id", F.round(S.display_curve(F.col("score")), 6).alias("shown"))
+    """What is shown of the best 100."""
+    return search_rows(spark, sf_dir, 100).select("qid", "row_id", F.round(S.display_curve(F.col("score")), 6).alias("shown"))
 
 
 @query(
@@ -209,14 +212,15 @@ def mean_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "oi13_fingerprint",
     """WITH f AS (SELECT vec_id, list_transform(embedding, lambda x: ((x::DOUBLE + 1) * 1000000)::BIGINT) AS fp FROM embeddings)
-    SELECT a.vec_id AS x, b.vec_id AS y, round(1 - list_sum(list_transform(list_zip(a.fp, b.fp), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE / (32.0 * 64), 6) AS sim FROM f a, f b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id""",
+    SELECT a.vec_id AS x, b.vec_id AS y, round(1 - list_sum(list_transform(list_zip(a.fp, b.fp), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE / (32.0 * 64), 6) AS sim FROM f a, f b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 20""",
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bit agreement of 32-bit fingerprints, the query set against all rows."""
+    """Bit agreement of 32-bit fingerprints: the likest 20 of all rows for each of the query set."""
     from orrery.plans.registry import table
 
     f = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 1000000).cast("long")).alias("fp"))
     asked = f.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), F.col("fp").alias("a"))
     pairs = f.select(F.col("vec_id").alias("y"), F.col("fp").alias("b")).crossJoin(per_query(spark, sf_dir, asked)).where("x != y")
-    return pairs.select("x", "y", F.round(S.fingerprint_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    like = pairs.select("x", "y", F.round(S.fingerprint_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
+    return like.withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), "y"))).where("rn <= 20").drop("rn")
 
