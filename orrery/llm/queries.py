@@ -1,4 +1,4 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, chat, decontam, licences, near_dup, quality, secrets, shards, spm, urls
+from orrery.llm import ann, chat, decontam, licences, near_dup, quality, repeats, secrets, shards, spm, urls
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Tools that calls may name, with their arguments' schemas.
@@ -92,8 +92,34 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def periodic(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text), a tenth of the texts with a tail that repeats: the stated data of op12, by the CRC of the id. A null id leaves the text."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("words")
+    tail = docs.select("doc_id", "text", h.alias("h"), g.alias("g"), F.when(h % 10 == 0, words).alias("words"))
+    tail = tail.withColumn("a", (F.col("g") % n).cast("int")).withColumn("p", F.expr("cast(1 + floor((size(words) - a) / (3 + g % 8)) as int)"))
+    again = F.expr("array_join(concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((size(words) - a) / p) as int))), 1, size(words) - a)), ' ')")
+    return tail.select("doc_id", F.when((F.col("h") % 10 == 0) & (n > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.collapse(periodic(table(spark, sf_dir, "documents")), keep=["doc_id"])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.*",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        sha(lines).alias("runs_sha256"),
+        sha(F.col("collapsed")).alias("collapsed_sha256"),
+        "n_words",
+    )
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_tool_call_linking, op3_minhash_near_dedup, op4_bradley_terry_quality, op5_sentencepiece, op6_url_filter, op7_virtual_slot_shards, op8_secret_scan, op9_licence_scan, op10_decontamination)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_tool_call_linking, op3_minhash_near_dedup, op4_bradley_terry_quality, op5_sentencepiece, op6_url_filter, op7_virtual_slot_shards, op8_secret_scan, op9_licence_scan, op10_decontamination, op12_periodic_runs)}
 
 
 def _licence_sql() -> str:

@@ -44,6 +44,20 @@ class Scratch:
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def aside(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not hold, in whatever case."""
+    held = {c.lower() for c in df.columns}
+    name = f"__{name}"
+    while name in held:
+        name += "_"
+    return name
+
+
+def others(cols: list[str], new: tuple[str, ...]) -> list[str]:
+    """The columns without those that share a name with a new one, in whatever case: Spark could not tell them apart."""
+    return [c for c in cols if c.lower() not in new]
+
+
 def extended(df: DataFrame, keep: list[str], ddl: str) -> T.StructType:
     """The schema of ``keep`` columns with the fields of ``ddl`` behind them."""
     return T.StructType([*df.select(*keep).schema.fields, *T.StructType.fromDDL(ddl).fields])
