@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import ann, chat, decontam, licences, near_dup, quality, repeats, secrets, shards, spm, urls
+from orrery.llm import alignment, ann, chat, decontam, licences, near_dup, quality, repeats, secrets, shards, spm, urls
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Tools that calls may name, with their arguments' schemas.
@@ -18,6 +18,7 @@ TOOLS = {
     "lookup": {"type": "object", "properties": {"id": {"type": "string", "minLength": 1}, "fields": {"type": "array", "items": {"type": "string"}}}, "required": ["id"]},
 }
 TOKENIZER = os.environ.get("ORRERY_TOKENIZER", "/opt/tokenizers/piece_bpe_32k.model")
+OTHER_TOKENIZER = os.environ.get("ORRERY_OTHER_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +93,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.count_links(table(spark, sf_dir, "documents"), model_bytes(OTHER_TOKENIZER), model_bytes(), keep=["doc_id"])
+
+
 def periodic(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text), a tenth of the texts with a tail that repeats: the stated data of op12, by the CRC of the id. A null id leaves the text."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0)
@@ -119,7 +124,7 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_tool_call_linking, op3_minhash_near_dedup, op4_bradley_terry_quality, op5_sentencepiece, op6_url_filter, op7_virtual_slot_shards, op8_secret_scan, op9_licence_scan, op10_decontamination, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_tool_call_linking, op3_minhash_near_dedup, op4_bradley_terry_quality, op5_sentencepiece, op6_url_filter, op7_virtual_slot_shards, op8_secret_scan, op9_licence_scan, op10_decontamination, op11_tokenizer_alignment, op12_periodic_runs)}
 
 
 def _licence_sql() -> str:
