@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import alignment, ann, chat, decontam, licences, near_dup, quality, repeats, secrets, shards, spm, urls
+from orrery.llm import alignment, ann, chat, decontam, licences, near_dup, quality, repeats, secrets, shards, site_style, spm, urls
 
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 #: Tools that calls may name, with their arguments' schemas.
@@ -123,8 +123,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_tool_call_linking, op3_minhash_near_dedup, op4_bradley_terry_quality, op5_sentencepiece, op6_url_filter, op7_virtual_slot_shards, op8_secret_scan, op9_licence_scan, op10_decontamination, op11_tokenizer_alignment, op12_periodic_runs)}
+    return {f.__name__: f for f in (op1_cross_polytope_ann, op2_tool_call_linking, op3_minhash_near_dedup, op4_bradley_terry_quality, op5_sentencepiece, op6_url_filter, op7_virtual_slot_shards, op8_secret_scan, op9_licence_scan, op10_decontamination, op11_tokenizer_alignment, op12_periodic_runs, op13_html_extraction)}
 
 
 def _licence_sql() -> str:
