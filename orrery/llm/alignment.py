@@ -142,8 +142,10 @@ class Aligner:
         self.forget()
 
     def forget(self) -> None:
-        self._kept: dict[str, tuple[bytes, ...] | None] = {}
-        self._old: dict[str, tuple[bytes, ...] | None] = {}
+        #: by part: the text of its groups, and its figures and links; None for a part without tokens
+        self.listed: dict[str, bytes | None] = {}
+        self.figures: dict[str, bytes] = {}
+        self._old: tuple[dict[str, bytes | None], dict[str, bytes]] = {}, {}
 
     def parts(self, text: str) -> list[str]:
         return BETWEEN.split(text) if self.b.parts else [text]
@@ -162,12 +164,12 @@ class Aligner:
             return none, none, none, none, none.reshape(0, 2)
         return *got, *owners(self.a_len[got[0]], self.b_len[got[1]])
 
-    def _measure(self, parts: list[str]) -> Iterator[tuple[bytes, ...] | None]:
-        """What each part gives: (figures, text of its groups, distinct links and how often each); nothing for one without tokens."""
+    def _measure(self, parts: list[str]) -> Iterator[tuple[bytes | None, bytes]]:
+        """What each part gives: the text of its groups, and its figures with its distinct links and how often each occurs."""
         got = self._encoded(" ".join(parts))
         if got is None:
             if len(parts) == 1:
-                yield None
+                yield None, b""
             else:
                 half = len(parts) // 2
                 yield from self._measure(parts[:half])
@@ -189,9 +191,15 @@ class Aligner:
         n_links = np.bincount(part, n_a * n_b, len(parts)).astype(np.int64)
         pair_from = np.searchsorted(key[:, 0], np.arange(len(parts) + 1))
         head = np.stack([np.diff(a_from), np.diff(b_from), np.diff(g_from), n_links, np.diff(pair_from)], 1)
-        pairs = np.stack([key[:, 1], times], 1)
+        # a part's figures, then its links
+        flat = np.zeros(head.size + 2 * len(times), np.int64)
+        start = 2 * pair_from + self.HEAD * np.arange(len(parts) + 1)
+        flat[(start[:-1, None] + np.arange(self.HEAD)).ravel()] = head.ravel()
+        at_pair = 2 * np.arange(len(times)) + self.HEAD * (key[:, 0] + 1)
+        flat[at_pair], flat[at_pair + 1] = key[:, 1], times
+        raw, bounds, cuts = flat.tobytes(), (8 * start).tolist(), at[g_from].tolist()
         for i in range(len(parts)):
-            yield head[i].tobytes(), text[at[g_from[i]] : at[g_from[i + 1]]], pairs[pair_from[i] : pair_from[i + 1]].tobytes()
+            yield text[cuts[i] : cuts[i + 1]], raw[bounds[i] : bounds[i + 1]]
 
     def _links(self, a, b, a_group, b_group, n_a, n_b, part) -> tuple[np.ndarray, np.ndarray]:
         """Distinct (part, link) in order, a link being A id * size of B + B id, and how often each occurs.
@@ -215,31 +223,33 @@ class Aligner:
         keys, sums = np.concatenate([k for k, _ in out]), np.concatenate([s for _, s in out])
         return (keys, sums) if len(out) == 1 else _summed(keys[:, 0], keys[:, 1], sums)
 
-    def learn(self, parts: set[str]) -> dict[str, tuple[bytes, ...] | None]:
-        """What each of the parts gives."""
-        found = {}
-        for p in parts:
-            if p in self._kept:
-                found[p] = self._kept[p]
-            elif p in self._old:
-                found[p] = self._kept[p] = self._old[p]
-        new = [p for p in parts if p not in found]
+    def learn(self, parts: set[str]) -> set[str]:
+        """Makes ``listed`` and ``figures`` hold all the parts, and returns those without tokens."""
+        if len(self.listed) > self.MOST:
+            self._old, self.listed, self.figures = (self.listed, self.figures), {}, {}
+        new = parts - self.listed.keys()
+        for p in new & self._old[0].keys():
+            self.listed[p], self.figures[p] = self._old[0][p], self._old[1][p]
+        new -= self._old[0].keys()
         # parts with white space or the blank's mark at an end do not stand beside others
         plain = [p for p in new if p and SPACE not in p and not p[0].isspace() and not p[-1].isspace()]
-        known = set(plain)
-        for some in ([plain] if plain else []) + [[p] for p in new if p not in known]:
-            for p, got in zip(some, self._measure(some), strict=True):
-                found[p] = got
-                if len(p) <= 64:
-                    self._kept[p] = got
-        if len(self._kept) > self.MOST:
-            self._old, self._kept = self._kept, {}
-        return found
+        for some in ([plain] if plain else []) + [[p] for p in new.difference(plain)]:
+            for p, (self.listed[p], self.figures[p]) in zip(some, self._measure(some), strict=True):
+                pass
+        return {p for p in new if self.listed[p] is None} | {p for p in parts - new if self.listed[p] is None}
+
+    def drop_long(self, parts: set[str]) -> None:
+        """Long parts are not kept."""
+        for p in parts:
+            if len(p) > 64:
+                self.listed.pop(p, None)
+                self.figures.pop(p, None)
 
 
 def _summed(part: np.ndarray, link: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (part, link) in order, and the sums of ``times``."""
-    order = np.lexsort((link, part))
+    key = part << 40 | link if int(link.max(initial=0)) < 1 << 40 and int(part.max(initial=0)) < 1 << 22 else None
+    order = np.lexsort((link, part)) if key is None else np.argsort(key, kind="stable")
     part, link, times = part[order], link[order], times[order]
     new = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (link[1:] != link[:-1])][: len(part)])
     return np.stack([part[new], link[new]], 1), np.add.reduceat(times, new) if len(new) else times
@@ -316,19 +326,24 @@ def measure(docs: DataFrame, a_file: bytes, b_model: bytes, keep: list[str] | No
 def _measured(both: Aligner, texts: list[str]) -> list[pa.Array]:
     """The columns of ``measure`` for some texts."""
     lists = [both.parts(t) if t else [] for t in texts]
-    found = both.learn(set(chain.from_iterable(lists)))
-    lists = [[] if None in map(found.__getitem__, x) else x for x in lists]
+    parts = set(chain.from_iterable(lists))
+    bad = both.learn(parts)
+    if bad:
+        lists = [x if bad.isdisjoint(x) else [] for x in lists]
     counts = [Counter(x) for x in lists]
     row, times = np.repeat(np.arange(len(texts)), [len(c) for c in counts]), np.array([n for c in counts for n in c.values()], np.int64)
-    parts = [found[p] for c in counts for p in c]
-    head = np.frombuffer(b"".join(p[0] for p in parts), np.int64).reshape(-1, Aligner.HEAD)
-    pairs = np.frombuffer(b"".join(p[2] for p in parts), np.int64).reshape(-1, 2)
+    raw = list(map(both.figures.__getitem__, chain.from_iterable(counts)))
+    size = np.fromiter(map(len, raw), np.int64, len(raw)) // 8
+    flat, start = np.frombuffer(b"".join(raw), np.int64), np.cumsum(size) - size
+    head = flat[start[:, None] + np.arange(Aligner.HEAD)].reshape(-1, Aligner.HEAD)
+    at = _ranges(start + Aligner.HEAD, size - Aligner.HEAD)
     total = lambda k: pa.array(np.bincount(row, head[:, k] * times, len(texts)).astype(np.int64))
-    key, sums = _summed(np.repeat(row, head[:, 4]), pairs[:, 0], pairs[:, 1] * np.repeat(times, head[:, 4]))
+    key, sums = _summed(np.repeat(row, head[:, 4]), flat[at[::2]], flat[at[1::2]] * np.repeat(times, head[:, 4]))
     links = pa.StructArray.from_arrays([pa.array((key[:, 1] // both.b.size).astype(np.int32)), pa.array((key[:, 1] % both.b.size).astype(np.int32)), pa.array(sums)], ["a", "b", "times"])
     off = pa.array(np.searchsorted(key[:, 0], np.arange(len(texts) + 1)), pa.int32())
     # every group's text ends with a semicolon, the last one's does not count
-    sha = [hashlib.sha256(b"".join([found[p][1] for p in x])[:-1]).hexdigest() if x else "" for x in lists]
+    sha = [hashlib.sha256(b"".join(map(both.listed.__getitem__, x))[:-1]).hexdigest() if x else "" for x in lists]
+    both.drop_long(parts)
     return [*map(total, range(4)), pa.array(sha), pa.ListArray.from_arrays(off, links)]
 
 

@@ -106,7 +106,7 @@ def test_odd_rows_and_rare_pairs(spark, libraries, monkeypatch):
         if t:
             a, b, groups = brute(libraries, t)
             row = [c.to_pylist()[0] for c in alignment._measured(small, [t])]
-            assert row[:3] == [len(a), len(b), len(groups)] and len(small._kept) <= 21 + len(t)
+            assert row[:3] == [len(a), len(b), len(groups)] and len(small.listed) <= 21 + len(t)
 
 
 def test_arrays_of_one_text(spark, libraries):
