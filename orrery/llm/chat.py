@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from orrery.llm.scratch import Scratch
 
 _BLOCK = re.compile(r"<(tool_call|tool_result)>(.*?)</\1>", re.S)
-#: Levels of lists and objects that a block may nest.
-MOST_NESTED = 100
+#: Levels of lists and objects that a block may nest; the library that reads and writes JSON bears some more.
+MOST_NESTED = 5_000
 #: References of one conversation that one task may order; those of a longer one are ordered level by level over the cluster.
 MOST_EDGES = 50_000
 
@@ -87,11 +87,14 @@ def faults(value, schema: dict, at: str = "$") -> list[str]:
 
 def _references(value) -> set[str]:
     """Ids that arguments refer to: strings of the form ``$ref:<id>``."""
-    if isinstance(value, str):
-        return {value[5:]} if value.startswith("$ref:") else set()
-    if isinstance(value, dict | list):
-        return {r for v in (value.values() if isinstance(value, dict) else value) for r in _references(v)}
-    return set()
+    out, work = set(), [value]
+    while work:
+        x = work.pop()
+        if isinstance(x, str):
+            out |= {x[5:]} if x.startswith("$ref:") else set()
+        elif isinstance(x, dict | list):
+            work += x.values() if isinstance(x, dict) else x
+    return out
 
 
 BLOCKS = "conv_id long, turn long, part int, kind string, id string, name string, arguments string, valid boolean, fault string, needs array<string>"

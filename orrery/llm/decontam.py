@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
-from orrery.llm.scratch import Scratch, extended, small_batches
+from orrery.llm.scratch import Scratch, aside, extended, others, small_batches
 
 #: Bits of a fingerprint, in 64-bit words. Sets of weighted similarity 0.8 have a cosine of 8 / 9, so
 #: each bit differs with a chance of 0.151: 19.3 of 128 bits, with a deviation of 4.1.
@@ -287,30 +287,30 @@ def scan(docs: DataFrame, items: DataFrame, k: int = 5, similarity: float = 0.8,
     an item id given twice counts for each of its texts. Rows are taken one by one. The
     index of at most MOST_BYTES of benchmark text is broadcast; a larger benchmark goes
     in several passes over the documents, one after the other, whose hits are joined, so the
-    driver holds one part at a time. A column named hits is replaced.
+    driver holds one part at a time. A column named hits, in any case, is replaced.
     """
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c != "hits"]
+    keep, text, row = others(docs.columns if keep is None else keep, ("hits",)), aside(docs, "text"), aside(docs, "row")
     scratch = Scratch(spark, "decontam")
     items = items.where(F.col(id_col).isNotNull() & (F.length(item_text_col) > 0)).select(F.col(id_col).cast("long").alias("id"), F.col(item_text_col).cast("string").alias("text")).distinct().withColumn("key", F.xxhash64("text"))
     held = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     passes = -(-held // MOST_BYTES) or 1
     weighed, count = _weighted(items, k, scratch)
-    texts = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
+    texts = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias(text)))
     if passes == 1:
-        return _passed(texts, keep, weighed, count, k, similarity)[0]
-    numbered = scratch.save(texts.withColumn("__row", F.monotonically_increasing_id()))
+        return _passed(texts, keep, text, weighed, count, k, similarity)[0]
+    numbered = scratch.save(texts.withColumn(row, F.monotonically_increasing_id()))
     found = None
     for p in range(passes):
-        hits, sent = _passed(numbered.select("__row", "__text"), ["__row"], weighed.where(F.pmod(F.xxhash64("id", "key"), F.lit(passes)) == p), count, k, similarity)
+        hits, sent = _passed(numbered.select(row, text), [row], text, weighed.where(F.pmod(F.xxhash64("id", "key"), F.lit(passes)) == p), count, k, similarity)
         hits = scratch.save(hits.where("size(hits) > 0"))
         sent.unpersist()
         found = hits if found is None else found.union(hits)
-    found = found.groupBy("__row").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-    return numbered.drop("__text").join(found, "__row", "left").select(*keep, F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
+    found = found.groupBy(row).agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
+    return numbered.drop(text).join(found, row, "left").select(*keep, F.coalesce("hits", F.array().cast(HITS)).alias("hits"))
 
 
-def _passed(texts: DataFrame, keep: list[str], weighed: DataFrame, count: int, k: int, similarity: float):
+def _passed(texts: DataFrame, keep: list[str], text: str, weighed: DataFrame, count: int, k: int, similarity: float):
     """``texts`` with hits of the given items, of bounded size, and the broadcast that the result reads."""
     rows = [(r[0], r[1], np.array(r[2], np.int64).tobytes(), np.array(r[3]).tobytes()) for r in weighed.orderBy("id", "key").select("id", "words", "shingle", "w").toLocalIterator()]
     sent, name = texts.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
@@ -321,7 +321,7 @@ def _passed(texts: DataFrame, keep: list[str], weighed: DataFrame, count: int, k
             _built[name] = Benchmark(sent.value, count, k, similarity)
         bench = _built[name]
         for b in batches:
-            found = bench.scan(b.column("__text"))
+            found = bench.scan(b.column(text))
             hits = pa.array([[dict(zip(_NAMES, x, strict=True)) for x in h] for h in found], _HITS)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), hits], [*keep, "hits"])
 

@@ -319,7 +319,8 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     A class needs LEAST shared values to have a partner at all, so most documents
     leave after step 2. Equal ids are one node, whatever the rows hold: links of
     each row's text count for it. Rows whose id is null are returned unlinked, with null
-    component and kept true. Null text is empty text. Extra columns are ignored.
+    component and kept true. Null text is empty text. Ids are whole numbers, or text that
+    spells them. Extra columns are ignored.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "neardup")

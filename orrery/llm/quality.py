@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm import textvec as tv
-from orrery.llm.scratch import extended, small_batches
+from orrery.llm.scratch import aside, extended, others, small_batches
 
 _CLASSES = {
     "upper": range(65, 91),
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 12_000,
 
     ``usable`` is a condition on the labels' columns. Rows with a null id, a label
     other than 0 and 1, or an id of several labels are not used. Of a repeated id one text
-    is used, the smallest; null text counts as empty.
+    is used, the smallest; null text counts as empty. Ids are whole numbers.
     """
     marked = labels.where(usable & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(label_col).alias("label"), F.max(label_col).alias("hi")).where("label = hi")
     chosen = marked.orderBy(F.xxhash64("id"), "id").limit(most).select("id", F.col("label").cast("int"))
@@ -138,14 +138,14 @@ def score(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, text_c
     """``docs`` with score double (0 to 1) and predicted int; ``keep`` names the columns to carry (all by default).
 
     Only the text decides. Null text counts as empty; an empty text has a score like
-    any other. Columns of these two names in ``docs`` are replaced. No shuffle.
+    any other. Columns of these two names in ``docs``, in any case, are replaced. No shuffle.
     """
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
+    keep, text = others(docs.columns if keep is None else keep, ("score", "predicted")), aside(docs, "text")
+    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias(text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, off = tv.buffers(b.column("__text"))
+            data, off = tv.buffers(b.column(text))
             s = [ranker(features(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in tv.groups(off)]
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])

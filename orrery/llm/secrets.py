@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import extended, small_batches
+from orrery.llm.scratch import aside, extended, others, small_batches
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -413,18 +413,18 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text",
 
     Spans are code points of the whole text, end exclusive. Null text counts as empty
     and stays null when masked. Rows are taken one by one, so ties, repeats and null
-    ids need no rule. Columns of the new names are replaced. No shuffle.
+    ids need no rule. Columns of the new names, in any case, are replaced. No shuffle.
     """
     new = ("base_spans", "added_spans", "oversized")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
+    keep, col = others(docs.columns if keep is None else keep, new), aside(docs, "text")
+    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias(col)))
     schema = extended(docs, keep, f"base_spans {SPAN}, added_spans {SPAN}, oversized int")
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             base, added, large, texts = [], [], [], []
-            for text in b.column("__text"):
+            for text in b.column(col):
                 text = text.as_py()
                 x, y, n = scan_text(text or "")
                 base.append([dict(zip(("start", "end", "kind"), s, strict=True)) for s in x])
@@ -434,7 +434,7 @@ def scan(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text",
                     texts.append(text if text is None else masked(text, x + y))
             columns = {c: b.column(c) for c in keep}
             if redact:
-                columns[text_col] = pa.array(texts, b.column("__text").type)
+                columns[text_col] = pa.array(texts, b.column(col).type)
             yield pa.RecordBatch.from_arrays([*columns.values(), pa.array(base, span_type), pa.array(added, span_type), pa.array(large, pa.int32())], [*columns, *new])
 
     return rows.mapInArrow(run, schema)

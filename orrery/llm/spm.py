@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.llm.scratch import extended, small_batches
+from orrery.llm.scratch import aside, extended, others, small_batches
 
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE, _UNIGRAM, _BPE = 1, 2, 3, 6, 1, 2
@@ -369,12 +369,12 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, text_co
     exact: whether decoding the ids gives the text back; a text with U+2581, or one that the
     normaliser changes, does not. Null and empty texts have no tokens and are exact. The model's
     bytes (a file of some 500 kB) travel with the task. Rows are taken one by one, whole, so ties,
-    repeats and null ids need no rule; columns of the new names are replaced. What a worker keeps
+    repeats and null ids need no rule; columns of the new names, in any case, are replaced. What a worker keeps
     of earlier segments is bounded and goes when its task ends. No shuffle.
     """
     new = ("token_ids", "n_tokens", "exact")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias("__text")))
+    keep, col = others(docs.columns if keep is None else keep, new), aside(docs, "text")
+    rows = small_batches(docs.select(*keep, F.col(text_col).cast("string").alias(col)))
     schema = extended(docs, keep, "token_ids array<int>, n_tokens int, exact boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,7 +384,7 @@ def encode(docs: DataFrame, model: bytes, keep: list[str] | None = None, text_co
                 for at in range(0, whole.num_rows, ROWS):
                     b = whole.slice(at, ROWS)
                     ids, exact = [], []
-                    for text in b.column("__text"):
+                    for text in b.column(col):
                         text = text.as_py() or ""
                         ids.append(fst.encode(text))
                         exact.append(fst.decode(memoryview(ids[-1]).cast("i")) == text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.llm.components import connected_components
-from orrery.llm.scratch import Scratch
+from orrery.llm.scratch import Scratch, others
 
 #: Rules that are part of the plan; more of them, or a table of them, are joined.
 MOST_RULES = 512
@@ -111,10 +111,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redir
 
     A null url, or one without ``://``, has empty host and path, no rule and no alias.
     Null html has no links. Repeated pages get the same answer each. Existing
-    columns of the four names are replaced; empty tables give no rows.
+    columns of the four names, in any case, are replaced; empty tables give no rows.
     """
     scratch = Scratch(pages.sparkSession, "urls")
-    keep = [c for c in (pages.columns if keep is None else keep) if c not in ("host", "path", "rule", "verdict")]
+    keep = others(pages.columns if keep is None else keep, ("host", "path", "rule", "verdict"))
     edges = links(pages, url_col, html_col)
     if redirects is not None:
         a, b = redirects.columns[:2]
@@ -126,10 +126,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redir
     groups = judged.groupBy("component").agg(F.max(F.when(F.col("__fit.verdict") == "allow", 2).when(F.col("__fit.verdict") == "block", 1).otherwise(0)).alias("__says")).where("__says > 0")
     said = scratch.save(alias.join(groups, "component").select(F.col("node").alias("__node"), "__says"))
 
-    rows = pages.select(*keep, F.col(url_col).alias("__url")).withColumns({"host": host(F.col("__url")), "path": path(F.col("__url"))})
+    # what is kept goes in one column, so no name of it meets one used here
+    rows = pages.select((F.struct(*keep) if keep else F.lit(None)).alias("__kept"), F.col(url_col).alias("__url")).withColumns({"host": host(F.col("__url")), "path": path(F.col("__url"))})
     rows = with_fit(rows, rules, "host", "path")
     # a page with a rule, or without a node, meets no alias: a key of its own keeps such pages apart
     none = F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string"))
     rows = rows.withColumn("__node", F.coalesce(F.when(F.col("__fit").isNull(), node(F.col("__url"))), none))
     verdict = F.coalesce(F.col("__fit.verdict"), F.when(F.col("__says") == 1, "block").otherwise("allow"))
-    return rows.join(said, "__node", "left").select(*keep, "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"))
+    return rows.join(said, "__node", "left").select(*[F.col("__kept")[c].alias(c) for c in keep], "host", "path", F.col("__fit.rule").alias("rule"), verdict.alias("verdict"))
