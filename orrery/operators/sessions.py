@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from io import StringIO
 
 import numpy as np
 import pandas as pd
@@ -53,34 +54,99 @@ def session_risk(events: DataFrame, session: str) -> DataFrame:
     return run.groupBy(session).agg(total.cast("long").alias("score"), warned.alias("warned")).select(session, "score", "warned", (F.col("score") >= BLOCK).alias("blocked"))
 
 
+EMPTY = (0, False, json.dumps({"ts": [], "kinds": [], "names": []}))
+
+
+def _advance(held: tuple[int, bool, str], f: pd.DataFrame) -> tuple[int, bool, str]:
+    """A session's state after some events, sorted: sums over arrays, no loop over events."""
+    score, warned, seen = held
+    if score >= BLOCK or not len(f):
+        return held
+    past = json.loads(seen)
+    us = f["ts"].astype("datetime64[us]").astype("int64").to_numpy()
+    every = np.concatenate([np.array(past["ts"], np.int64), us])
+    at = np.arange(len(past["ts"]), len(every))
+    before = at - np.searchsorted(every, us - SECONDS * 1_000_000, "left")
+    kinds = f.reset_index(drop=True)["pii_types"].explode().dropna()
+    again = (kinds.groupby(kinds).cumcount().to_numpy() > 0) | kinds.isin(past["kinds"]).to_numpy()
+    repeats = np.bincount(kinds.index.to_numpy(int)[again], minlength=len(f)) if len(kinds) else np.zeros(len(f), int)
+    query = f["user_query"].fillna("")
+    has = np.stack([query.str.contains(n, regex=False).to_numpy(bool) | (n in past["names"]) for n in NAMES], 1)
+    institutions = np.maximum.accumulate(has, 0).sum(1)
+    p = f["event_type"].map(EVENTS).fillna(0).to_numpy(int) + np.where(before >= REQUESTS, RAPID, 0) + SAME_TYPE * repeats + np.where((institutions >= 2) & (query != "").to_numpy(), INSTITUTIONS, 0)
+    sums = score + np.cumsum(p)
+    end = int(np.argmax(sums >= BLOCK)) if (sums >= BLOCK).any() else len(sums) - 1
+    kept = every[every >= every[-1] - SECONDS * 1_000_000]
+    seen = json.dumps({"ts": kept.tolist(), "kinds": sorted({*past["kinds"], *kinds}), "names": [n for n, x in zip(NAMES, has.any(0), strict=True) if x]}, ensure_ascii=False)
+    return int(sums[end]), bool(warned or ((sums[: end + 1] >= WARN) & (sums[: end + 1] < BLOCK)).any()), seen
+
+
+_STATE = "score long, warned boolean, seen string"
+_RISK = "session string, score long, warned boolean, blocked boolean"
+_FIELDS = ["event_id", "ts", "event_type", "pii_types", "user_query"]
+
+
+def _risk(key: tuple, held: tuple[int, bool, str]) -> pd.DataFrame:
+    return pd.DataFrame({"session": [key[0]], "score": [held[0]], "warned": [held[1]], "blocked": [held[0] >= BLOCK]})
+
+
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Adds a trigger's events to a session's state: sums over arrays, no loop over events."""
-    score, warned, seen = state.get if state.exists else (0, False, json.dumps({"ts": [], "kinds": [], "names": []}))
-    f = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-    if score < BLOCK:
-        held = json.loads(seen)
-        us = f["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-        every = np.concatenate([np.array(held["ts"], np.int64), us])
-        at = np.arange(len(held["ts"]), len(every))
-        before = at - np.searchsorted(every, us - SECONDS * 1_000_000, "left")
-        kinds = f.reset_index(drop=True)["pii_types"].explode().dropna()
-        again = (kinds.groupby(kinds).cumcount().to_numpy() > 0) | kinds.isin(held["kinds"]).to_numpy()
-        repeats = np.bincount(kinds.index.to_numpy(int)[again], minlength=len(f)) if len(kinds) else np.zeros(len(f), int)
-        query = f["user_query"].fillna("")
-        has = np.stack([query.str.contains(n, regex=False).to_numpy(bool) | (n in held["names"]) for n in NAMES], 1)
-        institutions = np.maximum.accumulate(has, 0).sum(1)
-        p = f["event_type"].map(EVENTS).fillna(0).to_numpy(int) + np.where(before >= REQUESTS, RAPID, 0) + SAME_TYPE * repeats + np.where((institutions >= 2) & (query != "").to_numpy(), INSTITUTIONS, 0)
-        sums = score + np.cumsum(p)
-        end = int(np.argmax(sums >= BLOCK)) if (sums >= BLOCK).any() else len(sums) - 1
-        score, warned = int(sums[end]), bool(warned or ((sums[: end + 1] >= WARN) & (sums[: end + 1] < BLOCK)).any())
-        kept = every[every >= every[-1] - SECONDS * 1_000_000]
-        seen = json.dumps({"ts": kept.tolist(), "kinds": sorted({*held["kinds"], *kinds}), "names": [n for n, x in zip(NAMES, has.any(0), strict=True) if x]}, ensure_ascii=False)
-    state.update((score, warned, seen))
-    yield pd.DataFrame({"session": [key[0]], "score": [score], "warned": [warned], "blocked": [score >= BLOCK]})
-
-
-def session_risk_stream(events: DataFrame, session: str) -> DataFrame:
-    """The same over a stream whose sessions come in order of time from trigger to trigger. A session's state is its score, the times
-    of the last SECONDS, and the types and institutions seen; each trigger gives the sessions that it changed."""
-    named = events.withColumn("session", F.col(session).cast("string")).select("session", "event_id", "ts", "event_type", "pii_types", "user_query")
-    return named.groupBy("session").applyInPandasWithState(_fold, "session string, score long, warned boolean, blocked boolean", "score long, warned boolean, seen string", "update", "NoTimeout")
+    """Adds a trigger's events, in order, to a session's state."""
+    held = _advance(state.get if state.exists else EMPTY, pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable"))
+    state.update(held)
+    yield _risk(key, held)
+
+
+def _settle(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Keeps a session's events until the watermark has passed them, then adds them in order of time.
+
+    The state's timer stands at the earliest event that waits, so a session without new events is
+    settled too. Of a blocked session nothing waits any more.
+    """
+    *held, waits = state.get if state.exists else (*EMPTY, "[]")
+    held, now = tuple(held), state.getCurrentWatermarkMs()
+    parts = [pd.read_json(StringIO(waits), orient="split", dtype={"event_id": "int64", "ts": "int64"}, convert_dates=False)] if waits != "[]" else []
+    if not state.hasTimedOut:
+        parts += [f[_FIELDS].assign(ts=f["ts"].astype("datetime64[us]").astype("int64"), pii_types=f["pii_types"].map(lambda x: None if x is None else list(x))) for f in frames]
+    every = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], kind="stable") if parts else pd.DataFrame(columns=_FIELDS)
+    ready = every["ts"] <= now * 1000
+    before = held
+    if ready.any():
+        f = every[ready]
+        held = _advance(held, f.assign(ts=f["ts"].astype("datetime64[us]")))
+    rest = every[~ready] if held[0] < BLOCK else every[:0]
+    state.update((*held, rest.to_json(orient="split", force_ascii=False) if len(rest) else "[]"))
+    if len(rest):
+        state.setTimeoutTimestamp(max(int(rest["ts"].iloc[0]) // 1000 + 1, now + 1))
+    if held != before or (ready.any() and before == EMPTY):
+        yield _risk(key, held)
+
+
+def session_risk_stream(events: DataFrame, session: str, delay: str | None = None) -> DataFrame:
+    """(session, score, warned, blocked) over a stream: each trigger gives the sessions that it changed.
+
+    Without ``delay`` a session's events must come in order from trigger to trigger. With it
+    (``10 minutes``) they may come in any order and again: an event id counts once within the delay, and
+    events wait until the watermark, the latest time seen less the delay, has passed them, so the last
+    row of a session is what ``session_risk`` gives for the events in order. Those that come later
+    than the delay are left out; the query's progress counts them (numRowsDroppedByWatermark). A
+    session's state is its score, the times of the last SECONDS, the types and institutions seen, and
+    the events that wait.
+    """
+    named = events.withColumn("session", F.col(session).cast("string")).select("session", *_FIELDS)
+    if delay is None:
+        return named.groupBy("session").applyInPandasWithState(_fold, _RISK, _STATE, "update", "NoTimeout")
+    named = named.withColumns({"event_id": F.col("event_id").cast("long"), "ts": F.col("ts").cast("timestamp")}).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return named.groupBy("session").applyInPandasWithState(_settle, _RISK, f"{_STATE}, waits string", "update", "EventTimeTimeout")
+
+
+def session_windows(events: DataFrame, session: str, gap: str, delay: str | None = None) -> DataFrame:
+    """(session, start, last, n_events): stretches of a session's events with ``gap`` or less between neighbours.
+
+    The same in a batch and over a stream; there a stretch is given once the watermark (``delay``)
+    has passed its end, and an event that comes later than the delay is left out.
+    """
+    if delay is not None:
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    w = events.groupBy(F.col(session).alias("session"), F.session_window("ts", gap).alias("w")).agg(F.max("ts").alias("last"), F.count("*").alias("n_events"))
+    return w.select("session", F.col("w.start").alias("start"), "last", "n_events")

@@ -17,6 +17,7 @@ from orrery.plans.recordings import by
 from orrery.plans.registry import query, raw, sql, table, view
 from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, axes, scored
 from orrery.sources import workdir
+from orrery.sources.versioned import VersionedTable
 
 _INV95 = "1.6448536269514722"
 
@@ -397,3 +398,20 @@ def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = engine.index_stream(files, f"{where}/index", lambda df: df, f"{where}/checkpoint")
     q.awaitTermination()
     return engine.current_index(spark, f"{where}/index").select("vec_id", "label")
+
+
+_VERSIONED = "SELECT rel_key AS key, CASE WHEN l.quality = 0 THEN concat(f.sha, '2') ELSE f.sha END AS sha, length(f.text) AS n FROM {files} f LEFT JOIN {labels} l ON l.doc_id = f.doc_id WHERE coalesce(l.toxic, 0) = 0"
+
+
+@query("oa16_index_commits", raw(_VERSIONED))
+def index_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all files in three versions: all; the poor anew and the toxic gone; their buckets written anew. The last is read."""
+    f = view(spark, sf_dir, "files").select("doc_id", F.col("rel_key").alias("key"), "sha", F.length("text").alias("n"))
+    labels = table(spark, sf_dir, "labels")
+    index = VersionedTable(spark, workdir.fresh(spark, "index"))
+    index.replace(f.select("key", "sha", "n"))
+    poor = f.join(labels.where("quality = 0"), "doc_id", "left_semi").select("key", F.concat("sha", F.lit("2")).alias("sha"), "n")
+    toxic = f.join(labels.where("toxic = 1"), "doc_id", "left_semi").select("key")
+    index.replace(poor.join(toxic, "key", "left_anti"), toxic, expect=1)
+    index.compact(1)
+    return index.read()

@@ -13,6 +13,7 @@ from orrery.operators.windows import overlap_join, sliding
 from orrery.plans.ranking import CHANNELS_SQL, channels
 from orrery.plans.registry import query, raw, table, view
 from orrery.plans.vectors import AXES_SQL, SCORED_SQL, scored
+from orrery.sources import workdir
 
 
 def by(*keys: str) -> Window:
@@ -349,6 +350,41 @@ def running_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.points(session_events(spark, sf_dir), "user_id").select("event_id", "institutions", ((F.col("institutions") >= 2) & (F.col("user_query") != "")).alias("many"))
 
 
-@query("ok4_session_risk", f"{_POINTS}, s AS (SELECT user_id, n, sum(points) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS s FROM q) SELECT user_id, coalesce(min(s) FILTER (WHERE s >= 15), max(s))::BIGINT AS score, coalesce(max(s >= 8 AND s < 15), false) AS warned, max(s) >= 15 AS blocked FROM s GROUP BY user_id")
+_RISK_SQL = f"{_POINTS}, s AS (SELECT user_id, n, sum(points) OVER (PARTITION BY user_id ORDER BY n ROWS UNBOUNDED PRECEDING) AS s FROM q) SELECT user_id, coalesce(min(s) FILTER (WHERE s >= 15), max(s))::BIGINT AS score, coalesce(max(s >= 8 AND s < 15), false) AS warned, max(s) >= 15 AS blocked FROM s GROUP BY user_id"
+
+
+@query("ok4_session_risk", _RISK_SQL)
 def session_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_risk(session_events(spark, sf_dir), "user_id")
+
+
+@query("ok4_session_risk_event_time", _RISK_SQL)
+def session_risk_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The session risk of a stream of all events, which come out of order and again, by the watermark; the last row of each session.
+
+    The events are dealt over files by a hash of their id, some twice, so every trigger has all times; the
+    delay covers them. One event behind all others settles what waits.
+    """
+    where = workdir.fresh(spark, "sessions")
+    e = session_events(spark, sf_dir).select("user_id", "event_id", "ts", "event_type", "pii_types", "user_query")
+    deal = F.pmod(F.xxhash64("event_id"), F.lit(3))
+    e.withColumn("n", deal).union(e.where("event_id % 10 = 0").withColumn("n", (deal + 1) % 3)).write.partitionBy("n").parquet(f"{where}/in")
+    first, last = e.agg(F.min("ts"), F.max("ts")).first()
+    span = 60 + (int((last - first).total_seconds()) if last else 0)
+    end = e.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(2 * span))).alias("ts"))
+    end = end.select(F.lit(-1).alias("user_id"), F.lit(-1).alias("event_id"), "ts", F.lit("view").alias("event_type"), F.array().alias("pii_types"), F.lit("").alias("user_query"))
+    end.select(*[F.col(f.name).cast(f.dataType) for f in e.schema], F.lit(3).alias("n")).write.mode("append").partitionBy("n").parquet(f"{where}/in")
+    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", len(e.inputFiles()) * 2).parquet(f"{where}/in")
+    risk = sessions.session_risk_stream(files, "user_id", f"{span} seconds").writeStream.outputMode("update").option("checkpointLocation", f"{where}/checkpoint")
+    risk.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{where}/out/batch={i}")).trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.parquet(f"{where}/out").where("session <> '-1'")
+    return every.groupBy("session").agg(F.max_by(F.struct("score", "warned", "blocked"), "batch").alias("r")).select(F.col("session").cast("long").alias("user_id"), "r.*")
+
+
+_GAP = "SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events"
+
+
+@query("ok4_session_windows", f"WITH g AS ({_GAP}), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) AS last, count(*) AS n_events FROM s GROUP BY user_id, n")
+def session_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of each user's events with six hours or less between neighbours."""
+    return sessions.session_windows(table(spark, sf_dir, "events"), "user_id", "6 hours").withColumnRenamed("session", "user_id")
