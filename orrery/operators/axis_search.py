@@ -15,6 +15,12 @@ from orrery.sources.workdir import fresh
 AXES = (24, 20, 20)
 #: Products that are held at once.
 CELLS = 1 << 21
+#: Queries that are scored together; more go block by block.
+BLOCK = 1 << 12
+#: Rows that stay for each query of a task beyond the wanted ones, before they are cut.
+SLACK = 64
+#: How far a matrix product may be from the sum along the axis.
+NEAR = 1e-9
 
 
 def normal_axes(x: np.ndarray, axes: tuple[int, ...] = AXES) -> list[np.ndarray]:
@@ -27,17 +33,63 @@ def normal_axes(x: np.ndarray, axes: tuple[int, ...] = AXES) -> list[np.ndarray]
     return out
 
 
+class _Best:
+    """The best k (score, then smaller id) of each query over a task's rows, and the sums of all scores."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.queries, self._every = k, queries, np.arange(queries)
+        self.score = np.full((queries, k), -np.inf)
+        self.row = np.full((queries, k), np.iinfo(np.int64).max)
+        self.n = np.zeros(queries, np.int64)
+        self.s, self.ss = np.zeros(queries), np.zeros(queries)
+        self._held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self._count = 0
+
+    def add(self, at: slice | np.ndarray, score: np.ndarray, ids: np.ndarray, exact) -> None:
+        """Scores of rows (down) with the queries ``at`` (across). Only what reaches a query's k-th best is kept, by its ``exact`` score."""
+        self.n[at] += len(ids)
+        self.s[at] += score.sum(0)
+        self.ss[at] += (score * score).sum(0)
+        if len(ids) > self.k:
+            low = np.partition(score, len(ids) - self.k, axis=0)[len(ids) - self.k]  # of these rows' best k the least
+        else:
+            low = np.full(score.shape[1], -np.inf)
+        r, q = np.nonzero(score >= np.maximum(low, self.score[at, -1]) - NEAR)
+        if len(r):
+            self._held.append((self._every[at][q], exact(r, q), ids[r]))
+            self._count += len(r)
+            if self._count > self.queries * (self.k + SLACK):
+                self.cut()
+
+    def cut(self) -> None:
+        if not self._held:
+            return
+        old = np.isfinite(self.score)
+        q = np.concatenate([np.nonzero(old)[0], *(h[0] for h in self._held)])
+        score = np.concatenate([self.score[old], *(h[1] for h in self._held)])
+        row = np.concatenate([self.row[old], *(h[2] for h in self._held)])
+        order = np.lexsort((row, -score, q))
+        q, score, row = q[order], score[order], row[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        top = place < self.k
+        self.score[:], self.row[:] = -np.inf, np.iinfo(np.int64).max
+        self.score[q[top], place[top]], self.row[q[top], place[top]] = score[top], row[top]
+        self._held, self._count = [], 0
+
+
 class AxisSearch:
     """Queries whose similarities with rows are wanted; rows of another width, or null ones, take no part."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, axes: tuple[int, ...] = AXES):
-        self.ids, self.axes, self.parts = ids, axes, normal_axes(vectors, axes)
+        self.ids, self.axes, self.parts = ids, axes, normal_axes(np.asarray(vectors, float), axes)
+
+    def _axes(self, batch: pa.RecordBatch) -> list[np.ndarray]:
+        flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, sum(self.axes))
+        return normal_axes(flat, self.axes)
 
     def _scores(self, batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[np.ndarray]]]:
         """(from, to, similarities of those rows with all queries by axis)."""
-        width, n = sum(self.axes), batch.num_rows
-        flat = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, width)
-        rows = normal_axes(flat, self.axes)
+        n, rows = batch.num_rows, self._axes(batch)
         # products are summed along the axis, so equal vectors have equal scores wherever they stand
         step = max(1, CELLS // max(1, len(self.ids) * max(self.axes)))
         for i in range(0, n, step):
@@ -57,34 +109,72 @@ class AxisSearch:
 
         return rows.mapInArrow(run, schema)
 
-    def best(self, rows: DataFrame, k: int, weights: tuple[float, float, float] = (1.0, 0.4, 0.2)) -> DataFrame:
-        """(qid, rank, row_id, score, mu, sd) of the best k rows a query and the mean and deviation of all its scores.
-
-        A batch gives each query's best k of it and the sums of its scores; these few rows are written out
-        and then ranked and added up, so the products are made once and no pair leaves its batch.
+    def _each(self, batches: Iterator[pa.RecordBatch], k: int, weights: tuple[float, float, float], group: str | None) -> Iterator[tuple[object, _Best]]:
+        """(group, best of it) of a task's rows; the rows of a group come together, or all are one."""
+        best, name = None, None
+        for b in batches:
+            if not b.num_rows or not len(self.ids):
+                continue
+            ids, rows = b.column("row_id").to_numpy(), self._axes(b)
+            names = b.column(group).to_pylist() if group else [None] * b.num_rows
+            cuts = [0, *(i for i in range(1, b.num_rows) if names[i] != names[i - 1]), b.num_rows] if group else [0, b.num_rows]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if best is None or names[i] != name:
+                    if best is not None:
+                        best.cut()
+                        yield name, best
+                    best, name = _Best(len(self.ids), k), names[i]
+                for lo in range(0, len(self.ids), BLOCK):
+                    at = slice(lo, min(lo + BLOCK, len(self.ids)))
+                    step = max(1, CELLS // (at.stop - lo))
+                    for r in range(i, j, step):
+                        some = slice(r, min(r + step, j))
+                        score = sum((w * (x[some] @ q[at].T)) ** 2 for w, x, q in zip(weights, rows, self.parts, strict=True))
+                        exact = lambda a, c: np.sqrt(sum((w * (x[some][a] * q[at][c]).sum(1)) ** 2 for w, x, q in zip(weights, rows, self.parts, strict=True)))  # noqa: E731, B023
+                        best.add(at, np.sqrt(score), ids[some], exact)
+        if best is not None:
+            best.cut()
+            yield name, best
+
+    def best(self, rows: DataFrame, k: int, weights: tuple[float, float, float] = (1.0, 0.4, 0.2), group: str | None = None) -> DataFrame:
+        """(qid, rank, row_id, score, mu, sd) of the best k rows a query and the mean and deviation of all its scores; by the values of a column ``group`` if given, a null one too.
+
+        A task keeps each query's best k of all its rows, and the sums of its scores, and gives them once:
+        k rows a query, task and group, whatever the number of rows or queries. These few rows are
+        written out, ranked and added up. Queries are taken in blocks of BLOCK, rows in steps that
+        hold CELLS products. The last digits of a product depend on its place in a step, so rows that come
+        near a query's k-th best are scored once more, along the axis: equal vectors have equal scores.
+        With ``group`` rows are sorted within their task first, so one group is held at a time.
         """
-        rows = rows.where(F.size("vec") == sum(self.axes)).select("row_id", "vec")
+        rows = rows.where(F.size("vec") == sum(self.axes)).select("row_id", *([group] if group else []), "vec")
+        kind = rows.schema[group].dataType.simpleString() if group else None
+        if group:
+            rows = rows.sortWithinPartitions(group)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column("row_id").to_numpy()
-                for i, j, s in self._scores(b) if len(self.ids) else ():
-                    score = np.sqrt(sum((w * x) ** 2 for w, x in zip(weights, s, strict=True)))
-                    own = np.broadcast_to(ids[i:j, None], score.shape)
-                    order = np.lexsort((own, -score), 0)[:k]
-                    n = len(order)
-                    first = (np.arange(n) == 0)[:, None] & np.ones(len(self.ids), bool)
-                    put = lambda x: pa.array(np.where(first, x, 0).ravel())  # noqa: E731, B023
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.tile(self.ids, n)), pa.array(np.take_along_axis(own, order, 0).ravel()), pa.array(np.take_along_axis(score, order, 0).ravel()), put(float(j - i)), put(score.sum(0)), put((score * score).sum(0))],
-                        ["qid", "row_id", "score", "n", "s", "ss"],
-                    )
+            for name, best in self._each(batches, k, weights, group):
+                q, place = np.nonzero(np.isfinite(best.score))
+                first = place == 0
+                put = lambda x: pa.array(np.where(first, x[q], 0))  # noqa: E731, B023
+                out = [pa.array(self.ids[q]), pa.array(best.row[q, place]), pa.array(best.score[q, place]), put(best.n), put(best.s), put(best.ss)]
+                if group:
+                    out.append(pa.array([name] * len(q)).cast(_arrow(kind)))
+                yield pa.RecordBatch.from_arrays(out, ["qid", "row_id", "score", "n", "s", "ss", *([group] if group else [])])
 
         spark, path = rows.sparkSession, fresh(rows.sparkSession, "best")
-        rows.mapInArrow(run, "qid long, row_id long, score double, n double, s double, ss double").write.parquet(path)
+        rows.mapInArrow(run, "qid long, row_id long, score double, n long, s double, ss double" + (f", `{group}` {kind}" if group else "")).write.parquet(path)
         part = spark.read.parquet(path)
-        sums = part.groupBy("qid").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+        by = ["qid", group] if group else ["qid"]
+        sums = part.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
         mu = F.col("s") / F.col("n")
-        stats = sums.select("qid", mu.alias("mu"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mu * mu, F.lit(0.0))).alias("sd"))
-        top = part.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id"))).where(F.col("rank") <= k)
-        return top.join(stats, "qid").select("qid", "rank", "row_id", "score", "mu", "sd")
+        stats = sums.select(*by, mu.alias("mu"), F.sqrt(F.greatest(F.col("ss") / F.col("n") - mu * mu, F.lit(0.0))).alias("sd"))
+        order = Window.partitionBy(*by).orderBy(F.desc("score"), "row_id")
+        top = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("n", "s", "ss")
+        on = top["qid"] == stats["qid"]
+        if group:
+            on = on & top[group].eqNullSafe(stats[group])
+        return top.join(stats, on).select(*[top[c] for c in (*by[1:], "qid", "rank", "row_id", "score")], "mu", "sd")
+
+
+def _arrow(kind: str) -> pa.DataType:
+    return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]

@@ -220,3 +220,14 @@ def aligned(vectors: DataFrame, ids: DataFrame, channel: DataFrame) -> DataFrame
     sizes = vectors.agg(F.count("*").alias("n")).crossJoin(channel.agg(F.count("*").alias("m"))).select((F.col("n") == F.col("m")).alias("fits"))
     rows = vectors.join(ids, "ord", "left").join(channel, "ord", "left").crossJoin(F.broadcast(sizes))
     return rows.select("ord", "vec", F.coalesce("id", F.lit("")).alias("id"), F.when(F.col("fits"), F.col("value")).alias("value"))
+
+
+def expired(files: DataFrame, prefixes: list[str], seconds: float, now: Column) -> DataFrame:
+    """(folder, last, bytes, stale) of temporary folders, those whose name starts with a prefix, from files (folder, changed, size).
+
+    A folder lives as long as its files change: it is stale if the last change is more than ``seconds`` before ``now``.
+    """
+    mine = reduce(lambda a, b: a | b, [F.col("folder").startswith(p) for p in prefixes])
+    per = files.where(mine).groupBy("folder").agg(F.max("changed").alias("last"), F.sum("size").alias("bytes"))
+    age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last").cast("timestamp"))) / 1e6
+    return per.select("folder", "last", "bytes", (age > seconds).alias("stale"))

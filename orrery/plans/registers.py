@@ -269,3 +269,14 @@ def row_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = a.select((F.col("row_id") - 1).alias("row_id"), F.col("re").alias("re2"), F.col("im").alias("im2"), F.col("z").alias("z2"))
     d = lambda x: V.dot(F.col(x), F.col(x + "2"))
     return a.join(b, "row_id").select("row_id", F.round(V.three_axis(d("re"), d("im"), d("z")), 6).alias("three"), F.round(V.two_axis(d("re"), d("im")), 6).alias("two"))
+
+
+_FOLDERS = "SELECT concat(CASE CAST(user_id % 3 AS INT) WHEN 0 THEN 'app_movie_' WHEN 1 THEN 'app_music_' ELSE 'other_' END, CAST(user_id AS STRING)) AS folder, ts AS changed, CAST(floor(value * 100) AS BIGINT) AS size FROM {events}"
+
+
+@query("ok9_expired_folders", raw(f"WITH f AS ({_FOLDERS}), n AS (SELECT max(changed) AS now FROM f) SELECT folder, sum(size)::BIGINT AS bytes, max(changed) < max(now) - INTERVAL 36 HOUR AS stale FROM f, n WHERE folder LIKE 'app\\_movie\\_%' ESCAPE '\\' OR folder LIKE 'app\\_music\\_%' ESCAPE '\\' GROUP BY folder"))
+def expired_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' temporary folders at the time of the last event, stale 36 hours after their own last one."""
+    f = sql(spark, sf_dir, _FOLDERS)
+    found = R.expired(f, ["app_movie_", "app_music_"], 36 * 3600, F.lit(f.agg(F.max("changed")).first()[0]))
+    return found.select("folder", "bytes", "stale")

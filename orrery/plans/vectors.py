@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
 from orrery.operators import axis_search as A
+from orrery.operators import clustered
 from orrery.plans.registry import query, table
 
 
@@ -62,18 +66,20 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("qid", "row_id", "label", V.three_axis(F.col("dense"), F.col("lexical"), F.col("asf")).alias("score"))
 
 
-def search_rows(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """(qid, rank, row_id, score, mu, sd): the query set's best k rows, with the mean and deviation of all scores; a pass over the rows for each MOST_QUERIES queries."""
-    e = table(spark, sf_dir, "embeddings")
-    asked, rows = e.where("vec_id % 100 = 0").select("vec_id", "embedding"), e.select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+def asked_in_parts(spark: SparkSession, sf_dir: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The query set's ids and vectors, at most some MOST_QUERIES at a time."""
+    asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")
     n = asked.count()
     parts = 1 if n <= MOST_QUERIES else -(-2 * n // MOST_QUERIES)
-    out = None
     for p in range(parts):
-        part = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).orderBy("vec_id").collect()
-        found = A.AxisSearch(np.array([r[0] for r in part], np.int64), np.array([r[1] for r in part], float).reshape(-1, sum(A.AXES))).best(rows, k)
-        out = found if out is None else out.union(found)
-    return out
+        got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == p).orderBy("vec_id").collect()
+        yield np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float).reshape(-1, sum(A.AXES))
+
+
+def search_rows(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """(qid, rank, row_id, score, mu, sd): the query set's best k rows, with the mean and deviation of all scores; a pass over the rows for each MOST_QUERIES queries."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    return reduce(DataFrame.union, [A.AxisSearch(*part).best(rows, k) for part in asked_in_parts(spark, sf_dir)])
 
 
 @query(
@@ -108,5 +114,8 @@ def cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("of1_exact_top_k", f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT qid, row_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored) SELECT qid, list_sort(list(row_id)) AS found FROM r WHERE rn <= 25 GROUP BY qid")
 def top_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 25 of each query as a set, in order of id."""
-    return search_rows(spark, sf_dir, 25).groupBy("qid").agg(F.array_sort(F.collect_list("row_id")).alias("found"))
+    """The best 25 of each query as a set, in order of id; clusters of rows that cannot reach them are not scored."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    c = clustered.build(rows)
+    best = reduce(DataFrame.union, [clustered.best(c, *part, 25)[0] for part in asked_in_parts(spark, sf_dir)])
+    return best.groupBy("qid").agg(F.array_sort(F.collect_list("row_id")).alias("found"))

@@ -2,20 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+from orrery.sources import leases
+
 _own = ""
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A new path below ``spark.checkpoint.dir``; without that setting, in a local folder, which only a local master may use."""
+    """A new path in this run's folder below ``spark.checkpoint.dir``; without that setting, in a local folder, which only a local master may use.
+
+    The folder is leased: it goes when Python ends, or by another run's sweep once its lease is over.
+    """
     global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = _own = _own or "file://" + tempfile.mkdtemp(prefix="orrery-")
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not _own:
+            _own = "file://" + tempfile.mkdtemp(prefix="orrery-")
+            atexit.register(shutil.rmtree, _own.removeprefix("file://"), True)
+        found = _own
+    return f"{leases.of_run(spark, found.rstrip('/')).path}/{name}-{uuid.uuid4().hex}"
