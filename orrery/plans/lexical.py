@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import text as X
+from orrery.operators import postings
 from orrery.plans.registry import query, relational, table
 from orrery.sources import workdir
 
@@ -28,13 +29,41 @@ VOCAB_SQL = f"{TOKENS_SQL}, n AS (SELECT count(*) AS n FROM documents), voc AS (
 
 
 def term_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """(doc_id, t, tf, dl) of all documents, tokenised once and written out, and the number of documents."""
+    """(doc_id, t, tf, dl) of all documents, and their number: tokenised once for a version of the data, then read."""
     docs = table(spark, sf_dir, "documents")
-    l = docs.select("doc_id", X.tokens(F.col("text")).alias("l")).where("size(l) > 0")
-    tf = l.select("doc_id", F.size("l").cast("double").alias("dl"), F.explode("l").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
-    path = workdir.fresh(spark, "terms")
-    tf.write.parquet(path)
-    return spark.read.parquet(path), docs.count()
+
+    def make() -> tuple[DataFrame, int]:
+        l = docs.select("doc_id", X.tokens(F.col("text")).alias("l")).where("size(l) > 0")
+        tf = l.select("doc_id", F.size("l").cast("double").alias("dl"), F.explode("l").alias("t")).groupBy("doc_id", "dl", "t").agg(F.count("*").alias("tf"))
+        path = workdir.fresh(spark, "terms")
+        tf.write.parquet(path)
+        return spark.read.parquet(path), docs.count()
+
+    return workdir.once(spark, docs, "terms", make)
+
+
+def bm25_postings(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """Every term's share in a document's BM25 score (k1 .9, b .4), stored once for a version of the data."""
+
+    def make() -> postings.Postings:
+        tf, n_docs = term_table(spark, sf_dir)
+        st = tf.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("av"))
+        df = tf.groupBy("t").agg(F.count("*").alias("df"))
+        part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 1.9 / (F.col("tf") + 0.9 * (1 - 0.4 + 0.4 * F.col("dl") / F.col("av")))
+        return postings.build(tf.join(df, "t").crossJoin(F.broadcast(st)).select("t", F.col("doc_id").alias("doc"), part.alias("impact")), n_docs)  # one row
+
+    return workdir.once(spark, table(spark, sf_dir, "documents"), "bm25", make)
+
+
+def idf_postings(spark: SparkSession, sf_dir: str) -> postings.Postings:
+    """The vocabulary's terms with their idf as impact, stored once for a version of the data."""
+
+    def make() -> postings.Postings:
+        tf, n = term_table(spark, sf_dir)
+        v = vocabulary_of(tf, n).select(F.col("token").alias("t"), F.col("idf").alias("impact"))
+        return postings.build(tf.select("t", F.col("doc_id").alias("doc")).join(v, "t"), n)
+
+    return workdir.once(spark, table(spark, sf_dir, "documents"), "idf", make)
 
 
 def vocabulary_of(terms: DataFrame, n: int, least: int = 2, ratio: float = 0.4) -> DataFrame:
@@ -76,14 +105,12 @@ def query_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {VOCAB_SQL}, {_BENCH}, dd AS (SELECT DISTINCT doc_id, t FROM tok), w AS (SELECT q.item_id, q.t, idf FROM q JOIN voc ON voc.token = q.t), nn AS (SELECT item_id, sqrt(sum(idf * idf)) AS norm FROM w GROUP BY item_id), s AS (SELECT w.item_id, dd.doc_id, sum(w.idf) / max(nn.norm) AS s FROM w JOIN dd ON dd.t = w.t JOIN nn ON nn.item_id = w.item_id GROUP BY w.item_id, dd.doc_id), r AS (SELECT *, s / max(s) OVER (PARTITION BY item_id) AS asf, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rn FROM s) SELECT item_id, doc_id, round(asf, 6) AS asf, rn::INT AS rank FROM r WHERE rn <= 10",
 )
 def asf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vocabulary overlap: idf of shared tokens over the query's norm, divided by the query's best."""
-    terms, n = term_table(spark, sf_dir)
-    w = query_tokens(spark, sf_dir).join(vocabulary_of(terms, n).withColumnRenamed("token", "t"), "t").select("item_id", "t", "idf")
-    norm = w.groupBy("item_id").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("norm"))
-    s = terms.join(w, "t").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("s")).join(norm, "item_id").withColumn("s", F.col("s") / F.col("norm"))
-    # the best of a query is among its best ten, so only these are kept of it
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("s", 9).desc(), "doc_id"))).where("rank <= 10")
-    return r.select("item_id", "doc_id", F.round(F.col("s") / F.max("s").over(Window.partitionBy("item_id")), 6).alias("asf"), "rank")
+    """Vocabulary overlap: idf of shared tokens over the query's norm, divided by the query's best; from stored postings."""
+    p, q = idf_postings(spark, sf_dir), query_tokens(spark, sf_dir)
+    norm = q.join(p.terms, "t").groupBy("item_id").agg(F.sqrt(F.sum(F.col("mx") * F.col("mx"))).alias("norm"))
+    s = postings.best(p, q.withColumnRenamed("item_id", "item"), 10, 7)[0].withColumnRenamed("item", "item_id").join(norm, "item_id").withColumn("s", F.col("s") / F.col("norm"))
+    w = Window.partitionBy("item_id")
+    return s.select("item_id", F.col("doc").alias("doc_id"), F.round(F.col("s") / F.max("s").over(w), 6).alias("asf"), F.row_number().over(w.orderBy(F.round("s", 9).desc(), "doc")).alias("rank"))
 
 
 @query(
@@ -91,15 +118,9 @@ def asf(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {TOKENS_SQL}, {_BENCH}, tf AS (SELECT doc_id, t, count(*) AS tf FROM tok GROUP BY doc_id, t), dl AS (SELECT doc_id, sum(tf)::DOUBLE AS dl FROM tf GROUP BY doc_id), st AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS av FROM dl), df AS (SELECT t, count(*) AS df FROM tf GROUP BY t), s AS (SELECT q.item_id, tf.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 1.9 / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / av))) AS s FROM q JOIN tf ON tf.t = q.t JOIN df ON df.t = q.t JOIN dl ON dl.doc_id = tf.doc_id, st GROUP BY q.item_id, tf.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 8) DESC, doc_id) AS rn FROM s) SELECT item_id, doc_id, round(s, 5) AS score, rn::INT AS rank FROM r WHERE rn <= 10",
 )
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k1 .9, b .4, from one term table; query tokens meet the postings before lengths do."""
-    tf, _ = term_table(spark, sf_dir)
-    st = tf.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("av"))
-    q = query_tokens(spark, sf_dir)
-    df = tf.join(q.select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count("*").alias("df"))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 1.9 / (F.col("tf") + 0.9 * (1 - 0.4 + 0.4 * F.col("dl") / F.col("av")))
-    s = tf.join(q, "t").join(df, "t").crossJoin(F.broadcast(st)).groupBy("item_id", "doc_id").agg(F.sum(part).alias("s"))
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.round("s", 8).desc(), "doc_id"))).where("rank <= 10")
-    return r.select("item_id", "doc_id", F.round("s", 5).alias("score"), "rank")
+    """k1 .9, b .4, from stored postings."""
+    r = postings.best(bm25_postings(spark, sf_dir), query_tokens(spark, sf_dir).withColumnRenamed("item_id", "item"), 10)[0]
+    return r.select(F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), F.round("s", 5).alias("score"), "rank")
 
 
 @query(

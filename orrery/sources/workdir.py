@@ -7,9 +7,10 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from orrery.sources import leases
+from orrery.sources.files import Store
 
 _own = ""
 
@@ -29,3 +30,17 @@ def fresh(spark: SparkSession, name: str) -> str:
             atexit.register(shutil.rmtree, _own.removeprefix("file://"), True)
         found = _own
     return f"{leases.of_run(spark, found.rstrip('/')).path}/{name}-{uuid.uuid4().hex}"
+
+
+_stored: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, df: DataFrame, name: str, make):
+    """What ``make()`` gives, made once in this application for a version of the data that ``df`` reads: its files, their sizes and times."""
+    files = sorted(df.inputFiles())
+    folders = sorted({f.rpartition("/")[0] for f in files})
+    version = tuple((f, n, t) for f in folders for n, t in Store(spark, f).list(f))
+    key = (spark.sparkContext.applicationId, name, version)
+    if key not in _stored:
+        _stored[key] = make()
+    return _stored[key]
