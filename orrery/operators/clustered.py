@@ -131,7 +131,7 @@ def _scored(c: Clusters, search: AxisSearch, asked: np.ndarray, k: int, weights)
                 qs = wanted.get(int(cluster[i])) if j > i else None
                 for at in np.array_split(qs, -(-len(qs) // 256)) if qs is not None else ():
                     score = np.sqrt(sum((w * (x[i:j] @ q[at].T)) ** 2 for w, x, q in zip(weights, rows, search.parts, strict=True)))
-                    exact = lambda r, s: np.sqrt(sum((w * (x[i:j][r] * q[at][s]).sum(1)) ** 2 for w, x, q in zip(weights, rows, search.parts, strict=True)))  # noqa: E731, B023
+                    exact = lambda r, s: (np.sqrt(sum((w * (x[i:j][r] * q[at][s]).sum(1)) ** 2 for w, x, q in zip(weights, rows, search.parts, strict=True))), np.zeros((len(r), 0)))  # noqa: E731, B023
                     top.add(at, score, ids[i:j], exact)
         top.cut()
         q, place = np.nonzero(np.isfinite(top.score))

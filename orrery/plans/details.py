@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scoring as S
 from orrery.functions import text as X
 from orrery.functions import vector as V
+from orrery.operators.axis_search import channel
 from orrery.operators.windows import audio_ranges
 from orrery.plans.ranking import CHANNELS_SQL, by_query, channels, span, top, with_stats
 from orrery.plans.registry import query, relational, table
-from orrery.plans.vectors import AXES_SQL, SCORED_SQL, scored
+from orrery.plans.vectors import AXES_SQL, SCORED_SQL, best_rows, blend
 
 _LAST = "CASE WHEN n <= 800 THEN 0 ELSE ((n - 801) // 700 + 1) * 700 END"
 _PAGES = f"p AS (SELECT doc_id, n, {_LAST} AS last FROM (SELECT doc_id, length(text) AS n FROM documents) WHERE n > 0)"
@@ -48,7 +51,7 @@ def vector_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ob10_weak_evidence_cap", f"WITH {AXES_SQL}, {CHANNELS_SQL}, c AS (SELECT *, 1 / (1 + exp(-4 * dense)) AS conf FROM ch) SELECT qid, row_id, round(CASE WHEN dense < 1.1 * 0.3 AND lexical < 0.05 THEN least(c.conf, 0.55) ELSE c.conf END, 6) AS conf FROM c QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dense DESC, row_id) <= 100")
 def weak_evidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = channels(spark, sf_dir).withColumn("rn", top("dense")).where("rn <= 100").withColumn("conf", S.sigmoid(4 * F.col("dense")))
+    c = best_rows(spark, sf_dir, 100, channel(0)).withColumn("conf", S.sigmoid(4 * F.col("dense")))
     weak = (F.col("dense") < 1.1 * 0.3) & (F.col("lexical") < 0.05)
     return c.select("qid", "row_id", F.round(F.when(weak, F.least("conf", F.lit(0.55))).otherwise(F.col("conf")), 6).alias("conf"))
 
@@ -63,7 +66,7 @@ def channel_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("oc1_cross_scoring", f"WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round(dense, 6) AS dense FROM ch QUALIFY row_number() OVER (PARTITION BY qid ORDER BY ch.dense DESC, row_id) <= 100")
 def cross_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query against every row; the best 100 of each are given."""
-    return channels(spark, sf_dir).withColumn("rn", top("dense")).where("rn <= 100").select("qid", "row_id", F.round("dense", 6).alias("dense"))
+    return best_rows(spark, sf_dir, 100, channel(0)).select("qid", "row_id", F.round("dense", 6).alias("dense"))
 
 
 @query(
@@ -72,7 +75,7 @@ def cross_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def restricted_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best max(6k, 120) first, then the documents asked for: may give fewer than k."""
-    r = scored(spark, sf_dir).withColumn("rn", top("score")).where("rn <= 120").where("label % 3 = 1")
+    r = best_rows(spark, sf_dir, 120).where("label % 3 = 1")
     return r.withColumn("k", F.row_number().over(by_query().orderBy("rn"))).where("k <= 20").select("qid", "row_id", F.round("score", 6).alias("score"))
 
 
@@ -81,7 +84,7 @@ def restricted_post_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT qid, row_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored WHERE label % 3 = 1) SELECT qid, row_id, round(score, 6) AS score FROM r WHERE rn <= 20",
 )
 def restricted_pre_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).where("label % 3 = 1").withColumn("rn", top("score")).where("rn <= 20").select("qid", "row_id", F.round("score", 6).alias("score"))
+    return best_rows(spark, sf_dir, 20, where="label % 3 = 1").select("qid", "row_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -89,7 +92,7 @@ def restricted_pre_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT qid, row_id, label % 5 AS dom, score, row_number() OVER (PARTITION BY qid, label % 5 ORDER BY score DESC, row_id) AS rn FROM scored) SELECT qid, row_id, dom::INT AS dom, (row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id))::INT AS rank FROM r WHERE rn <= 10",
 )
 def global_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = scored(spark, sf_dir).withColumn("dom", (F.col("label") % 5).cast("int")).withColumn("rn", F.row_number().over(Window.partitionBy("qid", "dom").orderBy(F.desc("score"), "row_id"))).where("rn <= 10")
+    r = best_rows(spark, sf_dir, 10, group=(F.col("label") % 5).cast("int")).withColumnRenamed("grp", "dom")
     return r.select("qid", "row_id", "dom", top("score").alias("rank"))
 
 
@@ -106,7 +109,7 @@ def candidate_cap(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 )
 def rerank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of 20 by dense; half of the reranker's and half of the fused score, each scaled within the head."""
-    head = with_stats(spark, sf_dir, channels(spark, sf_dir).withColumn("rn", top("dense")).where("rn <= 20"), *span("dense", "lexical"))
+    head = with_stats(spark, sf_dir, best_rows(spark, sf_dir, 20, channel(0)).select("qid", "row_id", "dense", "lexical"), *span("dense", "lexical"))
     part = lambda c: S.min_max_zero(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"))
     return head.select("qid", "row_id", F.round(0.5 * part("lexical") + 0.5 * part("dense"), 6).alias("final_score"))
 
@@ -152,10 +155,8 @@ def self_pair_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alpha_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leave-one-out: a query's own row takes no part; R@1, R@5 and MRR within the best 10 for each blend."""
-    ch = channels(spark, sf_dir)
-    own = ch.where("qid = row_id").select("qid", F.col("label").alias("gold"))
-    s = ch.where("qid != row_id").join(own, "qid").withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in (0.0, 0.2, 0.5, 1.0)])))
-    s = s.withColumn("s", (1 - F.col("alpha")) * F.col("dense") + F.col("alpha") * F.col("lexical")).withColumn("rn", F.row_number().over(Window.partitionBy("alpha", "qid").orderBy(F.desc("s"), "row_id"))).where("rn <= 10")
+    own = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("gold"))
+    s = reduce(DataFrame.union, [best_rows(spark, sf_dir, 10, blend(a), own=False).withColumn("alpha", F.lit(a)) for a in (0.0, 0.2, 0.5, 1.0)]).join(own, "qid")
     f = s.groupBy("alpha", "qid").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("rn"))).alias("first"))
     rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return f.groupBy("alpha").agg(rate(F.col("first") == 1).alias("r1"), rate(F.col("first") <= 5).alias("r5"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))

@@ -12,10 +12,11 @@ from orrery.functions import vector as V
 from orrery.operators import calibration as C
 from orrery.operators import findings
 from orrery.plans.privacy import FOUND_SQL, REQUESTS, _any
-from orrery.plans.ranking import CHANNELS_SQL, channels
+from orrery.operators.axis_search import channel, three_axis
+from orrery.plans.ranking import CHANNELS_SQL
 from orrery.plans.recordings import by
 from orrery.plans.registry import query, raw, sql, table, view
-from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, axes, scored
+from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, axes, best_rows
 from orrery.sources import workdir
 from orrery.sources.versioned import VersionedTable
 
@@ -28,7 +29,7 @@ _INV95 = "1.6448536269514722"
 @query("od5_mean_deviation", f"WITH {AXES_SQL}, {SCORED_SQL} SELECT qid, round(avg(score), 6) AS mu, round(greatest(stddev_pop(score), 0.05), 6) AS rows_sd, round(greatest(stddev_pop(score), 0.02), 6) AS segments_sd, round(greatest(stddev_pop(score), 0.01), 6) AS files_sd FROM scored GROUP BY qid")
 def mean_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean and population deviation of a query's scores, with the three floors."""
-    s = scored(spark, sf_dir).groupBy("qid").agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"))
+    s = best_rows(spark, sf_dir, 1)
     floor = lambda f: F.round(F.greatest("sd", F.lit(f)), 6)
     return s.select("qid", F.round("mu", 6).alias("mu"), floor(0.05).alias("rows_sd"), floor(0.02).alias("segments_sd"), floor(0.01).alias("files_sd"))
 
@@ -37,9 +38,8 @@ _TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC,
 
 
 def with_figures(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    s = scored(spark, sf_dir)
-    f = s.groupBy("qid").agg(F.avg("score").alias("mu"), F.greatest(F.stddev_pop("score"), F.lit(0.05)).alias("sd"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    return s.withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where(F.col("rn") <= k).join(f, "qid")
+    r = best_rows(spark, sf_dir, k)
+    return r.select("qid", "row_id", "score", "mu", F.greatest("sd", F.lit(0.05)).alias("sd"), F.col("lo_score").alias("lo"), F.col("hi_score").alias("hi"))
 
 
 @query("oe3_min_max_half", f"WITH {AXES_SQL}, {SCORED_SQL}, {_TOP} SELECT qid, row_id, round(CASE WHEN hi - lo < 1e-6 THEN 0.5 ELSE (score - lo) / (hi - lo + 1e-9) END, 6) AS scaled FROM r WHERE rn <= 30")
@@ -55,14 +55,14 @@ def z_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ob5_two_axis_search", f"WITH {AXES_SQL}, {CHANNELS_SQL}, s AS (SELECT qid, row_id, sqrt(pow(dense, 2) + pow(0.4 * lexical, 2)) AS score FROM ch), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rank FROM s) SELECT qid, rank::INT AS rank, row_id, round(score, 6) AS score FROM r WHERE rank <= 10")
 def two_axis_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = channels(spark, sf_dir).withColumn("score", V.two_axis(F.col("dense"), F.col("lexical")))
-    return s.withColumn("rank", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where("rank <= 10").select("qid", "rank", "row_id", F.round("score", 6).alias("score"))
+    s = best_rows(spark, sf_dir, 10, three_axis((1.0, 0.4, 0.0)))
+    return s.select("qid", F.col("rn").alias("rank"), "row_id", F.round("score", 6).alias("score"))
 
 
 @query("ob9_fallback", f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored WHERE qid <> row_id), k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rn) AS n FROM r WHERE rn <= 30 AND score >= 0.55) SELECT qid, row_id, round(score, 6) AS score, false AS fallback FROM k WHERE n <= 10 UNION ALL SELECT qid, row_id, round(score, 6), true FROM r WHERE rn <= 10 AND qid NOT IN (SELECT qid FROM k)")
 def fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query without a strict result gets its best rows, marked."""
-    r = scored(spark, sf_dir).where("qid != row_id").withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where("rn <= 30")
+    r = best_rows(spark, sf_dir, 30, own=False)
     k = r.where("score >= 0.55").withColumn("n", F.row_number().over(by("qid").orderBy("rn"))).where("n <= 10")
     rest = r.where("rn <= 10").join(k.select("qid").distinct(), "qid", "left_anti")
     pick = lambda df, f: df.select("qid", "row_id", F.round("score", 6).alias("score"), F.lit(f).alias("fallback"))
@@ -127,7 +127,7 @@ def crossmodal_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("om4_file_null", f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY score DESC, row_id) AS rn FROM scored), f AS (SELECT qid, label, avg(score) AS m FROM r WHERE rn <= 3 GROUP BY qid, label) SELECT label % 5 AS domain, round(avg(m), 6) AS mu, round(stddev_pop(m) + 1e-6, 6) AS sd, round(quantile_cont(m, 0.95), 6) AS p95, round(quantile_cont(m, 0.99), 6) AS p99, count(*) AS n FROM f GROUP BY label % 5")
 def file_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The null over files: the mean of each file's best three, for every query; with its percentiles."""
-    f = scored(spark, sf_dir).withColumn("rn", F.row_number().over(by("qid", "label").orderBy(F.desc("score"), "row_id"))).where("rn <= 3").groupBy("qid", "label").agg(F.avg("score").alias("m"))
+    f = best_rows(spark, sf_dir, 3, group=F.col("label")).groupBy("qid", "label").agg(F.avg("score").alias("m"))
     g = f.groupBy((F.col("label") % 5).alias("domain")).agg(F.avg("m").alias("mu"), (F.stddev_pop("m") + 1e-6).alias("sd"), F.percentile("m", 0.95).alias("p95"), F.percentile("m", 0.99).alias("p99"), F.count("*").alias("n"))
     return g.select("domain", *[F.round(c, 6).alias(c) for c in ("mu", "sd", "p95", "p99")], "n")
 
@@ -189,8 +189,8 @@ _HITS = f"{AXES_SQL}, {CHANNELS_SQL}, {SCORED_SQL}, g0 AS (SELECT qid, row_id, d
 def content_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gold rows by cosine, twenty at least and 200 at most, and the precision of the best ten by three axes."""
     theta, fewest, most = C.GOLD["movie"]
-    g = C.gold(channels(spark, sf_dir).select("qid", "row_id", F.col("dense").alias("score")), theta, fewest, most)
-    h = scored(spark, sf_dir).withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where("rn <= 10").select("qid", "row_id")
+    g = C.gold(best_rows(spark, sf_dir, most, channel(0)).select("qid", "row_id", "score"), theta, fewest, most)
+    h = best_rows(spark, sf_dir, 10).select("qid", "row_id")
     return C.precision(h, g).join(g.groupBy("qid").agg(F.count("*").alias("gold")), "qid").select("qid", "precision", "gold")
 
 
@@ -204,7 +204,7 @@ def judged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("file_"), (F.col(c) % 150).cast("string"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), "label")
     expected = q.join(e, "label").where("vec_id != qid").select("qid", name("vec_id").alias("name")).distinct()
-    r = scored(spark, sf_dir).where("qid != row_id").withColumn("rank", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where("rank <= 10").select("qid", "rank", F.initcap(name("row_id")).alias("name"))
+    r = best_rows(spark, sf_dir, 10, own=False).select("qid", F.col("rn").alias("rank"), F.initcap(name("row_id")).alias("name"))
     j = C.judged(r, expected, 10).withColumn("source", F.when(F.col("qid") % 200 == 0, "even").otherwise("odd"))
     return j.groupBy("source").agg(F.count("*").alias("queries"), F.count(F.when(F.col("hit"), 1)).alias("hits"), F.round(F.avg("coverage"), 6).alias("coverage"), F.round(F.avg("mrr"), 6).alias("mrr"), F.count(F.when(F.col("top1"), 1)).alias("top1"), F.sum("n_dup").alias("dup"))
 
@@ -212,10 +212,9 @@ def judged_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("om11_latency_overlap", f"WITH {AXES_SQL}, {CHANNELS_SQL}, a AS (SELECT qid, row_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dense DESC, row_id) AS rn FROM ch) WHERE rn <= 10), b AS (SELECT qid, row_id FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, row_id) AS rn FROM ch) WHERE rn <= 10), f AS (SELECT coalesce(a.qid, b.qid) AS qid, a.qid IS NOT NULL AS x, b.qid IS NOT NULL AS y FROM a FULL JOIN b ON a.qid = b.qid AND a.row_id = b.row_id), o AS (SELECT qid, count(*) FILTER (WHERE x AND y) AS shared, count(*) FILTER (WHERE NOT y) AS only_a, count(*) FILTER (WHERE NOT x) AS only_b FROM f GROUP BY qid), t AS (SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM events) SELECT qid, shared, only_a, only_b, round(p50, 6) AS p50, round(p95, 6) AS p95 FROM o, t")
 def latency_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What two channels' best ten share, beside p50 and p95 of timed runs (the events' values as seconds)."""
-    ch = channels(spark, sf_dir)
-    top = lambda c: ch.withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc(c), "row_id"))).where("rn <= 10").select("qid", "row_id")
+    top = lambda axis: best_rows(spark, sf_dir, 10, channel(axis)).select("qid", "row_id")
     t = C.latencies(table(spark, sf_dir, "events").select(F.lit("all").alias("name"), F.col("value").alias("seconds"))).select(F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"))
-    return C.overlap(top("dense"), top("lexical")).crossJoin(F.broadcast(t))
+    return C.overlap(top(0), top(1)).crossJoin(F.broadcast(t))
 
 
 @query("om13_growth_curve", f"WITH {AXES_SQL}, {SCORED_SQL}, s AS (SELECT s.*, q.label = s.label AS rel FROM scored s JOIN embeddings q ON q.vec_id = s.qid WHERE s.qid <> s.row_id), f AS (SELECT label, dense_rank() OVER (ORDER BY label) AS ord FROM (SELECT DISTINCT label FROM embeddings)), g AS (SELECT n, s.qid, s.rel, s.score, s.row_id, row_number() OVER (PARTITION BY n, s.qid ORDER BY s.score DESC, s.row_id) AS rn FROM s JOIN f USING (label), range(1, 11) t(n) WHERE f.ord <= n), b AS (SELECT n, qid, min(CASE WHEN rel THEN rn END) AS first, avg(score) AS mu FROM g WHERE rn <= 10 GROUP BY n, qid) SELECT n::INT AS n, count(*) AS queries, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(mu), 6) AS mu FROM b GROUP BY n")
@@ -223,9 +222,8 @@ def growth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures again on the first n files, n from 1 to 10, queries' own rows left out."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
     f = e.select("label").distinct().withColumn("ord", F.dense_rank().over(Window.orderBy("label")))  # a row a file
-    s = scored(spark, sf_dir).where("qid != row_id").join(F.broadcast(f), "label").join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("gold")), "qid")
     # only a file's best ten can be among the best ten of more files
-    s = s.withColumn("a", F.row_number().over(by("qid", "label").orderBy(F.desc("score"), "row_id"))).where("a <= 10")
+    s = best_rows(spark, sf_dir, 10, group=F.col("label"), own=False).drop("rn", "n").join(f, "label").join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("gold")), "qid")
     g = s.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10)))).where("ord <= n")
     g = g.withColumn("rn", F.row_number().over(by("n", "qid").orderBy(F.desc("score"), "row_id"))).where("rn <= 10")
     b = g.groupBy("n", "qid").agg(F.min(F.when(F.col("label") == F.col("gold"), F.col("rn"))).alias("first"), F.avg("score").alias("mu"))
@@ -259,7 +257,7 @@ _SEAM = "SELECT qid, row_id, (row_number() OVER (PARTITION BY qid ORDER BY CASE
 @query("ol2_scorer_seam", f"WITH {AXES_SQL}, {SCORED_SQL} " + raw(_SEAM))
 def scorer_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A reranker as a function of queries and passages, here the passage's length."""
-    r = scored(spark, sf_dir).withColumn("rank", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where("rank <= 60")
+    r = best_rows(spark, sf_dir, 60).withColumnRenamed("rn", "rank")
     f = view(spark, sf_dir, "files").select(F.col("doc_id").alias("row_id"), "stem")
     r = r.join(f, "row_id", "left").select("qid", "rank", "row_id", F.lit("q").alias("query"), F.coalesce("stem", F.lit("")).alias("passage"))
     return engine.rerank(r, lambda q, p: [float(len(x)) for x in p]).select("qid", "row_id", "place")

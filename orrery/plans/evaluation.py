@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from orrery.functions import scoring as S
 from orrery.plans.registry import query, relational, table
-from orrery.plans.vectors import AXES_SQL, SCORED_SQL, per_query, scored
+from orrery.plans.vectors import AXES_SQL, SCORED_SQL, best_rows
 
 RANKED_SQL = f"{AXES_SQL}, {SCORED_SQL}, g AS (SELECT s.qid, s.row_id, s.score, CASE WHEN s.label = q.label THEN 1 ELSE 0 END AS rel, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.row_id) AS rn FROM scored s JOIN embeddings q ON q.vec_id = s.qid WHERE s.row_id <> s.qid)"
 
 
 def judged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's rows but itself, with whether they have its label."""
+    """Each query's best ten rows of every label but itself, with whether they have its label; n: the rows of that label."""
     own = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("label").alias("gold"))
-    s = scored(spark, sf_dir).where("qid != row_id").join(per_query(spark, sf_dir, own), "qid")
+    s = best_rows(spark, sf_dir, 10, group=F.col("label"), own=False).drop("rn").join(own, "qid")
     return s.withColumn("rel", (F.col("label") == F.col("gold")).cast("int"))
 
 
@@ -29,7 +29,7 @@ def judged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """nDCG@10 in two namings: over the best order of all positives, and of the retrieved ones only."""
     s = judged_scores(spark, sf_dir)
-    pos = s.groupBy("qid").agg(F.sum("rel").alias("pos")).where("pos > 0")  # counted, not ranked
+    pos = s.where("rel = 1").groupBy("qid").agg(F.max("n").alias("pos"))
     top = s.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id"))).where("rn <= 10")
     c = top.groupBy("qid").agg(F.sum("rel").alias("got"), F.sum(F.col("rel") / F.log2(F.col("rn") + 1)).alias("dcg"), F.min(F.when(F.col("rel") == 1, F.col("rn"))).alias("first")).join(pos, "qid")
     ideal = lambda k: F.aggregate(F.sequence(F.lit(1), F.greatest(k.cast("int"), F.lit(1))), F.lit(0.0), lambda s, j: s + 1 / F.log2(j + 1.0))
@@ -40,7 +40,10 @@ def ranking_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("om3_null_calibration", f"WITH {AXES_SQL}, {SCORED_SQL} SELECT label, round(avg(score), 6) AS mu, round(stddev_pop(score), 6) AS sd, round(avg(score) + 1.6448536269514722 * stddev_pop(score), 5) AS threshold, count(*) AS n FROM scored WHERE qid <> row_id GROUP BY label")
 def null_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null distribution of each domain and the threshold at a false-accept rate of 5 %."""
-    s = scored(spark, sf_dir).where("qid != row_id").groupBy("label").agg(F.avg("score").alias("mu"), F.stddev_pop("score").alias("sd"), F.count("*").alias("n"))
+    s = best_rows(spark, sf_dir, 1, group=F.col("label"), own=False)  # sums by query and label
+    square = F.col("n") * (F.col("sd") * F.col("sd") + F.col("mu") * F.col("mu"))
+    s = s.groupBy("label").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("mu"), (F.sum(square) / F.sum("n")).alias("sq"))
+    s = s.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mu") * F.col("mu"))))
     return s.select("label", F.round("mu", 6).alias("mu"), F.round("sd", 6).alias("sd"), F.round(F.col("mu") + S.inverse_normal(F.lit(0.95)) * F.col("sd"), 5).alias("threshold"), "n")
 
 

@@ -5,13 +5,16 @@ Proxies: the three axes' scores are the channels, `label` groups rows to files.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scoring as S
-from orrery.functions import vector as V
-from orrery.plans.registry import query, relational
-from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, pairs, per_query, scored, search_rows
+from orrery.operators import fusion
+from orrery.operators.axis_search import AxisSearch, channel
+from orrery.plans.registry import query, table
+from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, asked_in_parts, best_rows, pairs, per_query, search_rows
 
 CHANNELS_SQL = f"""ch AS (SELECT q.row_id AS qid, d.row_id, d.label, {DOT.format(a='q.re', b='d.re')} AS dense, {DOT.format(a='q.im', b='d.im')} AS lexical, {DOT.format(a='q.z', b='d.z')} AS asf
   FROM axes q, axes d WHERE q.row_id % 100 = 0)"""
@@ -48,8 +51,7 @@ def top(col: str) -> F.Column:
 )
 def rrf_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each channel is cut to its best 50 before the sum: two group limits, no full sort."""
-    ch = channels(spark, sf_dir)
-    lists = [ch.withColumn("rn", top(c)).where("rn <= 50").select("qid", "row_id", "rn") for c in ("dense", "lexical")]
+    lists = [best_rows(spark, sf_dir, 50, channel(axis)).select("qid", "row_id", "rn") for axis in (0, 1)]
     return lists[0].union(lists[1]).groupBy("qid", "row_id").agg(F.round(F.sum(1.0 / (60 + F.col("rn"))), 10).alias("rrf"))
 
 
@@ -57,10 +59,13 @@ def rrf_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     "oe2_rrf_uncut",
     f"""WITH {AXES_SQL}, {CHANNELS_SQL}, r AS (SELECT qid, row_id, 1.0 / (60 + row_number() OVER (PARTITION BY qid ORDER BY dense DESC, row_id))
     + 1.0 / (60 + row_number() OVER (PARTITION BY qid ORDER BY lexical DESC, row_id)) AS s FROM ch)
-    SELECT qid, row_id, round(s, 10) AS rrf FROM r""",
+    SELECT qid, row_id, round(s, 10) AS rrf FROM r QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, row_id) <= 100""",
 )
 def rrf_uncut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels(spark, sf_dir).select("qid", "row_id", F.round(1.0 / (60 + top("dense")) + 1.0 / (60 + top("lexical")), 10).alias("rrf"))
+    """The best 100 over whole lists: candidates of both heads with their exact places."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    best = reduce(DataFrame.union, [fusion.reciprocal_best(AxisSearch(*part), rows, 100) for part in asked_in_parts(spark, sf_dir)])
+    return best.select("qid", "row_id", F.round("score", 10).alias("rrf"))
 
 
 @query(
@@ -73,11 +78,10 @@ def rrf_uncut(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, row_id, round(fused, 6) AS fused, rn::INT AS rn FROM r WHERE rn <= 20""",
 )
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("dense", "lexical", "asf")
-    ch = with_stats(spark, sf_dir, channels(spark, sf_dir), *span(*names))
-    parts = [S.min_max(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}")) for c in names]
-    f = ch.select("qid", "row_id", S.fused(*parts, F.col("hi_lexical") > 0, F.col("hi_asf") > 0).alias("fused"))
-    return f.withColumn("rn", top("fused")).where("rn <= 20").select("qid", "row_id", F.round("fused", 6).alias("fused"), "rn")
+    """Channels between the query's bounds, weighed and summed: the best 20."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    best = reduce(DataFrame.union, [fusion.min_max_best(AxisSearch(*part), rows, 20) for part in asked_in_parts(spark, sf_dir)])
+    return best.select("qid", "row_id", F.round("score", 6).alias("fused"), F.col("rank").alias("rn"))
 
 
 @query(
@@ -86,8 +90,7 @@ def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def min_max_zero(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 100 of a channel, scaled between the bounds of all."""
-    every = channels(spark, sf_dir)
-    ch = every.withColumn("rn", top("dense")).where("rn <= 100").join(per_query(spark, sf_dir, every.groupBy("qid").agg(*span("dense"))), "qid")
+    ch = best_rows(spark, sf_dir, 100, channel(0))
     return ch.select("qid", "row_id", F.round(S.min_max_zero(F.col("dense"), F.col("lo_dense"), F.col("hi_dense")), 6).alias("scaled"))
 
 
@@ -112,7 +115,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def threshold_then_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold within the best 3k, then the best k; a query left empty gets its raw best k, flagged. A query's own row takes no part."""
-    r = scored(spark, sf_dir).where("row_id != qid").withColumn("rn", top("score")).where("rn <= 30")
+    r = best_rows(spark, sf_dir, 30, own=False)
     passed = r.where("score >= 0.6")
     strict = passed.withColumn("k", F.row_number().over(by_query().orderBy("rn"))).where("k <= 10").select("qid", "row_id", F.round("score", 6).alias("score"), F.lit(False).alias("fallback"))
     rest = r.where("rn <= 10").join(passed.select("qid").distinct(), "qid", "left_anti")
@@ -125,7 +128,7 @@ def threshold_then_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, label, round(avg(score), 6) AS score, round(max(score), 6) AS best, count(*) AS n FROM r WHERE rn <= 3 GROUP BY qid, label""",
 )
 def file_top3_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = scored(spark, sf_dir).withColumn("rn", F.row_number().over(Window.partitionBy("qid", "label").orderBy(F.desc("score"), "row_id"))).where("rn <= 3")
+    r = best_rows(spark, sf_dir, 3, group=F.col("label"))
     return r.groupBy("qid", "label").agg(F.round(F.avg("score"), 6).alias("score"), F.round(F.max("score"), 6).alias("best"), F.count("*").alias("n"))
 
 
@@ -136,7 +139,7 @@ def file_top3_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT qid, round(margin, 6) AS margin, CASE WHEN margin >= 0.15 THEN 'high' WHEN margin >= 0.05 THEN 'medium' ELSE 'low' END AS level FROM m""",
 )
 def margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = scored(spark, sf_dir).withColumn("rn", top("score")).where("rn <= 2")
+    r = best_rows(spark, sf_dir, 2)
     best = lambda n: F.max(F.when(F.col("rn") == n, F.col("score")))
     m = r.groupBy("qid").agg(F.coalesce(best(1) - best(2), F.lit(0.5)).alias("margin"))
     return m.select("qid", F.round("margin", 6).alias("margin"), S.margin_label(F.col("margin")).alias("level"))
@@ -148,7 +151,7 @@ def margin(spark: SparkSession, sf_dir: str) -> DataFrame:
     g AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS b FROM r WHERE a <= 3) SELECT qid, label, row_id, round(score, 6) AS score, b::INT AS rank FROM g WHERE b <= 12""",
 )
 def segments_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = scored(spark, sf_dir).withColumn("a", F.row_number().over(Window.partitionBy("qid", "label").orderBy(F.desc("score"), "row_id"))).where("a <= 3")
+    r = best_rows(spark, sf_dir, 3, group=F.col("label"))
     return r.withColumn("rank", top("score")).where("rank <= 12").select("qid", "label", "row_id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -162,7 +165,7 @@ def segments_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quota_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each domain's guaranteed places by its best confidence, then the rest by weighted confidence, cut to twice k = 20."""
     dom = Window.partitionBy("qid", "dom")
-    r = scored(spark, sf_dir).withColumn("dom", F.col("label") % 5).withColumn("rn", F.row_number().over(dom.orderBy(F.desc("score"), "row_id"))).where("rn <= 40").withColumn("mx", F.max("score").over(dom))
+    r = best_rows(spark, sf_dir, 40, group=F.col("label") % 5).withColumnRenamed("grp", "dom").withColumn("mx", F.max("score").over(dom))
     quota = F.when(F.col("mx") >= 0.8, 4).when(F.col("mx") >= 0.5, 2).otherwise(1)
     q = r.withColumn("sure", F.col("rn") <= quota).withColumn("w", F.col("score") * F.when(F.col("dom") < 2, 1.0).otherwise(0.75))
     sure = F.col("sure")
@@ -178,9 +181,8 @@ def quota_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def outer_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio and text candidates side by side; what one channel lacks counts 0."""
-    ch = channels(spark, sf_dir)
-    side = lambda c: ch.withColumn("rn", top(c)).where("rn <= 30").select("qid", "row_id", c)
-    both = side("dense").join(side("lexical"), ["qid", "row_id"], "full")
+    side = lambda axis, c: best_rows(spark, sf_dir, 30, channel(axis)).select("qid", "row_id", c)
+    both = side(0, "dense").join(side(1, "lexical"), ["qid", "row_id"], "full")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     return both.select("qid", "row_id", F.round(0.55 * zero("dense") + 0.45 * zero("lexical"), 6).alias("fused"))
 
@@ -202,8 +204,6 @@ def display_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def mean_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean of a group's vectors by position, then unit length; long form, so a group of any size has partial sums."""
-    from orrery.plans.registry import table
-
     e = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("v"))
     n = e.groupBy("label").agg((F.sqrt(F.sum(F.col("v") * F.col("v"))) + 1e-8).alias("s"))
     return e.join(n, "label").select("label", "pos", F.round(F.col("v") / F.col("s"), 6).alias("v"))
@@ -216,8 +216,6 @@ def mean_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bit agreement of 32-bit fingerprints: the likest 20 of all rows for each of the query set."""
-    from orrery.plans.registry import table
-
     f = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 1000000).cast("long")).alias("fp"))
     asked = f.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), F.col("fp").alias("a"))
     pairs = f.select(F.col("vec_id").alias("y"), F.col("fp").alias("b")).crossJoin(per_query(spark, sf_dir, asked)).where("x != y")

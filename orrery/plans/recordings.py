@@ -9,10 +9,11 @@ from orrery.functions import music as M
 from orrery.functions import scoring as S
 from orrery.operators import requests as Q
 from orrery.operators import sessions
+from orrery.operators.axis_search import channel
 from orrery.operators.windows import overlap_join, sliding
 from orrery.plans.ranking import CHANNELS_SQL, channels
 from orrery.plans.registry import query, raw, table, view
-from orrery.plans.vectors import AXES_SQL, SCORED_SQL, scored
+from orrery.plans.vectors import AXES_SQL, SCORED_SQL, best_rows
 from orrery.sources import workdir
 
 
@@ -58,7 +59,7 @@ _KIND = "CASE WHEN element_at(embedding, 1) >= 0 THEN 'blip' ELSE 'stt' END"
 @query("od1_best_per_file", f"WITH {AXES_SQL}, {SCORED_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored), b AS (SELECT qid, label, round(max(score), 4) AS best, arg_min(row_id, rn) AS row_id FROM p WHERE rn <= 50 GROUP BY qid, label), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY best DESC, label) AS place FROM b) SELECT qid, label, row_id, best FROM r WHERE place <= 10")
 def best_per_file(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The best 5k chunks, the best of each file among them, the best k files."""
-    p = scored(spark, sf_dir).withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where(F.col("rn") <= 5 * k)
+    p = best_rows(spark, sf_dir, 5 * k)
     b = p.groupBy("qid", "label").agg(F.round(F.max("score"), 4).alias("best"), F.min_by("row_id", "rn").alias("row_id"))
     return b.withColumn("place", F.row_number().over(by("qid").orderBy(F.desc("best"), "label"))).where(F.col("place") <= k).select("qid", "label", "row_id", "best")
 
@@ -92,7 +93,7 @@ def modality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_source(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Captions' and speech's best similarity of each file among the best max(30k, 200) chunks, by the file's weights; the snippet is the better one's."""
     t = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.expr(_KIND).alias("kind"))
-    p = scored(spark, sf_dir).withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where(F.col("rn") <= max(30 * k, 200)).join(t, "row_id").withColumn("sim", F.greatest(F.lit(0.0), F.round("score", 6)))
+    p = best_rows(spark, sf_dir, max(30 * k, 200)).join(t, "row_id").withColumn("sim", F.greatest(F.lit(0.0), F.round("score", 6)))
     own = lambda kind, c: F.when(F.col("kind") == kind, F.col(c))
     best = lambda kind: F.coalesce(F.max(own(kind, "sim")), F.lit(0.0))
     f = p.groupBy("qid", "label").agg(best("blip").alias("b"), best("stt").alias("s"), F.min_by("row_id", own("blip", "rn")).alias("br"), F.min_by("row_id", own("stt", "rn")).alias("sr"))
@@ -102,7 +103,8 @@ def two_source(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
 
 @query("od4_best_lexical_per_file", f"WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, label, round(max(asf), 6) AS asf, round(max(lexical), 6) AS sparse FROM ch GROUP BY qid, label")
 def best_lexical_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return channels(spark, sf_dir).groupBy("qid", "label").agg(F.round(F.max("asf"), 6).alias("asf"), F.round(F.max("lexical"), 6).alias("sparse"))
+    r = best_rows(spark, sf_dir, 1, group=F.col("label"))
+    return r.select("qid", "label", F.round("hi_asf", 6).alias("asf"), F.round("hi_lexical", 6).alias("sparse"))
 
 
 TITLE = ["talk", "_3", "nothing"]
@@ -120,7 +122,7 @@ _PHI_SQL = S.GAUSSIAN_SQL.format(z="z")
 )
 def av_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A recording's confidence over the query's files: names that hold the request's words give 1.5 each and .60 at least, weak ones without any text .40 at most."""
-    r = scored(spark, sf_dir).withColumn("rn", F.row_number().over(by("qid", "label").orderBy(F.desc("score"), "row_id"))).where("rn <= 3").groupBy("qid", "label").agg(F.avg("score").alias("d"))
+    r = best_rows(spark, sf_dir, 3, group=F.col("label")).groupBy("qid", "label").agg(F.avg("score").alias("d"))
     stats = r.groupBy("qid").agg(F.avg("d").alias("mu"), F.greatest(F.stddev_pop("d"), F.lit(0.01)).alias("sd"))
     text = view(spark, sf_dir, "segments").groupBy(F.col("conv_id").alias("label")).agg((F.max(F.length(F.trim("stt_text")) + F.length(F.trim("caption"))) > 0).alias("has_text"))
     z = r.join(stats, "qid").join(text, "label", "left").withColumn("z", (F.col("d") - F.col("mu")) / F.col("sd"))
@@ -136,10 +138,7 @@ _RESULTS = "r AS (SELECT qid, row_id, (ARRAY['image', 'doc', 'video', 'audio', '
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search's best 80 rows with a type, a confidence and the reranker's logit (the second axis stands for the model's)."""
-    from orrery.functions import vector as V
-
-    c = channels(spark, sf_dir).withColumn("score", V.three_axis(F.col("dense"), F.col("lexical"), F.col("asf")))
-    c = c.withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where("rn <= 80")
+    c = best_rows(spark, sf_dir, 80)
     kinds = F.array(*map(F.lit, ["image", "doc", "video", "audio", "bgm"]))
     return c.select("qid", "row_id", kinds[F.col("label") % 5].alias("type"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") * 2)).alias("conf"), "rn", (F.col("lexical") * 12 - 3).alias("logit"))
 
@@ -190,14 +189,14 @@ def flat_quota(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
 @query("oe9_top_gap", f"WITH {AXES_SQL}, {SCORED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, row_id) AS rn FROM scored) SELECT qid, round(max(score) - avg(score), 6) AS gap FROM r WHERE rn <= 3 GROUP BY qid")
 def top_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the best lies above the mean of the best three."""
-    r = scored(spark, sf_dir).withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc("score"), "row_id"))).where("rn <= 3")
+    r = best_rows(spark, sf_dir, 3)
     return r.groupBy("qid").agg(F.round(F.max("score") - F.avg("score"), 6).alias("gap"))
 
 
 @query("oo1_merge_types", f"WITH {AXES_SQL}, {SCORED_SQL}, u AS (SELECT qid, label % 7 AS path, label % 3 AS type, max(score) AS s FROM scored GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY qid, type ORDER BY s DESC, path) AS rn FROM u), m AS (SELECT qid, path, max(s) AS s FROM k WHERE rn <= 5 GROUP BY qid, path) SELECT qid, path, round(s, 6) AS similarity, (row_number() OVER (PARTITION BY qid ORDER BY s DESC, path))::INT AS place FROM m")
 def merge_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best five paths of each type; a path in several counts once, with its best similarity."""
-    u = scored(spark, sf_dir).groupBy("qid", (F.col("label") % 7).alias("path"), (F.col("label") % 3).alias("type")).agg(F.max("score").alias("s"))
+    u = best_rows(spark, sf_dir, 1, group=F.col("label")).groupBy("qid", (F.col("label") % 7).alias("path"), (F.col("label") % 3).alias("type")).agg(F.max("score").alias("s"))
     k = u.withColumn("rn", F.row_number().over(by("qid", "type").orderBy(F.desc("s"), "path"))).where("rn <= 5").groupBy("qid", "path").agg(F.max("s").alias("s"))
     return k.select("qid", "path", F.round("s", 6).alias("similarity"), F.row_number().over(by("qid").orderBy(F.desc("s"), "path")).alias("place"))
 
@@ -257,9 +256,8 @@ _FUSED_SQL = f"""ch2 AS (SELECT qid, row_id, dense, lexical, row_number() OVER (
 
 def fused_tracks(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """Candidates of both channels with their boosts, ranked: (qid, row_id, fused, rank)."""
-    ch = channels(spark, sf_dir)
-    side = lambda c: ch.withColumn("rn", F.row_number().over(by("qid").orderBy(F.desc(c), "row_id"))).where(F.col("rn") <= max(4 * k, 40)).select("qid", "row_id", c)
-    both = side("dense").join(side("lexical"), ["qid", "row_id"], "full").withColumn("base", S.music_fusion(F.col("dense"), F.col("lexical"), F.lit(True)))
+    side = lambda axis, c: best_rows(spark, sf_dir, max(4 * k, 40), channel(axis)).select("qid", "row_id", c)
+    both = side(0, "dense").join(side(1, "lexical"), ["qid", "row_id"], "full").withColumn("base", S.music_fusion(F.col("dense"), F.col("lexical"), F.lit(True)))
     t = tracks(spark, sf_dir).select(F.col("vec_id").alias("row_id"), "filename", M.artist_title(F.col("filename")).alias("at"), M.tags(*_c("tempo", "centroid", "ratio", "loud", "zcr", "seconds")).alias("tags"), M.description(*_c("tempo", "centroid", "zcr", "ratio", "loud", "vocal", "vocal_centroid", "vocal_high")).alias("text"))
     j = both.join(t, "row_id").withColumn("request", F.expr(REQUEST)).withColumn("h", Q.music_hints(F.col("request"), MOODS))
     boost = M.boosts(F.col("h.artist"), F.col("h.title"), F.col("h.broad"), F.col("h.moods"), F.col("filename"), F.col("at.artist"), F.col("at.title"), F.col("tags"), MOODS) + M.description_boost(F.col("request"), F.col("text"))
@@ -309,7 +307,7 @@ _ASKS = "CASE CAST(qid % 400 AS INT) WHEN 0 THEN '여권 사본' WHEN 100 THEN '
 )
 def grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the best context is near enough to the request: the bound is lower for summaries and for words of documents of identity, .05 at least."""
-    r = scored(spark, sf_dir).where("qid != row_id").groupBy("qid").agg(F.max("score").alias("sim")).withColumn("q", F.expr(_ASKS))
+    r = best_rows(spark, sf_dir, 1, own=False).select("qid", F.col("score").alias("sim")).withColumn("q", F.expr(_ASKS))
     t = S.grounding_threshold(F.col("q"))
     return r.select("qid", F.round("sim", 6).alias("sim"), F.round(t, 6).alias("threshold"), (F.col("sim") >= t).alias("grounded"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from orrery.functions import vector as V
 from orrery.operators import registers as R
 from orrery.plans.registry import query, raw, sql, table, view
-from orrery.plans.vectors import AXES_SQL, SCORED_SQL, scored
+from orrery.plans.vectors import AXES_SQL, SCORED_SQL, best_rows
 from orrery.sources import workdir
 
 _END = r"lower(regexp_extract({p}, '[^./][^/]*[.]([^./]+)$', 1))"
@@ -150,8 +150,7 @@ RECENT = [3, 1, 4]
 def recent_union(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     """Searches within the documents uploaded last, in that order, until k rows are together; then by score."""
     place = F.array_position(F.array(*map(F.lit, RECENT)), F.col("label"))
-    s = scored(spark, sf_dir).withColumn("place", place).where("place > 0")
-    s = s.withColumn("rn", F.row_number().over(Window.partitionBy("qid", "place").orderBy(F.desc("score"), "row_id"))).where(F.col("rn") <= k)
+    s = best_rows(spark, sf_dir, k, group=F.col("label"), where=f"label IN ({', '.join(map(str, RECENT))})").withColumn("place", place).drop("n")
     n = s.groupBy("qid", "place").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("qid").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     s = s.join(n.where(F.col("before") < k).select("qid", "place"), ["qid", "place"])
     return s.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "row_id"))).where(F.col("r") <= k).select("qid", "row_id", F.round("score", 6).alias("score"))
@@ -182,7 +181,7 @@ def time_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def summary_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of a search's hits those of the document with most of them, then the greatest sum of scores; in page order."""
     q = Window.partitionBy("qid")
-    hits = scored(spark, sf_dir).withColumn("rn", F.row_number().over(q.orderBy(F.desc("score"), "row_id"))).where("rn <= 30")
+    hits = best_rows(spark, sf_dir, 30)
     g = hits.groupBy("qid", "label").agg(F.count("*").alias("n"), F.sum("score").alias("s")).withColumn("r", F.row_number().over(q.orderBy(F.desc("n"), F.round("s", 9).desc(), "label"))).where("r = 1")
     return hits.join(g.select("qid", "label"), ["qid", "label"]).select("qid", "label", "row_id", F.row_number().over(q.orderBy("row_id")).alias("place"))
 

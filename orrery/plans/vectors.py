@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import vector as V
@@ -82,6 +82,20 @@ def search_rows(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return reduce(DataFrame.union, [A.AxisSearch(*part).best(rows, k) for part in asked_in_parts(spark, sf_dir)])
 
 
+def best_rows(spark: SparkSession, sf_dir: str, k: int, how=None, group: Column | None = None, own: bool = True, where: str | None = None) -> DataFrame:
+    """(qid, rn, row_id, label, score, dense, lexical, asf, and the figures of ``AxisSearch.best``): the query set's best k rows by ``how``,
+    also by the values of ``group`` (as grp); without ``own`` a query's own row is left out. Each task gives k rows a query (and group)."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"), "label", *([group.alias("grp")] if group is not None else []))
+    rows = rows.where(where) if where else rows
+    found = [A.AxisSearch(*part).best(rows, k, how, "grp" if group is not None else None, ("label",), own) for part in asked_in_parts(spark, sf_dir)]
+    return reduce(DataFrame.union, found).withColumnRenamed("rank", "rn")
+
+
+def blend(alpha: float):
+    """The first two similarities, weighed."""
+    return lambda parts, at: (1 - alpha) * parts[0] + alpha * parts[1]
+
+
 @query(
     "ob3_three_axis_search",
     f"""WITH {AXES_SQL}, {SCORED_SQL}, w AS (SELECT qid, row_id, score, avg(score) OVER (PARTITION BY qid) AS mu, greatest(stddev_pop(score) OVER (PARTITION BY qid), 0.05) AS sd,
