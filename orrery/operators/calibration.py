@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scoring as S
+from orrery.operators.ordered import quantiles
 
 #: The least cosine of a gold row, and the fewest and most gold rows of a query, by domain.
 GOLD = {"image": (0.50, 10, 300), "doc_page": (0.45, 20, 2000), "movie": (0.35, 20, 200)}
@@ -101,7 +102,7 @@ def judged(results: DataFrame, expected: DataFrame, k: int) -> DataFrame:
 
 def latencies(runs: DataFrame) -> DataFrame:
     """(name, p50, p95, n) of timed runs (name, seconds)."""
-    return runs.groupBy("name").agg(F.percentile("seconds", 0.5).alias("p50"), F.percentile("seconds", 0.95).alias("p95"), F.count("*").alias("n"))
+    return quantiles(runs, ["name"], "seconds", {"p50": 0.5, "p95": 0.95}).select("name", "p50", "p95", "n")
 
 
 def overlap(a: DataFrame, b: DataFrame) -> DataFrame:

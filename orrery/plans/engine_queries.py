@@ -13,6 +13,7 @@ from orrery.operators import calibration as C
 from orrery.operators import findings
 from orrery.plans.privacy import FOUND_SQL, REQUESTS, _any
 from orrery.operators.axis_search import channel, three_axis
+from orrery.operators.ordered import numbered, quantiles
 from orrery.plans.ranking import CHANNELS_SQL
 from orrery.plans.recordings import by
 from orrery.plans.registry import query, raw, sql, table, view
@@ -128,7 +129,8 @@ def crossmodal_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 def file_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The null over files: the mean of each file's best three, for every query; with its percentiles."""
     f = best_rows(spark, sf_dir, 3, group=F.col("label")).groupBy("qid", "label").agg(F.avg("score").alias("m"))
-    g = f.groupBy((F.col("label") % 5).alias("domain")).agg(F.avg("m").alias("mu"), (F.stddev_pop("m") + 1e-6).alias("sd"), F.percentile("m", 0.95).alias("p95"), F.percentile("m", 0.99).alias("p99"), F.count("*").alias("n"))
+    f = f.select((F.col("label") % 5).alias("domain"), "m")
+    g = f.groupBy("domain").agg(F.avg("m").alias("mu"), (F.stddev_pop("m") + 1e-6).alias("sd")).join(quantiles(f, ["domain"], "m", {"p95": 0.95, "p99": 0.99}), "domain")
     return g.select("domain", *[F.round(c, 6).alias(c) for c in ("mu", "sd", "p95", "p99")], "n")
 
 
@@ -221,7 +223,7 @@ def latency_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def growth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The measures again on the first n files, n from 1 to 10, queries' own rows left out."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    f = e.select("label").distinct().withColumn("ord", F.dense_rank().over(Window.orderBy("label")))  # a row a file
+    f = numbered(e.select("label").distinct(), "label").select("label", (F.col("place") + 1).alias("ord"))
     # only a file's best ten can be among the best ten of more files
     s = best_rows(spark, sf_dir, 10, group=F.col("label"), own=False).drop("rn", "n").join(f, "label").join(e.select(F.col("vec_id").alias("qid"), F.col("label").alias("gold")), "qid")
     g = s.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10)))).where("ord <= n")

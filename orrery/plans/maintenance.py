@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from orrery.plans.registry import relational
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.operators.ordered import quantiles
+from orrery.plans.registry import query, raw, relational, table
 
 relational("oc2_history_latest", "SELECT h.event_id, h.event_type, h.user_id FROM {events} h JOIN (SELECT user_id, event_type, max(ts) AS at FROM {events} GROUP BY user_id, event_type) m ON h.user_id = m.user_id AND h.event_type = m.event_type AND h.ts = m.at")
 relational("oc3_registry_lookup", "SELECT d.doc_id, l.quality FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id")
@@ -17,4 +21,12 @@ relational("og8_set_difference", "SELECT lang, size(array_intersect(a, b)) AS bo
 relational("og9_history_dedup", "SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM {events}) WHERE rn = 1")
 relational("og11_duplicate_upload", "SELECT d.doc_id FROM {documents} d LEFT SEMI JOIN (SELECT md5(text) AS h, min(doc_id) AS first FROM {documents} GROUP BY md5(text)) k ON md5(d.text) = k.h AND d.doc_id > k.first", "SELECT doc_id FROM documents d WHERE doc_id > (SELECT min(doc_id) FROM documents x WHERE md5(x.text) = md5(d.text))")
 relational("og12_alias_union", "SELECT md5(text) AS sha, array_join(array_sort(collect_list(CAST(doc_id AS STRING))), ',') AS aliases FROM {documents} GROUP BY md5(text) HAVING count(*) > 1", "SELECT md5(text) AS sha, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) AS aliases FROM documents GROUP BY md5(text) HAVING count(*) > 1")
-relational("od6_percentiles", "SELECT event_type, round(percentile(value, 0.95), 6) AS p95, round(percentile(value, 0.99), 6) AS p99, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM {events} GROUP BY event_type", "SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type")
+
+
+@query("od6_percentiles", raw("SELECT event_type, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99, round(avg(value), 6) AS mu, round(stddev_pop(value), 6) AS sd FROM events GROUP BY event_type"))
+def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p95 and p99 beside mean and deviation of every event type's values."""
+    e = table(spark, sf_dir, "events")
+    figures = e.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mu"), F.round(F.stddev_pop("value"), 6).alias("sd"))
+    q = quantiles(e, ["event_type"], "value", {"p95": 0.95, "p99": 0.99})
+    return figures.join(q, "event_type").select("event_type", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"), "mu", "sd")

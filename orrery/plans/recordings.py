@@ -32,7 +32,7 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech against the frames of 12 s up to each recording's end, both ends closed; texts in order."""
     s = view(spark, sf_dir, "segments").select("conv_id", "turn", "start_sec", "end_sec", "stt_text")
     f = s.groupBy("conv_id").agg(F.floor(F.max("end_sec") / 12).cast("int").alias("last")).select("conv_id", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i")).select("conv_id", (F.col("i") * 12.0).cast("double").alias("start")).withColumn("stop", F.col("start") + 12)
-    hit = overlap_join(f, s, "conv_id", ("start", "stop"), ("start_sec", "end_sec"), bucket=24.0)
+    hit = overlap_join(f, s, "conv_id", ("start", "stop"), ("start_sec", "end_sec"), unit=1.0)
     rows = hit.groupBy("conv_id", "start").agg(F.array_sort(F.collect_list(F.struct("start_sec", "turn", "stt_text"))).alias("a"))
     return rows.select("conv_id", "start", F.array_join(F.transform("a", lambda x: x["turn"].cast("string")), " ").alias("turns"), F.md5(F.trim(F.array_join("a.stt_text", " ")).cast("binary")).alias("text"))
 
@@ -45,7 +45,7 @@ def window_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech within windows of 30 s every 15 s up to each recording's end; a window without any has one blank."""
     s = view(spark, sf_dir, "segments").select("conv_id", "turn", "start_sec", "end_sec", "stt_text")
     w = sliding(s.groupBy("conv_id").agg(F.max("end_sec").alias("d")), "conv_id", "d", 30, 15).withColumn("reach", F.col("start") + 30)
-    hit = overlap_join(w, s, "conv_id", ("start", "reach"), ("start_sec", "end_sec"), bucket=30.0)
+    hit = overlap_join(w, s, "conv_id", ("start", "reach"), ("start_sec", "end_sec"), unit=1.0)
     rows = hit.groupBy("conv_id", "start").agg(F.array_sort(F.collect_list(F.struct("start_sec", "turn", "stt_text"))).alias("a"))
     text = F.coalesce(F.nullif(F.trim(F.array_join("a.stt_text", " ")), F.lit("")), F.lit(" "))
     return w.join(rows, ["conv_id", "start"], "left").select("conv_id", "start", F.round("stop", 2).alias("stop"), F.coalesce(F.size("a"), F.lit(0)).cast("long").alias("turns"), F.md5(text.cast("binary")).alias("text"))

@@ -9,6 +9,7 @@ from orrery.functions import scoring as S
 from orrery.functions import text as X
 from orrery.operators import registers as R
 from orrery.operators import requests as Q
+from orrery.operators.ordered import numbered
 from orrery.plans.lexical import _STOP
 from orrery.plans.registry import query, raw, table, view
 from orrery.sources import workdir
@@ -238,8 +239,7 @@ def systematic_sample(spark: SparkSession, sf_dir: str, target: int = 20) -> Dat
     if n <= target:
         return g
     step = max(1, n // target)
-    # the candidates are as many as file names share; their order is one sort, and only each range's start is counted
-    r = g.withColumn("i", F.row_number().over(Window.orderBy("files", "g")) - 1)
+    r = numbered(g, "files", "g", name="i")
     return r.where((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < target)).select("g", "files")
 
 

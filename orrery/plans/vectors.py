@@ -60,12 +60,6 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.pairs(rows, "label")
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query row against every row, exactly."""
-    p = pairs(spark, sf_dir)
-    return p.select("qid", "row_id", "label", V.three_axis(F.col("dense"), F.col("lexical"), F.col("asf")).alias("score"))
-
-
 def asked_in_parts(spark: SparkSession, sf_dir: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The query set's ids and vectors, at most some MOST_QUERIES at a time."""
     asked = table(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").select("vec_id", "embedding")

@@ -97,3 +97,41 @@ def test_clusters_of_odd_rows(spark):
     assert [r[0] for r in found(got)[9]] == [4, 4, 1]
     empty, scores = clustered.best(clustered.build(rows.limit(0)), np.array([9]), np.ones((1, 64)), 5)
     assert empty.count() == 0 and scores == 0
+
+
+@pytest.mark.parametrize("kind", ["clustered", "uniform"])
+def test_sums_over_whole_lists(spark, monkeypatch, kind):
+    """Reciprocal ranks and scaled channels, against sorting everything; small heads make the threshold algorithm go on."""
+    from orrery.operators import fusion
+
+    monkeypatch.setattr(axis_search, "CELLS", 700)
+    x = vectors(260, kind, 9)
+    ids, parts = np.arange(0, 260, 20), axis_search.normal_axes(x.astype(float))
+    rows = frame(spark, x)
+    search = AxisSearch(ids, x[ids])
+    rrf, scaled = {}, {}
+    for q in ids:
+        ch = [(p * p[q]).sum(1) for p in parts]
+        rank = [np.empty(260, int) for _ in range(2)]
+        for r, c in zip(rank, ch, strict=False):
+            r[np.lexsort((np.arange(260), -c))] = np.arange(1, 261)
+        s = 1 / (60 + rank[0]) + 1 / (60 + rank[1])
+        rrf[q] = [(i, round(float(s[i]), 9)) for i in sorted(range(260), key=lambda i: (-s[i], i))[:5]]
+        f = sum(w * (c - c.min()) / (c.max() - c.min() + 1e-9) for w, c in zip(fusion.WEIGHTS, ch, strict=True))
+        scaled[q] = [(i, round(float(f[i]), 9)) for i in sorted(range(260), key=lambda i: (-f[i], i))[:5]]
+    for first in (0, 5):
+        assert found(fusion.reciprocal_best(search, rows, 5, first=first)) == rrf
+    assert found(fusion.min_max_best(search, rows, 5)) == scaled
+
+
+def test_own_rows_and_groups(spark):
+    """Without a query's own row, by groups: figures and kept numbers are those of the rows that count."""
+    x = vectors(120, "uniform", 3)
+    rows = frame(spark, x).withColumn("label", (F.col("row_id") % 4).cast("int"))
+    ids = np.array([0, 7])
+    got = AxisSearch(ids, x[ids]).best(rows, 3, group="label", keep=("label",), own=False)
+    for q in ids:
+        for g in range(4):
+            some = [i for i in range(120) if i % 4 == g and i != q]
+            mine = [r for r in got.collect() if r[0] == q and r[1] == g]
+            assert [(r.row_id, round(r.score, 9)) for r in sorted(mine, key=lambda r: r["rank"])] == plain(x, [q], 3, some)[q] and {r.n for r in mine} == {len(some)}
