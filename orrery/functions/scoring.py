@@ -80,9 +80,9 @@ def fused(dense: Column, lexical: Column, asf: Column, has_lexical: Column, has_
 
 
 def fingerprint_similarity(a: Column, b: Column) -> Column:
-    """1 - Hamming / (32 n) of two arrays of 32-bit words over their common length."""
+    """1 - Hamming / (32 n) of two arrays of 32-bit words, signed or not, over their common length."""
     n = F.least(F.size(a), F.size(b))
-    bits = F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    bits = F.aggregate(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))), F.lit(0), lambda s, x: s + x)
     return F.when(n > 0, 1 - bits / (32.0 * n)).otherwise(0.0)
 
 

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import scoring as S
-from orrery.operators import fusion
+from orrery.operators import fingerprints, fusion
 from orrery.operators.axis_search import AxisSearch, channel
 from orrery.plans.registry import query, table
 from orrery.plans.vectors import AXES_SQL, DOT, SCORED_SQL, asked_in_parts, best_rows, pairs, per_query, search_rows
@@ -215,10 +216,13 @@ def mean_query_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a.vec_id AS x, b.vec_id AS y, round(1 - list_sum(list_transform(list_zip(a.fp, b.fp), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE / (32.0 * 64), 6) AS sim FROM f a, f b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY sim DESC, b.vec_id) <= 20""",
 )
 def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bit agreement of 32-bit fingerprints: the likest 20 of all rows for each of the query set."""
-    f = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 1000000).cast("long")).alias("fp"))
-    asked = f.where("vec_id % 100 = 0").select(F.col("vec_id").alias("x"), F.col("fp").alias("a"))
-    pairs = f.select(F.col("vec_id").alias("y"), F.col("fp").alias("b")).crossJoin(per_query(spark, sf_dir, asked)).where("x != y")
-    like = pairs.select("x", "y", F.round(S.fingerprint_similarity(F.col("a"), F.col("b")), 6).alias("sim"))
-    return like.withColumn("rn", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), "y"))).where("rn <= 20").drop("rn")
+    """Bit agreement of 32-bit fingerprints: the likest 20 of all rows for each of the query set, which goes to every task."""
+    f = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.transform("embedding", lambda x: F.round((x.cast("double") + 1) * 1000000).cast("long")).alias("fp"))
+    asked = f.where("row_id % 100 = 0")
+    parts = -(-asked.count() // 10_000) or 1
+    found = []
+    for p in range(parts):  # 2.6 MB of prints at a time
+        got = asked.where(F.pmod(F.xxhash64("row_id"), F.lit(parts)) == p).orderBy("row_id").collect()
+        found.append(fingerprints.best(np.array([r[0] for r in got], np.int64), [np.array(r[1], np.int64).astype(np.uint32) for r in got], f, 20, own=False))
+    return reduce(DataFrame.union, found).select(F.col("qid").alias("x"), F.col("row_id").alias("y"), F.col("score").alias("sim"))
 
