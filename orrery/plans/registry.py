@@ -14,7 +14,7 @@ from orrery.sources import catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES: tuple[str, ...] = ("vectors", "registers", "ranking", "lexical", "language", "texts", "maintenance", "recordings", "media", "privacy", "evaluation", "more", "details", "engine_queries")
+MODULES: tuple[str, ...] = ("vectors", "registers", "ranking", "lexical", "language", "texts", "maintenance", "recordings", "media", "privacy", "evaluation", "more", "details", "engine_queries", "upkeep")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
