@@ -43,8 +43,8 @@ IMAGE = {
     "CREDIT_CARD": r"\b\d{4}[-\s]\d{4}[-\s]\d{4}[-\s]\d{4}\b",
 }
 #: Words near a bank account, repeats of a value that make it a table's or a footer's, and the characters that count as near.
-BANKS = "국민은행 KB국민 KB 신한은행 신한 우리은행 우리 하나은행 하나 카카오뱅크 카카오 농협 NH NH농협 기업은행 IBK SC제일은행 제일은행 SC은행 우체국 토스뱅크 토스 한국은행 산업은행 수협 씨티은행".split()
-ACCOUNT_WORDS = "계좌 계좌번호 입금 송금 통장 예금주 입금처 계좌이체 이체 출금 account bank".split()
+BANKS = ["국민은행", "KB국민", "KB", "신한은행", "신한", "우리은행", "우리", "하나은행", "하나", "카카오뱅크", "카카오", "농협", "NH", "NH농협", "기업은행", "IBK", "SC제일은행", "제일은행", "SC은행", "우체국", "토스뱅크", "토스", "한국은행", "산업은행", "수협", "씨티은행"]
+ACCOUNT_WORDS = ["계좌", "계좌번호", "입금", "송금", "통장", "예금주", "입금처", "계좌이체", "이체", "출금", "account", "bank"]
 MOST_REPEATS, NEAR = 5, 120
 #: Sensitivity of the protected types; other types have none.
 WEIGHTS = {"KR_RRN": 1.0, "KR_PASSPORT": 0.9, "KR_DRIVER_LICENSE": 0.8, "KR_BANK_ACCOUNT": 0.85, "KR_BRN": 0.6, "CREDIT_CARD": 0.88}

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Stop words of the tokenizer.
-EN_STOP = "the a an of in on at with and or is are was were for to by as from be has have had showing photo image picture this that it its which what who whom whose their".split()
-KO_STOP = "있는 있다 없는 없다 하는 하여 되는 되어 위한 이것 그것 저것 우리 그리고 그러나 또한 때문 경우 대한 위하여 이번 부터 까지 에서 으로 에게 에서도 및 등 등등 이하 이상 관련 대상 기관 사업 관한".split()
+EN_STOP = ["the", "a", "an", "of", "in", "on", "at", "with", "and", "or", "is", "are", "was", "were", "for", "to", "by", "as", "from", "be", "has", "have", "had", "showing", "photo", "image", "picture", "this", "that", "it", "its", "which", "what", "who", "whom", "whose", "their"]
+KO_STOP = ["있는", "있다", "없는", "없다", "하는", "하여", "되는", "되어", "위한", "이것", "그것", "저것", "우리", "그리고", "그러나", "또한", "때문", "경우", "대한", "위하여", "이번", "부터", "까지", "에서", "으로", "에게", "에서도", "및", "등", "등등", "이하", "이상", "관련", "대상", "기관", "사업", "관한"]
 STOP_WORDS = [*EN_STOP, *KO_STOP]
 TOKEN = "[가-힣]{2,}|[A-Za-z][A-Za-z0-9\\-]{2,}"
 
@@ -204,7 +204,7 @@ def name_ngrams(files, least: int = 2, most: int = 50):
 
 
 #: Offices that follow names in speech.
-OFFICES = "의장 대표 대통령 박사 감독 교수 장관 위원 의원 소장 회장 기자 작가".split()
+OFFICES = ["의장", "대표", "대통령", "박사", "감독", "교수", "장관", "위원", "의원", "소장", "회장", "기자", "작가"]
 
 
 def office_phrases(rows, key: str, text: str, least: int = 2, most: int = 30):

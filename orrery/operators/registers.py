@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: File endings by type. Images are taken as documents when both could hold.
-IMAGES = "jpg jpeg png webp bmp gif tiff heic heif avif".split()
+IMAGES = ["jpg", "jpeg", "png", "webp", "bmp", "gif", "tiff", "heic", "heif", "avif"]
 EXTENSIONS = {
-    "video": "mp4 avi mov mkv wmv webm flv m4v mpg mpeg 3gp ts mts m2ts".split(),
-    "audio": "mp3 wav m4a aac flac ogg wma opus aiff aif amr".split(),
-    "doc": "pdf docx doc pptx ppt xlsx xls odt odp ods rtf hwp hwpx txt md markdown rst log csv tsv html htm epub".split() + IMAGES,
+    "video": ["mp4", "avi", "mov", "mkv", "wmv", "webm", "flv", "m4v", "mpg", "mpeg", "3gp", "ts", "mts", "m2ts"],
+    "audio": ["mp3", "wav", "m4a", "aac", "flac", "ogg", "wma", "opus", "aiff", "aif", "amr"],
+    "doc": ["pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "odt", "odp", "ods", "rtf", "hwp", "hwpx", "txt", "md", "markdown", "rst", "log", "csv", "tsv", "html", "htm", "epub"] + IMAGES,
 }
 #: Seconds to index a file and each of its megabytes by type, and to skip one that is indexed.
 SECONDS = {"doc": (5.0, 1.0), "image": (0.4, 0.1), "video": (3.0, 0.5), "audio": (2.0, 0.8)}
 SKIPPED = (0.05, 0.005)
 #: Endings that have an estimate.
 ESTIMATED = {
-    "doc": "pdf docx doc hwp hwpx pptx ppt txt md html htm xlsx xls".split(),
-    "image": "jpg jpeg png webp gif bmp tif tiff".split(),
-    "video": "mp4 mov mkv avi webm flv m4v".split(),
-    "audio": "mp3 wav m4a flac ogg aac wma opus".split(),
+    "doc": ["pdf", "docx", "doc", "hwp", "hwpx", "pptx", "ppt", "txt", "md", "html", "htm", "xlsx", "xls"],
+    "image": ["jpg", "jpeg", "png", "webp", "gif", "bmp", "tif", "tiff"],
+    "video": ["mp4", "mov", "mkv", "avi", "webm", "flv", "m4v"],
+    "audio": ["mp3", "wav", "m4a", "flac", "ogg", "aac", "wma", "opus"],
 }
 UPLOAD_MOST = 100 << 20
 

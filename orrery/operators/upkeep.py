@@ -109,9 +109,9 @@ def delete_documents(index: VersionedTable, names: DataFrame, recent: DataFrame)
 def caption_groups(captions: DataFrame, key: str, order: str, text: str, size: int = CAPTIONS) -> DataFrame:
     """(key, i, forward, backward): a recording's captions in groups of ``size``, joined by ``. ``, from the first on and from the last back."""
     ahead, back = Window.partitionBy(key).orderBy(order), Window.partitionBy(key).orderBy(F.desc(order))
-    rows = captions.select(key, F.col(text).alias("__t"), (F.row_number().over(ahead) - 1).alias("f"), (F.row_number().over(back) - 1).alias("b"))
+    rows = captions.select(key, F.col(text).alias("__t"), (F.row_number().over(ahead) - 1).alias("__f"), (F.row_number().over(back) - 1).alias("__b"))
     of = lambda c: rows.groupBy(key, F.floor(F.col(c) / size).cast("int").alias("i")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c, "__t"))), lambda x: x["__t"]), ". ").alias(c))  # noqa: E731 (a group holds ``size``)
-    return of("f").join(of("b"), [key, "i"]).select(key, "i", F.col("f").alias("forward"), F.col("b").alias("backward"))
+    return of("__f").join(of("__b"), [key, "i"]).select(key, "i", F.col("__f").alias("forward"), F.col("__b").alias("backward"))
 
 
 def class_metrics(judged: DataFrame, labels: list[str]) -> DataFrame:
