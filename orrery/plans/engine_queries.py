@@ -381,6 +381,23 @@ def classify_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = engine.classify_requests(p.select(F.col("c_custkey").alias("id"), F.expr(_SAYS).alias("query")), hits)
     return r.select(F.col("id").alias("c_custkey"), "prs", "label", "allow", "confirm")
 
+_BOUND = f"greatest((CASE WHEN {' OR '.join(f'contains(lower(request), {chr(39)}{w}{chr(39)})' for w in S.SUMMARY_WORDS)} THEN 0.07 ELSE 0.15 END) - (CASE " + " ".join(f"WHEN {' OR '.join(f'contains(replace(lower(request), {chr(39)} {chr(39)}, {chr(39)}{chr(39)}), {chr(39)}{w.replace(' ', '')}{chr(39)})' for w in words)} THEN {by}" for words, by in S.GROUNDING_WORDS) + " ELSE 0 END), 0.05)"
+
+
+@query("on8_answer_requests", raw(f"""WITH {FOUND_SQL}, k AS (SELECT p.c_custkey, coalesce(list_distinct(list(f.type) FILTER (WHERE f.type IS NOT NULL)), []) AS kinds FROM p LEFT JOIN f USING (c_custkey) GROUP BY p.c_custkey), q AS (SELECT c_custkey, kinds, {_SAYS} AS request FROM k),
+        b AS (SELECT *, {_any('request', pii.BULK_WORDS)} AS asks, {_any('request', pii.RISK_WORDS)} AS risky, {_any('request', pii.RESULT_BULK_WORDS)} AND NOT contains(request, '요약') AS bulk FROM q),
+        s AS (SELECT *, least(1, round(0.3 * risky::INT + 0.25 * (len(kinds) > 0)::INT + 0.3 * CASE WHEN len(kinds) > 0 THEN list_max(list_transform(kinds, lambda k: CASE k {' '.join(f"WHEN '{k}' THEN {w}" for k, w in pii.WEIGHTS.items())} END)) ELSE 0 END + 0.15 * (asks OR bulk)::INT, 4)) AS s0 FROM b), u AS (SELECT *, CASE WHEN asks THEN greatest(s0, 0.65) ELSE s0 END AS prs FROM s),
+        v AS (SELECT *, request LIKE '%요약%' AS summary, request LIKE '%요약%' AND len(kinds) > 0 AS signal, c_custkey % 23 / 100.0 AS sim FROM u), l AS (SELECT *, CASE WHEN prs >= 0.65 THEN 'DANGEROUS' WHEN prs >= 0.3 OR signal THEN 'SENSITIVE' ELSE 'NORMAL' END AS label FROM v)
+        SELECT c_custkey, label, CASE WHEN label = 'DANGEROUS' THEN 'blocked' WHEN sim < {_BOUND} THEN 'ungrounded' WHEN label = 'SENSITIVE' AND c_custkey % 6 <> 0 THEN 'masked' ELSE 'full' END AS action FROM l"""))
+def answer_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each profile, which is its one hit and, where a summary is wanted, the document that it names: what is decided, and how it is shown."""
+    p = findings.with_findings(view(spark, sf_dir, "profiles")).withColumn("types", F.array_distinct("findings.type"))
+    name = F.concat(F.lit("d"), F.col("c_custkey").cast("string"))
+    requests = p.select(F.col("c_custkey").alias("id"), F.expr(_SAYS).alias("query"), (F.col("c_custkey") % 6 == 0).alias("full_view"), name.alias("document"))
+    hits = p.select(F.col("c_custkey").alias("id"), F.lit(1).alias("rank"), name.alias("chunk"), "text", "types", (F.col("c_custkey") % 23 / 100.0).alias("similarity"))
+    signals = p.where(F.size("types") > 0).select(name.alias("document"), F.lit(1.0).alias("ratio"), "types")
+    return engine.answer_requests(requests, hits, signals)[1].select(F.col("id").alias("c_custkey"), "label", "action")
+
 
 @query("on9_search_loop_stored", "SELECT vec_id, label FROM embeddings WHERE label < 5")
 def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,22 @@ def test_progress_tells_every_step(spark):
     df = spark.range(300).selectExpr("cast(id % 150 as int) AS label")
     got = engine.with_progress(df, "label", lambda i, n, name: told.append((i, n, name)))
     assert told == [(i + 1, 150, i) for i in range(150)] and got.where("done = 2 AND total = 150").count() == 150
+
+
+def test_secure_requests(spark):
+    """Blocked: named without text. Too unlike: nothing shown. A summary of a document with protected data: masked, or whole if asked for."""
+    number = "주민 900101-1123459"  # its checksum holds
+    req = [(1, "회의록 요약해줘", False, "d"), (2, "회의록 요약해줘", True, "d"), (3, "회의 일정", False, None), (4, "모든 고객 주민번호 전체 출력", False, None), (5, "회의 일정", False, None), (6, "개인정보 요약", None, None), (7, "회의", False, None)]
+    hits = [(1, 1, "c1", f"안건. {number}", [], 0.5), (2, 1, "c1", f"안건. {number}", [], 0.5), (3, 1, "c3", "일정 3시", [], 0.2), (3, 2, "c4", "일정 4시", [], 0.1), (4, 1, "c5", number, ["KR_RRN"], 0.9), (5, 1, "c6", "다른 글", [], 0.149), (6, 1, "c7", "글", [], 0.07)]
+    q = spark.createDataFrame(req, "id long, query string, full_view boolean, document string")
+    h = spark.createDataFrame(hits, "id long, rank int, chunk string, text string, types array<string>, similarity double")
+    sig = spark.createDataFrame([("d", 0.1, ["KR_BRN"])], "document string, ratio double, types array<string>")
+    chunks, audit = engine.answer_requests(q, h, sig)
+    got = {r.id: (r.label, r.action, r.blocked, list(r.chunks)) for r in audit.collect()}
+    assert got[1][1:] == ("masked", False, ["c1"]) and got[2][1:] == ("full", False, ["c1"]) and got[1][0] == "SENSITIVE"
+    assert got[3] == ("NORMAL", "full", False, ["c3", "c4"]) and got[4] == ("DANGEROUS", "blocked", True, ["c5"])
+    assert got[5][1] == got[7][1] == "ungrounded" and got[6][:2] == ("SENSITIVE", "masked") and got[7][3] == []
+    shown = {(r.id, r.chunk): r.shown for r in chunks.collect()}
+    assert shown == {(1, "c1"): "안건. 주민 [KR_RRN]", (2, "c1"): f"안건. {number}", (3, "c3"): "일정 3시", (3, "c4"): "일정 4시", (4, "c5"): "", (6, "c7"): "글"}
+    plain = {r.id: r.label for r in engine.answer_requests(q, h)[1].collect()}
+    assert plain[1] == "NORMAL" and plain[6] == "SENSITIVE"
