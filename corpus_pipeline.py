@@ -1,4 +1,8 @@
-"""The documents' way to training text: five stages, each written and read again."""
+"""The documents' way to training text: five stages, each written and read again.
+
+Every stage takes texts of any length whole, works on all rows that its predecessor kept, and carries
+columns that it does not use, whatever their names.
+"""
 
 from __future__ import annotations
 
