@@ -146,11 +146,11 @@ def link_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RATES = "SELECT label, (count(*) FILTER (WHERE embedding[1] > 0) + 0.5) / (count(*) + 1) AS p FROM embeddings GROUP BY label"
 
 
-@query("oi2_inverse_of_rates", f"SELECT label, round(p, 4)::DOUBLE AS p, round(p, 4)::DOUBLE AS back FROM ({_RATES})")
+@query("oi2_inverse_of_rates", f"SELECT label, round(p, 4)::DOUBLE AS p, true AS back FROM ({_RATES})")
 def inverse_of_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The normal quantile of each file's rate of positive rows, and the distribution of it, which is the rate again."""
+    """The normal quantile of each file's rate of positive rows, and whether the distribution of it is the rate again."""
     t = table(spark, sf_dir, "embeddings").groupBy("label").agg(((F.count(F.when(F.element_at("embedding", 1) > 0, 1)) + 0.5) / (F.count("*") + 1)).alias("p"))
-    return t.select("label", F.round("p", 4).alias("p"), F.round(S.gaussian_cdf(S.inverse_normal(F.col("p"))), 4).alias("back"))
+    return t.select("label", F.round("p", 4).alias("p"), (F.abs(S.gaussian_cdf(S.inverse_normal(F.col("p"))) - F.col("p")) < 1e-6).alias("back"))
 
 
 _TRIES = " UNION ALL ".join(f"SELECT v.vec_id - {n} AS qid, {n} AS n, (max(s.score) - avg(s.score)) / greatest(stddev_pop(s.score), 0.05) AS z FROM (SELECT a.row_id AS vec_id, b.row_id, sqrt(pow({DOT.format(a='a.re', b='b.re')}, 2) + pow(0.4 * {DOT.format(a='a.im', b='b.im')}, 2) + pow(0.2 * {DOT.format(a='a.z', b='b.z')}, 2)) AS score FROM axes a, axes b WHERE a.row_id % 100 = {n} AND a.row_id <> b.row_id) s JOIN embeddings v ON v.vec_id = s.vec_id GROUP BY v.vec_id" for n in range(3))
