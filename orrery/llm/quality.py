@@ -1,4 +1,6 @@
-"""Document quality by Bradley-Terry pairwise ranking."""
+"""Document quality by Bradley-Terry pairwise ranking.
+
+A text is seen as figures on its bytes and words and as hashed words, word pairs and byte triples."""
 
 from __future__ import annotations
 
@@ -30,9 +32,55 @@ for _row, _bytes in enumerate(_CLASSES.values()):
     _MEMBER[_row, list(_bytes)] = 1
 
 FEATURES = [*_CLASSES, "log_bytes", "log_words", "word_bytes", "distinct", "repeats", "top_word", "words_per_line", "distinct_shape"]
+#: Buckets of hashed words and word pairs, and as many of hashed byte triples.
+BUCKETS = 512
+WIDTH = len(FEATURES) + 2 * BUCKETS
+_TRIPLE = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)  # odd factors, one a place
+
+
+def _counted(out: np.ndarray, row: np.ndarray, bucket: np.ndarray) -> None:
+    """Adds the occurrences of (row, bucket), rows ascending, to ``out``."""
+    if len(row):
+        lo, hi = int(row[0]), int(row[-1]) + 1
+        out[lo:hi] += np.bincount((row - lo) * BUCKETS + bucket, minlength=(hi - lo) * BUCKETS).reshape(-1, BUCKETS)
+
 
+def grams(data: np.ndarray, off: np.ndarray, words: tuple | None = None) -> np.ndarray:
+    """Two rows of BUCKETS a text side by side: lower-cased words and pairs of neighbours, and triples of lower-cased bytes, of the whole text.
 
-def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    A bucket holds the square root of its share of the text's occurrences, so both rows
+    have length 1, or 0 where a text has none.
+    """
+    n = len(off) - 1
+    out = np.zeros((2, n, BUCKETS))
+    _, h, first = tv.words(data, off) if words is None else words
+    pair = tv.shingles(h, 2)
+    for lo in range(0, len(h), tv.PIECE):
+        at = np.arange(lo, min(lo + tv.PIECE, len(h)))
+        row = np.searchsorted(first, at, "right") - 1
+        _counted(out[0], row, (h[at] >> np.uint64(55)).astype(np.int64))
+        inside = at + 1 < first[row + 1]
+        _counted(out[0], row[inside], (pair[at[inside]] >> np.uint64(55)).astype(np.int64))
+    for lo in range(0, max(len(data) - 2, 0), tv.PIECE):
+        hi = min(lo + tv.PIECE, len(data) - 2)
+        low = tv.LOWER[data[lo : hi + 2]].astype(np.uint32)
+        hashed = low[:-2] * _TRIPLE[0] + low[1:-1] * _TRIPLE[1] + low[2:] * _TRIPLE[2]
+        hashed ^= hashed >> np.uint32(15)
+        at = np.arange(lo, hi)
+        row = np.searchsorted(off, at, "right") - 1
+        inside = at + 2 < off[row + 1]
+        _counted(out[1], row[inside], ((hashed * _TRIPLE[1]) >> np.uint32(23))[inside].astype(np.int64))
+    out /= np.maximum(out.sum(2, keepdims=True), 1)
+    return np.sqrt(out).transpose(1, 0, 2).reshape(n, -1)
+
+
+def inputs(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """``features`` and ``grams`` side by side, WIDTH figures a text."""
+    words = tv.words(data, off)
+    return np.concatenate([features(data, off, words), grams(data, off, words)], 1)
+
+
+def features(data: np.ndarray, off: np.ndarray, words: tuple | None = None) -> np.ndarray:
     """One row of FEATURES a text, from its whole bytes."""
     n = len(off) - 1
     size = np.diff(off)
@@ -43,7 +91,7 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         out[:, c] = total[off[1:]] - total[off[:-1]]
     lines = out[:, list(_CLASSES).index("line")].copy()
     out[:, : len(_CLASSES)] /= np.maximum(size, 1)[:, None]
-    _, h, first = tv.words(data, off)
+    _, h, first = tv.words(data, off) if words is None else words
     count = np.diff(first)
     at = len(_CLASSES)
     out[:, at] = np.log1p(size)
@@ -64,12 +112,12 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _input_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tv.buffers(b.column("text"))
         for i, j in tv.groups(off):
-            x = features(data[off[i] : off[j]], off[i : j + 1] - off[i])
-            yield pa.RecordBatch.from_arrays([b.column("label").slice(i, j - i), pa.array(list(x), pa.list_(pa.float64()))], ["label", "x"])
+            x = inputs(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            yield pa.RecordBatch.from_arrays([b.column("label").slice(i, j - i), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], ["label", "x"])
 
 
 class Ranker:
@@ -86,22 +134,41 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, per_row: int = 24, penalty: floa
     """Bradley-Terry: of a pair (label 1, label 0) the first wins with probability sigmoid(w . (x1 - x0)).
 
     Newton's method on the mean logistic loss over ``per_row`` drawn partners a row,
-    with an L2 penalty. The cut is the score quantile at the share of label 0, so as
-    many fitted rows are rejected as were marked 0. With one label only, w is 0 and
-    every score 0.5.
+    with an L2 penalty; each step is solved by conjugate gradients on the rows, so no
+    difference of a pair is ever stored. FEATURES are scaled one by one; what follows them
+    shares one scale, which leaves rare grams small. The cut is the score quantile at the
+    share of label 0, so as many fitted rows are rejected as were marked 0. With one label
+    only, w is 0 and every score 0.5.
     """
-    width = len(FEATURES)
+    width = x.shape[1]
     if not len(x) or label.min() == label.max():
         return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    z = np.clip((x - mean) / scale, -8, 8)
-    good, bad = z[label == 1], z[label == 0]
+    mean, scale = x.mean(0, dtype=float), np.maximum(x.std(0, dtype=float), 1e-9)
+    if width > len(FEATURES):
+        scale[len(FEATURES) :] = np.sqrt((scale[len(FEATURES) :] ** 2).mean())
+    z = x - mean
+    z /= scale
+    np.clip(z, -8, 8, out=z)
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     rng = np.random.Generator(np.random.PCG64(5))
-    d = np.concatenate([np.repeat(good, per_row, 0) - bad[rng.integers(0, len(bad), len(good) * per_row)], good[rng.integers(0, len(good), len(bad) * per_row)] - np.repeat(bad, per_row, 0)])
+    loser = np.concatenate([bad[rng.integers(0, len(bad), len(good) * per_row)], np.repeat(bad, per_row)])
+    winner = np.concatenate([np.repeat(good, per_row), good[rng.integers(0, len(good), len(bad) * per_row)]])
+
+    def spread(v: np.ndarray) -> np.ndarray:
+        """The mean over pairs of v times the pair's difference."""
+        return (np.bincount(winner, v, len(z)) - np.bincount(loser, v, len(z))) @ z / len(winner)
+
     w = np.zeros(width)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))  # chance of the wrong order
-        step = np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / len(d) + penalty * np.eye(width), d.T @ p / len(d) - penalty * w)
+        s = z @ w
+        p = 1 / (1 + np.exp(np.clip(s[winner] - s[loser], -30, 30)))  # chance of the wrong order
+        curve = p * (1 - p)
+
+        def bent(v: np.ndarray, curve: np.ndarray = curve) -> np.ndarray:
+            m = z @ v
+            return spread(curve * (m[winner] - m[loser])) + penalty * v
+
+        step = _solved(bent, spread(p) - penalty * w)
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
@@ -109,13 +176,29 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, per_row: int = 24, penalty: floa
     return Ranker(mean, scale, w, _cut(s, label))
 
 
+def _solved(times, b: np.ndarray, most: int = 200) -> np.ndarray:
+    """x with times(x) = b, by conjugate gradients."""
+    x, r = np.zeros_like(b), b.copy()
+    d, rr = r.copy(), r @ r
+    stop = 1e-20 + 1e-16 * rr
+    for _ in range(most):
+        if rr <= stop:
+            break
+        q = times(d)
+        a = rr / (d @ q)
+        x, r = x + a * d, r - a * q
+        last, rr = rr, r @ r
+        d = r + rr / last * d
+    return x
+
+
 def _cut(s: np.ndarray, label: np.ndarray) -> float:
     """The quantile at the share of label 0, in the middle of its gap."""
     s, zeros = np.sort(s), int((label == 0).sum())
     return float((s[zeros - 1] + s[zeros]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ranker:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", penalty: float = 1e-4) -> Ranker:
     """Fits on at most ``most`` labelled rows, those of smallest hash of the id among ``usable`` ones.
 
     ``usable`` is a condition on the labels' columns. Rows with a null id, a label
@@ -127,11 +210,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 12_000,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # `most` rows bound the broadcast; of an id's texts the smallest counts, so as many rows as labels come back at most
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
-    got = small_batches(rows).mapInArrow(_feature_rows, "label int, x array<double>").toPandas()
-    x = np.array(got["x"].tolist()).reshape(-1, len(FEATURES))
+    got = small_batches(rows).mapInArrow(_input_rows, "label int, x binary").toArrow()  # 4.2 KB a row
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
     label = got["label"].to_numpy()
     order = np.lexsort((*x.T, label)) if len(x) else np.zeros(0, int)  # rows come in any order; the fit must not depend on it
-    return fit_pairs(x[order], label[order])
+    return fit_pairs(x[order], label[order], penalty=penalty)
 
 
 def score(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -146,7 +229,7 @@ def score(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tv.buffers(b.column(text))
-            s = [ranker(features(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in tv.groups(off)]
+            s = [ranker(inputs(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in tv.groups(off)]
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 
