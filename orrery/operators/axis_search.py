@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -282,5 +283,84 @@ class AxisSearch:
         return spark.createDataFrame(list(zip(got["qid"].tolist(), row.tolist(), place.tolist(), strict=True)), "qid long, row_id long, rank long")
 
 
+#: A quantile's scores are numbered by KEY_BITS bits between the bounds, KEY_STEP of them counted in a pass; so many scores are put in order in the end.
+KEY_BITS, KEY_STEP, SORTED = 40, 10, 10_000
+
+
+def quantile(searches: list[AxisSearch], rows: DataFrame, share: float, how, lo: float = -1.0, hi: float = 1.0) -> float | None:
+    """The quantile of the scores of all queries of ``searches`` with all ``rows`` (row_id, vec), between neighbours by line; None without a score.
+
+    No score of a pair leaves a task: each pass counts them by the next KEY_STEP bits of their place between
+    ``lo`` and ``hi``, which bound them, and only those in the range that holds the wanted place are counted
+    in the next one. A range of at most SORTED scores is put in order; one that is still fuller after all bits
+    holds scores that differ by less than (hi - lo) / 2 ** KEY_BITS and stands for each of them.
+    """
+    rows = rows.where(F.size("vec") == sum(searches[0].axes)).select("row_id", "vec") if searches else rows
+
+    def chosen(search: AxisSearch, batches: Iterator[pa.RecordBatch], ranges: list[tuple[int, int]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(place of the range, its scores, their keys) piece by piece; a range is its leading bits and their number."""
+        for b in batches:
+            if b.num_rows and len(search.ids):
+                for _, at, parts in search._blocks(search._axes(b), 0, b.num_rows):
+                    v = how(parts, np.arange(at.start, at.stop)).ravel()
+                    v = v[~np.isnan(v)]
+                    key = np.clip((v - lo) / (hi - lo) * 2**KEY_BITS, 0, 2**KEY_BITS - 1).astype(np.int64)
+                    for i, (lead, bits) in enumerate(ranges):
+                        inside = key >> (KEY_BITS - bits) == lead
+                        yield i, v[inside], key[inside]
+
+    def counts(ranges: list[tuple[int, int]]) -> np.ndarray:
+        def counter(search: AxisSearch):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                n = np.zeros((len(ranges), 1 << KEY_STEP), np.int64)
+                for i, _, key in chosen(search, batches, ranges):
+                    n[i] += np.bincount(key >> (KEY_BITS - ranges[i][1] - KEY_STEP) & ((1 << KEY_STEP) - 1), minlength=1 << KEY_STEP)
+                i, r = np.nonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(r), pa.array(n[i, r])], ["i", "r", "n"])
+
+            return run
+
+        out = np.zeros((len(ranges), 1 << KEY_STEP), np.int64)
+        one = reduce(DataFrame.union, [rows.mapInArrow(counter(s), "i long, r long, n long") for s in searches])
+        for i, r, n in one.groupBy("i", "r").agg(F.sum("n")).collect():  # at most 2 x 1,024 numbers
+            out[i, r] = n
+        return out
+
+    def values(ranges: list[tuple[int, int]]) -> list[np.ndarray]:
+        def giver(search: AxisSearch):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for i, v, _ in chosen(search, batches, ranges):
+                    if len(v):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i)), pa.array(v)], ["i", "v"])
+
+            return run
+
+        got = reduce(DataFrame.union, [rows.mapInArrow(giver(s), "i long, v double") for s in searches]).toPandas()  # at most 2 x SORTED
+        return [np.sort(got["v"].to_numpy()[got["i"].to_numpy() == i]) for i in range(len(ranges))]
+
+    if not searches:
+        return None
+    first = counts([(0, 0)])[0]
+    total = int(first.sum())
+    if not total:
+        return None
+    at = (total - 1) * share
+    wanted = [[0, 0, k, first] for k in sorted({int(np.floor(at)), int(np.ceil(at))})]  # leading bits, their number, place in the range, counts below
+    full = wanted
+    while full:
+        for w in full:
+            run = np.cumsum(w[3])
+            r = int(np.searchsorted(run, w[2], "right"))
+            w[:] = [w[0] << KEY_STEP | r, w[1] + KEY_STEP, w[2] - int(run[r] - w[3][r]), w[3][r]]
+        full = [w for w in full if w[3] > SORTED and w[1] < KEY_BITS]
+        if full:
+            for w, n in zip(full, counts([(w[0], w[1]) for w in full]), strict=True):
+                w[3] = n
+    few = [w for w in wanted if w[3] <= SORTED]
+    held = dict(zip(map(id, few), values([(w[0], w[1]) for w in few]), strict=True)) if few else {}
+    ends = [float(held[id(w)][w[2]]) if id(w) in held else lo + (w[0] + 0.5) / 2**KEY_BITS * (hi - lo) for w in wanted]
+    return ends[0] + (at - np.floor(at)) * (ends[-1] - ends[0])
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[kind]

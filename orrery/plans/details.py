@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from orrery.functions import text as X
 from orrery.functions import vector as V
 from orrery.operators.axis_search import channel
 from orrery.operators.windows import audio_ranges
-from orrery.plans.ranking import CHANNELS_SQL, by_query, channels, span, top, with_stats
+from orrery.plans.ranking import CHANNELS_SQL, by_query, span, top, with_stats
 from orrery.plans.registry import query, relational, table
 from orrery.plans.vectors import AXES_SQL, SCORED_SQL, best_rows, blend
 
@@ -58,8 +59,11 @@ def weak_evidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ob15_channel_gating", f"WITH {AXES_SQL}, {CHANNELS_SQL} SELECT qid, row_id, round(CASE WHEN label % 5 = 0 THEN 0.75 * dense + 0.25 * lexical ELSE 0.60 * dense + 0.25 * lexical + 0.15 * asf END, 6) AS fused FROM ch QUALIFY row_number() OVER (PARTITION BY qid ORDER BY fused DESC, row_id) <= 100")
 def channel_gating(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A domain without the vocabulary channel gives its weight to dense."""
-    f = channels(spark, sf_dir).select("qid", "row_id", F.round(S.fused(F.col("dense"), F.col("lexical"), F.col("asf"), F.lit(True), F.col("label") % 5 != 0), 6).alias("fused"))
+    """A domain without the vocabulary channel gives its weight to dense: the best of either kind of domain, then of both."""
+    weighed = lambda d, x, a: lambda parts, at: np.round(d * parts[0] + x * parts[1] + a * parts[2], 6)
+    without = "coalesce(label % 5 = 0, false)"
+    f = best_rows(spark, sf_dir, 100, weighed(0.75, 0.25, 0.0), where=without).union(best_rows(spark, sf_dir, 100, weighed(0.60, 0.25, 0.15), where=f"NOT {without}"))
+    f = f.select("qid", "row_id", F.col("score").alias("fused"))
     return f.withColumn("rn", top("fused")).where("rn <= 100").drop("rn")
 
 

@@ -9,11 +9,11 @@ from orrery.functions import music as M
 from orrery.functions import scoring as S
 from orrery.operators import requests as Q
 from orrery.operators import sessions
-from orrery.operators.axis_search import channel
+from orrery.operators.axis_search import AxisSearch, channel, quantile
 from orrery.operators.windows import overlap_join, sliding
-from orrery.plans.ranking import CHANNELS_SQL, channels
+from orrery.plans.ranking import CHANNELS_SQL
 from orrery.plans.registry import query, raw, table, view
-from orrery.plans.vectors import AXES_SQL, SCORED_SQL, best_rows
+from orrery.plans.vectors import AXES_SQL, SCORED_SQL, asked_in_parts, best_rows
 from orrery.sources import workdir
 
 
@@ -279,12 +279,17 @@ def clean_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("om12_music_calibration", f"WITH {AXES_SQL}, {CHANNELS_SQL}, n AS (SELECT avg(dense) AS mu, stddev_pop(dense) AS sd, quantile_cont(dense, 0.95) AS p95, count(*) AS n FROM ch WHERE qid % 200 = 0), p AS (SELECT avg(m) AS mu_pos, stddev_pop(m) AS sd_pos FROM (SELECT qid, max(dense) AS m FROM ch WHERE qid % 200 <> 0 GROUP BY qid)) SELECT round(mu, 6) AS mu, round(sd, 6) AS sd, round(p95, 6) AS threshold, round(mu_pos, 6) AS mu_pos, round(sd_pos, 6) AS sd_pos, round((mu_pos - mu) / greatest(sd, 1e-6), 5) AS separation, n FROM n, p")
 def music_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null requests (every second of the query set) over all tracks; how far the others' best lies above them."""
-    ch = channels(spark, sf_dir).select("qid", "dense")
-    null = ch.where("qid % 200 = 0").agg(F.avg("dense").alias("mu"), F.stddev_pop("dense").alias("sd"), F.percentile("dense", 0.95).alias("p95"), F.count("*").alias("n"))
-    pos = ch.where("qid % 200 != 0").groupBy("qid").agg(F.max("dense").alias("m")).agg(F.avg("m").alias("mu_pos"), F.stddev_pop("m").alias("sd_pos"))
+    """Null requests (every second of the query set) over all tracks; how far the others' best lies above them. Sums and counts leave a task, no pairs."""
+    each = best_rows(spark, sf_dir, 1, channel(0)).select("qid", "score", "n", "mu", "sd")
+    null, square = each.where("qid % 200 = 0"), F.col("n") * (F.col("sd") * F.col("sd") + F.col("mu") * F.col("mu"))
+    null = null.agg((F.sum(F.col("n") * F.col("mu")) / F.sum("n")).alias("mu"), (F.sum(square) / F.sum("n")).alias("sq"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    null = null.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("sq") - F.col("mu") * F.col("mu"))))
+    pos = each.where("qid % 200 != 0").agg(F.avg("score").alias("mu_pos"), F.stddev_pop("score").alias("sd_pos"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").alias("vec"))
+    asked = [AxisSearch(ids[ids % 200 == 0], vectors[ids % 200 == 0]) for ids, vectors in asked_in_parts(spark, sf_dir)]
+    p95 = quantile(asked, rows, 0.95, channel(0))
     r = lambda c: F.round(c, 6).alias(c)
-    return null.crossJoin(pos).select(r("mu"), r("sd"), F.round("p95", 6).alias("threshold"), r("mu_pos"), r("sd_pos"), F.round((F.col("mu_pos") - F.col("mu")) / F.greatest("sd", F.lit(1e-6)), 5).alias("separation"), "n")
+    return null.crossJoin(pos).select(r("mu"), r("sd"), F.round(F.lit(p95).cast("double"), 6).alias("threshold"), r("mu_pos"), r("sd_pos"), F.round((F.col("mu_pos") - F.col("mu")) / F.greatest("sd", F.lit(1e-6)), 5).alias("separation"), "n")
 
 
 # samples, grounding, rounding

@@ -135,3 +135,37 @@ def test_own_rows_and_groups(spark):
             some = [i for i in range(120) if i % 4 == g and i != q]
             mine = [r for r in got.collect() if r[0] == q and r[1] == g]
             assert [(r.row_id, round(r.score, 9)) for r in sorted(mine, key=lambda r: r["rank"])] == plain(x, [q], 3, some)[q] and {r.n for r in mine} == {len(some)}
+
+
+@pytest.mark.parametrize("held", [10_000, 5, 0])
+def test_quantile_of_scores_by_counts(spark, monkeypatch, held):
+    """Equal to the quantile of all pairs, with ties, whether many, few or no scores may be put in order."""
+    monkeypatch.setattr(axis_search, "SORTED", held)
+    monkeypatch.setattr(axis_search, "CELLS", 700)
+    x = vectors(200, "uniform")
+    x[50:90] = x[50]  # equal scores
+    ids = np.arange(0, 200, 9)
+    rows = frame(spark, x)
+    searches = [AxisSearch(ids[:10], x[ids[:10]]), AxisSearch(ids[10:], x[ids[10:]])]
+    part = axis_search.normal_axes(x.astype(float))[0]
+    every = (part @ part[ids].T).ravel()
+    for share in (0.0, 0.33, 0.95, 1.0):
+        assert axis_search.quantile(searches, rows, share, axis_search.channel(0)) == pytest.approx(np.quantile(every, share), abs=1e-9)
+
+
+def test_quantile_without_scores(spark):
+    x = vectors(5, "uniform")
+    none = AxisSearch(np.zeros(0, np.int64), np.zeros((0, 64)))
+    assert axis_search.quantile([none], frame(spark, x), 0.5, axis_search.channel(0)) is None
+    assert axis_search.quantile([], frame(spark, x), 0.5, axis_search.channel(0)) is None
+
+
+def test_calibration_and_gating_make_no_row_a_pair(spark, monkeypatch):
+    from orrery.plans import registry
+
+    def refused(*_):
+        raise AssertionError("a row a pair")
+
+    monkeypatch.setattr(AxisSearch, "pairs", refused)
+    for name in ("om12_music_calibration", "ob15_channel_gating"):
+        assert registry.queries()[name](spark, "/root/testdata/sf0.001").count()
