@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from orrery.sources.workdir import fresh
+
 #: File endings by type. Images are taken as documents when both could hold.
 IMAGES = ["jpg", "jpeg", "png", "webp", "bmp", "gif", "tiff", "heic", "heif", "avif"]
 EXTENSIONS = {
@@ -178,21 +180,28 @@ def metadata_of(names: DataFrame, metadata: DataFrame, head: int = 30, least: in
 
     By stem; else by whole name; else the first key that starts the stem or is started by its first
     ``head`` characters; else the first of ``least`` characters or more that, blanks aside, the stem
-    holds. Joins are on equal values: prefixes of the lengths that keys have, and the first ``least``
-    characters of a key against every place of the stem.
+    holds. Joins are on equal values: prefixes of stems and keys, and the first ``least`` characters of
+    a key against every place of the stem. Both sides are written once and reread for the joins.
     """
+    spark, path = names.sparkSession, fresh(names.sparkSession, "metadata")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
     m = metadata.where("key != ''").withColumn("bare", F.replace("key", F.lit(" "), F.lit("")))
+    m = kept(m.select("ord", "key", "text", "bare"), "keys")
     n = names.select("file_name").distinct().withColumn("stem", F.lower(stem(F.col("file_name")))).withColumn("bare_stem", F.regexp_replace("stem", "[ \\x{200B}]", ""))
-    exact = n.join(m, n["stem"] == m["key"]).select("file_name", F.lit(1).alias("prio"), "ord", "text")
+    n = kept(n, "names")
     whole = n.join(m, F.lower("file_name") == m["key"]).select("file_name", F.lit(2), "ord", "text")
     short = n.withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1))), lambda i: F.substring("stem", F.lit(1), i))))
-    starts = short.join(m, short["part"] == m["key"]).select("file_name", F.lit(3), "ord", "text")
+    starts = short.join(m, short["part"] == m["key"]).select("file_name", F.when(F.col("stem") == F.col("key"), 1).otherwise(3).alias("prio"), "ord", "text")  # the whole stem is its last start
     headed = n.withColumn("part", F.substring("stem", 1, head)).withColumn("len", F.length("part"))
     lengths = m.select(F.col("ord"), "text", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(head))), lambda i: F.substring("key", F.lit(1), i))).alias("part"))
     started = headed.join(lengths, "part").select("file_name", F.lit(3), "ord", "text")
     grams = n.where(F.length("bare_stem") >= least).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("bare_stem") - (least - 1)), lambda i: F.substring("bare_stem", i, F.lit(least))))))
     within = grams.join(m.where(F.length("bare") >= least).withColumn("gram", F.substring("bare", 1, least)), "gram").where(F.contains("bare_stem", "bare")).select("file_name", F.lit(4), "ord", "text")
-    hits = reduce(DataFrame.union, [exact, whole, starts, started, within])
+    hits = reduce(DataFrame.union, [starts, whole, started, within])
     best = hits.groupBy("file_name").agg(F.min_by("text", F.struct("prio", "ord")).alias("text"))
     return n.select("file_name").join(best, "file_name", "left")
 

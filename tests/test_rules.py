@@ -290,6 +290,18 @@ def test_judged(spark):
     assert got == {1: (2, True, 1.0, 0.5, False, 1), 2: (1, False, 0.0, 0.0, False, 0)}
 
 
+def test_metadata_cascade_by_hand(spark):
+    names = spark.createDataFrame([(n,) for n in ("Alpha.pdf", "alpha two.pdf", "beta.txt", "xx gamma yy.txt", "none.txt", "Alpha.pdf")], "file_name string")
+    keys = spark.createDataFrame([(1, "al", "start"), (2, "alpha", "stem"), (3, "beta.txt", "whole"), (4, "be", "start of beta"), (5, "gam ma", "inside"), (6, "", "empty")], "ord int, key string, text string")
+    got = {tuple(r) for r in registers.metadata_of(names, keys).collect()}
+    # a stem before the start that has the smaller place; of starts the first; a whole name before a start; blanks aside within
+    assert got == {("Alpha.pdf", "stem"), ("alpha two.pdf", "start"), ("beta.txt", "whole"), ("xx gamma yy.txt", "inside"), ("none.txt", None)}
+    none = registers.metadata_of(names, keys.where("ord > 9"))
+    assert {r.text for r in none.collect()} == {None} and none.count() == 5
+    scans = none._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in scans  # the joins read what was written
+
+
 # the engine
 
 
