@@ -197,7 +197,7 @@ class AxisSearch:
         near a query's k-th best are scored once more, along the axis: equal vectors have equal scores.
         With ``group`` rows are sorted within their task first, so one group is held at a time.
         """
-        how = how or three_axis()
+        how, keep = how or three_axis(), tuple(c for c in keep if c != group)  # the group is there already
         kinds = {c: rows.schema[c].dataType.simpleString() for c in ([group] if group else []) + list(keep)}
         rows = rows.where(F.size("vec") == sum(self.axes)).select("row_id", *kinds, "vec")
         if group:
