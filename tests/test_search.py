@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery import engine
-from orrery.operators import axis_search, clustered
+from orrery.operators import axis_search, clustered, fusion, ordered
 from orrery.operators.axis_search import AxisSearch
+from orrery.plans import registry
 
 WEIGHTS = (1.0, 0.4, 0.2)
 
@@ -169,3 +170,26 @@ def test_calibration_and_gating_make_no_row_a_pair(spark, monkeypatch):
     monkeypatch.setattr(AxisSearch, "pairs", refused)
     for name in ("om12_music_calibration", "ob15_channel_gating"):
         assert registry.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+@pytest.mark.parametrize(("parts", "sent"), [(8, 200_000), (1, 0)])
+def test_reciprocal_sums_of_every_pair(spark, monkeypatch, parts, sent):
+    """Ties to the smaller id; a query's list reaches over partitions; no pair is left out."""
+    monkeypatch.setattr(ordered, "SENT", sent)
+    rng = np.random.default_rng(8)
+    pairs = [(q, r, float(rng.integers(0, 9)), float(rng.integers(0, 99))) for q, n in ((0, 700), (100, 3), (200, 1), (-5, 90)) for r in range(n)]
+    want = {}
+    for axis in (2, 3):
+        for q in {p[0] for p in pairs}:
+            for rank, p in enumerate(sorted((p for p in pairs if p[0] == q), key=lambda p: (-p[axis], p[1])), 1):
+                want[q, p[1]] = want.get((q, p[1]), 0) + 1 / (fusion.RANK + rank)
+    df = spark.createDataFrame(pairs, "qid long, row_id long, dense double, lexical double").repartition(parts)
+    got = fusion.reciprocal_sums(df).collect()
+    assert len(got) == len(pairs) and {(r.qid, r.row_id): round(r.score, 12) for r in got} == {k: round(v, 12) for k, v in want.items()}
+
+
+def test_uncut_reciprocal_ranks_give_every_pair(spark, data):
+    """Each query of the set with each row, not a number of best ones."""
+    ids = [r[0] for r in spark.read.parquet(f"{data}/embeddings.parquet").select("vec_id").collect()]
+    got = [(r.qid, r.row_id) for r in registry.queries()["oe2_rrf_uncut"](spark, data).collect()]
+    assert sorted(got) == sorted((q, r) for q in ids if q % 100 == 0 for r in ids)
