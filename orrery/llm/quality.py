@@ -35,6 +35,8 @@ FEATURES = [*_CLASSES, "log_bytes", "log_words", "word_bytes", "distinct", "repe
 #: Buckets of hashed words and word pairs, and as many of hashed byte triples.
 BUCKETS = 512
 WIDTH = len(FEATURES) + 2 * BUCKETS
+#: Texts whose figures, of 8 KB a text and some copies of them, are held at once.
+ROWS = 256
 _TRIPLE = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)  # odd factors, one a place
 
 
@@ -115,7 +117,7 @@ def features(data: np.ndarray, off: np.ndarray, words: tuple | None = None) -> n
 def _input_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         data, off = tv.buffers(b.column("text"))
-        for i, j in tv.groups(off):
+        for i, j in tv.groups(off, rows=ROWS):
             x = inputs(data[off[i] : off[j]], off[i : j + 1] - off[i])
             yield pa.RecordBatch.from_arrays([b.column("label").slice(i, j - i), pa.array([v.tobytes() for v in x.astype(np.float32)], pa.binary())], ["label", "x"])
 
@@ -229,7 +231,7 @@ def score(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = tv.buffers(b.column(text))
-            s = [ranker(inputs(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in tv.groups(off)]
+            s = [ranker(inputs(data[off[i] : off[j]], off[i : j + 1] - off[i])) for i, j in tv.groups(off, rows=ROWS)]
             s = np.concatenate(s) if s else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*keep, "score", "predicted"])
 

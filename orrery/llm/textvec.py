@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Text bytes that operators take at a time; a longer document is taken alone.
-GROUP = 2 << 20
+GROUP = 1 << 19
 
 _rng = np.random.Generator(np.random.PCG64(20240611))
 _TABLE = _rng.integers(1, 1 << 64, 256, dtype=np.uint64) | np.uint64(1)
@@ -63,11 +63,12 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def groups(off: np.ndarray, size: int = GROUP) -> Iterator[tuple[int, int]]:
-    """Runs of rows [i, j) with about ``size`` bytes together."""
+def groups(off: np.ndarray, size: int = GROUP, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of rows [i, j) with about ``size`` bytes together, of at most ``rows`` rows."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
+        j = min(j, i + rows) if rows else j
         yield i, j
         i = j
 

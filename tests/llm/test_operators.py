@@ -8,10 +8,12 @@ import json
 import lzma
 import random
 import re
+import tracemalloc
 import urllib.parse
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,3 +449,22 @@ def test_pipeline(spark, data):
     final = corpus_pipeline.STAGES[-1][1](spark, out, data).collect()
     assert {r.doc_id for r in final} == set(kept)
     assert all(r.exact for r in final)
+
+
+@pytest.mark.parametrize(("texts", "step"), [(["a short text", "", "one, two: three!", "x"] * 500, "figures"), (["word%d text " % i * 20 for i in range(8_000)], "figures"), (["word%d text " % i * 20 for i in range(8_000)], "sets")])
+def test_a_batch_of_texts_takes_little_memory(texts, step):
+    """Figures of texts and hashes of words are held for some texts of a batch at a time, and the same as for each text alone."""
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], ["id", "label", "text"])
+    run, some = (quality._input_rows, "x") if step == "figures" else (near_dup._signer(5), "sig")
+    list(run(iter([batch.slice(0, 1)])))  # what is made once a process
+    held = []
+    tracemalloc.start()
+    for out in run(iter([batch])):
+        now, most = tracemalloc.get_traced_memory()
+        held.append(most)
+        tracemalloc.reset_peak()
+    tracemalloc.stop()
+    assert max(held) < 16e6, max(held)
+    whole = [x for out in run(iter([batch])) for x in out[some].to_pylist()]
+    for r in (0, 1, 2, 255, 256, 257, len(texts) - 1):
+        assert whole[r] == next(run(iter([batch.slice(r, 1)])))[some][0].as_py()
