@@ -354,7 +354,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, similarity: float = 0.8, id_col
     near = scratch.save(rest.mapInArrow(_gathered(similarity), "a long, b long").distinct())
     group = connected_components(near, scratch).select(F.col("node").alias("id"), F.col("component").alias("grp"))
     group = scratch.save(group.join(first.withColumnRenamed("node", "id"), "id", "left").select("id", "grp", F.coalesce("component", "id").alias("comp")))
-    dealt = _dealt(group, scratch)
+    dealt = scratch.save(_dealt(group, scratch))  # met twice below: unsaved, both plans hold all its joins
     rows = _with_sets(dealt, texts, k).repartition(parts, "grp", "part").sortWithinPartitions("grp", "part")
     second = scratch.save(rows.mapInArrow(_linked(similarity), "a long, b long").distinct())
     last = scratch.save(connected_components(second, scratch))

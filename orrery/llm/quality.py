@@ -132,6 +132,11 @@ class Ranker:
         return 1 / (1 + np.exp(-np.clip(np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights - self.cut, -30, 30)))
 
 
+def _columns(width: int) -> list[slice]:
+    """Columns of a table that are copied at a time."""
+    return [slice(c, c + 64) for c in range(0, width, 64)]
+
+
 def fit_pairs(x: np.ndarray, label: np.ndarray, per_row: int = 24, penalty: float = 1e-3, steps: int = 25) -> Ranker:
     """Bradley-Terry: of a pair (label 1, label 0) the first wins with probability sigmoid(w . (x1 - x0)).
 
@@ -142,13 +147,20 @@ def fit_pairs(x: np.ndarray, label: np.ndarray, per_row: int = 24, penalty: floa
     share of label 0, so as many fitted rows are rejected as were marked 0. With one label
     only, w is 0 and every score 0.5.
     """
-    width = x.shape[1]
-    if not len(x) or label.min() == label.max():
+    return _fitted(np.array(x, float), label, per_row, penalty, steps)
+
+
+def _fitted(z: np.ndarray, label: np.ndarray, per_row: int = 24, penalty: float = 1e-3, steps: int = 25) -> Ranker:
+    """``fit_pairs``, which scales ``z`` in place: the driver holds the figures once."""
+    width = z.shape[1]
+    if not len(z) or label.min() == label.max():
         return Ranker(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
-    mean, scale = x.mean(0, dtype=float), np.maximum(x.std(0, dtype=float), 1e-9)
+    mean, scale = z.mean(0), np.empty(width)
+    for c in _columns(width):
+        scale[c] = np.maximum(z[:, c].std(0), 1e-9)
     if width > len(FEATURES):
         scale[len(FEATURES) :] = np.sqrt((scale[len(FEATURES) :] ** 2).mean())
-    z = x - mean
+    z -= mean
     z /= scale
     np.clip(z, -8, 8, out=z)
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
@@ -212,11 +224,27 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, most: int = 12_000,
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     # `most` rows bound the broadcast; of an id's texts the smallest counts, so as many rows as labels come back at most
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("label", "text")
-    got = small_batches(rows).mapInArrow(_input_rows, "label int, x binary").toArrow()  # 4.2 KB a row
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
-    label = got["label"].to_numpy()
-    order = np.lexsort((*x.T, label)) if len(x) else np.zeros(0, int)  # rows come in any order; the fit must not depend on it
-    return fit_pairs(x[order], label[order], penalty=penalty)
+    x, label = _ordered(small_batches(rows).mapInArrow(_input_rows, "label int, x binary").toArrow().to_batches())  # 4.2 KB a row
+    return _fitted(x, label, penalty=penalty)
+
+
+def _ordered(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Figures and labels of all rows, in an order of their own: rows come in any order, and the fit must not depend on it. ``batches`` is emptied on the way."""
+    n = sum(b.num_rows for b in batches)
+    x, label = np.empty((n, WIDTH)), np.empty(n, np.int32)
+    lo = 0
+    while batches:
+        b = batches.pop()
+        hi = lo + b.num_rows
+        if hi > lo:
+            raw = b.column("x")
+            x[lo:hi] = np.frombuffer(raw.buffers()[2], np.float32, (hi - lo) * WIDTH, 4 * WIDTH * raw.offset).reshape(-1, WIDTH)
+            label[lo:hi] = b.column("label").to_numpy()
+        lo = hi
+    order = np.lexsort((*x.T, label)) if n else np.zeros(0, int)
+    for c in _columns(WIDTH):
+        x[:, c] = x[order, c]
+    return x, label[order]
 
 
 def score(docs: DataFrame, ranker: Ranker, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:

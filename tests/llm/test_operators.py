@@ -111,6 +111,43 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(41), 0), 99: 99, 100: 99, 200: 200, 201: 200}
 
 
+@pytest.mark.parametrize("hub", [2, 1000])
+def test_components_of_stars_take_no_round_and_others_few(spark, monkeypatch, hub):
+    """The driver's memory goes by the queries that are planned: stars are written once, and a round is two tables where no node is a hub."""
+    monkeypatch.setattr(components, "HUB", hub)
+    saved = []
+    monkeypatch.setattr(scratch.Scratch, "save", lambda self, df, *a, save=scratch.Scratch.save: saved.append(save(self, df, *a)) or saved[-1])
+    run = lambda e: dict(map(tuple, components.connected_components(spark.createDataFrame(e, "a long, b long"), scratch.Scratch(spark, "t")).collect()))
+    assert run([(0, i) for i in range(1, 9)] + [(30, 20), (20, 40)]) == {**dict.fromkeys(range(9), 0), 20: 20, 30: 20, 40: 20}
+    assert len(saved) == 1
+    assert run([(5, 3), (3, 1), (1, 7)]) == {1: 1, 3: 1, 5: 1, 7: 1}
+    assert hub == 2 or len(saved) == 4
+    assert run([(None, 3), (4, 4)]) == {}
+    rng = random.Random(hub)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(rng.randrange(60), 61) for _ in range(6)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        for x, y in edges:
+            low[x] = low[y] = min(low[x], low[y])
+    assert run(edges) == {x: low[x] for e in edges if e[0] != e[1] for x in e}
+
+
+def test_fit_holds_the_figures_once(spark):
+    texts = [f"a plain text of number {i} and of some words" if i % 3 else f"BUY!!! {i} $$$ now" for i in range(2_000)]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(len(texts))], "doc_id long, quality int")
+    quality.fit(docs.limit(0), labels, F.lit(True))  # what is imported once
+    tracemalloc.start()
+    ranker = quality.fit(docs, labels, F.lit(True))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2 * 8 * quality.WIDTH * len(texts), most
+    x = np.concatenate([np.frombuffer(v, np.float32).reshape(1, -1) for b in quality._input_rows(iter([pa.record_batch([pa.array([0] * len(texts), pa.int32()), pa.array(texts)], ["label", "text"])])) for v in b["x"].to_pylist()])
+    label = np.array([int(i % 3 > 0) for i in range(len(texts))], np.int32)
+    order = np.lexsort((*x.T, label))
+    want = quality.fit_pairs(x[order], label[order], penalty=1e-4)
+    assert (ranker.weights == want.weights).all() and ranker.cut == want.cut
+
+
 def test_nearest_is_exact_when_all_axes_are_probed(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 5))
