@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
+from collections import defaultdict, deque
 from collections.abc import Iterator
-from io import StringIO
+from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Points of events, of repeats, and the bounds.
@@ -54,75 +55,117 @@ def session_risk(events: DataFrame, session: str) -> DataFrame:
     return run.groupBy(session).agg(total.cast("long").alias("score"), warned.alias("warned")).select(session, "score", "warned", (F.col("score") >= BLOCK).alias("blocked"))
 
 
-EMPTY = (0, False, json.dumps({"ts": [], "kinds": [], "names": []}))
+#: A session's state before its first event: score, warned, times of the last SECONDS, types, institutions as bits.
+EMPTY = [0, False, [], [], 0]
+NONE = (1 << 63) - 1  # no event waits
 
 
-def _advance(held: tuple[int, bool, str], f: pd.DataFrame) -> tuple[int, bool, str]:
-    """A session's state after some events, sorted: sums over arrays, no loop over events."""
-    score, warned, seen = held
-    if score >= BLOCK or not len(f):
+def _packed(events: DataFrame, session: str, groups: int) -> DataFrame:
+    """(group, session, ts, us, event): an event's microseconds, and as JSON what its points need: session, time, id, points of its type,
+    institutions as bits, whether there is a request, and types."""
+    name, us = F.col(session).cast("string"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 63)))
+    named = [F.when(F.contains("user_query", F.lit(n)), 1 << i).otherwise(0) for i, n in enumerate(NAMES)]
+    base = F.coalesce(F.create_map(*[F.lit(x) for kv in EVENTS.items() for x in kv])[F.col("event_type")], F.lit(0))
+    parts = [name.alias("s"), us.alias("t"), F.col("event_id").alias("i"), base.alias("p"), reduce(Column.bitwiseOR, named).alias("n"), (F.coalesce("user_query", F.lit("")) != "").alias("q"), F.array_compact("pii_types").alias("k")]
+    return events.select(F.pmod(F.xxhash64(name), F.lit(groups)).alias("group"), name.alias("session"), "ts", us.alias("us"), F.to_json(F.struct(*parts)).alias("event"))
+
+
+def _sorted(events: list[str]) -> list[dict]:
+    """Packed events in order of time, then id, null ones first as in a batch."""
+    return sorted(json.loads(f"[{','.join(events)}]"), key=lambda e: (e["t"], "i" in e, e.get("i", 0)))
+
+
+def _advance(held: list, events: list[dict]) -> list:
+    """A session's state after some events, sorted. Sessions are many and mostly short: microseconds an event, and no frame a session."""
+    score, warned, times, types, names = held
+    if score >= BLOCK:
         return held
-    past = json.loads(seen)
-    us = f["ts"].astype("datetime64[us]").astype("int64").to_numpy()
-    every = np.concatenate([np.array(past["ts"], np.int64), us])
-    at = np.arange(len(past["ts"]), len(every))
-    before = at - np.searchsorted(every, us - SECONDS * 1_000_000, "left")
-    kinds = f.reset_index(drop=True)["pii_types"].explode().dropna()
-    again = (kinds.groupby(kinds).cumcount().to_numpy() > 0) | kinds.isin(past["kinds"]).to_numpy()
-    repeats = np.bincount(kinds.index.to_numpy(int)[again], minlength=len(f)) if len(kinds) else np.zeros(len(f), int)
-    query = f["user_query"].fillna("")
-    has = np.stack([query.str.contains(n, regex=False).to_numpy(bool) | (n in past["names"]) for n in NAMES], 1)
-    institutions = np.maximum.accumulate(has, 0).sum(1)
-    p = f["event_type"].map(EVENTS).fillna(0).to_numpy(int) + np.where(before >= REQUESTS, RAPID, 0) + SAME_TYPE * repeats + np.where((institutions >= 2) & (query != "").to_numpy(), INSTITUTIONS, 0)
-    sums = score + np.cumsum(p)
-    end = int(np.argmax(sums >= BLOCK)) if (sums >= BLOCK).any() else len(sums) - 1
-    kept = every[every >= every[-1] - SECONDS * 1_000_000]
-    seen = json.dumps({"ts": kept.tolist(), "kinds": sorted({*past["kinds"], *kinds}), "names": [n for n, x in zip(NAMES, has.any(0), strict=True) if x]}, ensure_ascii=False)
-    return int(sums[end]), bool(warned or ((sums[: end + 1] >= WARN) & (sums[: end + 1] < BLOCK)).any()), seen
-
-
-_STATE = "score long, warned boolean, seen string"
+    near, kinds = deque(times), set(types)
+    for e in events:
+        while near and near[0] < e["t"] - SECONDS * 1_000_000:
+            near.popleft()
+        score += e["p"] + (RAPID if len(near) >= REQUESTS else 0)
+        near.append(e["t"])
+        for k in e.get("k", ()):
+            score += SAME_TYPE if k in kinds else 0
+            kinds.add(k)
+        names |= e["n"]
+        score += INSTITUTIONS if e["q"] and names.bit_count() >= 2 else 0
+        if score >= BLOCK:
+            return [score, warned, [], [], 0]  # later points do not count
+        warned = warned or score >= WARN
+    return [score, warned, list(near), sorted(kinds), names]
+
+
+def _add(held: dict[str | None, list], events: list[dict]) -> set[str | None]:
+    """Brings the states of sessions up to sorted events; the sessions that these changed or began."""
+    per, changed = defaultdict(list), set()
+    for e in events:
+        per[e.get("s")].append(e)
+    for name, own in per.items():
+        before = held.get(name)
+        held[name] = _advance(before or EMPTY, own)
+        if held[name] != before:
+            changed.add(name)
+    return changed
+
+
 _RISK = "session string, score long, warned boolean, blocked boolean"
-_FIELDS = ["event_id", "ts", "event_type", "pii_types", "user_query"]
 
 
-def _risk(key: tuple, held: tuple[int, bool, str]) -> pd.DataFrame:
-    return pd.DataFrame({"session": [key[0]], "score": [held[0]], "warned": [held[1]], "blocked": [held[0] >= BLOCK]})
+def _risk(held: dict[str | None, list], names) -> pd.DataFrame:
+    rows = [(n, held[n][0], held[n][1], held[n][0] >= BLOCK) for n in names]
+    return pd.DataFrame(rows, columns=["session", "score", "warned", "blocked"])
+
+
+def _loaded(held: str) -> dict[str | None, list]:
+    return dict(json.loads(held))
+
+
+def _dumped(held: dict[str | None, list]) -> str:
+    return json.dumps(list(held.items()), ensure_ascii=False)
 
 
 def _fold(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Adds a trigger's events, in order, to a session's state."""
-    held = _advance(state.get if state.exists else EMPTY, pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable"))
-    state.update(held)
-    yield _risk(key, held)
+    """Adds a trigger's events, in order, to their sessions' states."""
+    held = _loaded(state.get[0]) if state.exists else {}
+    events = _sorted([x for f in frames for x in f["event"]])
+    _add(held, events)
+    state.update((_dumped(held),))
+    yield _risk(held, dict.fromkeys(e.get("s") for e in events))
 
 
 def _settle(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Keeps a session's events until the watermark has passed them, then adds them in order of time.
+    """Keeps sessions' events until the watermark has passed them, then adds them in order of time.
 
     The state's timer stands at the earliest event that waits, so a session without new events is
-    settled too. Of a blocked session nothing waits any more.
+    settled too. While all only wait, new ones are joined to the others unread. Of a blocked session
+    nothing waits any more.
     """
-    *held, waits = state.get if state.exists else (*EMPTY, "[]")
-    held, now = tuple(held), state.getCurrentWatermarkMs()
-    parts = [pd.read_json(StringIO(waits), orient="split", dtype={"event_id": "int64", "ts": "int64"}, convert_dates=False)] if waits != "[]" else []
-    if not state.hasTimedOut:
-        parts += [f[_FIELDS].assign(ts=f["ts"].astype("datetime64[us]").astype("int64"), pii_types=f["pii_types"].map(lambda x: None if x is None else list(x))) for f in frames]
-    every = pd.concat(parts, ignore_index=True).sort_values(["ts", "event_id"], kind="stable") if parts else pd.DataFrame(columns=_FIELDS)
-    ready = every["ts"] <= now * 1000
-    before = held
-    if ready.any():
-        f = every[ready]
-        held = _advance(held, f.assign(ts=f["ts"].astype("datetime64[us]")))
-    rest = every[~ready] if held[0] < BLOCK else every[:0]
-    state.update((*held, rest.to_json(orient="split", force_ascii=False) if len(rest) else "[]"))
-    if len(rest):
-        state.setTimeoutTimestamp(max(int(rest["ts"].iloc[0]) // 1000 + 1, now + 1))
-    if held != before or (ready.any() and before == EMPTY):
-        yield _risk(key, held)
-
-
-def session_risk_stream(events: DataFrame, session: str, delay: str | None = None) -> DataFrame:
+    stored, first, waits = state.get if state.exists else ("[]", NONE, "")
+    held, now = _loaded(stored), state.getCurrentWatermarkMs()
+    over = {name for name, h in held.items() if h[0] >= BLOCK}
+    events = [waits] if waits else []
+    for f in () if state.hasTimedOut else frames:
+        f = f[~f["session"].isin(over)]
+        events += f["event"].tolist()
+        first = min(first, int(f["us"].min())) if len(f) else first
+    changed = set()
+    if first <= now * 1000:
+        every = _sorted(events)
+        cut = bisect_right(every, now * 1000, key=lambda e: e["t"])
+        changed = _add(held, every[:cut])
+        rest = [e for e in every[cut:] if held.get(e.get("s"), EMPTY)[0] < BLOCK]
+        stored, events = _dumped(held), [json.dumps(e, ensure_ascii=False) for e in rest]
+        first = rest[0]["t"] if rest else NONE
+    state.update((stored, first, ",".join(events)))
+    if events:
+        state.setTimeoutTimestamp(max(first // 1000 + 1, now + 1))
+    if changed:
+        yield _risk(held, changed)
+
+
+def session_risk_stream(events: DataFrame, session: str, delay: str | None = None, groups: int = 1 << 12) -> DataFrame:
     """(session, score, warned, blocked) over a stream: each trigger gives the sessions that it changed.
 
     Without ``delay`` a session's events must come in order from trigger to trigger. With it
@@ -131,13 +174,13 @@ def session_risk_stream(events: DataFrame, session: str, delay: str | None = Non
     row of a session is what ``session_risk`` gives for the events in order. Those that come later
     than the delay are left out; the query's progress counts them (numRowsDroppedByWatermark). A
     session's state is its score, the times of the last SECONDS, the types and institutions seen, and
-    the events that wait.
+    the events that wait. Sessions share ``groups`` states by a hash, because a call costs milliseconds whatever
+    it does: more of them for many millions of sessions. The number is part of a checkpoint.
     """
-    named = events.withColumn("session", F.col(session).cast("string")).select("session", *_FIELDS)
     if delay is None:
-        return named.groupBy("session").applyInPandasWithState(_fold, _RISK, _STATE, "update", "NoTimeout")
-    named = named.withColumns({"event_id": F.col("event_id").cast("long"), "ts": F.col("ts").cast("timestamp")}).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
-    return named.groupBy("session").applyInPandasWithState(_settle, _RISK, f"{_STATE}, waits string", "update", "EventTimeTimeout")
+        return _packed(events, session, groups).groupBy("group").applyInPandasWithState(_fold, _RISK, "held string", "update", "NoTimeout")
+    named = events.withColumns({"event_id": F.col("event_id").cast("long"), "ts": F.col("ts").cast("timestamp")}).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
+    return _packed(named, session, groups).groupBy("group").applyInPandasWithState(_settle, _RISK, "held string, first long, waits string", "update", "EventTimeTimeout")
 
 
 def session_windows(events: DataFrame, session: str, gap: str, delay: str | None = None) -> DataFrame:

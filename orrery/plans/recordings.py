@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -361,6 +364,22 @@ def session_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.session_risk(session_events(spark, sf_dir), "user_id")
 
 
+@contextmanager
+def on_disk_state(spark: SparkSession) -> Iterator[None]:
+    """A stream that starts within keeps its state in RocksDB, with bounded memory, unless a store has been chosen: all ids wait at once here."""
+    store = "spark.sql.streaming.stateStore"
+    chosen = {f"{store}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{store}.rocksdb.boundedMemoryUsage": "true"}
+    before = {k: spark.conf.get(k, None) for k in chosen}
+    mine = {} if before[f"{store}.providerClass"] else {k: v for k, v in chosen.items() if before[k] is None}
+    for k, v in mine.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k in mine:
+            spark.conf.unset(k)
+
+
 @query("ok4_session_risk_event_time", _RISK_SQL)
 def session_risk_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The session risk of a stream of all events, which come out of order and again, by the watermark; the last row of each session.
@@ -377,9 +396,13 @@ def session_risk_event_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = e.agg((F.max("ts") + F.make_dt_interval(secs=F.lit(2 * span))).alias("ts"))
     end = end.select(F.lit(-1).alias("user_id"), F.lit(-1).alias("event_id"), "ts", F.lit("view").alias("event_type"), F.array().alias("pii_types"), F.lit("").alias("user_query"))
     end.select(*[F.col(f.name).cast(f.dataType) for f in e.schema], F.lit(3).alias("n")).write.mode("append").partitionBy("n").parquet(f"{where}/in")
-    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", len(e.inputFiles()) * 2).parquet(f"{where}/in")
+    third = -(-len(spark.read.schema(e.schema).parquet(f"{where}/in").inputFiles()) // 3)
+    files = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", third).parquet(f"{where}/in")
     risk = sessions.session_risk_stream(files, "user_id", f"{span} seconds").writeStream.outputMode("update").option("checkpointLocation", f"{where}/checkpoint")
-    risk.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{where}/out/batch={i}")).trigger(availableNow=True).start().awaitTermination()
+    risk = risk.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{where}/out/batch={i}")).trigger(availableNow=True)
+    with on_disk_state(spark):
+        stream = risk.start()
+    stream.awaitTermination()
     every = spark.read.parquet(f"{where}/out").where("session <> '-1'")
     return every.groupBy("session").agg(F.max_by(F.struct("score", "warned", "blocked"), "batch").alias("r")).select(F.col("session").cast("long").alias("user_id"), "r.*")
 

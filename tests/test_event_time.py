@@ -1,8 +1,13 @@
 """Sessions over streams whose events come late, shuffled and again."""
 
 import random
+from pathlib import Path
+
+import duckdb
 
 from orrery.operators import sessions
+from orrery.plans import recordings, registry
+from orrery.sources import workdir
 
 SCHEMA = "session string, event_id long, ts timestamp, event_type string, pii_types array<string>, user_query string"
 TYPES = [*sessions.EVENTS, "view"]
@@ -83,3 +88,39 @@ def test_session_windows_in_batch_and_stream(spark, tmp_path):
     windows = lambda source: sessions.session_windows(source, "session", "20 seconds", "1 hour")
     list(run(spark, tmp_path, [shuffled[:30], shuffled[20:], [("end", 10**6, 100_000, "view", None, "")]], windows))
     assert as_dict(spark.read.parquet(f"{tmp_path}/out").where("session <> 'end'")) == want
+
+
+def test_many_sessions_share_states(spark, tmp_path):
+    """A call costs milliseconds, so calls are by groups of sessions: 6,000 sessions have no more states than groups."""
+    rows = [(f"s{s}", 10 * s + i, 7 * i, "dangerous_request" if s % 3 == 0 else "sensitive_request", ["KR_RRN"] if i else None, "") for s in range(6_000) for i in range(1 + s % 4)]
+    want = {tuple(r) for r in sessions.session_risk(frame(spark, rows), "session").collect()}
+    shuffled = rows[:]
+    random.Random(5).shuffle(shuffled)
+    half = len(rows) // 2
+    progress = [p for p, _ in run(spark, tmp_path, [shuffled[:half], shuffled[half - 100 :], [("end", 10**6, 100_000, "view", None, "")]], risk)]
+    out = spark.read.parquet(f"{tmp_path}/out").where("session <> 'end'").selectExpr("session", "struct(score, warned, blocked) AS r", "batch").groupBy("session").agg({"batch": "count", "r": "max"})
+    assert {(r.session, *r["max(r)"]) for r in out.collect()} == want
+    assert {r[3] for r in want} == {True, False}
+    states = [s["numRowsTotal"] for p in progress for x in p for s in x["stateOperators"] if s["operatorName"] == "applyInPandasWithState"]
+    assert max(states) <= 1 << 12
+
+
+def test_triggers_of_the_event_time_query_do_not_grow_with_files(spark, data, tmp_path, monkeypatch):
+    for name in registry.TABLES:
+        (tmp_path / f"{name}.parquet").symlink_to(f"{data}/{name}.parquet")
+    (tmp_path / "events.parquet").unlink()
+    spark.read.parquet(f"{data}/events.parquet").coalesce(1).write.option("parquet.block.size", 4096).parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(workdir, "fresh", lambda spark, name: f"{tmp_path}/{name}")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4k")
+    try:
+        got = {tuple(r) for r in recordings.session_risk_event_time(spark, str(tmp_path)).select("user_id", "score", "warned", "blocked").collect()}
+    finally:
+        spark.conf.set(key, before)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{data}/events.parquet'")
+    assert got == set(con.sql(registry.oracle_sql()["ok4_session_risk_event_time"]).fetchall())
+    assert len(list(Path(f"{tmp_path}/sessions/in").glob("n=*/*.parquet"))) > 12
+    assert len(list(Path(f"{tmp_path}/sessions/out").glob("batch=*"))) <= 5
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None
