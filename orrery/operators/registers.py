@@ -180,8 +180,10 @@ def metadata_of(names: DataFrame, metadata: DataFrame, head: int = 30, least: in
 
     By stem; else by whole name; else the first key that starts the stem or is started by its first
     ``head`` characters; else the first of ``least`` characters or more that, blanks aside, the stem
-    holds. Joins are on equal values: prefixes of stems and keys, and the first ``least`` characters of
-    a key against every place of the stem. Both sides are written once and reread for the joins.
+    holds. One join on equal values: a name asks for the starts of its stem that are as long as some
+    key, and for those parts that are as long as some key of the same first ``least`` characters; keys
+    answer as a whole, by their starts and without blanks. Of equal answers only the first is kept, so a name
+    meets one row for each part it asks for, however many keys share a start. Both sides are written once.
     """
     spark, path = names.sparkSession, fresh(names.sparkSession, "metadata")
 
@@ -189,19 +191,37 @@ def metadata_of(names: DataFrame, metadata: DataFrame, head: int = 30, least: in
         df.write.parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
+    def lengths(text: Column) -> Column:
+        return F.collect_set(F.length(text)).alias("lengths")
+
+    def parts(text: Column, at: Column) -> Column:
+        """A text's parts from a place on, of the lengths that are wanted and there."""
+        return F.explode(F.transform(F.filter("lengths", lambda i: at + i - 1 <= F.length(text)), lambda i: F.substring(text, at, i))).alias("part")
+
+    kind = lambda k: F.lit(k).alias("kind")
     m = metadata.where("key != ''").withColumn("bare", F.replace("key", F.lit(" "), F.lit("")))
     m = kept(m.select("ord", "key", "text", "bare"), "keys")
     n = names.select("file_name").distinct().withColumn("stem", F.lower(stem(F.col("file_name")))).withColumn("bare_stem", F.regexp_replace("stem", "[ \\x{200B}]", ""))
     n = kept(n, "names")
-    whole = n.join(m, F.lower("file_name") == m["key"]).select("file_name", F.lit(2), "ord", "text")
-    short = n.withColumn("part", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("stem"), F.lit(1))), lambda i: F.substring("stem", F.lit(1), i))))
-    starts = short.join(m, short["part"] == m["key"]).select("file_name", F.when(F.col("stem") == F.col("key"), 1).otherwise(3).alias("prio"), "ord", "text")  # the whole stem is its last start
-    headed = n.withColumn("part", F.substring("stem", 1, head)).withColumn("len", F.length("part"))
-    lengths = m.select(F.col("ord"), "text", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.length("key"), F.lit(head))), lambda i: F.substring("key", F.lit(1), i))).alias("part"))
-    started = headed.join(lengths, "part").select("file_name", F.lit(3), "ord", "text")
-    grams = n.where(F.length("bare_stem") >= least).withColumn("gram", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("bare_stem") - (least - 1)), lambda i: F.substring("bare_stem", i, F.lit(least))))))
-    within = grams.join(m.where(F.length("bare") >= least).withColumn("gram", F.substring("bare", 1, least)), "gram").where(F.contains("bare_stem", "bare")).select("file_name", F.lit(4), "ord", "text")
-    hits = reduce(DataFrame.union, [starts, whole, started, within])
+    start = F.substring("stem", 1, head)
+    bare = m.where(F.length("bare") >= least)
+    # the lengths that occur: few numbers, kept so that their size is known
+    of_keys, of_starts = kept(m.agg(lengths(F.col("key"))), "key_lengths"), kept(n.agg(lengths(start)), "start_lengths")
+    grams = kept(bare.groupBy(F.substring("bare", 1, least).alias("gram")).agg(lengths(F.col("bare"))), "grams")
+
+    answers = m.select(kind("key"), F.col("key").alias("part"), "ord", "text")
+    answers = answers.union(m.crossJoin(F.broadcast(of_starts)).select(kind("start"), parts(F.col("key"), F.lit(1)), "ord", "text"))
+    answers = answers.union(bare.select(kind("bare"), "bare", "ord", "text"))
+    answers = answers.groupBy("kind", "part").agg(F.min_by(F.struct("ord", "text"), F.struct("ord")).alias("first"))
+
+    asked = n.crossJoin(F.broadcast(of_keys)).select("file_name", "stem", parts(F.col("stem"), F.lit(1)))
+    asked = asked.select("file_name", kind("key"), "part", F.when(F.col("stem") == F.col("part"), 1).otherwise(3).alias("prio"))  # the whole stem is its last start
+    asked = asked.union(n.select("file_name", kind("key"), F.lower("file_name"), F.lit(2)))
+    asked = asked.union(n.select("file_name", kind("start"), start, F.lit(3)))
+    places = n.where(F.length("bare_stem") >= least).withColumn("at", F.explode(F.sequence(F.lit(1), F.length("bare_stem") - (least - 1))))
+    within = places.withColumn("gram", F.substring("bare_stem", F.col("at"), F.lit(least))).join(grams, "gram")
+    asked = asked.union(within.select("file_name", kind("bare"), parts(F.col("bare_stem"), F.col("at")), F.lit(4)))
+    hits = asked.join(answers, ["kind", "part"]).select("file_name", "prio", "first.*")
     best = hits.groupBy("file_name").agg(F.min_by("text", F.struct("prio", "ord")).alias("text"))
     return n.select("file_name").join(best, "file_name", "left")
 

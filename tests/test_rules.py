@@ -302,6 +302,48 @@ def test_metadata_cascade_by_hand(spark):
     assert "LogicalRDD" not in scans  # the joins read what was written
 
 
+def test_metadata_cascade_equals_a_plain_loop(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abBc \u200b\U0001f3b5") for _ in range(rng.randint(1, n)))
+    names = sorted({f"x{word(9)}.{rng.choice(['pdf', 'mp3'])}" for _ in range(150)} | {f"{word(5)}b.pdf" for _ in range(80)})
+    stems = [n.rsplit(".", 1)[0].lower() for n in names]
+    keys = [(i, rng.choice([word(4).lower(), rng.choice(stems), rng.choice(names).lower(), rng.choice(stems)[: rng.randint(1, 5)] + word(3), " " + rng.choice(stems)[1:], ""]), f"t{i}") for i in range(300)]
+    want = {}
+    for name, stem in zip(names, stems, strict=True):
+        fits = []
+        for i, key, text in keys:
+            bare = key.replace(" ", "")
+            if key:
+                inside = len(bare) >= 3 and bare in stem.replace(" ", "").replace("\u200b", "")
+                prio = 1 if key == stem else 2 if key == name.lower() else 3 if stem.startswith(key) or key.startswith(stem[:4]) else 4 if inside else 5
+                fits += [(prio, i, text)] if prio < 5 else []
+        want[name] = min(fits)[::2] if fits else (None, None)
+    got = registers.metadata_of(spark.createDataFrame([(n,) for n in names], "file_name string"), spark.createDataFrame(keys, "ord int, key string, text string"), head=4)
+    assert {r.file_name: r.text for r in got.collect()} == {n: t for n, (_, t) in want.items()}
+    assert {p for p, _ in want.values()} == {None, 1, 2, 3, 4}
+
+
+def test_metadata_cascade_makes_no_row_a_pair(spark):
+    """500 names hold what 500 keys are, and 500 start as 500 keys do: the joins give a row for a part of a name that some key may answer, not one for each key."""
+    names = [(f"{i} common.pdf",) for i in range(500)] + [(f"{'head' * 10} {i}.pdf",) for i in range(500)]
+    keys = [(i, "com" + " " * i + "mon", f"a{i}") for i in range(500)] + [(500 + i, f"{'head' * 10}, {i}", f"b{i}") for i in range(500)]
+    df = registers.metadata_of(spark.createDataFrame(names, "file_name string"), spark.createDataFrame(keys, "ord int, key string, text string"))
+    assert {r.text for r in df.collect()} == {"a0", "b0"}
+    todo, rows = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        else:
+            if name.endswith("Join"):
+                rows.append(node.metrics().apply("numOutputRows").value())
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert rows and max(rows) <= 10 * len(names)
+
+
 # the engine
 
 
